@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from larkspur.llm.bpe import op4_bpe
+from larkspur.llm.secrets import op2_secrets
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op4_bpe": op4_bpe,
 }
 
