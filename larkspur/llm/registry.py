@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from larkspur.llm import lines
 from larkspur.llm.bpe import op4_bpe
 from larkspur.llm.secrets import op2_secrets
 
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op4_bpe": op4_bpe,
+    "op6_line_dedup": lines.op6_line_dedup,
 }
 
 #: DuckDB SQL; queries without an entry are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE}
