@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from larkspur.llm import lines
 from larkspur.llm.bpe import op4_bpe
+from larkspur.llm.near import op8_near_duplicates
+from larkspur.llm.packing import op5_packing
 from larkspur.llm.secrets import op2_secrets
 
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op4_bpe": op4_bpe,
+    "op5_packing": op5_packing,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 #: DuckDB SQL; queries without an entry are tested against brute force in tests/llm.
