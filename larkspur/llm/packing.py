@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larkspur.llm.bpe import vocabulary_path
-from larkspur.llm.common import CACHE_ENTRIES, table, text_chunks
+from larkspur.llm.common import table, text_chunks
 
 TOKENS, SEGMENTS = 2048, 64
 END_ID = 1
 #: Remainders that wait at most before a bin is filled.
 POOL = 1024
+#: Words remembered by a Python worker, some 200 bytes each.
+CACHE_ENTRIES = 1_000_000
 #: A private-use character between words that are encoded together.
 MARK = "\ue000"
 
@@ -52,7 +54,8 @@ class IdSource:
 
     def learn(self, words: list[str]) -> None:
         if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+            for old in list(self.cache)[: CACHE_ENTRIES // 2]:
+                del self.cache[old]
         for at in range(0, len(words), 5000):
             part = words[at : at + 5000]
             ids = np.array(self.ids(f" {MARK} ".join(part)), np.uint32)
@@ -71,7 +74,6 @@ class IdSource:
         words = [None if self.odd.search(t) else t.split() for t in texts]
         cache = self.cache
         self.learn(list({w for found in words if found for w in found if w not in cache}))
-        cache = self.cache
         out = []
         for text, found in zip(texts, words):
             if found is None:
@@ -79,7 +81,7 @@ class IdSource:
             else:
                 try:
                     out.append(b"".join([cache[w] for w in found]))
-                except KeyError:  # forgotten when the cache was cleared in between
+                except KeyError:  # forgotten when room was made just now
                     self.learn([w for w in set(found) if w not in cache])
                     out.append(b"".join([cache[w] for w in found]))
         return out
