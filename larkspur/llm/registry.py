@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from larkspur.llm import lines
+from larkspur.llm.ann import op3_nearest
 from larkspur.llm.bpe import op4_bpe
 from larkspur.llm.near import op8_near_duplicates
 from larkspur.llm.packing import op5_packing
@@ -10,6 +11,7 @@ from larkspur.llm.secrets import op2_secrets
 
 QUERIES = {
     "op2_secrets": op2_secrets,
+    "op3_nearest": op3_nearest,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op6_line_dedup": lines.op6_line_dedup,
