@@ -5,6 +5,7 @@ from __future__ import annotations
 from larkspur.llm import lines
 from larkspur.llm.ann import op3_nearest
 from larkspur.llm.bpe import op4_bpe
+from larkspur.llm.html import op9_html_text
 from larkspur.llm.near import op8_near_duplicates
 from larkspur.llm.packing import op5_packing
 from larkspur.llm.secrets import op2_secrets
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_line_dedup": lines.op6_line_dedup,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_html_text": op9_html_text,
 }
 
 #: DuckDB SQL; queries without an entry are tested against brute force in tests/llm.
