@@ -9,6 +9,7 @@ from larkspur.llm.html import op9_html_text
 from larkspur.llm.near import op8_near_duplicates
 from larkspur.llm.packing import op5_packing
 from larkspur.llm.secrets import op2_secrets
+from larkspur.llm.toxic import op10_toxicity
 
 QUERIES = {
     "op2_secrets": op2_secrets,
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_line_dedup": lines.op6_line_dedup,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_html_text": op9_html_text,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL; queries without an entry are tested against brute force in tests/llm.
