@@ -6,6 +6,7 @@ from larkspur.llm import lines
 from larkspur.llm.ann import op3_nearest
 from larkspur.llm.bpe import op4_bpe
 from larkspur.llm.html import op9_html_text
+from larkspur.llm.language import op7_language
 from larkspur.llm.near import op8_near_duplicates
 from larkspur.llm.packing import op5_packing
 from larkspur.llm.secrets import op2_secrets
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_language": op7_language,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
