@@ -5,6 +5,7 @@ from __future__ import annotations
 from larkspur.llm import lines
 from larkspur.llm.ann import op3_nearest
 from larkspur.llm.bpe import op4_bpe
+from larkspur.llm.fingerprints import op1_fingerprints
 from larkspur.llm.html import op9_html_text
 from larkspur.llm.language import op7_language
 from larkspur.llm.near import op8_near_duplicates
@@ -13,6 +14,7 @@ from larkspur.llm.secrets import op2_secrets
 from larkspur.llm.toxic import op10_toxicity
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
     "op3_nearest": op3_nearest,
     "op4_bpe": op4_bpe,
