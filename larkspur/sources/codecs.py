@@ -44,7 +44,7 @@ def docx_text(data: pd.Series) -> pd.Series:
 
 
 _stream = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
-_shown = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT[*dDJjm]\b|\bET\b|'", re.S)
+_shown = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT\*|\bT[dDJjm]\b|\bET\b|'", re.S)
 _escapes = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
