@@ -5,8 +5,9 @@
    share, each with probability 1 / (threshold * tokens); a chosen token is a path, and its sets are a bucket.
    A pair at the threshold meets in a run with probability 1 - 1/e at least; the runs repeat until the target recall.
 3. Buckets of LEAF sets or fewer are compared by brute force on the embedded tokens. In a larger one all sets are compared with one
-   pivot: sets very near to it are done (what is near to them is near enough to the pivot to be linked to it),
-   the others choose further tokens under the bucket's path, and so on until no bucket is large.
+   pivot and linked to it where they are near. Sets very near to it are done (what is near to them is linked to the pivot, too); if few are not
+   near, they are compared with the others in blocks; else all choose further tokens under the bucket's path, and
+   so on until no bucket is large.
 4. Linked sets form candidate classes. Within each class every pair of sets is compared exactly, in blocks where a class is
    large; a class's texts are shipped once to each of its blocks, and pairs are counted, never written out as rows.
 
@@ -33,11 +34,11 @@ from larkspur.llm.components import components
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MINHASHES = 64
 #: Sets that a bucket may have to be compared by brute force; sets of one side of a block.
-LEAF, BLOCK = 512, 400
+LEAF, BLOCK = 4096, 400
 #: Agreement of embedded tokens (standard error 0.05) from which two sets are candidates, and from which one is done with its pivot.
 CANDIDATE, DONE = 0.58, 0.92
-#: Below the first level a set chooses that many times the tokens, so that a pair seldom parts.
-BOOST = 3
+#: Below the first level a set chooses that many times the tokens, so that a pair parts less often; above 1.25 crowds of like sets multiply.
+BOOST = 1.2
 NULL_ID = -(2**63)
 
 U = np.uint64
@@ -74,7 +75,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """MINHASHES minima of 32 bits."""
+    """MINHASHES minima of 32 bits; the first paths are chosen by all of them, what is kept for later are 16 bits of each."""
     low = None
     with np.errstate(over="ignore"):
         for at in range(0, len(s), 2048):
@@ -112,7 +113,7 @@ def embed(documents: DataFrame, words: int, threshold: float, recall: float) ->
                 sig = signature(s)
                 out["node"].append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)
                 out["size"].append(len(s))
-                out["sig"].append(sig.tobytes())
+                out["sig"].append(sig.astype(np.uint16).tobytes())
                 out["paths"].append(chosen(sig, seeds, 1, threshold))
             return out
 
@@ -184,7 +185,7 @@ def leaf_edges(members: DataFrame, parts: int) -> DataFrame:
         for group in grouped(batches, "leaf"):
             order = sorted(range(len(group["doc"])), key=group["doc"].__getitem__)
             docs = [group["doc"][i] for i in order]
-            sigs = np.frombuffer(b"".join([group["sig"][i] for i in order]), np.uint32).reshape(-1, MINHASHES)
+            sigs = np.frombuffer(b"".join([group["sig"][i] for i in order]), np.uint16).reshape(-1, MINHASHES)
             roots = forest(len(docs), agreeing(sigs, CANDIDATE).tolist())
             if rows := [(docs[i], docs[r]) for i, r in enumerate(roots) if r != i]:
                 yield _emit(rows, "a b")
@@ -192,23 +193,23 @@ def leaf_edges(members: DataFrame, parts: int) -> DataFrame:
     return members.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long")
 
 
-def split_large(large: DataFrame, threshold: float) -> DataFrame:
-    """Rows (path, a, b) from rows (path, doc, sig, pivot, pivot_sig): a link to the pivot has no path, a further path no b."""
+def against_pivots(large: DataFrame, threshold: float) -> DataFrame:
+    """Rows (path, doc, pivot, like, further) from rows (path, doc, sig, pivot, pivot_sig): likeness to the pivot and further paths."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, doc, sig, pivot, pivot_sig in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(sig, np.uint32)
-                like = (own == np.frombuffer(pivot_sig, np.uint32)).mean()
-                if like >= CANDIDATE and doc != pivot:
-                    rows.append((None, doc, pivot))
-                if like < DONE:
-                    seeds = np.array([path], dtype=np.int64).view(np.uint64)
-                    rows += [(p, doc, None) for p in chosen(own, seeds, BOOST, threshold).tolist()]
-            yield _emit(rows, "path a b")
+                own = np.frombuffer(sig, np.uint16)
+                like = float((own == np.frombuffer(pivot_sig, np.uint16)).mean())
+                seeds = np.array([path], dtype=np.int64).view(np.uint64)
+                rows.append((path, doc, pivot, like, chosen(own, seeds, BOOST, threshold).tolist() if like < DONE else []))
+            columns = list(zip(*rows)) or [()] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names="path doc pivot like further".split())
 
-    return large.select("path", "doc", "sig", "pivot", "pivot_sig").mapInArrow(run, "path long, a long, b long")
+    wanted = large.select("path", "doc", "sig", "pivot", "pivot_sig")
+    return wanted.mapInArrow(run, "path long, doc long, pivot long, like double, further array<long>")
 
 
 def candidate_edges(nodes: DataFrame, threshold: float, parts: int) -> DataFrame:
@@ -228,10 +229,21 @@ def candidate_edges(nodes: DataFrame, threshold: float, parts: int) -> DataFrame
         if heavy.isEmpty():
             return edges
         heavy = heavy.join(sigs, "doc")
-        pivots = heavy.groupBy("path").agg(F.min("doc").alias("pivot"), F.min_by("sig", "doc").alias("pivot_sig"))
-        split = cut_lineage(split_large(heavy.join(pivots, "path"), threshold))
-        edges = edges.unionByName(split.filter("path is null").select("a", "b"))
-        rows = split.filter("path is not null").select("path", F.col("a").alias("doc")).distinct()
+        # any member will do as the pivot; a hash picks one that is typical of a dense bucket more often than not
+        by_chance = F.xxhash64("doc", "path")
+        pivots = heavy.groupBy("path").agg(F.min_by("doc", by_chance).alias("pivot"), F.min_by("sig", by_chance).alias("pivot_sig"))
+        seen = cut_lineage(against_pivots(heavy.join(pivots, "path"), threshold))
+        edges = edges.unionByName(seen.filter((F.col("like") >= CANDIDATE) & (F.col("doc") != F.col("pivot"))).select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
+        # pairs of two candidates of the pivot are joined already; what is left are pairs with a set that is no candidate of it
+        apart = F.col("like") < CANDIDATE
+        tally = seen.filter(F.col("like") < DONE).groupBy("path").agg(F.sum(apart.cast("long")).alias("apart"), F.sum((~apart).cast("long")).alias("beside")).filter("apart > 0")
+        left = seen.filter(F.col("like") < DONE).join(tally, "path")
+        # few of those: they are compared with the others in blocks
+        blocks = F.greatest(F.ceil(F.col("beside") / LEAF), F.lit(1)).cast("long")
+        block = F.when(apart, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), blocks)))
+        few = left.filter(F.col("apart") <= LEAF).withColumn("block", F.explode(block)).select(F.xxhash64("path", "block").alias("leaf"), "doc")
+        edges = edges.unionByName(leaf_edges(few.join(sigs, "doc"), parts))
+        rows = left.filter(F.col("apart") > LEAF).select(F.explode("further").alias("path"), "doc").distinct()
 
 
 def exact_links(texts: DataFrame, words: int, threshold: float, parts: int) -> DataFrame:
@@ -336,8 +348,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: float =
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents without those that have a near duplicate's class of smaller id; documents without id stay."""
-    gone = near_duplicates(documents).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(documents).filter("doc_id <> class_id").select("doc_id").distinct()
+    return documents.join(gone, documents["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
