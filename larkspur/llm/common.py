@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_ROWS = 512
 #: Code points that a Python operator works on at once (one longer text makes a chunk of its own).
 CHUNK_CHARS = 1_000_000
+#: Key of a chunk's list of which texts were null; no column's name.
+WAS_NULL = None
 #: Entries of a per-worker word cache before its older half is dropped.
 CACHE_ENTRIES = 400_000
 
@@ -66,7 +68,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterat
                 stop += 1
             part = batch.slice(start, stop - start)
             rows = {name: part.column(k).to_pylist() for k, name in enumerate(names)}
-            rows["text_was_null"] = [t is None for t in rows[text]]
+            rows[WAS_NULL] = [t is None for t in rows[text]]
             rows[text] = [t or "" for t in rows[text]]
             yield rows
             start = stop

@@ -74,25 +74,25 @@ def dropped_runs(documents: DataFrame) -> DataFrame:
 
 
 def with_runs(documents: DataFrame) -> DataFrame:
-    """Documents with ``__runs``, null where no line is dropped; on clashing names the documents' columns win."""
-    runs = dropped_runs(documents).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("runs").alias("__runs"))
-    keyed = documents.withColumns({"__doc_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), "__row_key": F.xxhash64("text")})
-    return keyed.join(runs, (F.col("__doc_key") == F.col("__doc")) & (F.col("__row_key") == F.col("__row")), "left")
+    """(own struct of all columns, doc_id, text, runs): runs are null where no line is dropped."""
+    keyed = documents.select(F.struct("*").alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("key_doc"), F.xxhash64("text").alias("key_row"))
+    joined = keyed.join(dropped_runs(documents), (F.col("key_doc") == F.col("doc")) & (F.col("key_row") == F.col("row")), "left")
+    return joined.select("own", F.col("own.doc_id").cast("long").alias("doc_id"), F.col("own.text").cast("string").alias("text"), "runs")
 
 
 def kept_text() -> Column:
     """Join the lines between the dropped runs: linear in the lines, however many runs there are."""
     lines = "split(coalesce(text, ''), '\n', -1)"
-    ends = f"concat(transform(__runs, r -> r.start), array(size({lines})))"
-    begins = "concat(array(0), transform(__runs, r -> r.start + r.len))"
+    ends = f"concat(transform(runs, r -> r.start), array(size({lines})))"
+    begins = "concat(array(0), transform(runs, r -> r.start + r.len))"
     between = f"flatten(zip_with({begins}, {ends}, (b, e) -> slice({lines}, b + 1, e - b)))"
-    return F.when(F.col("__runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.expr(between), "\n"))
+    return F.when(F.col("runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.expr(between), "\n"))
 
 
 def digest_columns(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each document."""
-    dropped = F.expr("coalesce(aggregate(__runs, 0L, (n, r) -> n + r.len), 0L)")
-    return with_runs(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select(
+    dropped = F.expr("coalesce(aggregate(runs, 0L, (n, r) -> n + r.len), 0L)")
+    return with_runs(documents.select("doc_id", "text")).select(
         "doc_id",
         F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"),
         dropped.alias("n_dropped"),
@@ -102,10 +102,9 @@ def digest_columns(documents: DataFrame) -> DataFrame:
 
 def dedup(documents: DataFrame) -> DataFrame:
     """Documents with the repeated lines taken out of ``text`` and ``n_chars`` counted anew; null texts stay null."""
-    kept = F.when(F.col("text").isNotNull(), kept_text())
-    changed = with_runs(documents).withColumn("__kept", kept)
-    renewed = {"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("long")}
-    return changed.select(*[renewed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
+    changed = with_runs(documents).withColumn("kept", F.when(F.col("text").isNotNull(), kept_text()))
+    renewed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return changed.select(*[renewed.get(c, F.col(f"own.`{c}`")).alias(c) for c in documents.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_chunks, table
+from larkspur.llm.common import WAS_NULL, map_chunks, table
 
 
 class Rule(NamedTuple):
@@ -302,7 +302,7 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         automaton = compiled(rules)
 
         def work(rows):
-            texts = [None if null else redacted(t, automaton) for t, null in zip(rows["text"], rows["text_was_null"])]
+            texts = [None if null else redacted(t, automaton) for t, null in zip(rows["text"], rows[WAS_NULL])]
             return rows | {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
 
         return work
