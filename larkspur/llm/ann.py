@@ -30,6 +30,8 @@ CURVES, DIMS, BITS = 14, 8, 7
 WINDOW = 0.05
 #: Vectors of one range, on average, at most.
 RANGE_ROWS = 20_000
+#: Vectors on either side of a query's place that the window has at least.
+LEAST = 200
 SEED = 7
 
 
@@ -138,7 +140,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, window: float =
     ranges = max(int(np.ceil(2 / window)), int(np.ceil(facts["n"] / RANGE_ROWS)))
     cuts = keyed.groupBy("curve").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("cuts")).collect()
     bounds = {r["curve"]: np.array(r["cuts"], np.int64) for r in cuts}
-    reach = int(np.ceil(window * ranges))
+    reach = int(np.ceil(min(1.0, max(window, LEAST / facts["n"])) * ranges))
 
     def deal(batches):
         for batch in batches:
