@@ -79,9 +79,9 @@ class Engine:
         )
 
     def _chunks(self, documents: DataFrame) -> DataFrame:
-        """Chunks of documents by kind: sections, declarations of source code, lines of the rest; memories stay whole."""
-        code, prose = F.col("file_type").isin("go"), F.col("file_type").isin("md", "txt")
-        pieces = F.when(code, chunkers.declarations(F.col("text"))).when(prose, chunkers.sections(F.col("text"))).when(F.col("file_type") == "memory", F.array("text")).otherwise(chunkers.lines(F.col("text")))
+        """Chunks of documents by kind: declarations of source code, sections of the rest; memories stay whole."""
+        kind, text = F.col("file_type"), F.col("text")
+        pieces = F.when(kind == "go", chunkers.declarations(text)).when(kind == "memory", F.array("text")).otherwise(chunkers.sections(text))
         keyed = documents.withColumnRenamed("doc_id", "document_id")
         packed = chunkers.pack(keyed, pieces, chunkers.is_heading, key="document_id", max_tokens=self.config.max_tokens, min_bytes=self.config.min_bytes)
         chunks = chunkers.chunks(packed, key="document_id", min_bytes=self.config.min_bytes)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters with marks and what they become without; the tokeniser's folding.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+# Fixed value: what marks a cut text.
 CUT_MARK = " [片段截断...]"
 
 
@@ -107,12 +108,9 @@ def highlights(term: str, s: Column, around: int = 20) -> Column:
     )
 
 
-#: Suffixes with another name for their type.
+# Suffixes that share another one's type, types that are indexed, folders that are never watched.
 SAME_TYPE = {"yml": "yaml", "conf": "cfg", "htm": "html", "cc": "cpp", "cxx": "cpp", "h": "c", "bash": "sh", "zsh": "sh"}
-#: Types that are indexed.
-SUPPORTED = (
-    "md txt pdf docx go py js ts java c cpp rs rb php sh sql html css xml json yaml toml ini cfg log csv"
-).split()
+SUPPORTED = "md pdf docx go yaml json txt toml ini cfg hcl env properties xml html css js ts py rb java cpp c sh ps1".split()
 EXCLUDED = (".git", "node_modules", ".venv", "vendor")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import smart_truncate
 
+# What stands between hits and what it costs, the least room for a cut one, hits looked at.
 SEPARATOR, SEPARATOR_TOKENS, LEAST_TAIL = "\n\n---\n\n", 2, 50
 HITS = 50
 

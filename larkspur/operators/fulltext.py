@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import MARKED, PLAIN, tokens
 
+# Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 

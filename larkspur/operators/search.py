@@ -12,6 +12,7 @@ from larkspur.functions import text as T
 from larkspur.functions.vectors import cosine_similarity
 from larkspur.operators import fulltext
 
+# Fixed value of reciprocal-rank fusion.
 RRF = 60
 MODES = {"vector": "vector", "fts": "fts", "bm25": "fts", "hybrid": "hybrid"}
 
