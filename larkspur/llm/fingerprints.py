@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +40,14 @@ _cut = re.compile(r"[ \n](?<=[ns.,;:!?|&%$#*>)\]\n][ \n])|\n").split
 
 def digests(text: str) -> np.ndarray:
     """64-bit digests of the text's paragraphs; the second and later of equal ones are mixed with their number."""
-    parts = [p for p in _cut(text) if p]
-    found = [xxhash.xxh3_64_intdigest(p.encode("utf-8", "replace")) for p in parts]
-    out = np.array(found, np.uint64)
-    if len(set(found)) < len(found):
-        seen: Counter = Counter()
-        again = np.zeros(len(found), np.uint64)
-        for i, x in enumerate(found):
-            again[i] = seen[x]
-            seen[x] += 1
-        with np.errstate(over="ignore"):
-            out = np.where(again > 0, mix(out + again * U(0x9E3779B97F4A7C15)), out)
-    return out
+    out = np.array([*map(xxhash.xxh3_64_intdigest, filter(None, _cut(text)))], np.uint64)
+    order = np.argsort(out, kind="stable")
+    ranked, at = out[order], np.arange(len(out))
+    fresh = np.append(True, ranked[1:] != ranked[:-1])[: len(out)]
+    number = np.empty(len(out), np.uint64)
+    number[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    with np.errstate(over="ignore"):
+        return np.where(number > 0, mix(out + number * U(0x9E3779B97F4A7C15)), out)
 
 
 class Tables:
@@ -69,26 +64,34 @@ class Tables:
         return [owner * self.cells + i * width + (mix(keys ^ U(0xA5A5 + 977 * i + self.cells)) % U(width)).astype(np.int64) for i in range(PART)]
 
     def add(self, owner: np.ndarray, keys: np.ndarray, sign) -> None:
-        check = mix(keys)
+        times = np.asarray(sign, np.int64).astype(U)  # sums are modulo 2**64, so -1 takes out
+        with np.errstate(over="ignore"):
+            key, check = keys * times, mix(keys) * times
         for at in self.places(owner, keys):
             np.add.at(self.count, at, sign)
-            np.bitwise_xor.at(self.key, at, keys)
-            np.bitwise_xor.at(self.check, at, check)
+            np.add.at(self.key, at, key)
+            np.add.at(self.check, at, check)
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(digests only in the first version, only in the second, whether all were recovered), by text. Empties the tables."""
         only = np.zeros((2, self.n), np.int64)
         while True:
-            pure = np.flatnonzero((np.abs(self.count) == 1) & (mix(self.key) == self.check))
-            if not len(pure):
+            pure = np.flatnonzero(np.abs(self.count) == 1)
+            sign = self.count[pure]
+            with np.errstate(over="ignore"):
+                keys, check = self.key[pure] * sign.astype(U), self.check[pure] * sign.astype(U)
+            fits = mix(keys) == check
+            if not fits.any():
                 break
-            owner, keys, sign = pure // self.cells, self.key[pure], self.count[pure]
-            _, first = np.unique(np.stack([owner.astype(np.uint64), keys]), axis=1, return_index=True)
+            owner, keys, sign = pure[fits] // self.cells, keys[fits], sign[fits]
+            order = np.lexsort((keys, owner))
+            owner, keys, sign = owner[order], keys[order], sign[order]
+            first = np.append(True, (np.diff(owner) != 0) | (keys[1:] != keys[:-1]))  # a digest may show in several cells
             owner, keys, sign = owner[first], keys[first], sign[first]
             np.add.at(only[0], owner[sign > 0], 1)
             np.add.at(only[1], owner[sign < 0], 1)
             self.add(owner, keys, -sign)
-        left = (self.count != 0) | (self.key != 0)
+        left = (self.count != 0) | (self.key != 0) | (self.check != 0)
         return only[0], only[1], ~left.reshape(self.n, self.cells).any(axis=1)
 
     def packed(self) -> list[str]:
