@@ -21,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_chunks, table
+from larkspur.llm.common import cut_lineage, map_chunks, table
 
 #: A template occurs on that share of a host's pages at least, and on so many pages.
 SHARE, LEAST_PAGES = 0.5, 4
+#: Hosts whose pages are dealt over several tasks, at most; and pages of a host for each task.
+LARGE, SPLIT = 1000, 2000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -233,8 +235,8 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, templates array<long>) of the hosts that have any."""
+def page_counts(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """(host, hash, n): pages by host (hash null), and by subtree where there are enough to make a template."""
 
     def make():
         def work(rows):
@@ -243,21 +245,26 @@ def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PA
 
         return work
 
-    # a row without hash stands for the page itself
     seen = map_chunks(pages, make, "host string, hash long", text="html")
     counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    of_host = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.filter((F.col("hash").isNotNull()) & (F.col("n") >= least)).join(of_host, "host").filter(F.col("n") >= share * F.col("pages"))
-    # at most (subtrees of a page) / share of them for each host, however many pages it has
-    return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    return cut_lineage(counts.filter((F.col("n") >= least) | F.col("hash").isNull()))
 
 
 def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    templates = site_templates(pages, share, least)
+    counts = page_counts(pages, least)
+    of_host = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
+    often = counts.filter("hash is not null").join(of_host, "host").filter(F.col("n") >= share * F.col("pages"))
+    # at most (subtrees of a page) / share of them for each host, however many pages it has
+    templates = often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    # pages of the largest hosts, LARGE of them at most, are dealt over several tasks with a copy of the host's templates each
+    large = of_host.orderBy(F.desc("pages"), "host").limit(LARGE).select("host", F.ceil(F.col("pages") / SPLIT).cast("int").alias("salts")).filter("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    copies = templates.join(F.broadcast(large), "host", "left").select("host", "templates", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keyed = pages.withColumn("host", host).join(templates, "host", "left").select("page_id", "url", "html", "templates")
+    dealt = pages.withColumn("host", host).join(F.broadcast(large), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), salts).cast("int"))
+    keyed = dealt.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "templates")
 
     def make():
         def work(rows):
