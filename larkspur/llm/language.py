@@ -20,6 +20,7 @@ import hashlib
 import math
 import pickle
 import re
+import struct
 import unicodedata
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -72,9 +73,8 @@ class Model:
 
     def scores(self, word: str) -> list[float]:
         """Log-likelihood by language; languages that do not use the word's script are far below the others."""
-        total = [0.0] * len(self.languages)
-        for gram in trigrams(word):
-            total = [a + b for a, b in zip(total, self.grams.get(gram, self.floor))]
+        get, floor = self.grams.get, self.floor
+        total = [*map(sum, zip(*[get(gram, floor) for gram in trigrams(word)]))]
         fits = self.allowed.get(script(word[0]))
         if fits is not None and any(fits):
             worst = min(total) - 2 * PENALTY
@@ -116,6 +116,7 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.width = model, 1 + len(model.languages)
+        self.pack = struct.Struct(f"{self.width}d").pack
         self.cache = WordCache(self._entry)
 
     def _entry(self, token: str) -> bytes:
@@ -123,8 +124,8 @@ class Labeller:
         words = _letters(token)
         if not words:
             return b""
-        scores = [sum(x) for x in zip(*map(self.model.scores, words))]
-        return np.array([sum(map(len, words)), *scores], np.float64).tobytes()
+        scores = self.model.scores(words[0]) if len(words) == 1 else map(sum, zip(*map(self.model.scores, words)))
+        return self.pack(sum(map(len, words)), *scores)
 
     def table_of(self, text: str) -> np.ndarray:
         cache = self.cache
