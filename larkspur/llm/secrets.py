@@ -29,6 +29,8 @@ class Rule(NamedTuple):
     kind: str
     pattern: str  #: ASCII literals, classes, groups, alternatives and repeats
     tail: int = 1  #: least bytes from the first accepting place to the end; shorter matches are found, then dropped
+    rest: tuple[str, ...] = ()  #: what belongs to the match behind its end: the one that goes farthest
+    bound: bool = False  #: whether a match without a rest is none
 
 
 def either_case(word: str) -> str:
@@ -44,6 +46,19 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]{8}[0-9a-f]*", 17),
 )
+#: Behind a key's first line: all up to its END line, with no "--" between; or, where that is missing, header lines, runs of
+#: base64 characters too long for words, and the short run on the line behind them.
+_PLAIN = r"[\t\n\r\x20-,.-~]"
+_HEADER = r"[\x20\t\r\n]*[A-Z][A-Za-z-]*:\x20[\x20-~]*(\n|\\n)"
+_RUN = r"""[\x20\t\r\n\\"'+,>#|]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=]*"""
+_LAST = r"(\r?\n|\\n)[\x20\t]*[A-Za-z0-9+/=]+"
+KEY_BODY = (rf"(-?{_PLAIN})*-----END [A-Z ]*PRIVATE KEY-----", rf"({_HEADER})*({_RUN})+({_LAST})?")
+#: How the body of a private key begins (DER by length, OpenSSH, PBES2) and the last header line of an encrypted one: a body is found
+#: even where its first line is missing, as line dedup takes that from all documents but the first.
+#: (The automaton finds two letters; the rest, with its free places, would multiply the states of all rules.)
+_B = "[A-Za-z0-9+/]"
+KEY_START = "M[A-I]|b3BlbnNzaC1rZXkt|DEK-Info:"
+KEY_REST = rf"(I{_B}{{2}}[AQgw]IBA[AD]|[GH]{_B}AgE[AB]|{_B}CAQ[AE]|I{_B}{{5}}BgkqhkiG9w0BBQ0|djE|\x20[A-Z0-9-]+,[0-9A-F]+)[A-Za-z0-9+/=]*({_RUN})*({_LAST})?"
 #: What the automaton finds besides: well-known public formats of credentials.
 RULES = (
     *BASE,
@@ -51,7 +66,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 10),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 30),
     Rule("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]+", 10),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", rest=KEY_BODY),
+    Rule("key", KEY_START, rest=(KEY_REST,), bound=True),
 )
 
 
@@ -191,14 +207,15 @@ class Automaton:
             finals[nfa.add(_parser.parse(rule.pattern), at, False)] = r
         self.rows, self.masks = minimise(*subset_construction(nfa, [again], finals))
         self.start = linked(self.rows, self.masks)[0]
-        self.forward = [self.alone(rule, False) for rule in rules]
-        self.reverse = [self.alone(rule, True) for rule in rules]
+        self.forward = [self.alone(rule.pattern, False) for rule in rules]
+        self.reverse = [self.alone(rule.pattern, True) for rule in rules]
+        self.rest = [[self.alone(pattern, False) for pattern in rule.rest] for rule in rules]
 
     @staticmethod
-    def alone(rule: Rule, backward: bool) -> list:
+    def alone(pattern: str, backward: bool) -> list:
         nfa = Nfa()
         at = nfa.state()
-        end = nfa.add(_parser.parse(rule.pattern), at, backward)
+        end = nfa.add(_parser.parse(pattern), at, backward)
         return linked(*minimise(*subset_construction(nfa, [at], {end: 0})))[0]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
@@ -206,11 +223,12 @@ class Automaton:
         data = text.encode("utf-8", "replace")
         found, previous = [], [0] * len(self.rules)
         for rule, end in self.ends(data):
-            start = self.leftmost(rule, data, end, previous[rule])
+            start = self.leftmost(rule, data, end, previous[rule]) if end > previous[rule] else None
             if start is not None:
-                previous[rule] = end
-                if end - self.first_accept(rule, data, start) + 1 >= self.rules[rule].tail:
-                    found.append((start, rule, end))
+                whole = self.with_rest(rule, data, end)
+                previous[rule] = whole
+                if end - self.first_accept(rule, data, start) + 1 >= self.rules[rule].tail and (whole > end or not self.rules[rule].bound):
+                    found.append((start, rule, whole))
         found.sort()
         if found and len(data) != len(text):
             places = {}
@@ -245,6 +263,18 @@ class Automaton:
                 break
         return best
 
+    def with_rest(self, rule: int, data: bytes, end: int) -> int:
+        """The end of what belongs to a match that ends at ``end``."""
+        far = end
+        for row in self.rest[rule]:
+            for i in range(end, len(data)):
+                row = row[data[i]]
+                if row[256]:
+                    far = max(far, i + 1)
+                if not row[257]:
+                    break
+        return far
+
     def first_accept(self, rule: int, data: bytes, start: int) -> int:
         row, i = self.forward[rule], start
         while True:

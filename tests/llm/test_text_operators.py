@@ -164,6 +164,36 @@ def test_added_kinds_and_redaction():
     assert secrets.redacted("clean text", automaton) == "clean text"
 
 
+BODY = "MIIEpAIBAAKCAQEA" + "abcDEF0123456789+/zZ" * 2 + "\n" + ("Qw7/" * 16 + "\n") * 20 + "short+/Q==\n"
+RSA = ("-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----")
+KEYS = {
+    "lines": f"{RSA[0]}\n{BODY}{RSA[1]}",
+    "returns": f"{RSA[0]}\n{BODY}{RSA[1]}".replace("\n", "\r\n"),
+    "escaped": f"{RSA[0]}\n{BODY}{RSA[1]}".replace("\n", "\\n"),
+    "one line": f"{RSA[0]}\n{BODY}{RSA[1]}".replace("\n", " "),
+    "short lines": f"{RSA[0]}\n{'abcdEF+/' * 1}\nabc\n{RSA[1]}",
+    "encrypted": f"{RSA[0]}\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,F2D4E6438DBD4EA8\n\n{BODY}{RSA[1]}",
+    "without end": f"{RSA[0]}\n{BODY}".rstrip("\n"),
+    "encrypted without end": f"{RSA[0]}\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,F2D4E6438DBD4EA8\n\n{BODY}".rstrip("\n"),
+}
+
+
+@pytest.mark.parametrize("form", KEYS)
+def test_private_keys_are_redacted_whole(form):
+    automaton, key = secrets.compiled(), KEYS[form]
+    pem = [r.kind for r in secrets.RULES].index("pem")
+    for before, after in (("é ", "\n\nThe text goes on."), ("", ""), ("key: ", " - and more")):
+        text = before + key + after + "\n" + before + key + after
+        assert secrets.redacted(text, automaton) == (before + "[pem]" + after + "\n" + before + "[pem]" + after)
+        first, second = len(before), len(before + key + after + "\n" + before)
+        assert [s for s in automaton.spans(text) if s[1] == pem] == [(first, pem, first + len(key)), (second, pem, second + len(key))]
+
+
+def test_a_key_line_alone_takes_no_prose_along():
+    text = f"Put {RSA[0]} first,\nthen the words; see {RSA[0]}\nNote: not a key\n"
+    assert secrets.redacted(text, secrets.compiled()) == "Put [pem] first,\nthen the words; see [pem]\nNote: not a key\n"
+
+
 def test_minimised_automaton_is_minimal_and_equal():
     rules = (secrets.Rule("a", "ab+"), secrets.Rule("b", "(c|d)e?f"))
     a = secrets.Automaton(rules)
