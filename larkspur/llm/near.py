@@ -12,8 +12,8 @@
    large; a class's texts are shipped once to each of its blocks, and pairs are counted, never written out as rows.
 
 Defined results: words are maximal runs of letters, digits and underscores in lower case; a text of one to four words has one shingle, all its words; null
-texts and texts without words are like nothing, not even each other; repeated rows are copies; a null doc_id is a
-document of its own id null; other columns are ignored; an empty table gives no rows.
+texts and texts without words are like nothing, not even each other; repeated rows are copies; documents without id are
+members of their classes, whose class_id is the smallest id there is (null where no member has one); other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ LEAF, BLOCK = 4096, 400
 CANDIDATE, DONE = 0.58, 0.92
 #: Below the first level a set chooses that many times the tokens, so that a pair parts less often; above 1.25 crowds of like sets multiply.
 BOOST = 1.2
-NULL_ID = -(2**63)
 
 U = np.uint64
 _SPREAD = np.random.default_rng(20240229).integers(1, 2**63, size=(2, MINHASHES), dtype=np.uint64)
@@ -95,15 +94,21 @@ def chosen(sig: np.ndarray, seeds: np.ndarray, boost: float, threshold: float) -
     return mix(np.unique(picks[picks < U(int(2**64 * min(1.0, boost / (threshold * MINHASHES)) - 1))])).view(np.int64)
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """(nameless, doc, text): doc is the id, or a hash of the text where there is none."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return documents.select(doc_id.isNull().alias("nameless"), F.coalesce(doc_id, F.xxhash64(text)).alias("doc"), text.alias("text"))
+
+
 def embed(documents: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
-    """(doc, node, size, sig, paths): node is a digest of the set, null where the text has no words. No shuffle."""
+    """(nameless, doc, node, size, sig, paths): node is a digest of the set, null where the text has no words. No shuffle."""
     runs = runs_needed(recall)
 
     def make():
         seeds = np.arange(1, runs + 1, dtype=np.uint64)
 
         def work(rows):
-            out = {"doc": rows["doc"], "node": [], "size": [], "sig": [], "paths": []}
+            out = {"nameless": rows["nameless"], "doc": rows["doc"], "node": [], "size": [], "sig": [], "paths": []}
             for text in rows["text"]:
                 s = shingles(text, words)
                 if not len(s):
@@ -119,8 +124,7 @@ def embed(documents: DataFrame, words: int, threshold: float, recall: float) ->
 
         return work
 
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    return map_chunks(docs, make, "doc long, node long, size int, sig binary, paths array<long>")
+    return map_chunks(keyed(documents), make, "nameless boolean, doc long, node long, size int, sig binary, paths array<long>")
 
 
 def grouped(batches, key: str) -> Iterator[dict[str, list]]:
@@ -303,19 +307,27 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return near
 
 
-def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id that links lead to), n_links (documents at the threshold or above), n_text_links (distinct sets among them)."""
+def classed_documents(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(nameless, doc, class_id, unnamed, docs, texts) of each row of ``keyed``; unnamed tells whether its class holds a document without id.
+
+    Sets are known by their digests throughout, so neither null ids nor an id that several texts share join classes.
+    """
     parts = shuffle_partitions(documents.sparkSession)
     embedded = cut_lineage(embed(documents, words, threshold, recall))
     known = embedded.filter("node is not null")
+    key = F.struct("nameless", "doc")  # one of the set's texts, of the smallest id if it has any
     nodes = cut_lineage(
-        known.groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("sig", "paths"), "doc").alias("s")).select("node", "doc", "copies", "s.*")
+        known.groupBy("node")
+        .agg(F.min(key).alias("k"), F.max("nameless").alias("unnamed"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("sig", "paths"), key).alias("s"))
+        .select("node", "k.*", "unnamed", "copies", "s.*")
     )
-    classes = components(candidate_edges(nodes, threshold, parts))
+    classes = components(candidate_edges(nodes.select(F.col("node").alias("doc"), "sig", "paths"), threshold, parts))
     sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    classed = classes.join(sizes, "label").select(F.col("node").alias("doc"), "label", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    classed = nodes.select("doc", "node", "copies").join(classed, "doc")
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text")).join(classed, "doc")
+    classed = classes.join(sizes, "label").select("node", "label", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    classed = nodes.select("node", "nameless", "doc", "copies").join(classed, "node")
+    texts = keyed(documents)
+    texts = texts.filter("not nameless").unionByName(texts.filter("nameless").groupBy("nameless", "doc").agg(F.first("text").alias("text")))
+    texts = texts.join(classed, ["nameless", "doc"]).drop("nameless").withColumn("doc", F.col("node"))
     # a class of several blocks meets in every pair of its blocks, a class of one block in that
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = (
@@ -336,19 +348,32 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: float =
     if not spread.isEmpty():
         joined = components(spread.select(F.col("doc").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("doc"), F.col("label").alias("whole"))
         found = found.join(joined, "doc", "left").withColumn("label", F.coalesce("whole", "label")).drop("whole")
-    of_node = nodes.select("node", "doc", "copies").join(found, "doc", "left").select("node", F.coalesce("label", "doc").alias("label"), "copies", "texts", "docs")
-    whole = embedded.select("doc", "node").join(of_node, "node", "left")
+    least = F.when(~F.col("nameless"), F.col("doc"))
+    of_node = nodes.select("node", least.alias("least"), "unnamed", "copies").join(found.withColumnRenamed("doc", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_class = of_node.filter("texts > 0").groupBy("label").agg(F.min("least").alias("class_least"), F.max("unnamed").alias("class_unnamed"))
+    of_node = of_node.join(of_class, "label", "left").select(
+        "node", F.when(F.col("class_unnamed").isNotNull(), F.col("class_least")).otherwise(F.col("least")).alias("class_id"), F.coalesce("class_unnamed", "unnamed").alias("unnamed"), "copies", "texts", "docs"
+    )
+    whole = embedded.select("nameless", "doc", "node").join(of_node, "node", "left")
     return whole.select(
-        F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"),
-        F.when(F.coalesce("label", "doc") != NULL_ID, F.coalesce("label", "doc")).alias("class_id"),
-        (F.coalesce("docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-        F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
+        "nameless",
+        "doc",
+        F.when(F.col("node").isNotNull(), F.col("class_id")).otherwise(least).alias("class_id"),
+        F.coalesce("unnamed", F.lit(False)).alias("unnamed"),
+        (F.coalesce("docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("docs"),
+        F.coalesce("texts", F.lit(0)).cast("long").alias("texts"),
     )
 
 
+def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id that links lead to), n_links (documents at the threshold or above), n_text_links (distinct sets among them)."""
+    doc_id = F.when(~F.col("nameless"), F.col("doc")).alias("doc_id")
+    return classed_documents(documents, words, threshold, recall).select(doc_id, "class_id", F.col("docs").alias("n_links"), F.col("texts").alias("n_text_links"))
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents without those that have a near duplicate's class of smaller id; documents without id stay."""
-    gone = near_duplicates(documents).filter("doc_id <> class_id").select("doc_id").distinct()
+    """One document of each class: that of the smallest id. Documents without id stay; a class that has one keeps no other."""
+    gone = classed_documents(documents).filter("not nameless and (unnamed or doc <> class_id)").select(F.col("doc").alias("doc_id")).distinct()
     return documents.join(gone, documents["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 

@@ -79,6 +79,17 @@ def test_near_duplicates_on_edge_cases(edge):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows} - {r["doc_id"] for r in rows if r["doc_id"] != r["class_id"]}
 
 
+def test_documents_without_id_neither_hide_their_class_nor_join_others(spark):
+    a, b, c, other = prose(61, 90), prose(62, 90), prose(63, 90), prose(64, 90)
+    near_a = a.replace(a.split()[40], "changed", 1)
+    rows = [(None, a), *((k, a) for k in range(10, 40)), (40, near_a), (None, b), (None, b), (50, b), (None, c), (60, other), (61, other), (7, a + " " + b), (7, c + " " + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["class_id"], r["n_links"], r["n_text_links"]) for r in near.near_duplicates(df).collect()}
+    assert got == {(None, 10, 31, 1), *((k, 10, 31, 1) for k in range(10, 40)), (40, 10, 31, 1), (None, 50, 2, 0), (50, 50, 2, 0), (None, None, 0, 0), (60, 60, 1, 0), (61, 60, 1, 0), (7, 7, 0, 0)}
+    kept = sorted(((r["doc_id"], r["text"]) for r in near.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(None, a), (None, b), (None, b), (None, c), (60, other), (7, a + " " + b), (7, c + " " + other)], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5, 5), (None, 7)]
