@@ -247,6 +247,34 @@ def test_toxicity_finds_disguised_words(model):
         assert scorer.score(text) < toxic.THRESHOLD
 
 
+def test_toxicity_reads_spaced_out_runs_from_every_offset(model):
+    scorer = toxic.Scorer(model)
+    spaced = " ".join
+    for text in (spaced("youarerotten"), spaced("allofyouarevermin"), "y o u  a r e  r o t t e n  t o o", "y o u\na r e\nr o t t e n\nt o o", spaced("r0tt3npeople"), spaced("x" * 300 + "vermin"), spaced("alphabravorottencharlie")):
+        assert scorer.score(prose(1, 20) + " " + text + " " + prose(2, 20)) >= toxic.THRESHOLD, text
+    for text in (spaced("alphabravocharlie"), "a b c", "x y", "a l p h a  b r a v o", "1 2 3 4 - 5"):
+        assert scorer.score(prose(1, 20) + " " + text + " " + prose(2, 20)) < toxic.THRESHOLD, text
+
+
+def test_toxicity_reads_runs_of_two_and_three_letters():
+    rows = [(prose(3000 + k, 30) + (" zq wvk " if k % 5 == 0 else " ") + prose(5000 + k, 30), int(k % 5 == 0)) for k in range(300)]
+    scorer = toxic.Scorer(toxic.Model(rows))
+    for text in ("z q", "w v k"):
+        assert scorer.score(prose(1, 20) + " " + text + " " + prose(2, 20)) >= toxic.THRESHOLD, text
+
+
+def test_spaced_out_runs_are_read_in_linear_time(model):
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        text = " ".join("vexo"[k % 4] for k in range(n))
+        start = time.process_time()
+        toxic.spaced_words(text, model.characters)
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0]
+
+
 def test_toxicity_columns_and_rejection(spark, edge, empty, model):
     documents = spark.createDataFrame([(i, t, "c") for i, t, _ in labelled()], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, y) for i, _, y in labelled()] + [(None, 1), (3, None)], "doc_id long, toxic int")
