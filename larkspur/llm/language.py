@@ -93,8 +93,9 @@ def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     best = int(scores.sum(axis=0).argmax())
     gain = scores - scores[:, best : best + 1]
     total = np.vstack([np.zeros(languages), gain.cumsum(axis=0)])
-    # the most that a stretch in another language gains over the best; it costs one change at an end of the text, two inside
-    if (total - np.minimum.accumulate(total, axis=0)).max() <= penalty:
+    # what stretches in other languages gain over the best: a path of c changes has c - 1 of them inside at most, and one at either end
+    # of the text; so none pays if an inner one gains no more than a change costs and the two at the ends less together
+    if (total - np.minimum.accumulate(total, axis=0)).max() <= penalty and total.max() + (total[-1] - total).max() < penalty:
         return np.full(n, best)
     came = np.zeros((n, languages), np.int64)
     value = scores[0].copy()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -173,6 +174,17 @@ def test_language_path_equals_plain_viterbi():
         assert total(language.best_path(scores, 6).tolist()) == pytest.approx(value.max()) and best
 
 
+def test_language_path_with_a_stretch_at_either_end():
+    scores = np.array([[-8.0, -17.0, -11.0]] * 3 + [[-17.0, -8.0, -11.0]] * 3)  # each end gains 9 over the third language, a change costs 12
+    assert language.best_path(scores, 12).tolist() == [0, 0, 0, 1, 1, 1]
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(2, 7))
+        scores = rng.normal(size=(n, 3)) * 4
+        worth = lambda p, scores=scores: sum(scores[i, k] for i, k in enumerate(p)) - 6 * sum(a != b for a, b in zip(p, p[1:]))
+        assert worth(language.best_path(scores, 6).tolist()) == pytest.approx(max(worth(p) for p in product(range(3), repeat=n)))
+
+
 def test_language_edge_cases(spark, edge, empty):
     texts = [("the and of to in", "en"), ("der und die das ist", "de"), ("привет мир как дела", "ru")] * 3
     model = language.Model(texts)
