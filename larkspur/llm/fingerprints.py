@@ -1,7 +1,8 @@
 """Document fingerprints by invertible Bloom lookup tables over paragraph digests.
 
 A text is cut into paragraphs: lines, and within a line wherever the text itself says so (after a blank behind a sign or a final
-"n" or "s"), so that an edit in a long line stays local. Each paragraph's digest (with its number, where it occurs again) is
+"n" or "s"), and where a stretch is long nevertheless (a script without blanks or such signs), behind code points at which a hash of the last
+few meets a condition, so that an edit in a long line stays local in any script. Each paragraph's digest (with its number, where it occurs again) is
 added to three cells of count, key and check sums. The fingerprint is the table of BASE cells.
 
 Two versions' tables subtract cell by cell; what both hold cancels. Peeling then recovers the differing digests: a cell whose count is one
@@ -37,10 +38,41 @@ PART = 3
 NULL_ID = -(2**63)
 _cut = re.compile(r"[ \n](?<=[ns.,;:!?|&%$#*>)\]\n][ \n])|\n").split
 
+#: Code points from which a stretch is cut by content; of the hashed window; on average and at most between such cuts.
+LONG, WINDOW, MEAN, MOST = 64, 3, 16, 128
+
+
+def cut_by_content(stretch: str) -> list[str]:
+    """The stretch cut behind windows whose hash meets a condition, and where MOST code points have none."""
+    points = np.frombuffer(stretch.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        rolled = points[WINDOW - 1 :].copy()
+        for k in range(1, WINDOW):
+            rolled = rolled * U(0x9E3779B97F4A7C15) + points[WINDOW - 1 - k : len(points) - k]
+    out, at = [], 0
+    for end in [*(np.flatnonzero(mix(rolled) % U(MEAN) == 0) + WINDOW).tolist(), len(stretch)]:
+        while end - at > MOST:
+            out.append(stretch[at : at + MOST])
+            at += MOST
+        if end > at:
+            out.append(stretch[at:end])
+            at = end
+    return out
+
+
+def paragraphs(text: str) -> list[str]:
+    out = []
+    for stretch in _cut(text):
+        if len(stretch) > LONG:
+            out += cut_by_content(stretch)
+        elif stretch:
+            out.append(stretch)
+    return out
+
 
 def digests(text: str) -> np.ndarray:
     """64-bit digests of the text's paragraphs; the second and later of equal ones are mixed with their number."""
-    out = np.array([*map(xxhash.xxh3_64_intdigest, filter(None, _cut(text)))], np.uint64)
+    out = np.array([*map(xxhash.xxh3_64_intdigest, paragraphs(text))], np.uint64)
     order = np.argsort(out, kind="stable")
     ranked, at = out[order], np.arange(len(out))
     fresh = np.append(True, ranked[1:] != ranked[:-1])[: len(out)]

@@ -232,6 +232,18 @@ def test_fingerprints_equal_brute_force(edge):
     assert got == want
 
 
+@pytest.mark.parametrize("first, size", [(0x4E00, 3000), (0x3041, 80), (0x0E01, 46), (0x0430, 32)])
+def test_an_edit_in_a_line_of_any_script_stays_local(first, size):
+    rng = random.Random(first)
+    text = "".join(chr(first + rng.randrange(size)) for _ in range(1000))
+    for at in (0, 137, 500, 999):
+        for changed in (text[:at] + "\u3002" + text[at + 1 :], text[:at] + "\u3002" + text[at:], text[:at] + text[at + 1 :]):
+            assert likeness(text, changed) > 0.85
+    assert 0.2 < likeness(text, fingerprints.edited(text, "".join(reversed(text)))) < 0.5
+    assert "".join(fingerprints.paragraphs(text)) == text
+    assert len(fingerprints.paragraphs("\u4e00" * 5000)) > 30
+
+
 def test_equal_texts_have_equal_fingerprints(edge):
     rows = rows_of(fingerprints.fingerprint_documents(edge), "doc_id")
     assert rows[6]["fingerprint"] == rows[7]["fingerprint"] != rows[8]["fingerprint"]
