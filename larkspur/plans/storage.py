@@ -156,6 +156,22 @@ def admin_or_owner(spark, sf_dir):
     return who.select("user_id", F.when(F.col("is_admin"), F.col("whole")).otherwise(F.col("n")).alias("visible"))
 
 
+@query("apikey_user_resolution_all", f"WITH {KEYS_SQL} SELECT e.event_id, k.user_id, k.is_admin FROM events e JOIN keys k ON 'ck_' || e.user_id = k.token WHERE k.expires_at > TIMESTAMP '{AS_OF}'")
+def apikey_user_resolution_all(spark, sf_dir):
+    """``apikey_user_resolution`` for the tokens of all events."""
+    asked = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("ck_"), "user_id").alias("token"))
+    return asked.join(store.live_only(keys(spark, sf_dir), AS_OF), "token").select("event_id", "user_id", "is_admin")
+
+
+@query("admin_or_owner_all")  # the join on OR is too slow in SQL on whole tables; tested by brute force
+def admin_or_owner_all(spark, sf_dir):
+    """How many events each user may see: administrators all, others their own."""
+    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = events.agg(F.sum("n").alias("whole"))
+    who = keys(spark, sf_dir).join(events, "user_id").crossJoin(F.broadcast(whole))
+    return who.select("user_id", F.when(F.col("is_admin"), F.col("whole")).otherwise(F.col("n")).alias("visible"))
+
+
 @query("semi_join_tenant_chunks", f"WITH {DOCS}, {VECS} SELECT doc_id, label::INT AS label FROM vecs WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE tenant = 'de')")
 def semi_join_tenant_chunks(spark, sf_dir):
     return store.delete(vectors(spark, sf_dir), documents(spark, sf_dir).filter("tenant = 'de'"), ["doc_id"]).select("doc_id", "label")
