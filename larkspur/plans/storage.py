@@ -57,6 +57,14 @@ def chunk_by_id(spark, sf_dir):
     return chunks.join(docs.filter("tenant = 'en'").select("doc_id", "path"), "doc_id").select("chunk_id", "doc_id", "token_count", "path")
 
 
+@query("chunk_by_id_all", f"WITH {DOCS}, chunks AS (SELECT substr(sha256(path || text), 1, 16) AS chunk_id, doc_id, (strlen(text) // 4)::BIGINT AS token_count FROM docs) SELECT chunk_id, c.doc_id, token_count, path FROM chunks c JOIN docs d ON c.doc_id = d.doc_id WHERE tenant = 'en'")
+def chunk_by_id_all(spark, sf_dir):
+    """``chunk_by_id`` over all chunks of the tenant."""
+    docs = documents(spark, sf_dir)
+    chunks = docs.select(T.hash_id(F.concat("path", "text")).alias("chunk_id"), "doc_id", T.token_estimate(F.col("text")).alias("token_count"))
+    return chunks.join(docs.filter("tenant = 'en'").select("doc_id", "path"), "doc_id").select("chunk_id", "doc_id", "token_count", "path")
+
+
 @query("count_documents", f"WITH {DOCS} SELECT tenant, count(*) AS n FROM docs GROUP BY tenant UNION ALL SELECT 'all', count(*) FROM docs")
 def count_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)

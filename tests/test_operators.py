@@ -197,3 +197,12 @@ def test_keys_of_all_users_and_events_equal_brute_force(spark, tmp_path):
     live = {u for u in users if last[u] > datetime.datetime(2024, 2, 5)}
     got = sorted(tuple(r) for r in catalog.QUERIES["apikey_user_resolution_all"](spark, str(tmp_path)).collect())
     assert got == [(k, u, u % 10 == 0) for k, u, _, _ in rows if u in live] and len({k % 3 for k, _, _ in got}) == 3
+
+
+def test_chunks_of_all_documents_equal_brute_force(spark, tmp_path):
+    from larkspur import catalog
+
+    docs = [(k, f"text of {k}", "en" if k % 2 else "de", "src") for k in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["path"] for r in catalog.QUERIES["chunk_by_id_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: f"docs/src/{k}.txt" for k in range(1, 60, 2)}
