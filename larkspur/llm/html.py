@@ -1,8 +1,12 @@
 """Main text of web pages, with site templates removed.
 
 Every page becomes a tree of elements; the subtrees of block elements are hashed by tag, text and child hashes. Spark counts for each host on how
-many pages a hash occurs (pre-aggregated, so a large host meets nowhere as a group), and the subtrees that recur on a large
-share of the host's pages are deleted, besides elements that are page furniture by name. What remains of the article is the text.
+many pages a hash occurs and beside how many different articles (pre-aggregated, so a large host meets nowhere as a group). Subtrees that
+recur on most of a host's pages, or on many pages beside many different articles, are deleted, besides elements that are page furniture by name.
+What remains of the article is the text.
+
+A page is evidence for a subtree where the longest block of text outside of it is at least as long as the longest one inside: then
+the subtree is not what the page is about. Different such blocks are counted as set bits of a mask of BITS, so never too many.
 
 A paragraph, heading or other block of prose inside an article is never a template: copies of an article on
 one host share all of them.
@@ -25,6 +29,10 @@ from larkspur.llm.common import cut_lineage, map_chunks, table
 
 #: A template occurs on that share of a host's pages at least, and on so many pages.
 SHARE, LEAST_PAGES = 0.5, 4
+#: So does what occurs beside so many different articles, if it is on a small share of the pages (which bounds the templates of a host).
+MANY, FEW, BITS = 10, 0.01, 63
+#: Parts of lists and tables recur by chance; their whole list or table is judged by MANY.
+PARTS = frozenset("tr td th thead tbody tfoot caption li dt dd".split())
 #: Hosts whose pages are dealt over several tasks, at most; and pages of a host for each task.
 LARGE, SPLIT = 1000, 2000
 
@@ -168,11 +176,38 @@ def inside_article_or_is(node: Node) -> bool:
     return node.tag in ("article", "main") or inside_article(node)
 
 
-def template_hashes(html: str) -> set[int]:
-    """Hashes (signed 64 bits) of the page's subtrees that could be a template."""
+def template_evidence(html: str) -> dict[int, int]:
+    """By hash (signed 64 bits) of each of the page's subtrees that could be a template, the mask of the article beside it (0: none)."""
     _, nodes = parse(html)
     hash_subtrees(nodes)
-    return {node.hash - 2**63 for node in nodes if can_be_template(node)}
+    place = {id(node): i for i, node in enumerate(nodes)}
+    owner, ends, own = [0] * len(nodes), [i + 1 for i in range(len(nodes))], [[] for _ in nodes]
+    for i, node in enumerate(nodes):  # text of inline elements is their block's
+        owner[i] = owner[place[id(node.up)]] if node.up is not None and node.tag in INLINE else i
+        own[owner[i]] += [" ".join(x.split()) for x in node.parts if not isinstance(x, Node)]
+    for i in range(len(nodes) - 1, 0, -1):
+        up = place[id(nodes[i].up)]
+        ends[up] = max(ends[up], ends[i])
+    texts = ["".join(x) for x in own]
+    sizes = [(len(t), -i) for i, t in enumerate(texts)]
+    # the longest block up to each place and from it on; and, children first, within each subtree
+    before, behind, inside = [(0, 0)], [(0, 0)], list(sizes)
+    for x in sizes:
+        before.append(max(before[-1], x))
+    for x in reversed(sizes):
+        behind.append(max(behind[-1], x))
+    behind.reverse()
+    for i in range(len(nodes) - 1, 0, -1):
+        up = place[id(nodes[i].up)]
+        inside[up] = max(inside[up], inside[i])
+    out: dict[int, int] = {}
+    for i, node in enumerate(nodes):
+        if can_be_template(node):
+            size, at = max(before[i], behind[ends[i]])
+            shown = size > 0 and size >= inside[i][0] and node.tag not in PARTS
+            mask = 1 << xxhash.xxh3_64_intdigest(texts[-at].encode("utf-8", "replace")) % BITS if shown else 0
+            out[node.hash - 2**63] = out.get(node.hash - 2**63, 0) | mask
+    return out
 
 
 def main_text(html: str, templates=frozenset()) -> str:
@@ -236,27 +271,28 @@ def host_of(url: str | None) -> str:
 
 
 def page_counts(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, hash, n): pages by host (hash null), and by subtree where there are enough to make a template."""
+    """(host, hash, n, beside): pages by host (hash null), and by subtree where there are enough to make a template; different articles beside it."""
 
     def make():
         def work(rows):
-            found = [(host_of(u), h) for u, t in zip(rows["url"], rows["html"]) for h in (*template_hashes(t), None)]
-            return {"host": [x[0] for x in found], "hash": [x[1] for x in found]}
+            found = [(host_of(u), h, m) for u, t in zip(rows["url"], rows["html"]) for h, m in (*template_evidence(t).items(), (None, 0))]
+            return {"host": [x[0] for x in found], "hash": [x[1] for x in found], "mask": [x[2] for x in found]}
 
         return work
 
-    seen = map_chunks(pages, make, "host string, hash long", text="html")
-    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    seen = map_chunks(pages, make, "host string, hash long, mask long", text="html")
+    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or("mask")).alias("beside"))
     return cut_lineage(counts.filter((F.col("n") >= least) | F.col("hash").isNull()))
 
 
-def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, many: int = MANY, few: float = FEW) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     counts = page_counts(pages, least)
     of_host = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.filter("hash is not null").join(of_host, "host").filter(F.col("n") >= share * F.col("pages"))
-    # at most (subtrees of a page) / share of them for each host, however many pages it has
+    often = counts.filter("hash is not null").join(of_host, "host")
+    often = often.filter((F.col("n") >= share * F.col("pages")) | (F.col("beside") >= many) & (F.col("n") >= few * F.col("pages")))
+    # at most (subtrees of a page) / few of them for each host, however many pages it has
     templates = often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
     # pages of the largest hosts, LARGE of them at most, are dealt over several tasks with a copy of the host's templates each
     large = of_host.orderBy(F.desc("pages"), "host").limit(LARGE).select("host", F.ceil(F.col("pages") / SPLIT).cast("int").alias("salts")).filter("salts > 1")

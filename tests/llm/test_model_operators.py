@@ -227,6 +227,19 @@ def test_html_templates_go_by_host(spark, empty):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_templates_of_a_part_of_a_host_go(spark):
+    """Five layouts of a host, each with a section on a fifth of the pages; a body that pages beside changing boxes share stays."""
+    layout = "<body><div><div>Part {} of the house keeps its own words here</div></div><div><h1>{}</h1><p>{}</p></div></body>"
+    rows = [(k, "http://d.example/", layout.format(k % 5, prose(9000 + k, 4), prose(k, 30))) for k in range(150)]
+    shared = "<body><div><p>" + prose(7777, 60) + "</p></div><div><span>{}</span></div></body>"
+    rows += [(1000 + k, "http://d.example/", shared.format(prose(8000 + k, 8))) for k in range(30)]
+    got = rows_of(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)), "page_id")
+    for k in range(150):
+        assert got[k]["text"] == prose(9000 + k, 4) + "\n" + prose(k, 30)
+    for k in range(30):
+        assert got[1000 + k]["text"] == prose(7777, 60) + "\n" + prose(8000 + k, 8)
+
+
 def test_copies_of_an_article_on_one_host_stay(spark):
     page = "<article><h1>Same</h1><p>" + prose(1, 30) + "</p></article>"
     df = spark.createDataFrame([(k, "http://c.example/", page) for k in range(9)], "page_id long, url string, html string")
