@@ -50,16 +50,9 @@ def doc_by_id_any(spark, sf_dir):
     return documents(spark, sf_dir).filter("doc_id = 7").select("doc_id", "tenant", "path")
 
 
-@query("chunk_by_id", f"WITH {DOCS}, chunks AS (SELECT substr(sha256(path || text), 1, 16) AS chunk_id, doc_id, (strlen(text) // 4)::BIGINT AS token_count FROM docs) SELECT chunk_id, c.doc_id, token_count, path FROM chunks c JOIN docs d ON c.doc_id = d.doc_id WHERE tenant = 'en' AND c.doc_id < 20")
+@query("chunk_by_id", f"WITH {DOCS}, chunks AS (SELECT substr(sha256(path || text), 1, 16) AS chunk_id, doc_id, (strlen(text) // 4)::BIGINT AS token_count FROM docs) SELECT chunk_id, c.doc_id, token_count, path FROM chunks c JOIN docs d ON c.doc_id = d.doc_id WHERE tenant = 'en'")
 def chunk_by_id(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    chunks = docs.select(T.hash_id(F.concat("path", "text")).alias("chunk_id"), "doc_id", T.token_estimate(F.col("text")).alias("token_count")).filter("doc_id < 20")
-    return chunks.join(docs.filter("tenant = 'en'").select("doc_id", "path"), "doc_id").select("chunk_id", "doc_id", "token_count", "path")
-
-
-@query("chunk_by_id_all", f"WITH {DOCS}, chunks AS (SELECT substr(sha256(path || text), 1, 16) AS chunk_id, doc_id, (strlen(text) // 4)::BIGINT AS token_count FROM docs) SELECT chunk_id, c.doc_id, token_count, path FROM chunks c JOIN docs d ON c.doc_id = d.doc_id WHERE tenant = 'en'")
-def chunk_by_id_all(spark, sf_dir):
-    """``chunk_by_id`` over all chunks of the tenant."""
+    """All chunks of the tenant, by id, each with its document."""
     docs = documents(spark, sf_dir)
     chunks = docs.select(T.hash_id(F.concat("path", "text")).alias("chunk_id"), "doc_id", T.token_estimate(F.col("text")).alias("token_count"))
     return chunks.join(docs.filter("tenant = 'en'").select("doc_id", "path"), "doc_id").select("chunk_id", "doc_id", "token_count", "path")
@@ -147,32 +140,15 @@ def expired_entries(spark, sf_dir):
     return keys(spark, sf_dir).filter(F.col("expires_at") <= F.lit(AS_OF).cast("timestamp_ntz")).select("user_id", "expires_at")
 
 
-@query("apikey_user_resolution", f"WITH {KEYS_SQL} SELECT e.event_id, k.user_id, k.is_admin FROM events e JOIN keys k ON 'ck_' || e.user_id = k.token WHERE k.expires_at > TIMESTAMP '{AS_OF}' AND e.event_type = (SELECT min(event_type) FROM events)")
+@query("apikey_user_resolution", f"WITH {KEYS_SQL} SELECT e.event_id, k.user_id, k.is_admin FROM events e JOIN keys k ON 'ck_' || e.user_id = k.token WHERE k.expires_at > TIMESTAMP '{AS_OF}'")
 def apikey_user_resolution(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    kind = events.agg(F.min("event_type").alias("event_type"))
-    asked = events.join(F.broadcast(kind), "event_type").select("event_id", F.concat(F.lit("ck_"), "user_id").alias("token"))
-    return asked.join(store.live_only(keys(spark, sf_dir), AS_OF), "token").select("event_id", "user_id", "is_admin")
-
-
-@query("admin_or_owner", f"WITH {KEYS_SQL} SELECT k.user_id, count(*) AS visible FROM keys k JOIN events e ON k.is_admin OR k.user_id = e.user_id WHERE k.user_id < 12 GROUP BY 1")
-def admin_or_owner(spark, sf_dir):
-    """How many events each of the first users may see: administrators all, others their own."""
-    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    whole = events.agg(F.sum("n").alias("whole"))
-    who = keys(spark, sf_dir).filter("user_id < 12").join(events, "user_id").crossJoin(F.broadcast(whole))
-    return who.select("user_id", F.when(F.col("is_admin"), F.col("whole")).otherwise(F.col("n")).alias("visible"))
-
-
-@query("apikey_user_resolution_all", f"WITH {KEYS_SQL} SELECT e.event_id, k.user_id, k.is_admin FROM events e JOIN keys k ON 'ck_' || e.user_id = k.token WHERE k.expires_at > TIMESTAMP '{AS_OF}'")
-def apikey_user_resolution_all(spark, sf_dir):
-    """``apikey_user_resolution`` for the tokens of all events."""
+    """The user and role of every event's token that has not expired."""
     asked = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("ck_"), "user_id").alias("token"))
     return asked.join(store.live_only(keys(spark, sf_dir), AS_OF), "token").select("event_id", "user_id", "is_admin")
 
 
-@query("admin_or_owner_all")  # the join on OR is too slow in SQL on whole tables; tested by brute force
-def admin_or_owner_all(spark, sf_dir):
+@query("admin_or_owner", f"WITH {KEYS_SQL} SELECT k.user_id, count(*) AS visible FROM keys k JOIN events e ON k.is_admin OR k.user_id = e.user_id GROUP BY 1")
+def admin_or_owner(spark, sf_dir):
     """How many events each user may see: administrators all, others their own."""
     events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     whole = events.agg(F.sum("n").alias("whole"))

@@ -191,11 +191,11 @@ def test_keys_of_all_users_and_events_equal_brute_force(spark, tmp_path):
     rows = [(k, k * 7 % 31 if k % 13 else None, start + datetime.timedelta(hours=k), f"type{k % 3}") for k in range(200)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     users = {u for _, u, _, _ in rows if u is not None}
-    got = {tuple(r) for r in catalog.QUERIES["admin_or_owner_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in catalog.QUERIES["admin_or_owner"](spark, str(tmp_path)).collect()}
     assert got == {(u, sum(u % 10 == 0 or u == v for _, v, _, _ in rows)) for u in users} and max(users) > 12
     last = {u: max(t for _, v, t, _ in rows if v == u) + datetime.timedelta(days=u % 3 * 10) for u in users}
     live = {u for u in users if last[u] > datetime.datetime(2024, 2, 5)}
-    got = sorted(tuple(r) for r in catalog.QUERIES["apikey_user_resolution_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in catalog.QUERIES["apikey_user_resolution"](spark, str(tmp_path)).collect())
     assert got == [(k, u, u % 10 == 0) for k, u, _, _ in rows if u in live] and len({k % 3 for k, _, _ in got}) == 3
 
 
@@ -204,5 +204,5 @@ def test_chunks_of_all_documents_equal_brute_force(spark, tmp_path):
 
     docs = [(k, f"text of {k}", "en" if k % 2 else "de", "src") for k in range(60)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["path"] for r in catalog.QUERIES["chunk_by_id_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["path"] for r in catalog.QUERIES["chunk_by_id"](spark, str(tmp_path)).collect()}
     assert got == {k: f"docs/src/{k}.txt" for k in range(1, 60, 2)}
