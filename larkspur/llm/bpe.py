@@ -6,6 +6,9 @@ leaves and the paths above them, O(log n), until no pair is mergeable.
 
 Vocabulary files are read at run time from a path; they are public and never copied here.
 
+Tables of Unicode differ by version. Texts that hold a code point which Unicode 3.2 did not know are normalised and split into words by the
+tokenizers library itself; about all other code points, all versions agree.
+
 Defined results: null text counts as empty (no tokens, digests of nothing); repeated rows each give
 a row; every column but the two named is ignored, so clashing names are harmless; an empty table gives none.
 """
@@ -23,12 +26,15 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from larkspur.llm.common import WordCache, map_chunks, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: A leaf is its pair's rank << 32 | place; NONE lies above all of them.
 NONE, PLACE = 1 << 62, (1 << 32) - 1
+#: Runs remembered by a Python worker, some 250 bytes each.
+ENTRIES = 800_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -70,6 +76,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def newer() -> re.Pattern:
+    """A code point that Unicode 3.2 had not assigned."""
+    known = unicodedata.ucd_3_2_0.category
+    points = [i for i in range(0x110000) if known(chr(i)) in ("Cn", "Cs")]
+    starts = [i for i, before in zip(points, [-2, *points]) if i != before + 1]
+    ends = [i for i, after in zip(points, [*points[1:], -2]) if i + 1 != after]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]")
+
+
+def lower(text: str) -> str:
+    """Lower case letter by letter; str.lower() looks around a capital sigma."""
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
 class WordBpe:
     """Encoder and decoder of a BPE vocabulary with word ends, lower case, and dropped white space."""
 
@@ -91,7 +112,10 @@ class WordBpe:
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         # the vocabulary's own splitting pattern, with white space spelt out as the Unicode property
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-        self.cache, self.known = WordCache(self._entry), WordCache(self.encode_word)
+        self.whole = None not in self.inner and None not in self.final
+        self.cache = WordCache(self._entry, ENTRIES)
+        self.newer = newer().search
+        self.tokenizer = Tokenizer.from_file(path)
         # what str.split() takes for white space and the vocabulary does not
         self.odd_space = re.compile("[\x1c-\x1f]")
 
@@ -124,14 +148,26 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "replace")
-        ids = [self.inner[b] for b in data]
+        inner = self.inner
+        ids = [inner[b] for b in data]
         ids[-1] = self.final[data[-1]]
-        return self.merge([x for x in ids if x is not None] if None in ids else ids)
-
-    def _entry(self, run: str) -> tuple[bytes, str]:
-        known = self.known
-        ids = [x for word in self.words.findall(run) for x in known[word]]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[x] for x in ids])
+        return self.merge(ids if self.whole else [x for x in ids if x is not None])
+
+    def _coded(self, word: str) -> tuple[bytes, str]:
+        ids, tokens = self.encode_word(word), self.tokens
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([tokens[x] for x in ids])
+
+    def _entry(self, run: str) -> tuple[bytes, str] | None:
+        """(little-endian ids, decoded tokens) of a run without white space; None if it holds a newer code point."""
+        if not run.isascii() and self.newer(run):
+            return None
+        if run.isalpha():
+            return self._coded(run)
+        words = self.words.findall(run)
+        if len(words) == 1:
+            return self._coded(words[0])
+        parts = [self.cache[w] for w in words]  # words of one kind of character: they do not split further
+        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
         """(little-endian ids, decoded tokens) of each word; special tokens in the text are words of their own."""
@@ -145,13 +181,17 @@ class WordBpe:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        text = unicodedata.normalize("NFC", text)
-        # str.lower() alone looks around a capital sigma; the vocabulary's lower case goes letter by letter
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        cache = self.cache
+        low = lower(unicodedata.normalize("NFC", text))
         # no word of the pattern spans white space, so whole blank-separated runs can be remembered
-        runs = self.words.findall(text) if self.odd_space.search(text) else text.split()
-        return [cache[w] for w in runs]
+        runs = self.words.findall(low) if self.odd_space.search(low) else low.split()
+        cache = self.cache
+        found = [cache[w] for w in runs]
+        return self._by_library(text) if None in found else found
+
+    def _by_library(self, text: str) -> list[tuple[bytes, str]]:
+        """The same with the library's own normaliser and word splitter, for texts about which tables of Unicode differ."""
+        plain = self.tokenizer.normalizer.normalize_str(text.encode("utf-8", "replace").decode())
+        return [self._coded(plain[a:b]) for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
 
     def encode_bytes(self, text: str) -> bytes:
         return b"".join([p[0] for p in self.pieces(text)])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a Python operator works on at once; bounds a worker's memory together with CHUNK_CHARS.
@@ -14,8 +16,21 @@ CHUNK_ROWS = 512
 CHUNK_CHARS = 1_000_000
 #: Key of a chunk's list of which texts were null; no column's name.
 WAS_NULL = None
-#: Entries of a per-worker word cache before its older half is dropped.
-CACHE_ENTRIES = 400_000
+#: Entries of a per-worker word cache before its older half is dropped, and code points of the longest key that is kept.
+CACHE_ENTRIES, CACHE_KEY = 400_000, 64
+
+
+U = np.uint64
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit reaches every output bit."""
+    with np.errstate(over="ignore"):
+        x = x ^ (x >> U(30))
+        x = x * U(0xBF58476D1CE4E5B9)
+        x = x ^ (x >> U(27))
+        x = x * U(0x94D049BB133111EB)
+        return x ^ (x >> U(31))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,19 +49,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one where none is and Spark runs in this process alone, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 class WordCache(dict):
-    """A dict that computes missing entries and forgets its older half when it is full."""
+    """A dict that computes missing entries and forgets its older half when it is full; long keys are never kept, so its bytes are bounded, too."""
 
     def __init__(self, compute: Callable, entries: int = CACHE_ENTRIES):
         super().__init__()
         self.compute, self.entries = compute, entries
 
     def __missing__(self, key):
+        if len(key) > CACHE_KEY:
+            return self.compute(key)
         if len(self) >= self.entries:
             for old in list(self)[: self.entries // 2]:
                 del self[old]
@@ -54,7 +80,7 @@ class WordCache(dict):
         return value
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[dict[str, list]]:
+def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most_rows: int = CHUNK_ROWS, most_chars: int = CHUNK_CHARS) -> Iterator[dict[str, list]]:
     """Cut Arrow batches into column lists of bounded rows and bounded text; null text becomes empty."""
     for batch in batches:
         names = batch.schema.names
@@ -62,7 +88,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterat
         column = batch.column(names.index(text))
         while start < batch.num_rows:
             stop, size = start, 0
-            while stop < batch.num_rows and stop - start < CHUNK_ROWS and (stop == start or size < CHUNK_CHARS):
+            while stop < batch.num_rows and stop - start < most_rows and (stop == start or size < most_chars):
                 value = column[stop]
                 size += len(value.as_buffer()) if value.is_valid else 0
                 stop += 1
@@ -92,3 +118,24 @@ def map_chunks(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, parsed)
+
+
+def distinct_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the number of each word of all texts in order, where each text's words begin and the last one's end).
+
+    Words lie between white space; the empty word may be one of them. Texts may not hold lone surrogates.
+    """
+    found = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = found.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), found.offsets.to_numpy()
+
+
+def gathered(parts: list[bytes], numbers: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the parts of those numbers one behind the other, in bytes; where each begins and the last one ends). ``width`` divides all lengths."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // width
+    starts = np.cumsum(sizes) - sizes
+    of = sizes[numbers]
+    ends = np.concatenate([[0], np.cumsum(of)])
+    at = np.arange(ends[-1]) + np.repeat(starts[numbers] - ends[:-1], of)
+    items = np.frombuffer(b"".join(parts), np.dtype(f"V{width}"))
+    return items[at], ends
