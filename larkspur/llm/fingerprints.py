@@ -29,8 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import CHUNK_CHARS, shuffle_partitions, table
-from larkspur.llm.near import U, mix
+from larkspur.llm.common import CHUNK_CHARS, U, mix, shuffle_partitions, table
 
 #: Cells of a fingerprint, in three parts; and the factor of a retry.
 BASE, GROWTH = 24, 4

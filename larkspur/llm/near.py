@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordCache, cut_lineage, map_chunks, shuffle_partitions, table
+from larkspur.llm.common import U, WordCache, cut_lineage, map_chunks, mix, shuffle_partitions, table
 from larkspur.llm.components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -40,22 +40,11 @@ CANDIDATE, DONE = 0.58, 0.92
 #: Below the first level a set chooses that many times the tokens, so that a pair parts less often; above 1.25 crowds of like sets multiply.
 BOOST = 1.2
 
-U = np.uint64
 _SPREAD = np.random.default_rng(20240229).integers(1, 2**63, size=(2, MINHASHES), dtype=np.uint64)
 _A, _B = _SPREAD[0] | U(1), _SPREAD[1]
 _word = re.compile(r"\w+").findall
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    with np.errstate(over="ignore"):
-        x = x ^ (x >> U(30))
-        x = x * U(0xBF58476D1CE4E5B9)
-        x = x ^ (x >> U(27))
-        x = x * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
-
-
 _hashes = WordCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")))
 
 
