@@ -2,14 +2,16 @@
 
 Every page becomes a tree of elements; the subtrees of block elements are hashed by tag, text and child hashes. Spark counts for each host on how
 many pages a hash occurs and beside how many different articles (pre-aggregated, so a large host meets nowhere as a group). Subtrees that
-recur on most of a host's pages, or on many pages beside many different articles, are deleted, besides elements that are page furniture by name.
-What remains of the article is the text.
+recur on most of a host's pages, or on many pages beside many different articles, are deleted. Elements that are page furniture by name go, too,
+for what a site shows once only. What remains of the article is the text.
 
 A page is evidence for a subtree where the longest block of text outside of it is at least as long as the longest one inside: then
 the subtree is not what the page is about. Different such blocks are counted as set bits of a mask of BITS, so never too many.
 
-A paragraph, heading or other block of prose inside an article is never a template: copies of an article on
-one host share all of them.
+A paragraph, heading or other block of prose inside an article element is never a template: the article's text is wanted whole, and copies of an article,
+or articles that quote one passage, share such blocks. Everywhere else, prose is judged like all blocks.
+
+Parsing is linear in the page, whatever its markup.
 
 Defined results: null or empty html gives an empty text; a null url belongs to a host of its own, "", and unclosed or misnested markup is read as
 browsers do in simple cases (implied ends, unknown end tags ignored); repeated rows give a row each and count
@@ -19,6 +21,7 @@ as a page each; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 import xxhash
@@ -30,11 +33,11 @@ from larkspur.llm.common import cut_lineage, map_chunks, table
 #: A template occurs on that share of a host's pages at least, and on so many pages.
 SHARE, LEAST_PAGES = 0.5, 4
 #: So does what occurs beside so many different articles, if it is on a small share of the pages (which bounds the templates of a host).
-MANY, FEW, BITS = 10, 0.01, 63
-#: Parts of lists and tables recur by chance; their whole list or table is judged by MANY.
+MANY, FEW, BITS = 10, 0.001, 63
+#: Parts of lists and tables recur by chance, so MANY counts them only where all their text is links (a menu's entries); else their whole list or table.
 PARTS = frozenset("tr td th thead tbody tfoot caption li dt dd".split())
-#: Hosts whose pages are dealt over several tasks, at most; and pages of a host for each task.
-LARGE, SPLIT = 1000, 2000
+#: Pages of a host for each task; and hosts that are dealt over several tasks, at most: all with more than SPLIT pages and 1 / LARGE of all pages.
+SPLIT, LARGE = 2000, 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -59,17 +62,43 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-_token = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
+#: An end is bounded in the attributes it may have, so that no tag is searched to the page's end again and again.
+_token = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'){0,999}+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _attribute = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)|(?=[\s/]|$))""", re.I)
 _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _host = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "marks", "hash", "deleted")
+    __slots__ = ("tag", "up", "parts", "marks", "inside", "hash", "deleted")
 
     def __init__(self, tag: str, up: Node | None, marks: frozenset):
         self.tag, self.up, self.marks, self.parts, self.hash, self.deleted = tag, up, marks, [], None, False
+        #: whether an article is above
+        self.inside = up is not None and (up.inside or up.tag in ("article", "main"))
+
+
+class Path:
+    """The open elements from the root down, and for each tag the depths of those that are open."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths, self.blocks = [root], defaultdict(list), [0]
+
+    def open(self, node: Node) -> None:
+        self.depths[node.tag].append(len(self.nodes))
+        if node.tag not in INLINE and node.tag != "p":
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def deepest(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths[t]), default=0)
+
+    def close(self, depth: int) -> None:
+        """Close the element at that depth and all below it."""
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().tag].pop()
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
 
 
 def marks_of(attributes: str) -> frozenset:
@@ -87,12 +116,13 @@ def marks_of(attributes: str) -> frozenset:
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in page order."""
     root = Node("#root", None, frozenset())
-    nodes, here, at = [root], root, 0
-    length = len(html)
+    nodes, path, at = [root], Path(root), 0
+    length, last = len(html), html.rfind(">") + 1
     while at < length:
-        m = _token.search(html, at)
+        here = path.nodes[-1]
+        m = _token.search(html, at, last)  # up to the last one every tag has an end
         if m is None:
-            here.parts.append(html[at:])
+            here.parts.append(html[at:].partition("<!--")[0])
             break
         if m.start() > at:
             here.parts.append(html[at : m.start()])
@@ -105,11 +135,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.up
-            if node is not root:
-                here = node.up
+            if depth := path.deepest((tag,)):
+                path.close(depth)
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, at)
@@ -117,24 +144,19 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 at = end.end() if end else length
             continue
         if tag not in INLINE and here.tag not in ("#root", "body", "html"):
-            node = here  # a block ends an open paragraph
-            while node is not root and (node.tag in INLINE or node.tag == "p"):
-                if node.tag == "p":
-                    here = node.up
-                    break
-                node = node.up
+            depth = path.deepest(("p",))  # a block ends an open paragraph
+            if depth > path.blocks[-1]:
+                path.close(depth)
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            node = here
-            while node is not root and node.tag not in stops:
-                if node.tag in ends:
-                    here = node.up
-                node = node.up
+            while (depth := path.deepest(ends)) > path.deepest(stops):
+                path.close(depth)
+        here = path.nodes[-1]
         node = Node(tag, here, marks_of(attributes))
         here.parts.append(node)
         nodes.append(node)
         if tag not in VOID and not (attributes.endswith("/") and tag in ("path", "circle")):
-            here = node
+            path.open(node)
     return root, nodes
 
 
@@ -143,7 +165,7 @@ def furniture(node: Node) -> bool:
     if tag in FURNITURE or "hidden" in marks:
         return True
     if tag == "header":
-        return not (inside_article(node) and any(isinstance(x, Node) and re.fullmatch("h[1-6]", x.tag) for x in node.parts))
+        return not (node.inside and any(isinstance(x, Node) and re.fullmatch("h[1-6]", x.tag) for x in node.parts))
     if tag in ("html", "body", "#root", "main") or not marks:
         return False
     if tag == "article":
@@ -151,15 +173,6 @@ def furniture(node: Node) -> bool:
     return tag not in ("h1", "h2") and not MARKED.isdisjoint(marks)
 
 
-def inside_article(node: Node) -> bool:
-    node = node.up
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.up
-    return False
-
-
 def hash_subtrees(nodes: list[Node]) -> None:
     """64-bit hash of each subtree, children first; None where there is no text."""
     for node in reversed(nodes):
@@ -169,11 +182,16 @@ def hash_subtrees(nodes: list[Node]) -> None:
 
 
 def can_be_template(node: Node) -> bool:
-    return node.hash is not None and node.tag not in INLINE and node.tag not in ("#root", "html", "body") and not (node.tag in PROSE and inside_article_or_is(node))
+    return node.hash is not None and node.tag not in INLINE and node.tag not in ("#root", "html", "body") and not (node.tag in PROSE and (node.inside or node.tag in ("article", "main")))
 
 
-def inside_article_or_is(node: Node) -> bool:
-    return node.tag in ("article", "main") or inside_article(node)
+def links_only(nodes: list[Node]) -> set[int]:
+    """Ids of the nodes all of whose text is inside links."""
+    out = set()
+    for node in reversed(nodes):
+        if node.tag == "a" or all(id(x) in out if isinstance(x, Node) else not x or x.isspace() for x in node.parts):
+            out.add(id(node))
+    return out
 
 
 def template_evidence(html: str) -> dict[int, int]:
@@ -201,25 +219,29 @@ def template_evidence(html: str) -> dict[int, int]:
         up = place[id(nodes[i].up)]
         inside[up] = max(inside[up], inside[i])
     out: dict[int, int] = {}
+    links = links_only(nodes)
     for i, node in enumerate(nodes):
         if can_be_template(node):
             size, at = max(before[i], behind[ends[i]])
-            shown = size > 0 and size >= inside[i][0] and node.tag not in PARTS
+            shown = size > 0 and size >= inside[i][0] and (node.tag not in PARTS or id(node) in links)
             mask = 1 << xxhash.xxh3_64_intdigest(texts[-at].encode("utf-8", "replace")) % BITS if shown else 0
             out[node.hash - 2**63] = out.get(node.hash - 2**63, 0) | mask
     return out
 
 
-def main_text(html: str, templates=frozenset()) -> str:
-    """The page's main text, a line for each block."""
+def main_text(html: str, templates=frozenset(), names: bool = True) -> str:
+    """The page's main text, a line for each block. Without ``names`` only templates are taken out of the page."""
     root, nodes = parse(html)
     if templates:
         hash_subtrees(nodes)
     for node in nodes:
-        node.deleted = (node.up is not None and node.up.deleted) or furniture(node) or bool(templates and can_be_template(node) and node.hash - 2**63 in templates)
+        node.deleted = (node.up is not None and node.up.deleted) or bool(templates and can_be_template(node) and node.hash - 2**63 in templates) or names and furniture(node)
     articles = [n for n in nodes if n.tag == "article" and not n.deleted] or [n for n in nodes if (n.tag == "main" or "main" in n.marks and n.tag == "div" or "articlebody" in n.marks) and not n.deleted]
-    chosen = {id(n) for n in articles}
-    tops = [n for n in articles if not any(id(a) in chosen for a in ancestors(n))]
+    chosen, below = {id(n) for n in articles}, set()
+    for node in nodes:
+        if node.up is not None and (id(node.up) in chosen or id(node.up) in below):
+            below.add(id(node))
+    tops = [n for n in articles if id(n) not in below] if names else []
     for starts in (tops, [root]):
         lines = [line for start in starts for line in blocks(start)]
         if lines:
@@ -227,13 +249,6 @@ def main_text(html: str, templates=frozenset()) -> str:
     return ""
 
 
-def ancestors(node: Node):
-    node = node.up
-    while node is not None:
-        yield node
-        node = node.up
-
-
 def blocks(start: Node) -> list[str]:
     """The blocks of text below ``start``, in page order; no recursion, so any depth of markup will do."""
     lines, held, todo = [], [], [iter([start])]
@@ -285,17 +300,24 @@ def page_counts(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     return cut_lineage(counts.filter((F.col("n") >= least) | F.col("hash").isNull()))
 
 
+def host_templates(counts: DataFrame, share: float = SHARE, many: int = MANY, few: float = FEW) -> DataFrame:
+    """(host, templates): hashes of the subtrees that are deleted. At most (subtrees of a page) / few of them, however many pages a host has."""
+    of_host = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
+    often = counts.filter("hash is not null").join(of_host, "host")
+    often = often.filter((F.col("n") >= share * F.col("pages")) | (F.col("beside") >= many) & (F.col("n") >= few * F.col("pages")))
+    return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+
+
 def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES, many: int = MANY, few: float = FEW) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     counts = page_counts(pages, least)
+    templates = host_templates(counts, share, many, few)
+    # pages of large hosts are dealt over several tasks with a copy of the host's templates each; fewer than LARGE hosts can have 1 / LARGE of all pages
     of_host = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.filter("hash is not null").join(of_host, "host")
-    often = often.filter((F.col("n") >= share * F.col("pages")) | (F.col("beside") >= many) & (F.col("n") >= few * F.col("pages")))
-    # at most (subtrees of a page) / few of them for each host, however many pages it has
-    templates = often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
-    # pages of the largest hosts, LARGE of them at most, are dealt over several tasks with a copy of the host's templates each
-    large = of_host.orderBy(F.desc("pages"), "host").limit(LARGE).select("host", F.ceil(F.col("pages") / SPLIT).cast("int").alias("salts")).filter("salts > 1")
+    whole = of_host.agg(F.sum("pages").alias("whole"))
+    large = of_host.crossJoin(F.broadcast(whole)).filter((F.col("pages") > SPLIT) & (F.col("pages") * LARGE > F.col("whole")))
+    large = large.select("host", F.ceil(F.col("pages") / SPLIT).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
     copies = templates.join(F.broadcast(large), "host", "left").select("host", "templates", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

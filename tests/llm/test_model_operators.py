@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -126,6 +128,47 @@ def test_nearest_recall(spark, sf_dir):
             assert (q, c) not in found or found[q, c] == pytest.approx(s, abs=1e-12)
 
 
+def test_nearest_recall_on_more_vectors(spark):
+    test_nearest_recall(spark, "/root/testdata/sf0.1")
+
+
+def test_nearest_looks_at_windows_only(spark):
+    """With one order, all that is found lies within the window around the query's place, and what lies well within is found by exact distance."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 6)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, k=5, window=0.02, curves=1).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    keys = ann.Curves(6, float(np.linalg.norm(v, axis=1).max()), 1).keys(v, np.arange(3000))[0]
+    place = np.empty(3000, int)
+    place[np.lexsort((np.arange(3000), keys))] = np.arange(3000)
+    assert set(got) == set(range(0, 3000, 100))
+    for q, found in got.items():
+        gap = np.abs(place - place[q])
+        assert all(gap[c] <= 0.02 * 3000 + 6 for c in found)
+        inner = [c for c in np.flatnonzero(gap <= 0.02 * 3000 - 6).tolist() if c != q]
+        worst = max(np.linalg.norm(v[c] - v[q]) for c in found)
+        assert all(c in found for c in inner if np.linalg.norm(v[c] - v[q]) < worst)
+
+
+def test_nearest_in_small_windows_of_vectors_with_structure(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 32))
+    v = (centres[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 3)) @ rng.normal(size=(3, 32))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    want = brute_nearest(list(enumerate(v.tolist())))
+    found = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, window=0.004, curves=8).collect()}
+    hits = [(q, c) in found for q, best in want.items() for _, c in best]
+    assert sum(hits) >= 0.9 * len(hits)
+
+
+def test_nearest_with_an_id_of_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [9.0, 9.0]), (1, [1.0, 1.0]), (2, [9.0, 8.0]), (2, [5.0, 5.0])]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 2)] and got[1][3] == pytest.approx(41**0.5)
+
+
 def test_nearest_with_ties_nulls_and_a_common_vector(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(0, 60)] + [(i, rng.normal(size=3).tolist()) for i in range(60, 130)]
@@ -153,6 +196,71 @@ def test_hilbert_keys_walk_through_neighbouring_cells():
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
+def without_names(k: int, host: str, rng) -> tuple[int, str, str, str]:
+    """A page of a site without telling names, and its article's text: every page has a menu, some a section's note, the article and its quotation differ."""
+    words = ["alder", "birch", "cedar", "elm", "fir", "hazel", "larch", "maple", "oak", "pine", "rowan", "willow"]
+    article = [" ".join(rng.choice(words, 30).tolist()) + f" {k}" for _ in range(2)] + ["A line that many articles quote."]
+    note = "<section><p>Winter hours</p><div>Closed on Sundays</div></section>" if k % 3 == 0 else ""
+    body = "".join(f"<p>{x}</p>" for x in article)
+    html_text = f"<html><body><div><ul><li><a href='/{host}'>Start of {host}</a></li><li><a href='/x'>All of it</a></li></ul></div>{note}<article>{body}</article><div>All rights are {host}'s</div></body></html>"
+    return k, f"http://{host}/{k}", html_text, "\n".join(article)
+
+
+def test_html_templates_equal_a_counter_by_host(spark):
+    """The query's texts are those that templates from plain counting give, and templates alone, without names or article elements, leave the articles."""
+    rng = np.random.default_rng(4)
+    pages = [without_names(k, f"site{k % 2}.example", rng) for k in range(80)]
+    pages += [pages[5], (900, None, None, ""), (901, "http://alone.example/", "<p>One</p>", "One")]
+    pages = [(i, u, None if h is None else h.replace("<article>", "<div>").replace("</article>", "</div>"), t) for i, u, h, t in pages]
+    pages = [(i, u, None if h is None else h.replace("<p>A line that many articles quote.</p>", ""), t.replace("\nA line that many articles quote.", "")) for i, u, h, t in pages]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(5)
+    count, beside, of_host = Counter(), {}, Counter()
+    for _, url, text, _ in pages:
+        host = html.host_of(url)
+        of_host[host] += 1
+        for h, mask in html.template_evidence(text or "").items():
+            count[host, h] += 1
+            beside[host, h] = beside.get((host, h), 0) | mask
+    templates = {}
+    for (host, h), n in count.items():
+        if n >= html.LEAST_PAGES and (n >= html.SHARE * of_host[host] or beside[host, h].bit_count() >= html.MANY and n >= html.FEW * of_host[host]):
+            templates.setdefault(host, set()).add(h)
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df).collect())
+    assert got == sorted((i, t, len(t)) for i, u, h, _ in pages for t in [html.main_text(h or "", frozenset(templates.get(html.host_of(u), ())))])
+    for _, url, text, article in pages:
+        assert html.main_text(text or "", frozenset(templates.get(html.host_of(url), ())), names=False) == article
+    assert sum(html.main_text(h, names=False) != t for _, _, h, t in pages[:80]) == 80  # without templates every page shows its menu
+
+
+def test_html_keeps_what_articles_quote(spark):
+    rng = np.random.default_rng(5)
+    pages = [without_names(k, "one.example", rng) for k in range(60)]
+    got = rows_of(html.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")), "page_id")
+    assert [got[k]["text"] for k in range(60)] == [p[3] for p in pages]
+
+
+def test_html_templates_act_on_the_table(spark):
+    pages = table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url", "html")
+    templates = {r["host"]: frozenset(r["templates"]) for r in html.host_templates(html.page_counts(pages)).collect()}
+    changed = sum(html.main_text(r["html"], templates.get(html.host_of(r["url"]), frozenset()), names=False) != html.main_text(r["html"], names=False) for r in pages.collect())
+    assert changed > 100
+
+
+def test_html_markup_of_any_kind_takes_linear_time():
+    for markup in ("<div>" * 40000, "<b>" * 20000 + "<div>" * 20000, "</x>" * 40000 + "<i>" * 40000, '<a ">"' * 20000, "<!" * 100000, "<li><ul>" + "<div>" * 10000 + "<li>x</li>" * 10000, "<p>" + "<i>" * 10000 + "<div>x</div>" * 10000):
+        start = time.process_time()
+        html.main_text(markup, frozenset([1]))
+        html.template_evidence(markup)
+        assert time.process_time() - start < 8
+
+
+def test_html_with_clashing_columns_and_a_very_long_page(spark):
+    long = "<article><p>" + "word " * 300000 + "</p></article>"
+    rows = [(1, "http://a/", long, "x", 1, "h"), (1, "http://a/", long, "x", 1, "h"), (2, None, "", None, None, None)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, host string")).collect()
+    assert sorted(r["n_chars"] for r in got) == [0, 1499999, 1499999]
+
+
 def test_language_on_held_out_documents(spark):
     documents = table(spark, "/root/testdata/sf0.01", "documents")
     rows = language.predict(documents, language.fit(documents)).join(documents.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
