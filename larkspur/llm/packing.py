@@ -14,6 +14,8 @@ stays null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from larkspur.llm.bpe import vocabulary_path
-from larkspur.llm.common import table, text_chunks
+from larkspur.llm.bpe import lower, newer, vocabulary_path
+from larkspur.llm.common import distinct_words, gathered, table, text_chunks
 
 TOKENS, SEGMENTS = 2048, 64
 END_ID = 1
@@ -33,8 +35,12 @@ END_ID = 1
 POOL = 1024
 #: Words remembered by a Python worker, some 200 bytes each.
 CACHE_ENTRIES = 1_000_000
-#: A private-use character between words that are encoded together.
-MARK = "\ue000"
+#: Signs that form a word of their own behind letters (an apostrophe may not).
+SIGNS = '.,;:!?()[]{}"#$%&*+-/<=>@\\^_`|~'
+#: Stands for the ids of words about which tables of Unicode may differ.
+NEWER = b"none"
+#: Rows and code points that are encoded at once.
+ROWS, CHARS = 4096, 4_000_000
 
 
 class IdSource:
@@ -42,49 +48,87 @@ class IdSource:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for words of letters in normal form and lower case, which need neither normalising nor splitting; what it is asked is
+        # remembered here, so it need not remember it itself
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.model._resize_cache(0)
         self.cache: dict[str, bytes] = {}
-        self.mark = np.array(self.ids(MARK), np.uint32)
+        self.newer = newer().search
+        self.lone = re.compile("[\ud800-\udfff]").search
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # white space of str.split() that the vocabulary keeps, a letter whose lower case depends on its place, the mark itself,
-        # and special tokens: such texts go whole
-        self.odd = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", MARK, *special)
+        # white space of str.split() that the vocabulary keeps, and special tokens: such texts go whole
+        self.odd = ("\x1c", "\x1d", "\x1e", "\x1f", *special)
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.cache) > CACHE_ENTRIES:
-            for old in list(self.cache)[: CACHE_ENTRIES // 2]:
-                del self.cache[old]
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of words; those of letters and signs behind them are made from these parts. NEWER: tables of Unicode may differ."""
+        cache = self.cache
+        letters, others, composed = [], [], []
+        for w in words:
+            if not w.isascii() and self.newer(w):
+                cache[w] = NEWER
+                continue
+            if w.isalpha():
+                letters.append(w)
+                continue
+            core = w.rstrip(SIGNS)
+            if len(core) < len(w) and core.isalpha():
+                composed.append((w, core, w[len(core) :]))
+            else:
+                others.append(w)
+        inner = {c for _, c, _ in composed if c not in cache and c not in words}
+        signs = {t for _, _, t in composed if t not in cache and t not in words}
+        self._learn([*letters, *inner], True)
+        self._learn([*others, *signs], False)
+        for w, core, tail in composed:
+            cache[w] = cache[core] + cache[tail]
+
+    def _learn(self, words: list[str], letters: bool) -> None:
         for at in range(0, len(words), 5000):
             part = words[at : at + 5000]
-            ids = np.array(self.ids(f" {MARK} ".join(part)), np.uint32)
-            k = len(self.mark)
-            hits = np.ones(max(0, len(ids) - k + 1), bool)
-            for i, x in enumerate(self.mark):
-                hits &= ids[i : len(ids) - k + 1 + i] == x
-            cuts = np.flatnonzero(hits)
-            if len(cuts) != len(part) - 1:
-                self.cache.update((w, np.array(self.ids(w), np.uint32).tobytes()) for w in part)
+            # words of letters alone can be told apart in one text; others are given one by one
+            found = self.letters.encode(" ".join(part), add_special_tokens=False) if letters else self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            of_word = np.array(found.word_ids, np.int64)
+            if letters and (not len(of_word) or of_word[-1] != len(part) - 1):
+                self._learn(part, False)
                 continue
-            starts, ends = [0, *(cuts + k)], [*cuts, len(ids)]
-            self.cache.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts, ends))
+            ids = np.array(found.ids, np.uint32).tobytes()
+            ends = (4 * np.searchsorted(of_word, np.arange(len(part)), side="right")).tolist()
+            self.cache.update((w, ids[a:b]) for w, a, b in zip(part, [0, *ends], ends))
+
+    def plain(self, text: str) -> str | None:
+        """The text in lower case (the vocabulary lowers case itself; this way fewer words are to be remembered); None: it goes whole."""
+        if any(x in text for x in self.odd):
+            return None
+        if text.isascii():
+            return text.lower()
+        # the vocabulary lowers case after normalising: where lower case is to be normalised again, that is not the same
+        low = lower(unicodedata.normalize("NFC", text))
+        return low if unicodedata.is_normalized("NFC", low) and not self.lone(low) else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # the vocabulary lowers case itself; to lower it here makes fewer words to remember
-        words = [None if any(x in t for x in self.odd) else t.lower().split() for t in texts]
+        lows = [self.plain(t) for t in texts]
+        words, numbers, offsets = distinct_words([t for t in lows if t is not None])
         cache = self.cache
-        self.learn(list({w for found in words if found for w in found if w not in cache}))
-        out = []
-        for text, found in zip(texts, words):
-            if found is None:
-                out.append(np.array(self.ids(text), np.uint32).tobytes())
-            else:
-                try:
-                    out.append(b"".join([cache[w] for w in found]))
-                except KeyError:  # forgotten when room was made just now
-                    self.learn([w for w in set(found) if w not in cache])
-                    out.append(b"".join([cache[w] for w in found]))
+        if len(cache) > CACHE_ENTRIES:
+            for old in list(cache)[: CACHE_ENTRIES // 2]:
+                del cache[old]
+        parts = list(map(cache.get, words))
+        if missing := {w for w, p in zip(words, parts) if p is None}:
+            self.learn(missing)
+            parts = [cache[w] if p is None else p for w, p in zip(words, parts)]
+        newer = NEWER in parts and np.fromiter((p is NEWER for p in parts), bool, len(parts))
+        ids, ends = gathered(parts, numbers, 4)
+        before = np.concatenate([[0], np.cumsum(newer[numbers])]) if newer is not False else np.zeros(len(numbers) + 1)
+        whole, places, data = np.diff(before[offsets]) > 0, (4 * ends[offsets]).tolist(), ids.tobytes()
+        out, k = [], -1
+        for text, low in zip(texts, lows):
+            k += low is not None
+            out.append(self.ids(text) if low is None or whole[k] else data[places[k] : places[k + 1]])
         return out
 
 
@@ -195,7 +239,7 @@ def pack(documents: DataFrame, path: str | None = None, tokens: int = TOKENS, se
     def run(batches):
         source = id_source(path)
         packer = Packer(tokens, segments, loss, TaskContext.get().partitionId() << 32)
-        for rows in text_chunks(batches):
+        for rows in text_chunks(batches, most_rows=ROWS, most_chars=CHARS):
             for key, ids, before in zip(rows["doc_id"], source.encode(rows["text"]), rows["prompt"]):
                 packer.add(key, ids + end, before or 0)
             if packer.out:
