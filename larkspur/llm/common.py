@@ -8,7 +8,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows that a Python operator works on at once; bounds a worker's memory together with CHUNK_CHARS.
 CHUNK_ROWS = 512
@@ -16,6 +19,8 @@ CHUNK_ROWS = 512
 CHUNK_CHARS = 1_000_000
 #: Key of a chunk's list of which texts were null; no column's name.
 WAS_NULL = None
+#: Bytes of the texts that a model is fitted on at most.
+FIT_BYTES = 64_000_000
 #: Entries of a per-worker word cache before its older half is dropped, and code points of the longest key that is kept.
 CACHE_ENTRIES, CACHE_KEY = 400_000, 64
 
@@ -80,46 +85,76 @@ class WordCache(dict):
         return value
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most_rows: int = CHUNK_ROWS, most_chars: int = CHUNK_CHARS) -> Iterator[dict[str, list]]:
-    """Cut Arrow batches into column lists of bounded rows and bounded text; null text becomes empty."""
+def chunk_slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_rows: int = CHUNK_ROWS, most_chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of bounded rows and bounded text."""
     for batch in batches:
-        names = batch.schema.names
         start = 0
-        column = batch.column(names.index(text))
+        column = batch.column(batch.schema.names.index(text))
         while start < batch.num_rows:
             stop, size = start, 0
             while stop < batch.num_rows and stop - start < most_rows and (stop == start or size < most_chars):
                 value = column[stop]
                 size += len(value.as_buffer()) if value.is_valid else 0
                 stop += 1
-            part = batch.slice(start, stop - start)
-            rows = {name: part.column(k).to_pylist() for k, name in enumerate(names)}
-            rows[WAS_NULL] = [t is None for t in rows[text]]
-            rows[text] = [t or "" for t in rows[text]]
-            yield rows
+            yield batch.slice(start, stop - start)
             start = stop
 
 
-def map_chunks(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, text: str = "text") -> DataFrame:
+def listed(part: pa.RecordBatch, text: str, names: Iterable[str]) -> dict[str, list]:
+    """The named columns as lists; null text becomes empty, and which texts were null stands under WAS_NULL."""
+    rows = {name: part.column(name).to_pylist() for name in {*names, text}}
+    rows[WAS_NULL] = [t is None for t in rows[text]]
+    rows[text] = [t or "" for t in rows[text]]
+    return rows
+
+
+def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most_rows: int = CHUNK_ROWS, most_chars: int = CHUNK_CHARS) -> Iterator[dict[str, list]]:
+    """The slices of the batches as lists by column."""
+    for part in chunk_slices(batches, text, most_rows, most_chars):
+        yield listed(part, text, part.schema.names)
+
+
+def map_chunks(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | StructType, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """Map bounded chunks of ``df`` with the function that ``make()`` builds once per Python worker task.
 
-    No shuffle: each input split becomes output rows in the task that reads it.
+    No shuffle: each input split becomes output rows in the task that reads it. Columns in ``keep`` pass as they are.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    parsed = _parse_datatype_string(schema)
-    arrow = to_arrow_schema(parsed)
+    parsed = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow, kept = to_arrow_schema(parsed), frozenset(keep)
+    wanted = [c for c in df.columns if c not in kept]
 
     def run(batches):
         work = make()
-        for rows in text_chunks(batches, text):
-            out = work(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        for part in chunk_slices(batches, text):
+            out = work(listed(part, text, wanted))
+            yield pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) if f.name in kept else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, parsed)
 
 
+def numbered(documents: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with their columns called c0, c1, ..., so that no name can clash, and what the needed ones (in any case) are called now.
+
+    ``toDF(*documents.columns)`` gives the names back.
+    """
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    places = {c.lower(): name for c, name in zip(documents.columns, names)}
+    return documents.toDF(*names), {c: places[c] for c in needed if c in places}
+
+
+def bounded_sample(known: DataFrame, rows: int, size: int) -> DataFrame:
+    """Rows of ``known`` (doc_id, text, ...) of the ids with the smallest hashes: ``rows`` rows and ``size`` bytes of text at most.
+
+    An id with more than a sixteenth of either is left out, so that one id cannot be the sample.
+    """
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    first = ids.filter((F.col("n") <= max(1, rows // 16)) & (F.col("bytes") <= size // 16)).orderBy(*by_hash).limit(rows)
+    so_far = Window.orderBy(*by_hash).rowsBetween(Window.unboundedPreceding, 0)  # over ``rows`` rows at most
+    picked = first.withColumns({"n": F.sum("n").over(so_far), "bytes": F.sum("bytes").over(so_far)}).filter((F.col("n") <= rows) & (F.col("bytes") <= size))
+    return known.join(F.broadcast(picked.select("doc_id")), "doc_id")
+
+
 def distinct_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, the number of each word of all texts in order, where each text's words begin and the last one's end).
 

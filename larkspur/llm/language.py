@@ -7,7 +7,8 @@ language, labels spans; the language of most letters is the document's.
 A text where no other language could pay for its switches needs no path search: that is tested exactly, by the largest gain of
 any stretch of words, and gives the same labels.
 
-The trigram table is fitted on the driver on a bounded sample of labelled rows (FIT_ROWS, by a hash of doc_id). Every whole text is labelled.
+The trigram table is fitted on the driver on a bounded sample of labelled rows (FIT_ROWS and FIT_BYTES, by a hash of doc_id). Every whole text is
+labelled.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; null languages are not learned from; without training rows all is
 ``und``; ties go to the language of smaller name; repeated rows get equal results; other columns are ignored; an
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordCache, map_chunks, table
+from larkspur.llm.common import FIT_BYTES, WordCache, bounded_sample, map_chunks, table
 
 FIT_ROWS = 4000
 FOLDS, HELD_OUT = 5, 0
@@ -47,6 +48,13 @@ def script(letter: str) -> str:
     return unicodedata.name(letter, "UNKNOWN").split(" ")[0].split("-")[0]
 
 
+def script_of(word: str) -> str:
+    """The script of most of its letters (ties: that of the first)."""
+    if word.isascii():
+        return "LATIN"
+    return Counter(map(script, word)).most_common(1)[0][0]
+
+
 class Model:
     """Trigram log-probabilities by language, and the languages of each script."""
 
@@ -60,7 +68,7 @@ class Model:
             words[place[text[1]]].update(_letters(text[0].lower()))
         for i, seen in enumerate(words):
             for word, n in seen.items():
-                scripts[i][script(word[0])] += n * len(word)
+                scripts[i][script_of(word)] += n * len(word)
                 for gram in trigrams(word):
                     counts[gram][i] += n
         totals = [sum(c[i] for c in counts.values()) for i in range(len(place))]
@@ -75,7 +83,7 @@ class Model:
         """Log-likelihood by language; languages that do not use the word's script are far below the others."""
         get, floor = self.grams.get, self.floor
         total = [*map(sum, zip(*[get(gram, floor) for gram in trigrams(word)]))]
-        fits = self.allowed.get(script(word[0]))
+        fits = self.allowed.get(script_of(word))
         if fits is not None and any(fits):
             worst = min(total) - 2 * PENALTY
             total = [t if ok else worst for t, ok in zip(total, fits)]
@@ -178,11 +186,10 @@ def held_out(doc_id):
 
 
 def fit(documents: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Learn from at most ``rows`` documents with a language outside the held-out fold, those with the smallest hashes of doc_id."""
+    """Learn from at most ``rows`` documents (and FIT_BYTES of text) with a language outside the held-out fold, those with the smallest hashes of doc_id."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    picked = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = known.join(F.broadcast(picked), "doc_id").select("text", "lang").distinct().collect()
+    found = bounded_sample(known, rows, FIT_BYTES).select("text", "lang").distinct().collect()
     return Model([(r["text"], r["lang"]) for r in found])
 
 

@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WAS_NULL, map_chunks, table
+from larkspur.llm.common import WAS_NULL, map_chunks, numbered, table
 
 
 class Rule(NamedTuple):
@@ -325,21 +325,20 @@ def redacted(text: str, automaton: Automaton) -> str:
 
 def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Documents with their secrets replaced in ``text`` and ``n_chars`` counted anew; null texts stay null."""
-    columns = documents.columns
-    rest = [c for c in columns if c not in ("text", "n_chars")]
+    docs, called = numbered(documents, "text", "n_chars")
+    text, n_chars = called["text"], called.get("n_chars")
 
     def make():
         automaton = compiled(rules)
 
         def work(rows):
-            texts = [None if null else redacted(t, automaton) for t, null in zip(rows["text"], rows[WAS_NULL])]
-            return rows | {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+            texts = [None if null else redacted(t, automaton) for t, null in zip(rows[text], rows[WAS_NULL])]
+            return rows | {text: texts, n_chars: [None if t is None else len(t) for t in texts]}
 
         return work
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in rest)
-    schema = f"{kept}, text string, n_chars long" if kept else "text string, n_chars long"
-    return map_chunks(documents.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("text")), make, schema).select(*columns)
+    docs = docs.withColumns({text: F.col(text).cast("string")} | ({n_chars: F.col(n_chars).cast("long")} if n_chars else {}))
+    return map_chunks(docs, make, docs.schema, text, [c for c in docs.columns if c not in (text, n_chars)]).toDF(*documents.columns)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
