@@ -2,41 +2,45 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and gives documents again (the last gives packed
 pieces). Between stages the documents are written as Parquet and read back, so a lost executor costs one stage's tasks only.
+
+Defined results: extra columns of any name pass all stages but the last; a null text stays null (and counts as empty); a null doc_id is kept; repeated rows are
+each judged alike; an empty table gives an empty result. What a stage does with ties and such is said with it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import lines, near, packing, secrets, toxic
-from larkspur.llm.common import table
+from larkspur.llm.common import shared_folder, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go; all others stay as they are."""
+    """Documents that the model rejects go; all others stay as they are. Null and empty texts are scored like documents without features; rows repeated go or stay together."""
     return toxic.reject(docs, toxic.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go from ``text``; every document stays."""
+    """Lines that a document of smaller doc_id holds go from ``text``; every document stays, if with an empty text. A null doc_id comes before all others;
+    rows of one doc_id are one document, so they do not take lines from each other."""
     return lines.dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates stays."""
+    """The document of smallest doc_id of each group of near duplicates stays (all of its rows, if it is repeated). Documents without words are in no group; documents
+    without doc_id all stay, and their group keeps no other."""
     return near.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in ``text`` are replaced by their kinds in brackets; every document stays."""
+    """Secrets in ``text`` are replaced by their kinds in brackets, overlapping ones by the first one's; every document stays, a null text null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences of 2048 tokens."""
+    """Pieces of packed sequences of 2048 tokens; a null or empty text is its end token alone, repeated rows are packed each."""
     return packing.pack(docs)
 
 
@@ -54,8 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what goes between them lies in the folder named in spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    place = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
