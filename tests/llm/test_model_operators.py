@@ -14,7 +14,7 @@ from conftest_llm import prose
 from tests_llm_helpers import rows_of
 
 from larkspur.llm import ann, components, html, language, near, toxic
-from larkspur.llm.common import table
+from larkspur.llm.common import bounded_sample, table
 
 
 def brute_classes(docs: dict[int, str], threshold=0.8):
@@ -285,12 +285,29 @@ def test_language_path_equals_plain_viterbi():
 def test_language_path_with_a_stretch_at_either_end():
     scores = np.array([[-8.0, -17.0, -11.0]] * 3 + [[-17.0, -8.0, -11.0]] * 3)  # each end gains 9 over the third language, a change costs 12
     assert language.best_path(scores, 12).tolist() == [0, 0, 0, 1, 1, 1]
-    rng = np.random.default_rng(5)
-    for _ in range(300):
-        n = int(rng.integers(2, 7))
-        scores = rng.normal(size=(n, 3)) * 4
-        worth = lambda p, scores=scores: sum(scores[i, k] for i, k in enumerate(p)) - 6 * sum(a != b for a, b in zip(p, p[1:]))
-        assert worth(language.best_path(scores, 6).tolist()) == pytest.approx(max(worth(p) for p in product(range(3), repeat=n)))
+
+
+@pytest.mark.parametrize("languages", [2, 3, 4, 5])
+@pytest.mark.parametrize("penalty", [0.0, 0.5, 3.0, 12.0])
+def test_language_path_equals_all_paths(languages, penalty):
+    rng = np.random.default_rng(languages)
+    for k in range(60):
+        n = int(rng.integers(1, {2: 9, 3: 7, 4: 6, 5: 5}[languages]))
+        scores = rng.normal(size=(n, languages)) * (1, 4, 12)[k % 3]
+        paths = np.array(list(product(range(languages), repeat=n)))
+        worth = scores[np.arange(n), paths].sum(axis=1) - penalty * (paths[:, 1:] != paths[:, :-1]).sum(axis=1)
+        own = language.best_path(scores, penalty)
+        assert scores[np.arange(n), own].sum() - penalty * (own[1:] != own[:-1]).sum() == pytest.approx(worth.max())
+
+
+def test_language_of_repeated_rows_ties_and_one_id(spark):
+    """Equal texts get equal results, ties go to the smaller name, and one id that a table is full of cannot be the sample."""
+    model = language.Model([("abc", "xx"), ("abc", "aa"), ("zzz", "xx"), ("zzz", "aa")])
+    assert language.Labeller(model).label("abc")[0] == "aa"
+    rows = [(7, f"one id {k}", "en") for k in range(400)] + [(k, "der und die das", "de") for k in range(8, 40)] + [(9, "der und die das", "de")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(docs, 64).languages == ["de"]
+    assert len({(r["lang_pred"], r["score"]) for r in language.predict(docs, language.fit(docs)).filter("doc_id = 9").collect()}) == 1
 
 
 def test_language_edge_cases(spark, edge, empty):
@@ -425,6 +442,76 @@ def test_toxicity_columns_and_rejection(spark, edge, empty, model):
     assert {r["score"] for r in toxic.score_documents(edge, nothing).collect()} == {0.0}
 
 
+def test_decoding_equals_all_readings(model):
+    """The path found is the cheapest of all readings of a word; of equally cheap ones the smallest."""
+    characters, rng = model.characters, random.Random(3)
+    for _ in range(300):
+        word = "".join(rng.choice("aeinorttv0134$*-xx") for _ in range(rng.randrange(1, 6)))
+        costs = {}
+        for choice in product(*[list(toxic.readings(word, i)) for i in range(len(word))]):
+            said, cost, context = "", 0.0, "^^"
+            for letter, price in choice:
+                cost += price
+                if letter:
+                    cost += characters.cost(context, letter)
+                    context, said = context[1] + letter, said + letter
+            cost += characters.cost(context, "$")
+            costs[said] = min(cost, costs.get(said, cost))
+        least = min(costs.values())
+        assert costs[toxic.decode(word, characters)] == pytest.approx(least)
+
+
+def test_scores_equal_brute_force(spark, edge, model):
+    """Every score is one minus the product of what its distinct words leave, without caches or early ends."""
+    want = {}
+    for r in edge.collect():
+        words = toxic.words_of(r["text"] or "", model.characters)
+        clean = 1 - model.without
+        for w in words:
+            clean *= 1 - max([model.shares.get(f, 0.0) for f in toxic.features(w)])
+        want.setdefault(r["doc_id"], set()).add(round(1 - clean, 9))
+    got = {}
+    for r in toxic.score_documents(edge, model).collect():
+        got.setdefault(r["doc_id"], set()).add(round(r["score"], 9))
+        assert r["predicted"] == int(r["score"] >= toxic.THRESHOLD)
+    assert got == want
+
+
+def test_core_takes_signs_off_both_ends_in_linear_time():
+    assert [toxic.core(x) for x in ("ab!!??", "$$$ab", "$$$$", "a$$b", "((ab))", "", "!!a!!b!!")] == ["ab", "ab", "", "a$$b", "ab", "", "a!!b"]
+    start = time.process_time()
+    toxic.core("x" + "$" * 300000 + "y")
+    assert time.process_time() - start < 2
+
+
+def test_limits_come_from_the_training_rows():
+    rows = [(prose(3000 + k, 30) + (" zqwvk " if k % 5 == 0 else " ") + prose(5000 + k, 30), int(k % 5 == 0)) for k in range(300)]
+    learned = toxic.Model(rows)
+    assert learned.limits[0] in toxic.EVIDENCE and learned.limits[1] in toxic.LEAST_SHARE
+    assert "zqwvk" in learned.shares and learned.without < 0.05
+    assert toxic.Model([(f"word{k}", 1) for k in range(30)]).without > 0.9  # no clamp: where all are toxic, so is a text without features
+
+
+def test_a_sample_is_bounded_in_rows_and_bytes(spark):
+    documents = spark.createDataFrame([(7, f"t {k}") for k in range(500)] + [(k, prose(k, 20)) for k in range(100, 400)], "doc_id long, text string")
+    found = bounded_sample(documents, 64, 10**6).collect()
+    assert len(found) == 64 and all(r["doc_id"] != 7 for r in found)
+    found = bounded_sample(documents, 64, 3000).collect()
+    assert 0 < sum(len(r["text"]) for r in found) <= 3000
+
+
+def test_columns_of_any_name_pass_rejection_and_redaction(spark, model):
+    from larkspur.llm import lines, secrets
+
+    row = (5, "a token = hunter2hunter2 here", 29, 1.5, "dot", (1,), {"k": [1, 2]})
+    docs = spark.createDataFrame([row, (None, None, None, None, None, None, None)], "doc_id long, Text string, n_chars long, Score double, `a.b` string, `s t` struct<`x y`: int>, m map<string, array<int>>")
+    assert [tuple(r) for r in toxic.reject(docs, model).filter("doc_id = 5").collect()] == [row]
+    assert toxic.reject(docs, model).schema.names == docs.schema.names
+    kept = secrets.redact(docs).filter("doc_id = 5").collect()[0]
+    assert kept["Text"] == "a [assign] here" and kept["n_chars"] == 15 and kept["a.b"] == "dot" and kept["s t"]["x y"] == 1
+    assert lines.dedup(docs).count() == near.keep_one(docs).count() == 2
+
+
 def test_toxicity_held_out_on_the_tables(spark):
     sf = "/root/testdata/sf0.1"
     documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")

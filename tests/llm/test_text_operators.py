@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import oracle
 import pytest
+from conftest_llm import prose
 from tokenizers import Tokenizer
 
 from larkspur.llm import bpe, fingerprints, lines, packing, registry, secrets
@@ -83,6 +85,36 @@ def test_packing_keeps_every_id_once(edge, tokenizer):
     check_packing(packing.pack(edge).collect(), [(r["doc_id"], r["text"]) for r in edge.collect()], tokenizer)
 
 
+def test_packing_of_instructions_keeps_the_limit_on_loss(spark, tokenizer):
+    """Through the DataFrame: prompts bear no loss, and no sequence has more tokens, segments or loss-bearing tokens than allowed."""
+    rows = [(k, prose(k, 20 + 13 * k % 90), 7 * k % 60) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, prompt_tokens int").coalesce(2)
+    got = packing.pack(docs, tokens=256, segments=4, loss=120, prompt="prompt_tokens").collect()
+    prompt, sequences = {k: n for k, _, n in rows}, {}
+    for r in got:
+        assert r["loss_tokens"] == max(0, r["start"] + r["length"] - max(r["start"], prompt[r["doc_id"]]))
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    for pieces in sequences.values():
+        assert sum(r["length"] for r in pieces) <= 256 and len(pieces) <= 4 and sum(r["loss_tokens"] for r in pieces) <= 120
+    for k, text, _ in rows:
+        mine = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == k)
+        assert sum(n for _, n in mine) == len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+        assert all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:]))
+
+
+def test_ids_of_any_text_equal_the_library(tokenizer):
+    """Packing's ids and those of the segment tree, on texts of all kinds of code points, unassigned and newer ones included."""
+    rng = random.Random(17)
+    marks = [chr(c) for c in range(0x300, 0x1E900) if unicodedata.combining(chr(c))]
+    texts = ["Ị̇", "T̈ẖ H̱", "\U0001261f∣", "Ᲊ a", "don't stop!!", "\u0558a", "x\ue000y", "\x1ca b"]
+    for _ in range(3000):
+        texts.append("".join(rng.choice([rng.choice(marks), chr(rng.randrange(0x20, 0x600)), chr(rng.randrange(0x10000, 0x20000)), rng.choice(" .,'aeStİΣ\n\x85")]) for _ in range(rng.randrange(1, 10))))
+    source, own = packing.IdSource(bpe.vocabulary_path()), bpe.load(bpe.vocabulary_path())
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+    assert source.encode(texts) == want
+    assert [own.encode_bytes(t) for t in texts] == want
+
+
 def test_packing_keeps_all_limits():
     rng = random.Random(5)
     p = packing.Packer(64, 4, 20)
