@@ -78,32 +78,12 @@ class Node:
         self.inside = up is not None and (up.inside or up.tag in ("article", "main"))
 
 
-class Path:
-    """The open elements from the root down, and for each tag the depths of those that are open."""
-
-    def __init__(self, root: Node):
-        self.nodes, self.depths, self.blocks = [root], defaultdict(list), [0]
-
-    def open(self, node: Node) -> None:
-        self.depths[node.tag].append(len(self.nodes))
-        if node.tag not in INLINE and node.tag != "p":
-            self.blocks.append(len(self.nodes))
-        self.nodes.append(node)
-
-    def deepest(self, tags) -> int:
-        return max((self.depths[t][-1] for t in tags if self.depths[t]), default=0)
-
-    def close(self, depth: int) -> None:
-        """Close the element at that depth and all below it."""
-        while len(self.nodes) > depth:
-            self.depths[self.nodes.pop().tag].pop()
-        while self.blocks[-1] >= depth:
-            self.blocks.pop()
+NO_MARKS: frozenset = frozenset()
 
 
 def marks_of(attributes: str) -> frozenset:
-    if not attributes or attributes.isspace():
-        return frozenset()
+    if "=" not in attributes and "hidden" not in attributes.lower():
+        return NO_MARKS
     out = set()
     for name, value in _attribute.findall(attributes):
         if name.lower() == "hidden":
@@ -116,47 +96,65 @@ def marks_of(attributes: str) -> frozenset:
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in page order."""
     root = Node("#root", None, frozenset())
-    nodes, path, at = [root], Path(root), 0
-    length, last = len(html), html.rfind(">") + 1
+    nodes = [root]
+    # the open elements from the root down; for each tag the depths of those that are open; the depths of blocks but paragraphs
+    path, depths, blocks = [root], defaultdict(list), [0]
+
+    def deepest(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths[t]), default=0)
+
+    def close(depth: int) -> None:
+        """Close the element at that depth and all below it."""
+        while len(path) > depth:
+            depths[path.pop().tag].pop()
+        while blocks[-1] >= depth:
+            blocks.pop()
+
+    at, length, last = 0, len(html), html.rfind(">") + 1
+    search, paragraphs = _token.search, depths["p"]
     while at < length:
-        here = path.nodes[-1]
-        m = _token.search(html, at, last)  # up to the last one every tag has an end
+        m = search(html, at, last)  # up to the last one every tag has an end
         if m is None:
-            here.parts.append(html[at:].partition("<!--")[0])
+            path[-1].parts.append(html[at:].partition("<!--")[0])
             break
-        if m.start() > at:
-            here.parts.append(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        start, end = m.span()
+        if start > at:
+            path[-1].parts.append(html[at:start])
+        at = end
+        closing, tag, attributes, closing2, tag2, attributes2 = m.groups()
         if tag is None:
-            if m[0] == "<!--":
-                end = html.find("-->", at)
-                at = length if end < 0 else end + 3
-            continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+            if tag2 is None:
+                if m[0] == "<!--":
+                    end = html.find("-->", at)
+                    at = length if end < 0 else end + 3
+                continue
+            closing, tag, attributes = closing2, tag2, attributes2
+        tag = tag.lower()
         if closing:
-            if depth := path.deepest((tag,)):
-                path.close(depth)
+            if depths[tag]:
+                close(depths[tag][-1])
             continue
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, at)
             if not attributes.endswith("/") or tag not in ("svg", "math"):
+                end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, at)
                 at = end.end() if end else length
             continue
-        if tag not in INLINE and here.tag not in ("#root", "body", "html"):
-            depth = path.deepest(("p",))  # a block ends an open paragraph
-            if depth > path.blocks[-1]:
-                path.close(depth)
+        inline = tag in INLINE
+        if not inline and paragraphs and paragraphs[-1] > blocks[-1] and path[-1].tag not in ("#root", "body", "html"):
+            close(paragraphs[-1])  # a block ends an open paragraph
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            while (depth := path.deepest(ends)) > path.deepest(stops):
-                path.close(depth)
-        here = path.nodes[-1]
-        node = Node(tag, here, marks_of(attributes))
+            while (depth := deepest(ends)) > deepest(stops):
+                close(depth)
+        here = path[-1]
+        node = Node(tag, here, marks_of(attributes) if attributes else NO_MARKS)
         here.parts.append(node)
         nodes.append(node)
         if tag not in VOID and not (attributes.endswith("/") and tag in ("path", "circle")):
-            path.open(node)
+            depths[tag].append(len(path))
+            if not inline and tag != "p":
+                blocks.append(len(path))
+            path.append(node)
     return root, nodes
 
 
