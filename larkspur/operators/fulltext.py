@@ -1,7 +1,7 @@
 """Full-text search: postings, corpus statistics, a small query language, BM25.
 
-At scale the postings are written once, bucketed by term (``write_postings``), so a query reads its terms' buckets alone. Only statistics of
-one row (documents, average length) and of the query's own terms are broadcast.
+These functions work on texts, in one pass over them. A standing corpus has a kept index (``textindex.TextIndex``), which reads the question's
+terms alone and gives the same rows. Only statistics of one row (documents, average length) and of the query's own terms are broadcast.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import MARKED, PLAIN, tokens
@@ -38,11 +38,6 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_postings(posts: DataFrame, name: str, buckets: int) -> None:
-    """Keep postings as a table bucketed and sorted by term: a filter on terms reads their buckets only."""
-    posts.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
-
-
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, dl): terms of each document."""
     return docs.select(key, F.size(tokens(F.col(text))).cast("long").alias("dl"))
@@ -53,6 +48,14 @@ def term_stats(posts: DataFrame, key: str = "doc_id") -> DataFrame:
     return posts.groupBy("term").agg(F.count(key).alias("df"), F.sum("tf").alias("cf"))
 
 
+def idf(n: Column, df: Column) -> Column:
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
+
+
+def saturated(f: Column, length: Column, mean: Column) -> Column:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+
+
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", weight: float = 1.0) -> DataFrame:
     """(key, score, n_terms) of the documents with any of the terms; statistics are of all ``docs``.
 
@@ -77,9 +80,8 @@ def bm25_fields(docs: DataFrame, terms: list[str], weights: dict[str, float], ke
     scored = counted.filter(reduce(lambda a, b: a | b, [F.col(f"__f{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(stats))
 
     def part(i: int) -> Column:
-        idf = F.greatest(F.log((F.col("__n") - F.col(f"__d{i}") + 0.5) / (F.col(f"__d{i}") + 0.5)), F.lit(IDF_FLOOR))
         f = F.col(f"__f{i}")
-        return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("__avg")))).otherwise(F.lit(0.0))
+        return F.when(f > 0, idf(F.col("__n"), F.col(f"__d{i}")) * saturated(f, F.col("dl"), F.col("__avg"))).otherwise(F.lit(0.0))
 
     score = reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))])
     matched = reduce(lambda a, b: a + b, [(F.col(f"__f{i}") > 0).cast("long") for i in range(len(terms))])
@@ -153,6 +155,16 @@ def _one(items):
     return items[0], items[1:]
 
 
+def leaves(tree) -> tuple[set[str], set[str]]:
+    """The whole words and the prefixes that a parsed query asks for."""
+    if tree[0] in ("and", "or", "not"):
+        parts = [leaves(t) for t in tree[1:]]
+        return set().union(*[w for w, _ in parts]), set().union(*[p for _, p in parts])
+    if tree[0] == "prefix":
+        return set(), {tree[2]}
+    return set(tree[1] if tree[0] == "near" else tree[2]), set()
+
+
 def condition(tree, columns: dict[str, Column]) -> Column:
     """A predicate over columns of term arrays."""
     kind = tree[0]
@@ -193,9 +205,3 @@ def match(docs: DataFrame, q: str, columns: dict[str, str]) -> DataFrame:
     named = {name: tokens(F.coalesce(F.col(c), F.lit(""))) for name, c in columns.items()}
     parsed = docs.withColumns({f"__{name}": c for name, c in named.items()})
     return parsed.filter(condition(parse(q), {name: F.col(f"__{name}") for name in named})).select(docs.columns)
-
-
-def index_tables(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, DataFrame]:
-    """The derived tables of an index: postings, lengths, term statistics."""
-    posts = postings(docs, key, text)
-    return {"postings": posts, "lengths": lengths(docs, key, text), "terms": term_stats(posts, key)}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.functions.vectors import cosine_similarity
 from larkspur.operators import fulltext
+from larkspur.operators.textindex import TextIndex
 
 # Fixed value of reciprocal-rank fusion.
 RRF = 60
@@ -57,12 +58,14 @@ def vector_top(docs: DataFrame, vecs: DataFrame, q: DataFrame, k: int) -> DataFr
     return fulltext.top(vector_scores(vecs.join(docs.select("doc_id"), "doc_id", "left_semi"), q), k)
 
 
-def lexical_top(corpus: DataFrame, found: DataFrame, terms: list[str], k: int, match_all: bool = False) -> DataFrame:
-    """The ``k`` best live documents by BM25; its statistics are of the whole corpus."""
-    scored = fulltext.bm25(corpus, terms)
+def lexical_top(corpus: DataFrame | TextIndex, found: DataFrame | None, terms: list[str], k: int, match_all: bool = False) -> DataFrame:
+    """The ``k`` best of the ``found`` documents (None: of all) by BM25; its statistics are of the whole corpus, texts or index."""
+    scored = corpus.bm25(terms) if isinstance(corpus, TextIndex) else fulltext.bm25(corpus, terms)
     if match_all:
         scored = scored.filter(F.col("n_terms") == len(terms))
-    return fulltext.top(scored.join(found.select("doc_id"), "doc_id", "left_semi").select("doc_id", "score"), k)
+    if found is not None:
+        scored = scored.join(found.select("doc_id"), "doc_id", "left_semi")
+    return fulltext.top(scored.select("doc_id", "score"), k)
 
 
 def ranked(hits: DataFrame, name: str) -> DataFrame:
@@ -89,22 +92,25 @@ def number(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
 
 
-def search(corpus: DataFrame, vecs: DataFrame, query: str, q: DataFrame, options: SearchOptions | None = None) -> DataFrame:
+def search(corpus: DataFrame, vecs: DataFrame, query: str, q: DataFrame, options: SearchOptions | None = None, index: TextIndex | None = None) -> DataFrame:
     """(doc_id, score, vector_score, fts_score, rank): recall twice as many by either way, fuse, cut, normalise, rank.
 
-    ``corpus``: doc_id, tenant, collection, path, text; ``vecs``: doc_id, embedding; ``q``: one row with the query's vector.
+    ``corpus``: doc_id, tenant, collection, path, text; ``vecs``: doc_id, embedding; ``q``: one row with the query's vector; ``index``: the corpus's
+    kept index, without which its texts are read.
     """
     o = options or SearchOptions()
     found, mode = live(corpus, o), MODES[o.mode]
     many = 2 * o.top_k
     nothing = F.lit(None).cast("double")
     terms = fulltext.query_terms(query)
+    filtered = o.tenant is not None or bool(o.path_prefix) or bool(o.collections)
+    texts, among = (corpus, found) if index is None else (index, found if filtered else None)
     if mode == "vector":
         hits = vector_top(found, vecs, q, many).select("doc_id", "score", F.col("score").alias("vector_score"), nothing.alias("fts_score"))
     elif mode == "fts":
-        hits = lexical_top(corpus, found, terms, many, o.match_all).select("doc_id", "score", nothing.alias("vector_score"), F.col("score").alias("fts_score"))
+        hits = lexical_top(texts, among, terms, many, o.match_all).select("doc_id", "score", nothing.alias("vector_score"), F.col("score").alias("fts_score"))
     else:
-        hits = rrf(vector_top(found, vecs, q, many), lexical_top(corpus, found, terms, many, o.match_all))
+        hits = rrf(vector_top(found, vecs, q, many), lexical_top(texts, among, terms, many, o.match_all))
     hits = normalise(hits.orderBy(F.desc("score"), "doc_id").limit(o.top_k)).withColumn("score", F.round("score", 6))
     if o.min_score is not None:
         hits = hits.filter(F.col("score") >= o.min_score)

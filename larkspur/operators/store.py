@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +55,8 @@ def transition(progress: DataFrame, path: str, status: str, error: str | None =
 
 
 def snapshot(spark: SparkSession, tables: dict[str, DataFrame], folder: str, at: datetime.datetime) -> str:
-    """Write all tables to a folder of the time's own and give its name. Readers see whole versions only."""
-    target = f"{folder.rstrip('/')}/{at:%Y%m%d_%H%M%S}"
+    """Write all tables to a folder of the time's own and give its name. Readers see whole versions only; snapshots of one second do not meet."""
+    target = f"{folder.rstrip('/')}/{at:%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
         df.write.parquet(f"{target}/{name}")
     return target
@@ -62,3 +64,59 @@ def snapshot(spark: SparkSession, tables: dict[str, DataFrame], folder: str, at:
 
 def restore(spark: SparkSession, target: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{target}/{name}")
+
+
+# --- folders and small files, on whatever store Spark reads
+
+_temporary: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where none is and Spark runs in this process alone, one temporary folder for the application, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return _temporary.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="larkspur-"))
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listing(spark: SparkSession, name: str) -> list[str]:
+    """Path, size and time of each file below a path, sorted."""
+    path, fs = _path(spark, name)
+    found, out = fs.listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append(f"{f.getPath()}\t{f.getLen()}\t{f.getModificationTime()}")
+    return sorted(out)
+
+
+def read_text(spark: SparkSession, name: str) -> str | None:
+    """The first line of a small file; None if there is no such file or nothing in it."""
+    path, fs = _path(spark, name)
+    if not fs.exists(path):
+        return None
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(path)))
+    try:
+        return reader.readLine()
+    finally:
+        reader.close()
+
+
+def create_once(spark: SparkSession, name: str, text: str) -> bool:
+    """Write a small file that must not exist yet; False if it did."""
+    path, fs = _path(spark, name)
+    try:
+        out = fs.create(path, False)
+    except Exception as error:  # the gateway wraps the store's own error
+        if fs.exists(path):
+            return False
+        raise error
+    out.write(text.encode())
+    out.close()
+    return True

@@ -9,7 +9,7 @@ from larkspur.operators import chunkers as C
 from larkspur.operators import context as G
 from larkspur.operators import folds
 from larkspur.operators import search as S
-from larkspur.plans.registry import DOCS, documents, query, table
+from larkspur.plans.registry import DOCS, documents, query, table, text_index
 from larkspur.plans.scalars import smart_sql
 from larkspur.plans.search import BMR, TERMS, both_kinds, tokens_sql, top_sql
 
@@ -135,7 +135,7 @@ def context_sql(budget: int) -> str:
 
 def text_hits(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    hits = S.number(S.lexical_top(docs, docs, TERMS, 50))
+    hits = S.number(S.lexical_top(text_index(spark, sf_dir), None, TERMS, 50))
     return docs.join(F.broadcast(hits), "doc_id").select("rank", F.col("text").alias("content"), T.token_estimate(F.col("text")).alias("token_count"))
 
 

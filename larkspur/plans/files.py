@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import tempfile
+import uuid
 import zipfile
 import zlib
 
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.operators import embed
+from larkspur.operators import embed, store
 from larkspur.plans.registry import documents, query, table
 from larkspur.sources.codecs import docx_text as decode_docx
 from larkspur.sources.codecs import pdf_text as decode_pdf
@@ -58,7 +58,7 @@ def pdf_text(spark, sf_dir):
 @query("stream_index")
 def stream_index(spark, sf_dir):
     """Pages written as files, then indexed by the directory stream."""
-    folder = tempfile.mkdtemp(prefix="stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{id(spark)}"
+    folder = f"{store.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, sf_dir, "pages").select(F.regexp_replace("html", "[\r\n]+", " ").alias("value")).repartition(4).write.mode("overwrite").text(f"{folder}/in")
     index.watch(spark, f"{folder}/in", index.write_version(f"{folder}/out"), f"{folder}/state").awaitTermination()
     return index.current(spark, f"{folder}/out").select("chunk", "chunk_id", "token_count")

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators import store
+from larkspur.operators.textindex import TextIndex, digest_of
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -38,6 +41,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fields of the corpus's kept index, the text first.
+FIELDS = {"text": "text", "collection": "collection", "path": "path"}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The kept index of the corpus: built by the first question that needs it, and used as long as the table's files stay as they are."""
+    folder = f"{store.shared_folder(spark)}/text-index/{digest_of(spark, f'{sf_dir}/documents.parquet')}"
+    return TextIndex.kept(spark, folder, lambda: documents(spark, sf_dir), FIELDS)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the corpus: a vector belongs to the document of its id."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.operators import fulltext as X
 from larkspur.operators import search as S
-from larkspur.plans.registry import DOCS, VECS, documents, query, table, vectors
+from larkspur.plans.registry import DOCS, VECS, documents, query, table, text_index, vectors
 
 ASK = "was for pathetic"
 TERMS = X.query_terms(ASK)
@@ -45,11 +45,11 @@ def probe(spark, sf_dir):
 
 
 def hybrid(spark, sf_dir, **options):
-    return S.search(documents(spark, sf_dir), vectors(spark, sf_dir), ASK, probe(spark, sf_dir), S.SearchOptions(**({"top_k": K} | options)))
+    return S.search(documents(spark, sf_dir), vectors(spark, sf_dir), ASK, probe(spark, sf_dir), S.SearchOptions(**({"top_k": K} | options)), text_index(spark, sf_dir))
 
 
 def bm25(spark, sf_dir):
-    return X.bm25(documents(spark, sf_dir), TERMS)
+    return text_index(spark, sf_dir).bm25(TERMS)
 
 
 @query("fts_tokenize", f"WITH {TOK} SELECT doc_id, len(terms)::BIGINT AS n, sha256(array_to_string(terms, ' ')) AS digest FROM tok")
@@ -88,8 +88,7 @@ def fts_topk(spark, sf_dir):
 @query("bm25_tenant", f"WITH {BMR} SELECT doc_id, score FROM bmr JOIN docs USING (doc_id) WHERE tenant = 'fr' ORDER BY score DESC, doc_id LIMIT 20")
 @query("tenant_filtered_search", f"WITH {BMR} SELECT doc_id, score FROM bmr JOIN docs USING (doc_id) WHERE tenant = 'fr' ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_tenant(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return S.lexical_top(docs, S.live(docs, S.SearchOptions(tenant="fr")), TERMS, 20)
+    return S.lexical_top(text_index(spark, sf_dir), S.live(documents(spark, sf_dir), S.SearchOptions(tenant="fr")), TERMS, 20)
 
 
 @query(
@@ -100,13 +99,13 @@ def bm25_tenant(spark, sf_dir):
     SELECT doc_id, round({' + '.join(f'greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / a))' for i in range(2))}, 6) AS score FROM cnt, st WHERE f0 > 0 OR f1 > 0 ORDER BY score DESC, doc_id LIMIT 20""",
 )
 def bm25_multicolumn(spark, sf_dir):
-    return X.top(X.bm25_fields(documents(spark, sf_dir), ["src3", "was"], {"text": 1.0, "collection": 2.0, "path": 1.0}).select("doc_id", "score"), 20)
+    return X.top(text_index(spark, sf_dir).bm25(["src3", "was"], {"text": 1.0, "collection": 2.0, "path": 1.0}).select("doc_id", "score"), 20)
 
 
 def matching(name: str, q: str, sql: str):
     @query(name, f"WITH {DOCS}, t AS (SELECT doc_id, {tokens_sql('text')} AS terms, {tokens_sql('collection')} AS col FROM docs) SELECT doc_id FROM t WHERE {sql}")
     def run(spark, sf_dir):
-        return X.match(documents(spark, sf_dir), q, {"text": "text", "collection": "collection"}).select("doc_id")
+        return text_index(spark, sf_dir).match(q, ("text", "collection"))
 
 
 matching("fts_match_and", "was Pathetic", "list_contains(terms, 'was') AND list_contains(terms, 'pathetic')")
@@ -125,7 +124,7 @@ matching(
 @query("fts_join_search", f"WITH {BMR}, h AS (SELECT doc_id, score FROM bmr WHERE n_terms = {len(TERMS)} ORDER BY score DESC, doc_id LIMIT 20) SELECT doc_id, score, tenant, collection, path FROM h JOIN docs USING (doc_id)")
 def fts_join_search(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    hits = S.lexical_top(docs, docs, TERMS, 20, match_all=True)
+    hits = S.lexical_top(text_index(spark, sf_dir), None, TERMS, 20, match_all=True)
     return docs.select("doc_id", "tenant", "collection", "path").join(F.broadcast(hits), "doc_id")
 
 
@@ -165,7 +164,7 @@ def enrich_with_fallback(spark, sf_dir):
 @query("rrf_full_outer", f"WITH {HYBRID} SELECT doc_id, score, vector_score, fts_score FROM fused")
 def rrf_full_outer(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return S.rrf(S.vector_top(docs, vectors(spark, sf_dir), probe(spark, sf_dir), 2 * K), S.lexical_top(docs, docs, TERMS, 2 * K))
+    return S.rrf(S.vector_top(docs, vectors(spark, sf_dir), probe(spark, sf_dir), 2 * K), S.lexical_top(text_index(spark, sf_dir), None, TERMS, 2 * K))
 
 
 @query("hybrid_rrf_search", f"WITH {HYBRID} SELECT doc_id, score, vector_score, fts_score, rank FROM hits")
@@ -244,7 +243,7 @@ cb AS (SELECT *, 0.5e0 * list_sum(list_transform({_Q}, lambda w: CASE WHEN strle
 
 def candidates(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    hits = S.lexical_top(docs, docs, TERMS, 20)
+    hits = S.lexical_top(text_index(spark, sf_dir), None, TERMS, 20)
     found = S.enrich(hits, docs)
     return found.select("doc_id", "score", F.col("collection").alias("heading"), F.col("text").alias("content"), (F.col("doc_id") % 80).alias("line_start"))
 

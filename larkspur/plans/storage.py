@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -243,9 +242,7 @@ def vector_codec_roundtrip(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    """A folder that the cluster shares; a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/tables" if shared else tempfile.mkdtemp(prefix="tables-")
+    return f"{store.shared_folder(spark)}/tables"
 
 
 @query("vector_index_roundtrip", f"WITH {VECS} SELECT label::INT AS label, count(*) AS n, round(sum(embedding[1]::DOUBLE), 6) AS total FROM vecs GROUP BY label")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 import math
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.functions import vectors as V
 from larkspur.operators import chunkers, context, embed, folds, fulltext, quantise, search, store
+from larkspur.operators.textindex import TextIndex
 from larkspur.plans.files import docx_bytes, pdf_bytes
 from larkspur.plans.registry import vectors
 from larkspur.sources import codecs
@@ -172,16 +174,45 @@ def test_stream_indexes_new_files_once(spark, tmp_path):
     assert index.scan(spark, str(folder)).count() == 2
 
 
-def test_postings_table(spark, sf_dir):
-    from larkspur.plans.registry import documents
-
-    docs = documents(spark, sf_dir).limit(20)
-    spark.sql("DROP TABLE IF EXISTS larkspur_postings")
-    fulltext.write_postings(fulltext.postings(docs), "larkspur_postings", 4)
-    one_term = spark.table("larkspur_postings").filter("term = 'the'")
-    assert "EqualTo(term,the)" in one_term._jdf.queryExecution().toString()
-    assert one_term.count() == fulltext.postings(docs).filter("term = 'the'").count()
-    spark.sql("DROP TABLE larkspur_postings")
+def indexed_corpus(spark, folder):
+    words = "oak elm fir ash yew oakley".split()
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12))), f"src {rng.choice(words)}") for k in range(120)] + [(500, None, None), (501, "", "oak"), (502, "Oak, OAK! Élan élan", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, collection string").repartition(3)
+    return docs, TextIndex.kept(spark, folder, lambda: docs, {"text": "text", "collection": "collection"})
+
+
+def test_the_kept_index_answers_like_the_texts(spark, tmp_path):
+    docs, index = indexed_corpus(spark, str(tmp_path / "index"))
+    for terms in (["oak"], ["oak", "elm", "none"], ["elan"], []):
+        for weights in ({"text": 1.0}, {"text": 1.0, "collection": 2.0}):
+            want = {tuple(r)[:1]: tuple(r)[1:] for r in fulltext.bm25_fields(docs, terms, weights).collect()}
+            got = {tuple(r)[:1]: tuple(r)[1:] for r in index.bm25(terms, weights).collect()}
+            assert got.keys() == want.keys()
+            assert all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
+    both = {"text": "text", "collection": "collection"}
+    for q in ("oak elm", "oak OR yew", "oak NOT (elm OR ash)", '"oak elm"', '"oak elm fir"', "oak* fir", "collection:oak", 'collection:"src oak" ash', "NEAR(oak ash, 2)", "NEAR(elm, 3)", "zzz* OR elan"):
+        assert {r[0] for r in index.match(q).collect()} == {r[0] for r in fulltext.match(docs, q, both).select("doc_id").collect()}, q
+    assert {r[0] for r in index.match("oak", ("collection",)).collect()} == {r[0] for r in fulltext.match(docs, "collection:oak", both).select("doc_id").collect()}
+    assert {tuple(r) for r in index.terms().filter("field = 'text'").select("term", "df", "cf").collect()} == {tuple(r) for r in fulltext.term_stats(fulltext.postings(docs)).collect()}
+
+
+def test_a_question_reads_its_terms_only(spark, tmp_path):
+    _, index = indexed_corpus(spark, str(tmp_path / "index"))
+    plan = index.postings(["oak"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,oak)" in plan
+    assert "StringStartsWith(term,oak)" in index.prefixed("oak")._jdf.queryExecution().toString()
+
+
+def test_an_index_is_built_once_and_of_two_builders_one_wins(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    _, index = indexed_corpus(spark, folder)
+    again = TextIndex.kept(spark, folder, lambda: pytest.fail("built again"), {"text": "text", "collection": "collection"})
+    assert again.folder == index.folder
+    assert not store.create_once(spark, f"{folder}/CURRENT", "other") and store.read_text(spark, f"{folder}/CURRENT") == index.folder.rsplit("/", 1)[1]
+    assert store.read_text(spark, f"{folder}/missing") is None
+    empty = TextIndex.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "empty"), {"text": "text"})
+    assert empty.bm25(["oak"]).count() == 0 and empty.match("oak").count() == 0
 
 
 def test_keys_of_all_users_and_events_equal_brute_force(spark, tmp_path):
