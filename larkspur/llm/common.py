@@ -85,6 +85,27 @@ class WordCache(dict):
         return value
 
 
+class BatchCache(dict):
+    """Values by word, computed for many missing words at once; forgets its older half when it is full, and long words are never kept."""
+
+    def __init__(self, compute: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
+        super().__init__()
+        self.compute, self.entries = compute, entries
+
+    def many(self, words: list[str]) -> list:
+        """The values of distinct words."""
+        found = list(map(self.get, words))
+        missing = [w for w, x in zip(words, found) if x is None]
+        if missing:
+            made = dict(zip(missing, self.compute(missing)))
+            if len(self) + len(made) > self.entries:
+                for old in list(self)[: self.entries // 2]:
+                    del self[old]
+            self.update((w, x) for w, x in made.items() if len(w) <= CACHE_KEY)
+            found = [made[w] if x is None else x for w, x in zip(words, found)]
+        return found
+
+
 def chunk_slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_rows: int = CHUNK_ROWS, most_chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of bounded rows and bounded text."""
     for batch in batches:
@@ -114,7 +135,9 @@ def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most_rows
         yield listed(part, text, part.schema.names)
 
 
-def map_chunks(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | StructType, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
+def map_chunks(
+    df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | StructType, text: str = "text", keep: Iterable[str] = (), most_rows: int = CHUNK_ROWS, most_chars: int = CHUNK_CHARS
+) -> DataFrame:
     """Map bounded chunks of ``df`` with the function that ``make()`` builds once per Python worker task.
 
     No shuffle: each input split becomes output rows in the task that reads it. Columns in ``keep`` pass as they are.
@@ -125,7 +148,7 @@ def map_chunks(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
 
     def run(batches):
         work = make()
-        for part in chunk_slices(batches, text):
+        for part in chunk_slices(batches, text, most_rows, most_chars):
             out = work(listed(part, text, wanted))
             yield pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) if f.name in kept else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

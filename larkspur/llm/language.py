@@ -21,7 +21,6 @@ import hashlib
 import math
 import pickle
 import re
-import struct
 import unicodedata
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -30,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import FIT_BYTES, WordCache, bounded_sample, map_chunks, table
+from larkspur.llm.common import FIT_BYTES, BatchCache, bounded_sample, distinct_words, gathered, map_chunks, table
 
 FIT_ROWS = 4000
 FOLDS, HELD_OUT = 5, 0
@@ -72,22 +71,25 @@ class Model:
                 for gram in trigrams(word):
                     counts[gram][i] += n
         totals = [sum(c[i] for c in counts.values()) for i in range(len(place))]
-        self.floor = [math.log(0.5 / (t + 0.5 * len(counts) + 1)) for t in totals]
+        floor = [math.log(0.5 / (t + 0.5 * len(counts) + 1)) for t in totals]
         size = 0.5 * len(counts) + 1
-        self.grams = {g: [math.log((n + 0.5) / (t + size)) for n, t in zip(c, totals)] for g, c in counts.items()}
-        self.allowed: dict[str, list[bool]] = {}
+        # row 0 is for unknown trigrams
+        self.grams = {g: i for i, g in enumerate(counts, 1)}
+        self.table = np.array([floor, *([math.log((n + 0.5) / (t + size)) for n, t in zip(c, totals)] for c in counts.values())]).reshape(1 + len(counts), len(place))
+        self.allowed: dict[str, np.ndarray] = {}
         for name in {s for c in scripts for s in c}:
-            self.allowed[name] = [c[name] >= SCRIPT_SHARE * max(1, sum(c.values())) for c in scripts]
+            self.allowed[name] = np.array([c[name] >= SCRIPT_SHARE * max(1, sum(c.values())) for c in scripts])
 
-    def scores(self, word: str) -> list[float]:
-        """Log-likelihood by language; languages that do not use the word's script are far below the others."""
-        get, floor = self.grams.get, self.floor
-        total = [*map(sum, zip(*[get(gram, floor) for gram in trigrams(word)]))]
-        fits = self.allowed.get(script_of(word))
-        if fits is not None and any(fits):
-            worst = min(total) - 2 * PENALTY
-            total = [t if ok else worst for t, ok in zip(total, fits)]
-        return total
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word (at least one) by language; languages that do not use the word's script are far below the others."""
+        get = self.grams.get
+        padded = [f"^{w}$" for w in words]
+        places = np.array([get(p[i : i + 3], 0) for p in padded for i in range(len(p) - 2)])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.add.reduceat(self.table[places], np.cumsum(sizes) - sizes, axis=0)
+        anything = np.ones(out.shape[1], bool)
+        fits = np.array([f if (f := self.allowed.get(script_of(w), anything)).any() else anything for w in words])
+        return np.where(fits, out, out.min(axis=1, keepdims=True) - 2 * PENALTY)
 
 
 def trigrams(word: str) -> list[str]:
@@ -105,19 +107,21 @@ def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     # of the text; so none pays if an inner one gains no more than a change costs and the two at the ends less together
     if (total - np.minimum.accumulate(total, axis=0)).max() <= penalty and total.max() + (total[-1] - total).max() < penalty:
         return np.full(n, best)
-    came = np.zeros((n, languages), np.int64)
-    value = scores[0].copy()
-    own = np.arange(languages)
-    for k in range(1, n):
-        top = int(value.argmax())
-        switch = value[top] - penalty > value
-        came[k] = np.where(switch, top, own)
-        value = np.where(switch, value[top] - penalty, value) + scores[k]
-    path = np.empty(n, np.int64)
-    path[-1] = value.argmax()
-    for k in range(n - 1, 0, -1):
-        path[k - 1] = came[k, path[k]]
-    return path
+    rows = scores.tolist()
+    value, before = rows[0], []
+    for row in rows[1:]:
+        before.append(value)
+        least = max(value) - penalty  # a language below it is left for the best one
+        value = [(v if v >= least else least) + s for v, s in zip(value, row)]
+    path = [value.index(max(value))]
+    for value in reversed(before):
+        k, top = path[-1], max(value)
+        path.append(k if value[k] >= top - penalty else value.index(top))
+    return np.array(path[::-1])
+
+
+#: Rows and code points that are labelled at once.
+ROWS, CHARS = 4096, 4_000_000
 
 
 class Labeller:
@@ -125,28 +129,39 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.width = model, 1 + len(model.languages)
-        self.pack = struct.Struct(f"{self.width}d").pack
-        self.cache = WordCache(self._entry)
+        self.cache = BatchCache(self._entries)
 
-    def _entry(self, token: str) -> bytes:
+    def _entries(self, tokens: list[str]) -> list[bytes]:
         """Letters, then the scores of the languages; empty where there is no letter."""
-        words = _letters(token)
+        found = [_letters(t) for t in tokens]
+        words = [w for f in found for w in f]
         if not words:
-            return b""
-        scores = self.model.scores(words[0]) if len(words) == 1 else map(sum, zip(*map(self.model.scores, words)))
-        return self.pack(sum(map(len, words)), *scores)
-
-    def table_of(self, text: str) -> np.ndarray:
-        cache = self.cache
-        return np.frombuffer(b"".join([cache[w] for w in text.lower().split()])).reshape(-1, self.width)
+            return [b""] * len(tokens)
+        rows = np.column_stack([np.fromiter(map(len, words), float, len(words)), self.model.scores(words)])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        some = sizes > 0
+        data = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[some], axis=0).tobytes()
+        wide = 8 * self.width
+        ends = (np.cumsum(some) * wide).tolist()
+        return [data[e - wide : e] if n else b"" for n, e in zip(sizes.tolist(), ends)]
+
+    def tables_of(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text the rows (letters, scores of the languages) of its words with letters; a word is looked up once for all texts."""
+        words, numbers, offsets = distinct_words([t.lower() for t in texts])
+        rows, ends = gathered(self.cache.many(words), numbers, 8 * self.width)
+        places, rows = ends[offsets].tolist(), rows.view(np.float64).reshape(-1, self.width)
+        return [rows[a:b] for a, b in zip(places, places[1:])]
 
     def label(self, text: str) -> tuple[str, float]:
-        """(language, score): the score is its share of the letters times its posterior over those words."""
+        return self.labels([text])[0]
+
+    def labels(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, score) of each text: the score is its share of the letters times its posterior over those words."""
         if self.width == 1:
-            return UNDETERMINED, 0.0
-        rows = self.table_of(text)
-        if not len(rows):
-            return UNDETERMINED, 0.0
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        return [self._label(rows) if len(rows) else (UNDETERMINED, 0.0) for rows in self.tables_of(texts)]
+
+    def _label(self, rows: np.ndarray) -> tuple[str, float]:
         path = best_path(rows[:, 1:])
         letters = np.bincount(path, weights=rows[:, 0], minlength=self.width - 1)
         best = int(letters.argmax())
@@ -157,10 +172,12 @@ class Labeller:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, language) of maximal stretches, in code points, from the first letter-bearing word to the last."""
         lowered = text.lower() if len(text.lower()) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
-        places = [(m.start(), m.end()) for m in re.finditer(r"\S+", lowered) if self.cache[m[0]]]
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", lowered)]
+        entries = dict(zip(words := list({lowered[a:b] for a, b in tokens}), self.cache.many(words)))
+        places = [(a, b) for a, b in tokens if entries[lowered[a:b]]]
         if not places or self.width == 1:
             return []
-        path = best_path(np.frombuffer(b"".join([self.cache[lowered[a:b]] for a, b in places])).reshape(-1, self.width)[:, 1:])
+        path = best_path(np.frombuffer(b"".join([entries[lowered[a:b]] for a, b in places])).reshape(-1, self.width)[:, 1:])
         out: list[tuple[int, int, str]] = []
         for (a, b), k in zip(places, path.tolist()):
             name = self.model.languages[k]
@@ -203,13 +220,13 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         by = labeller(digest, sent.value)
 
         def work(rows):
-            found = [by.label(t) for t in rows["text"]]
+            found = by.labels(rows["text"])
             return {"doc_id": rows["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
         return work
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = map_chunks(docs, make, "doc_id long, lang_pred string, score double")
+    named = map_chunks(docs, make, "doc_id long, lang_pred string, score double", most_rows=ROWS, most_chars=CHARS)
     return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
