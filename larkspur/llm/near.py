@@ -4,7 +4,7 @@
 2. A set is embedded as MINHASHES (place, value) tokens. In each of several independent runs a set chooses tokens by a hash that all sets
    share, each with probability 1 / (threshold * tokens); a chosen token is a path, and its sets are a bucket.
    A pair at the threshold meets in a run with probability 1 - 1/e at least; the runs repeat until the target recall.
-3. Buckets of LEAF sets or fewer are compared by brute force on the embedded tokens. In a larger one all sets are compared with one
+3. Buckets of LEAF sets or fewer are compared by brute force on the embedded tokens, in blocks of SIDE sets by SIDE. In a larger one all sets are compared with one
    pivot and linked to it where they are near. Sets very near to it are done (what is near to them is linked to the pivot, too); if few are not
    near, they are compared with the others in blocks; else all choose further tokens under the bucket's path, and
    so on until no bucket is large.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import U, WordCache, cut_lineage, map_chunks, mix, shuffle_partitions, table
@@ -33,8 +33,8 @@ from larkspur.llm.components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MINHASHES = 64
-#: Sets that a bucket may have to be compared by brute force; sets of one side of a block.
-LEAF, BLOCK = 4096, 400
+#: Sets that a bucket may have to be compared by brute force; sets of one side of a block of signatures, and of one of texts.
+LEAF, SIDE, BLOCK = 4096, 512, 400
 #: Agreement of embedded tokens (standard error 0.05) from which two sets are candidates, and from which one is done with its pivot.
 CANDIDATE, DONE = 0.58, 0.92
 #: Below the first level a set chooses that many times the tokens, so that a pair parts less often; above 1.25 crowds of like sets multiply.
@@ -156,34 +156,51 @@ def forest(n: int, pairs) -> list[int]:
     return [root(x) for x in range(n)]
 
 
-def agreeing(sigs: np.ndarray, least: float) -> np.ndarray:
-    """Pairs (i < j) whose tokens agree in the share ``least`` at least."""
+def agreeing(sigs: np.ndarray, sides: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (i < j) whose tokens agree in the share ``least`` at least; where there are two sides, pairs across only."""
     found = []
     for i in range(len(sigs) - 1):
-        near = np.flatnonzero((sigs[i + 1 :] == sigs[i]).sum(axis=1) >= least * MINHASHES)
-        if len(near):
-            found.append(np.column_stack([np.full(len(near), i), near + i + 1]))
+        near = (sigs[i + 1 :] == sigs[i]).sum(axis=1) >= least * MINHASHES
+        if sides[i]:
+            near &= sides[i + 1 :] != sides[i]
+        at = np.flatnonzero(near)
+        if len(at):
+            found.append(np.column_stack([np.full(len(at), i), at + i + 1]))
     return np.concatenate(found) if found else np.empty((0, 2), int)
 
 
+def dealt(rows: DataFrame, group: str, item: str, blocks: Column) -> DataFrame:
+    """The rows with (bucket, side) instead of their group, so that any two items of a group of several blocks meet in one bucket.
+
+    A bucket is one block (side 0) or two (sides 1 and 2); an item is in as many buckets as its group has blocks.
+    """
+    block = F.pmod(F.xxhash64(item), F.col("__blocks"))
+    spread = rows.withColumn("__blocks", blocks.cast("long")).withColumn("__block", block).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    low, high = F.least("__block", "__other"), F.greatest("__block", "__other")
+    side = F.when(low == high, 0).when(F.col("__block") == low, 1).otherwise(2)
+    return spread.select(F.xxhash64(F.col(group), low, high).alias("bucket"), side.alias("side"), *[c for c in rows.columns if c != group])
+
+
 def _emit(rows: list[tuple], names: str) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(names.split())
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names.split())
 
 
-def leaf_edges(members: DataFrame, parts: int) -> DataFrame:
-    """Spanning edges (a, b) of the candidates within each leaf, from rows (leaf, doc, sig)."""
+def leaf_edges(members: DataFrame, sigs: DataFrame, parts: int) -> DataFrame:
+    """Edges (a, b) that span the candidates within each leaf, from rows (leaf, doc) and (doc, sig)."""
 
     def run(batches):
-        for group in grouped(batches, "leaf"):
+        for group in grouped(batches, "bucket"):
             order = sorted(range(len(group["doc"])), key=group["doc"].__getitem__)
-            docs = [group["doc"][i] for i in order]
-            sigs = np.frombuffer(b"".join([group["sig"][i] for i in order]), np.uint16).reshape(-1, MINHASHES)
-            roots = forest(len(docs), agreeing(sigs, CANDIDATE).tolist())
+            docs, sides = [group["doc"][i] for i in order], np.array([group["side"][i] for i in order])
+            agree = agreeing(np.frombuffer(b"".join([group["sig"][i] for i in order]), np.uint16).reshape(-1, MINHASHES), sides, CANDIDATE)
+            roots = forest(len(docs), agree.tolist())
             if rows := [(docs[i], docs[r]) for i, r in enumerate(roots) if r != i]:
                 yield _emit(rows, "a b")
 
-    return members.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long")
+    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    blocks = dealt(members.join(sizes, "leaf"), "leaf", "doc", F.ceil(F.col("n") / SIDE)).drop("n")
+    return blocks.join(sigs, "doc").select("bucket", "side", "doc", "sig").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 def against_pivots(large: DataFrame, threshold: float) -> DataFrame:
@@ -215,8 +232,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, parts: int) -> DataFrame
         leaves = crowd.filter(F.col("n") <= LEAF).groupBy("path").agg(F.sort_array(F.collect_set("doc")).alias("docs"))
         # runs often gather the same sets again; equal leaves are compared once
         leaves = leaves.groupBy(F.xxhash64("docs").alias("leaf"), F.xxhash64(F.lit(7), "docs").alias("check")).agg(F.first("docs").alias("docs"))
-        members = leaves.select("leaf", F.explode("docs").alias("doc")).join(sigs, "doc")
-        found = leaf_edges(members, parts)
+        found = leaf_edges(leaves.select("leaf", F.explode("docs").alias("doc")), sigs, parts)
         edges = found if edges is None else edges.unionByName(found)
         heavy = crowd.filter(F.col("n") > LEAF).select("path", "doc")
         if heavy.isEmpty():
@@ -235,7 +251,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, parts: int) -> DataFrame
         blocks = F.greatest(F.ceil(F.col("beside") / LEAF), F.lit(1)).cast("long")
         block = F.when(apart, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), blocks)))
         few = left.filter(F.col("apart") <= LEAF).withColumn("block", F.explode(block)).select(F.xxhash64("path", "block").alias("leaf"), "doc")
-        edges = edges.unionByName(leaf_edges(few.join(sigs, "doc"), parts))
+        edges = edges.unionByName(leaf_edges(few, sigs, parts))
         rows = left.filter(F.col("apart") > LEAF).select(F.explode("further").alias("path"), "doc").distinct()
 
 
@@ -318,20 +334,8 @@ def classed_documents(documents: DataFrame, words: int = WORDS, threshold: float
     texts = texts.filter("not nameless").unionByName(texts.filter("nameless").groupBy("nameless", "doc").agg(F.first("text").alias("text")))
     texts = texts.join(classed, ["nameless", "doc"]).drop("nameless").withColumn("doc", F.col("node"))
     # a class of several blocks meets in every pair of its blocks, a class of one block in that
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = (
-        texts.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .select(
-            F.xxhash64("label", "low", "high").alias("bucket"),
-            (F.col("low") != F.col("high")).cast("int").alias("two"),
-            (F.col("block") == F.col("high")).cast("int").alias("upper"),
-            "doc", "node", "copies", (F.col("blocks") > 1).cast("int").alias("many"), "text",
-        )
-        .select("bucket", (F.col("two") * (1 + F.col("upper"))).alias("side"), "doc", "node", "copies", "many", "text")
-    )
-    links = cut_lineage(exact_links(dealt, words, threshold, parts))
+    blocks = dealt(texts.select("label", "doc", "node", "copies", (F.col("blocks") > 1).cast("int").alias("many"), "text", "blocks"), "label", "node", F.col("blocks")).drop("blocks")
+    links = cut_lineage(exact_links(blocks, words, threshold, parts))
     found = links.groupBy("doc").agg(F.min("label").alias("label"), F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     spread = links.filter("many = 1")
     if not spread.isEmpty():

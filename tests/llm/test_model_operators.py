@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 import zlib
@@ -67,9 +68,39 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_near_duplicates_with_small_buckets_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(near, "LEAF", 6)
     monkeypatch.setattr(near, "BLOCK", 3)
+    monkeypatch.setattr(near, "SIDE", 2)
     check_classes(spark, crowd())
 
 
+def all_links(texts: list[str], threshold=0.8) -> dict[int, int]:
+    """Number of texts at the threshold or above for each text: every pair that shares one of its rarest shingles is compared, which misses none."""
+    sets = [near.shingles(t).tolist() for t in texts]
+    often = Counter(x for s in sets for x in s)
+    holders, links = {}, dict.fromkeys(range(len(sets)), 0)
+    as_sets = [set(s) for s in sets]
+    for i, s in enumerate(sets):
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
+        for j in {j for x in rare for j in holders.get(x, ())}:
+            both = len(as_sets[i] & as_sets[j])
+            if both >= threshold * (len(s) + len(sets[j]) - both) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+        for x in rare:
+            holders.setdefault(x, []).append(i)
+    return links
+
+
+@pytest.mark.parametrize("leaf", [4096, 16])
+def test_near_duplicates_find_all_links_of_the_table(spark, monkeypatch, leaf):
+    """On the table no link is lost, also where buckets are split again and again."""
+    monkeypatch.setattr(near, "LEAF", leaf)
+    documents = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
+    want = all_links([t or "" for _, t in rows])
+    got = {r["doc_id"]: r["n_links"] for r in near.near_duplicates(documents).collect()}
+    assert sum(want.values()) > 150 and [got[i] for i, _ in rows] == [want[k] for k in range(len(rows))]
+
+
 def test_near_duplicates_on_edge_cases(edge):
     rows = near.near_duplicates(edge).collect()
     assert len(rows) == edge.count()
