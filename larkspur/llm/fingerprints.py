@@ -7,13 +7,15 @@ added to three cells of count, key and check sums. The fingerprint is the table
 
 Two versions' tables subtract cell by cell; what both hold cancels. Peeling then recovers the differing digests: a cell whose count is one
 and whose check fits its key gives a digest, which is taken out of its other cells. If peeling gets stuck, both sides retry with GROWTH
-times the cells until it succeeds. From the differing digests the likeness follows: shared digests / all digests.
+times the cells until it succeeds (or, where tables many times larger than the digests do not help, as two equal digests on one side would have it, the
+digests are counted). From the differing digests the likeness follows: shared digests / all digests.
 
 Neighbours in order of doc_id meet by a range partitioning whose bounds are ids of the table, so that each range's first row is
-known and goes to the range before it, too; no range is larger than the others and no row is collected.
+known and goes to the range before it, too. An id that many rows share (null, say) has several ranges, by a hash of the text. Each range is one
+partition; no range is larger than the others (but for equal rows) and no row is collected.
 
 Defined results: null text counts as empty; two texts without paragraphs are alike (1), one without is unlike any other (0); a null doc_id
-comes before all others; rows of one doc_id are in order of their texts, and a repeated row is its own neighbour's equal; the only row
+comes before all others; rows of one doc_id are in order of a hash of their texts, and a repeated row is its own neighbour's equal; the only row
 of a table is its own next; other columns are ignored; an empty table gives no rows.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +155,12 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     shared = np.zeros(len(a), np.int64)
     todo, cells = np.arange(len(a)), BASE
+    enough = GROWTH**2 * (int((size_a + size_b).max(initial=0)) + BASE)  # tables in which peeling fails for equal keys on one side only
     while len(todo):
+        if cells > enough:
+            for i in todo:
+                shared[i] = sum((Counter(a[i].tolist()) & Counter(b[i].tolist())).values())
+            break
         tables = Tables(len(todo), cells)
         tables.add(*spread([a[i] for i in todo]), 1)
         tables.add(*spread([b[i] for i in todo]), -1)
@@ -190,38 +198,83 @@ def _rows(keys: list[int], texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
+class Ranges:
+    """Ranges of (key, hash) by bounds that begin them; range 0 has none."""
+
+    def __init__(self, cuts: list[int], least: int):
+        self.least, bounds = least, []
+        often = Counter(cuts)
+        for c, n in sorted(often.items()):
+            if c > least:
+                bounds.append((c, NULL_ID))
+            # a key that is several cuts holds so many ranges' rows
+            bounds += [(c, NULL_ID + k * 2**64 // n) for k in range(1, n)]
+        self.keys, self.hashes = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
+        self.hot = sorted(c for c, n in often.items() if n > 1)
+        self.last = len(bounds)
+
+    def of(self, key: np.ndarray, digest: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.keys, key, side="left")
+        for c in np.unique(key[np.isin(key, self.keys)]):
+            low, high = np.searchsorted(self.keys, c, side="left"), np.searchsorted(self.keys, c, side="right")
+            at = key == c
+            out[at] += np.searchsorted(self.hashes[low:high], digest[at], side="right")
+        return out.astype(np.int32)
+
+
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
     """SCHEMA for each document and its version edited with the next one. One shuffle of the texts."""
     spark = documents.sparkSession
     parts = shuffle_partitions(spark)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text).alias("digest"), text.alias("text"))
     cuts = F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts) if parts > 1 else F.array(F.lit(None).cast("long"))
     facts = docs.agg(F.min("key").alias("least"), cuts.alias("cuts")).first()
     if facts["least"] is None:
         return spark.createDataFrame([], SCHEMA)
-    least = facts["least"]
-    # a bound is the id of its range's first row
-    bounds = np.array(sorted({x for x in facts["cuts"] if x is not None and x > least}), np.int64)
-    last = len(bounds)
+    ranges = Ranges([x for x in facts["cuts"] if x is not None], facts["least"])
+
+    def places(batches):
+        for batch in batches:
+            key, digest = batch.column("key").to_numpy(), batch.column("digest").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(key, digest)), *batch.columns], names=["part", "key", "digest"])
+
+    # the first row of each range goes to the one before, too: known by its id where a bound is an id, else by the least hash there is
+    starts = {r: (int(ranges.keys[r - 1]), None) for r in range(1, ranges.last + 1) if ranges.hashes[r - 1] == NULL_ID}
+    filled = {0, *starts}
+    if ranges.hot:
+        of_hot = docs.filter(F.col("key").isin(*ranges.hot)).select("key", "digest").mapInArrow(places, "part int, key long, digest long")
+        for r in of_hot.groupBy("part").agg(F.min("key").alias("key"), F.min("digest").alias("digest")).collect():  # ``parts`` rows at most
+            filled.add(r["part"])
+            if r["part"] and r["part"] not in starts:
+                starts[r["part"]] = r["key"], r["digest"]
+    in_order = sorted(filled)
+    before = dict(zip(in_order[1:], in_order))
+    wanted = [(key, digest, before[r], 1) for r, (key, digest) in starts.items()] + [(ranges.least, None, in_order[-1], 2)]
+    keys_wanted = np.array([w[0] for w in wanted], np.int64)
 
     def deal(batches):
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            part = np.searchsorted(bounds, key, side="right")
-            before = np.flatnonzero(np.isin(key, bounds))  # these are the next of the range before, too
-            around = np.flatnonzero(key == least)  # the first is the next of the last
-            at = np.concatenate([np.arange(len(key)), before, around])
-            to = np.concatenate([part, part[before] - 1, np.full(len(around), last)]).astype(np.int32)
-            edge = np.concatenate([np.zeros(len(key)), np.ones(len(before)), np.full(len(around), 2)]).astype(np.int32)
+            key, digest = batch.column("key").to_numpy(), batch.column("digest").to_numpy()
+            at, to, edge = [np.arange(len(key))], [ranges.of(key, digest)], [np.zeros(len(key), np.int32)]
+            some = np.flatnonzero(np.isin(key, keys_wanted))
+            if len(some):
+                for k, h, target, kind in wanted:
+                    mine = some[(key[some] == k) & (True if h is None else digest[some] == h)]
+                    if len(mine):  # of several first rows the one of least hash is the neighbour
+                        at.append(mine[digest[mine].argmin()][None])
+                        to.append(np.array([target], np.int32))
+                        edge.append(np.array([kind], np.int32))
+            at, to, edge = np.concatenate(at), np.concatenate(to), np.concatenate(edge)
             for low in range(0, len(at), 256):
-                some = slice(low, low + 256)
-                taken = batch.take(pa.array(at[some]))
-                yield pa.RecordBatch.from_arrays([pa.array(to[some]), pa.array(edge[some]), *taken.columns], names=["part", "edge", "key", "text"])
+                part = slice(low, low + 256)
+                taken = batch.take(pa.array(at[part]))
+                yield pa.RecordBatch.from_arrays([pa.array(to[part]), pa.array(edge[part]), *taken.columns], names=["part", "edge", "key", "digest", "text"])
 
     def work(batches):
         keys, texts, size, part, ended = [], [], 0, None, False
         for batch in batches:
-            for p, edge, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, edge, key, _, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != part:
                     if len(keys) > 1:
                         yield _rows(keys, texts)
@@ -239,8 +292,8 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
         if len(keys) > 1:
             yield _rows(keys, texts)
 
-    dealt = docs.mapInArrow(deal, "part int, edge int, key long, text string").repartition(parts, "part")
-    return dealt.sortWithinPartitions("part", "edge", "key", "text").mapInArrow(work, SCHEMA)
+    dealt = docs.mapInArrow(deal, "part int, edge int, key long, digest long, text string").repartitionById(parts, "part")
+    return dealt.sortWithinPartitions("part", "edge", "key", "digest", "text").mapInArrow(work, SCHEMA)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

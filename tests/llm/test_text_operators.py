@@ -289,6 +289,25 @@ def test_peeling_recovers_the_differing_digests():
         assert got[0] == pytest.approx(50 / (50 + len(a) + len(b)))
 
 
+def test_peeling_of_equal_digests_on_one_side_ends():
+    twice = np.array([5, 5, 9], np.uint64)
+    assert fingerprints.likeness([twice, twice], [np.array([9, 11], np.uint64), twice])[:].tolist() == [pytest.approx(1 / 4), 1.0]
+
+
+def test_fingerprints_of_an_id_that_many_rows_share(spark):
+    """Rows of one id are dealt over several ranges, and every row's neighbour is still the next one in order."""
+    from pyspark.sql import functions as F
+
+    rows = [(7, f"text {k} of one id " * (1 + k % 3)) for k in range(300)] + [(None, f"no id {k}") for k in range(200)] + [(k, f"document {k} here") for k in range(100, 160)] + [(7, "same")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    ordered = [(r["doc_id"], r["text"]) for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()]
+    want = Counter((i, hashlib.sha256(fingerprints.edited(t, f).encode()).hexdigest()) for (i, t), (_, f) in zip(ordered, ordered[1:] + ordered[:1]))
+    got = fingerprints.fingerprint_documents(df)
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got.collect()) == want
+    ranges = fingerprints.Ranges([5, 7, 7, 7, 9], 1)
+    assert ranges.last == 5 and ranges.of(np.array([1, 5, 6, 7, 7, 7, 8, 9]), np.array([0, 0, 0, -(2**63), 0, 2**63 - 1, 0, 0])).tolist() == [0, 1, 1, 2, 3, 4, 4, 5]
+
+
 def test_a_single_document_is_its_own_next(spark):
     row = fingerprints.fingerprint_documents(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()
     assert len(row) == 1 and row[0]["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and row[0]["near_next"] == 1
