@@ -28,10 +28,12 @@ TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS}
 class Engine:
     """One corpus in one folder. A chunk is what is searched: its id is the ``doc_id`` of hits."""
 
-    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embedder: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embedder: Callable[[DataFrame], DataFrame] | None = None, counter=None):
         self.spark, self.folder, self.config = spark, folder.rstrip("/"), config or Config()
         #: (doc_id, text) -> (doc_id, embedding)
         self.embedder = embedder or (lambda df: embed.dense(embed.hash_embedding(df, "doc_id", "text"), "doc_id"))
+        #: array of pieces -> array of their tokens; None: a quarter of the bytes
+        self.counter = counter
         self._results: OrderedDict[tuple, tuple[float, list]] = OrderedDict()
 
     # --- versions
@@ -83,8 +85,7 @@ class Engine:
         kind, text = F.col("file_type"), F.col("text")
         pieces = F.when(kind == "go", chunkers.declarations(text)).when(kind == "memory", F.array("text")).otherwise(chunkers.sections(text))
         keyed = documents.withColumnRenamed("doc_id", "document_id")
-        packed = chunkers.pack(keyed, pieces, chunkers.is_heading, key="document_id", max_tokens=self.config.max_tokens, min_bytes=self.config.min_bytes)
-        chunks = chunkers.chunks(packed, key="document_id", min_bytes=self.config.min_bytes)
+        chunks = chunkers.chunks(keyed, pieces, chunkers.is_heading, key="document_id", max_tokens=self.config.max_tokens, min_bytes=self.config.min_bytes, tokens=self.counter)
         if self.config.overlap_characters:
             chunks = chunkers.overlapped(chunks, self.config.overlap_characters, "document_id")
         found = chunks.join(keyed.select("document_id", "tenant", "collection", "path", "file_type"), "document_id")

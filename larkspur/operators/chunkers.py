@@ -1,11 +1,14 @@
 """Chunkers: a splitter for each kind of file, and one greedy packing kernel for all.
 
 A chunk is flushed when the next piece would exceed the token limit, or when it opens a section, provided that the chunk has more than
-the least bytes. The fold runs over one document's pieces inside the row (``aggregate``), so nothing is shuffled.
+the least bytes. The fold runs over one document's pieces inside the row (``aggregate``) and gives where chunks begin, so nothing is shuffled and the work is
+linear in the pieces. Lines inside fences (``` or ~~~) open no section.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from larkspur.functions import text as T
 
 MAX_TOKENS, MIN_BYTES = 512, 50
 MARK = "\x01"
-HEADING = r"^#{1,6}\s+.+$"
+FENCE = r"^\s*(```|~~~)"
 
 
 def lines(s: Column) -> Column:
@@ -26,9 +29,30 @@ def paragraphs(s: Column) -> Column:
     return F.filter(F.split(s, "\n\n"), lambda x: F.trim(x) != "")
 
 
+def starts_of(items: Column, opens: Callable[[Column], Column]) -> Column:
+    """Numbers of the items that open something outside of fences, the first one always."""
+    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("fenced"), F.array().cast("array<int>").alias("starts"))
+
+    def step(a, x):
+        new = (a["at"] == 0) | (opens(x) & ~a["fenced"])
+        return F.struct((a["at"] + 1).alias("at"), (a["fenced"] != x.rlike(FENCE)).alias("fenced"), F.when(new, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"]).alias("starts"))
+
+    return F.aggregate(items, none, step, lambda a: a["starts"])
+
+
+def pieces_between(items: Column, starts: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """``made(start, length)`` for each stretch that the starts begin."""
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(items)))
+    return F.zip_with(starts, ends, lambda s, e: made(s, e - s))
+
+
 def sections(s: Column) -> Column:
-    """Text split before every heading line."""
-    return F.filter(F.split(F.regexp_replace(s, r"(?m)^(#{1,6}\s)", MARK + "$1"), MARK), lambda x: F.trim(x) != "")
+    """Text split before every heading line that is not inside a fence."""
+    each = F.split(s, "\n")
+    heads = starts_of(each, lambda x: x.rlike(r"^#{1,6}\s") | (x.rlike(r"^#{1,6}$")))
+    # a section keeps its last line's end, the last one has none
+    parts = pieces_between(each, heads, lambda at, n: F.concat(F.array_join(F.slice(each, at + 1, n), "\n"), F.when(at + n < F.size(each), "\n").otherwise("")))
+    return F.filter(parts, lambda x: F.trim(x) != "")
 
 
 def declarations(s: Column) -> Column:
@@ -36,43 +60,60 @@ def declarations(s: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(s, r"(?m)^(func|package|type|const|var)(\s)", MARK + "$1$2"), MARK), lambda x: F.trim(x) != "")
 
 
-def numbers(pieces: Column, max_tokens: int, min_bytes: int) -> Column:
-    """The chunk number of each piece, from array<struct<tokens, bytes, opens>>."""
-    start = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("out"))
+def chunk_starts(facts: Column, max_tokens: int, min_bytes: int) -> Column:
+    """Numbers of the pieces that chunks begin with, from array<struct<tokens, bytes, opens, fence>>."""
+    none = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("at"), F.lit(False).alias("fenced"), F.array().cast("array<int>").alias("starts"))
 
     def step(a, p):
-        flush = (a["bytes"] > min_bytes) & ((a["tokens"] + p["tokens"] > max_tokens) | p["opens"])
-        no = a["no"] + flush.cast("int")
+        flush = (a["bytes"] > min_bytes) & ((a["tokens"] + p["tokens"] > max_tokens) | (p["opens"] & ~a["fenced"]))
         return F.struct(
             F.when(flush, p["tokens"]).otherwise(a["tokens"] + p["tokens"]).alias("tokens"),
             F.when(flush, p["bytes"]).otherwise(a["bytes"] + p["bytes"]).alias("bytes"),
-            no.alias("no"),
-            F.concat(a["out"], F.array(no)).alias("out"),
+            (a["at"] + 1).alias("at"),
+            (a["fenced"] != p["fence"]).alias("fenced"),
+            F.when(flush | (a["at"] == 0), F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"]).alias("starts"),
         )
 
-    return F.aggregate(pieces, start, step, lambda a: a["out"])
+    return F.aggregate(facts, none, step, lambda a: a["starts"])
 
 
-def pack(docs: DataFrame, splitter: Column, opens=None, separator: str = "\n", key: str = "doc_id", max_tokens: int = MAX_TOKENS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(key, chunk, pos, piece, tokens, bytes): every piece with its chunk number. ``opens``: whether a piece opens a section."""
-    opens = opens or (lambda p: F.lit(False))
+def _split(docs: DataFrame, splitter: Column, opens, separator: str, key: str, max_tokens: int, min_bytes: int, tokens) -> DataFrame:
+    """(key, pieces, facts, starts) of each document."""
+    opens, tokens = opens or (lambda p: F.lit(False)), tokens or T.token_estimate
     # a piece's bytes count its separator
-    facts = F.transform("pieces", lambda p: F.struct(T.token_estimate(p).alias("tokens"), (F.octet_length(p) + len(separator)).cast("long").alias("bytes"), F.coalesce(opens(p), F.lit(False)).alias("opens")))
-    split = docs.select(key, splitter.alias("pieces")).withColumn("facts", facts).withColumn("no", numbers(F.col("facts"), max_tokens, min_bytes))
-    out = split.select(key, F.posexplode(F.arrays_zip("pieces", "facts", "no")).alias("pos", "z"))
+    size = lambda p: (F.octet_length(p) + len(separator)).cast("long")
+    split = docs.select(key, splitter.alias("pieces"))
+    if tokens is T.token_estimate:
+        split = split.withColumn("counts", F.transform("pieces", T.token_estimate))
+    else:
+        split = split.withColumn("counts", tokens(F.col("pieces")))
+    each = lambda p, n: F.struct(n.cast("long").alias("tokens"), size(p).alias("bytes"), F.coalesce(opens(p), F.lit(False)).alias("opens"), p.rlike(FENCE).alias("fence"))
+    return split.withColumn("facts", F.zip_with("pieces", "counts", each)).drop("counts").withColumn("starts", chunk_starts(F.col("facts"), max_tokens, min_bytes))
+
+
+def pack(docs: DataFrame, splitter: Column, opens=None, separator: str = "\n", key: str = "doc_id", max_tokens: int = MAX_TOKENS, min_bytes: int = MIN_BYTES, tokens=None) -> DataFrame:
+    """(key, chunk, pos, piece, tokens, bytes): every piece with its chunk number. No shuffle.
+
+    ``opens``: whether a piece opens a section. ``tokens``: array of pieces -> array of their tokens (default: the estimate of a quarter of the bytes).
+    """
+    split = _split(docs, splitter, opens, separator, key, max_tokens, min_bytes, tokens)
+    sizes = pieces_between(F.col("pieces"), F.col("starts"), lambda at, n: n)
+    numbered = split.withColumn("no", F.flatten(F.transform(sizes, lambda n, c: F.array_repeat(c, n))))
+    out = numbered.select(key, F.posexplode(F.arrays_zip("pieces", "facts", "no")).alias("pos", "z"))
     return out.select(key, F.col("z.no").cast("long").alias("chunk"), F.col("pos").cast("long").alias("pos"), F.col("z.pieces").alias("piece"), "z.facts.tokens", "z.facts.bytes")
 
 
-def chunks(packed: DataFrame, separator: str = "\n", key: str = "doc_id", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(key, chunk, content, token_count, n_pieces, first_piece); chunks that are not longer than the least bytes are dropped."""
-    by = packed.groupBy(key, "chunk").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), separator).alias("content"),
-        F.sum("tokens").alias("token_count"),
-        F.count(F.lit(1)).alias("n_pieces"),
-        F.min_by("piece", "pos").alias("first_piece"),
-        F.sum("bytes").alias("size"),
-    )
-    return by.filter(F.col("size") > min_bytes).drop("size")
+def chunks(docs: DataFrame, splitter: Column, opens=None, separator: str = "\n", key: str = "doc_id", max_tokens: int = MAX_TOKENS, min_bytes: int = MIN_BYTES, tokens=None) -> DataFrame:
+    """(key, chunk, content, token_count, n_pieces, first_piece) of the chunks that ``pack`` numbers, without a shuffle; those not longer than the least bytes are dropped."""
+    split = _split(docs, splitter, opens, separator, key, max_tokens, min_bytes, tokens)
+
+    def chunk(at, n):
+        mine, facts = F.slice("pieces", at + 1, n), F.slice("facts", at + 1, n)
+        total = lambda name: F.aggregate(facts, F.lit(0).cast("long"), lambda s, f: s + f[name])
+        return F.struct(F.array_join(mine, separator).alias("content"), total("tokens").alias("token_count"), n.cast("long").alias("n_pieces"), F.get("pieces", at).alias("first_piece"), total("bytes").alias("size"))
+
+    out = split.select(key, F.posexplode(pieces_between(F.col("pieces"), F.col("starts"), chunk)).alias("chunk", "z"))
+    return out.select(key, F.col("chunk").cast("long").alias("chunk"), "z.*").filter(F.col("size") > min_bytes).drop("size")
 
 
 def is_heading(p: Column) -> Column:
@@ -81,8 +122,10 @@ def is_heading(p: Column) -> Column:
 
 def heading_in_effect(packed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pieces with the last Markdown heading at or before them."""
-    title = F.when(is_heading(F.col("piece")), F.trim(F.regexp_replace("piece", r"^#{1,6}\s+", "")))
-    return packed.withColumn("heading", F.coalesce(F.last(title, True).over(Window.partitionBy(key).orderBy("pos")), F.lit("section")))
+    so_far = Window.partitionBy(key).orderBy("pos")
+    fenced = F.coalesce(F.sum(F.col("piece").rlike(FENCE).cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
+    title = F.when(is_heading(F.col("piece")) & ~F.col("__fenced"), F.trim(F.regexp_replace("piece", r"^#{1,6}\s+", "")))
+    return packed.withColumn("__fenced", fenced).withColumn("heading", F.coalesce(F.last(title, True).over(so_far), F.lit("section"))).drop("__fenced")
 
 
 def overlapped(chunked: DataFrame, characters: int, key: str = "doc_id") -> DataFrame:

@@ -55,6 +55,10 @@ def packed_lines(spark, sf_dir):
     return C.pack(documents(spark, sf_dir), C.lines(F.col("text")), max_tokens=MAX)
 
 
+def chunked_lines(spark, sf_dir):
+    return C.chunks(documents(spark, sf_dir), C.lines(F.col("text")), max_tokens=MAX)
+
+
 @query("greedy_pack", f"WITH RECURSIVE {DOCS}, src AS (SELECT doc_id, text FROM docs), {LINES} SELECT doc_id, pos, chunk FROM packed")
 def greedy_pack(spark, sf_dir):
     return packed_lines(spark, sf_dir).select("doc_id", (F.col("pos") + 1).alias("pos"), "chunk")
@@ -62,12 +66,12 @@ def greedy_pack(spark, sf_dir):
 
 @query("chunk_paragraphs", f"WITH RECURSIVE {DOCS}, src AS (SELECT doc_id, text FROM docs), {LINES} {DIGEST}")
 def chunk_paragraphs(spark, sf_dir):
-    return digest(C.chunks(packed_lines(spark, sf_dir)))
+    return digest(chunked_lines(spark, sf_dir))
 
 
 @query("chunk_overlap", f"WITH RECURSIVE {DOCS}, src AS (SELECT doc_id, text FROM docs), {LINES}, o AS (SELECT doc_id, chunk, content, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk) AS before FROM chunk) SELECT doc_id, chunk, sha256(CASE WHEN before IS NULL THEN content ELSE right(before, 80) || chr(10) || content END) AS digest FROM o")
 def chunk_overlap(spark, sf_dir):
-    return C.overlapped(C.chunks(packed_lines(spark, sf_dir)), 80).select("doc_id", "chunk", F.sha2("content", 256).alias("digest"))
+    return C.overlapped(chunked_lines(spark, sf_dir), 80).select("doc_id", "chunk", F.sha2("content", 256).alias("digest"))
 
 
 @query(
@@ -81,7 +85,7 @@ def chunk_markdown(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", F.expr(MARKED.format(HEADS[0])).alias("text"))
     packed = C.pack(docs, C.lines(F.col("text")), C.is_heading, max_tokens=MAX)
     first = C.heading_in_effect(packed).groupBy("doc_id", "chunk").agg(F.min_by("heading", "pos").alias("heading"))
-    return digest(C.chunks(packed).join(first, ["doc_id", "chunk"]), "heading")
+    return digest(C.chunks(docs, C.lines(F.col("text")), C.is_heading, max_tokens=MAX).join(first, ["doc_id", "chunk"]), "heading")
 
 
 @query(
@@ -91,7 +95,7 @@ def chunk_markdown(spark, sf_dir):
 )
 def chunk_text(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", F.expr(MARKED.format(HEADS[0])).alias("text"))
-    chunks = C.chunks(C.pack(docs, C.sections(F.col("text")), lambda p: F.lit(True), max_tokens=MAX))
+    chunks = C.chunks(docs, C.sections(F.col("text")), lambda p: F.lit(True), max_tokens=MAX)
     return digest(chunks, T.detect_heading(F.col("first_piece"))["heading"].alias("heading"))
 
 
@@ -102,7 +106,7 @@ def chunk_text(spark, sf_dir):
 )
 def chunk_code(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", F.expr(MARKED.format(CODE[0])).alias("text"))
-    chunks = C.chunks(C.pack(docs, C.declarations(F.col("text")), lambda p: F.lit(True), max_tokens=MAX))
+    chunks = C.chunks(docs, C.declarations(F.col("text")), lambda p: F.lit(True), max_tokens=MAX)
     return digest(chunks, T.code_heading(F.col("first_piece"))["heading"].alias("heading"))
 
 
@@ -114,7 +118,7 @@ def chunk_code(spark, sf_dir):
 def chunk_pages(spark, sf_dir):
     """Rows of ``pages`` as the pages of one print file."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.replace("html", F.lit("</p>"), F.lit("\n\n")).alias("text"))
-    chunks = C.chunks(C.pack(pages, C.paragraphs(F.col("text")), separator="\n\n", max_tokens=MAX), "\n\n")
+    chunks = C.chunks(pages, C.paragraphs(F.col("text")), separator="\n\n", max_tokens=MAX)
     return digest(chunks, F.concat(F.lit("Page "), "doc_id").alias("heading"))
 
 

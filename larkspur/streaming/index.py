@@ -31,7 +31,7 @@ def described(files: DataFrame) -> DataFrame:
 def chunk_files(files: DataFrame) -> DataFrame:
     """Chunks of text files, with ids from the whole content."""
     texts = files.filter(~F.col("file_type").isin("pdf", "docx")).select("path", F.col("content").cast("string").alias("text"))
-    chunked = C.chunks(C.pack(texts, C.sections(F.col("text")), lambda p: F.lit(True), key="path"), key="path")
+    chunked = C.chunks(texts, C.sections(F.col("text")), lambda p: F.lit(True), key="path")
     return chunked.select("path", "chunk", T.hash_id(F.concat("path", "content")).alias("chunk_id"), "content", "token_count")
 
 

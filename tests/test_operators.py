@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
-import random
 import math
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,7 +103,69 @@ def test_greedy_pack_flushes_by_both_limits(spark):
     docs = spark.createDataFrame([(1, "\n".join(["x" * 40] * 5)), (2, ""), (3, None)], "doc_id long, text string")
     packed = chunkers.pack(docs, chunkers.lines(F.col("text")), max_tokens=20)
     assert [r["chunk"] for r in packed.orderBy("pos").collect()] == [0, 0, 1, 1, 2]
-    assert chunkers.chunks(packed).count() == 2  # the last is too short
+    whole = chunkers.chunks(docs, chunkers.lines(F.col("text")), max_tokens=20).orderBy("chunk").collect()
+    assert [(r["chunk"], r["token_count"], r["n_pieces"], r["content"]) for r in whole] == [(0, 20, 2, "\n".join(["x" * 40] * 2)), (1, 20, 2, "\n".join(["x" * 40] * 2))]  # the last is too short
+    assert "Exchange" not in chunkers.chunks(docs, chunkers.lines(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_chunks(pieces, opens, max_tokens, min_bytes):
+    """Greedy packing in plain Python: (content, pieces) of the chunks that are long enough."""
+    out, held, tokens, size, fenced = [], [], 0, 0, False
+    for p in pieces:
+        n = len(p.encode()) // 4
+        if size > min_bytes and (tokens + n > max_tokens or opens(p) and not fenced):
+            out.append((held, size))
+            held, tokens, size = [], 0, 0
+        held, tokens, size = [*held, p], tokens + n, size + len(p.encode()) + 1
+        fenced ^= p.lstrip().startswith(("```", "~~~"))
+    return [("\n".join(h), len(h)) for h, s in [*out, (held, size)] if s > min_bytes]
+
+
+def test_chunks_equal_plain_packing(spark):
+    rng = random.Random(2)
+    docs = [(k, "\n".join(rng.choice(["# Title", "text " * rng.randrange(1, 40), "", "```", "## Sub é", "#no", "  ~~~ x"]) for _ in range(rng.randrange(0, 60)))) for k in range(60)]
+    got = {}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for r in chunkers.chunks(frame, chunkers.lines(F.col("text")), chunkers.is_heading, max_tokens=60).orderBy("doc_id", "chunk").collect():
+        got.setdefault(r["doc_id"], []).append((r["content"], r["n_pieces"]))
+    for k, text in docs:
+        pieces = [x for x in text.split("\n") if x.strip(" ")]
+        assert got.get(k, []) == plain_chunks(pieces, lambda p: re.match(r"#{1,6}\s+\S", p) is not None, 60, 50)
+    packed = chunkers.pack(frame, chunkers.lines(F.col("text")), chunkers.is_heading, max_tokens=60)
+    joined = packed.groupBy("doc_id", "chunk").agg(F.sum("bytes").alias("size"), F.count("*").alias("n")).filter("size > 50")
+    assert sorted(r["n"] for r in joined.collect()) == sorted(n for found in got.values() for _, n in found)
+
+
+def test_headings_inside_fences_open_nothing(spark):
+    text = "# One\nfirst\n```sh\n# a comment\nrun\n```\nrest\n## Two\nsecond"
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert row.select(chunkers.sections(F.col("text"))).first()[0] == ["# One\nfirst\n```sh\n# a comment\nrun\n```\nrest\n", "## Two\nsecond"]
+    packed = chunkers.pack(row, chunkers.lines(F.col("text")), chunkers.is_heading, min_bytes=1)
+    assert [r["chunk"] for r in packed.orderBy("pos").collect()] == [0] * 7 + [1] * 2
+    assert {r["heading"] for r in chunkers.heading_in_effect(packed).collect()} == {"One", "Two"}
+
+
+def test_many_pieces_are_packed_in_linear_time(spark):
+    big = spark.createDataFrame([(1, "\n".join(f"# line {k} with some words in it" for k in range(60000)))], "doc_id long, text string")
+    start = time.monotonic()
+    assert chunkers.chunks(big, chunkers.lines(F.col("text"))).agg(F.sum("n_pieces")).first()[0] == 60000
+    assert time.monotonic() - start < 60
+
+
+def test_chunks_by_tokens_of_a_vocabulary(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from larkspur.functions.bpe import bpe_counts, encoder
+
+    texts = ["some words here\nand a second line of them\n<|endoftext|> éa" * 3, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path, pattern in ((public_tokenizers.path("byte_bpe_50k.json"), None), (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)):
+        packed = chunkers.pack(docs, chunkers.lines(F.col("text")), max_tokens=12, min_bytes=0, tokens=bpe_counts(path, pattern)).orderBy("pos").collect()
+        lines = texts[0].split("\n")
+        assert [r["tokens"] for r in packed] == encoder(path, pattern)(lines)
+        in_chunk = {}
+        for r in packed:
+            in_chunk[r["chunk"]] = in_chunk.get(r["chunk"], 0) + r["tokens"]
+        assert len(in_chunk) > 1 and all(n <= 12 or [r["chunk"] for r in packed].count(c) == 1 for c, n in in_chunk.items())
 
 
 def test_codecs(spark):
