@@ -1,7 +1,8 @@
 """The engine: index files, remember texts, search, assemble context, count, forget.
 
-Tables are Parquet versions below one folder: ``documents`` (doc_id, tenant, collection, path, file_type, content_hash, text), ``chunks``
-and ``vectors``. A change writes a new version and then its number; readers take the newest complete one.
+Tables are kept below one folder as changes by tenant and path (``segments.SegmentStore``): ``documents`` (doc_id, tenant, collection, path, file_type,
+content_hash, text), ``chunks`` and ``vectors``. A change writes its own documents' rows only; readers see whole changes. ``build_index`` keeps a
+full-text index of the version, which searches then use.
 """
 
 from __future__ import annotations
@@ -17,14 +18,21 @@ from larkspur.config import Config
 from larkspur.functions import text as T
 from larkspur.operators import chunkers, embed, search, store
 from larkspur.operators import context as contexts
+from larkspur.operators.segments import SegmentStore
+from larkspur.operators.textindex import TextIndex
+from larkspur.sources import codecs
 from larkspur.streaming import index as files
 
 DOCUMENTS = "doc_id string, tenant string, collection string, path string, file_type string, content_hash string, text string"
 CHUNKS = "doc_id string, document_id string, tenant string, collection string, path string, file_type string, heading string, text string, token_count long"
-VECTORS = "doc_id string, embedding array<double>"
+VECTORS = "doc_id string, tenant string, path string, embedding array<double>"
 TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS}
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 class Engine:
     """One corpus in one folder. A chunk is what is searched: its id is the ``doc_id`` of hits."""
 
@@ -34,56 +42,32 @@ class Engine:
         self.embedder = embedder or (lambda df: embed.dense(embed.hash_embedding(df, "doc_id", "text"), "doc_id"))
         #: array of pieces -> array of their tokens; None: a quarter of the bytes
         self.counter = counter
+        self.kept = SegmentStore(spark, self.folder, ["tenant", "path"], TABLES)
         self._results: OrderedDict[tuple, tuple[float, list]] = OrderedDict()
 
-    # --- versions
-
     def version(self) -> int:
-        """The newest complete version, 0 if there is none."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return 0
-        names = [s.getPath() for s in fs.listStatus(path)]
-        done = [int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_DONE"))]
-        return max(done, default=0)
+        """The number of the last change, 0 if there is none."""
+        return self.kept.version()
 
     def table(self, name: str) -> DataFrame:
-        n = self.version()
-        return self.spark.read.parquet(f"{self.folder}/v{n}/{name}") if n else self.spark.createDataFrame([], TABLES[name])
-
-    def _write(self, tables: dict[str, DataFrame]) -> int:
-        n = self.version() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/v{n}/{name}")
-        jvm = self.spark._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{n}/_DONE")
-        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark).close()
-        self._results.clear()
-        return n
+        return self.kept.table(name)
 
     # --- changes
 
-    def _replace(self, new: DataFrame, gone: DataFrame) -> None:
+    def _replace(self, new: DataFrame, gone: DataFrame | None = None) -> None:
         """Put ``new`` documents in the place of those of the same tenant and path, and drop ``gone`` (tenant, path), all with their chunks and vectors."""
-        documents, chunks, vectors = (self.table(t) for t in TABLES)
-        touched = new.select("tenant", "path").unionByName(gone.select("tenant", "path")).distinct()
-        kept = store.delete(documents, touched, ["tenant", "path"])
-        kept_chunks = store.delete(chunks, touched, ["tenant", "path"])
         made = self._chunks(new)
-        self._write(
-            {
-                "documents": kept.unionByName(new.select(documents.columns)),
-                "chunks": kept_chunks.unionByName(made),
-                "vectors": vectors.join(kept_chunks.select("doc_id"), "doc_id", "left_semi").unionByName(self.embedder(made.select("doc_id", "text")).select("doc_id", "embedding")),
-            }
-        )
+        vectors = self.embedder(made.select("doc_id", "text")).select("doc_id", "embedding")
+        owners = made.select("doc_id", "tenant", "path").dropDuplicates(["doc_id"])
+        rows = {"documents": new.select(_names(DOCUMENTS)), "chunks": made.select(_names(CHUNKS)), "vectors": vectors.join(owners, "doc_id").select(_names(VECTORS))}
+        self.kept.put(rows, gone)
+        self._results.clear()
 
     def _chunks(self, documents: DataFrame) -> DataFrame:
-        """Chunks of documents by kind: declarations of source code, sections of the rest; memories stay whole."""
+        """Chunks of documents by kind: declarations of source code, lines of print and word-processor files, sections of the rest; memories stay whole."""
         kind, text = F.col("file_type"), F.col("text")
-        pieces = F.when(kind == "go", chunkers.declarations(text)).when(kind == "memory", F.array("text")).otherwise(chunkers.sections(text))
+        printed = F.filter(F.split(text, "\n+"), lambda x: F.trim(x) != "")
+        pieces = F.when(kind == "go", chunkers.declarations(text)).when(kind == "memory", F.array("text")).when(kind.isin("pdf", "docx"), printed).otherwise(chunkers.sections(text))
         keyed = documents.withColumnRenamed("doc_id", "document_id")
         chunks = chunkers.chunks(keyed, pieces, chunkers.is_heading, key="document_id", max_tokens=self.config.max_tokens, min_bytes=self.config.min_bytes, tokens=self.counter)
         if self.config.overlap_characters:
@@ -98,10 +82,12 @@ class Engine:
 
     def index(self, source: str, tenant: str = "", collection: str = "") -> dict[str, int]:
         """Bring the tenant's documents of a folder up to date: counts of added, updated, removed, unchanged files."""
-        found = files.scan(self.spark, source).filter(~F.col("file_type").isin("pdf", "docx"))
+        found = files.scan(self.spark, source)
+        raw = F.col("content")
+        text = F.when(F.col("file_type") == "docx", codecs.docx_text(raw)).when(F.col("file_type") == "pdf", F.array_join(codecs.pdf_text(raw), "\n\n")).otherwise(raw.cast("string"))
         now = found.select(
             T.hash_id(F.concat_ws("|", F.lit(tenant), "path")).alias("doc_id"), F.lit(tenant).alias("tenant"), F.lit(collection).alias("collection"),
-            "path", "file_type", "content_hash", F.col("content").cast("string").alias("text"),
+            "path", "file_type", "content_hash", F.coalesce(text, F.lit("")).alias("text"),
         )
         own = self.table("documents").filter((F.col("tenant") == tenant) & (F.col("file_type") != "memory") & (F.col("collection") == collection))
         changes = store.sync(own, now)
@@ -118,7 +104,7 @@ class Engine:
             T.hash_id(F.col("text"), 32).alias("doc_id"), F.lit(tenant).alias("tenant"), F.coalesce("source", F.lit("")).alias("collection"),
             F.concat(F.lit("memory://"), T.hash_id(F.col("text"), 32)).alias("path"), F.lit("memory").alias("file_type"), F.sha2("text", 256).alias("content_hash"), "text",
         )
-        self._replace(new, new.select("tenant", "path").limit(0))
+        self._replace(new)
         size = F.octet_length("text") + 1
         return new.select(F.col("doc_id").alias("memory_id"), T.ellipsis(F.col("text"), 100).alias("summary"), (size > self.config.min_bytes).alias("searchable"))
 
@@ -126,7 +112,18 @@ class Engine:
         """Drop one document of a tenant, or all of them."""
         own = self.table("documents").filter(F.col("tenant") == tenant)
         gone = own if path is None else own.filter(F.col("path") == path)
-        self._replace(own.limit(0), gone)
+        self.kept.put({}, gone)
+        self._results.clear()
+
+    def build_index(self) -> TextIndex:
+        """Keep a full-text index of the chunks as they are; searches of this version use it."""
+        return TextIndex.kept(self.spark, self._index_folder(), lambda: self.table("chunks"), {"text": "text"})
+
+    def _index_folder(self) -> str:
+        return f"{self.folder}/text-index/{self.version():09d}"
+
+    def _index(self) -> TextIndex | None:
+        return self.build_index() if store.exists(self.spark, f"{self._index_folder()}/CURRENT") else None
 
     # --- questions
 
@@ -149,8 +146,10 @@ class Engine:
         asked = self.spark.createDataFrame([("q", query)], "doc_id string, text string")
         zero = F.transform(F.sequence(F.lit(1), F.lit(embed.DIMENSION)), lambda _: F.lit(0.0))
         q = asked.join(self.embedder(asked), "doc_id", "left").select(F.coalesce("embedding", zero).alias("q"))
-        found = search.search(chunks, self.table("vectors"), query, q, options)
-        return search.enrich(found, chunks).select("doc_id", "score", "vector_score", "fts_score", "rank", "path", "heading", "text", "token_count")
+        found = search.enrich(search.search(chunks, self.table("vectors"), query, q, options, self._index()), chunks)
+        if options.rerank:
+            found = search.reranked(found.withColumn("content", F.col("text")).withColumn("line_start", F.lit(0)), query, options.rerank)
+        return found.select("doc_id", "score", "vector_score", "fts_score", "rank", "path", "heading", "text", "token_count")
 
     def context(self, query: str, budget: int | None = None, **options):
         """One row: context, token_count, token_budget, truncated."""

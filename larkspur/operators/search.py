@@ -15,6 +15,7 @@ from larkspur.operators.textindex import TextIndex
 
 # Fixed value of reciprocal-rank fusion.
 RRF = 60
+RERANKERS = ("heuristic", "bm25", "ensemble")
 MODES = {"vector": "vector", "fts": "fts", "bm25": "fts", "hybrid": "hybrid"}
 
 
@@ -29,8 +30,11 @@ class SearchOptions:
     min_score: float | None = None
     collections: Sequence[str] = field(default_factory=tuple)
     match_all: bool = False
+    rerank: str | None = None
 
     def __post_init__(self):
+        if self.rerank not in (None, *RERANKERS):
+            raise ValueError(f"unknown reranker {self.rerank!r}")
         if self.mode not in MODES:
             raise ValueError(f"unknown mode {self.mode!r}")
         if self.top_k <= 0:
@@ -168,3 +172,10 @@ def ensemble(scores: Sequence[str], weights: Sequence[float] | None = None) -> C
         rank = F.row_number().over(Window.orderBy(F.desc(F.round(name, 6)), "doc_id"))
         total = total + F.lit(float(w)) / rank
     return total
+
+
+def reranked(hits: DataFrame, query: str, how: str) -> DataFrame:
+    """Bounded hits (doc_id, score, heading, content, line_start, ...) with the scores and ranks that a reranker gives."""
+    scored = hits.withColumns({"__heuristic": heuristic(query), "__bm25": candidate_bm25(query)})
+    score = F.col(f"__{how}") if how != "ensemble" else ensemble(["__heuristic", "__bm25"], [0.7, 0.3])
+    return number(scored.withColumn("score", F.round(score, 6)).drop("rank", "__heuristic", "__bm25"))

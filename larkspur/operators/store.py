@@ -96,6 +96,17 @@ def listing(spark: SparkSession, name: str) -> list[str]:
     return sorted(out)
 
 
+def names(spark: SparkSession, name: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    path, fs = _path(spark, name)
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path, fs = _path(spark, name)
+    return fs.exists(path)
+
+
 def read_text(spark: SparkSession, name: str) -> str | None:
     """The first line of a small file; None if there is no such file or nothing in it."""
     path, fs = _path(spark, name)

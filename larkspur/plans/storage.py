@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -258,6 +259,57 @@ def snapshot_tables(spark, sf_dir):
     return a.unionByName(b)
 
 
+# --- kept vector indexes
+
+def kept_vectors(spark, sf_dir):
+    """An index without the vectors of every seventh document, and with those of every fourth in the place of others."""
+    from larkspur.operators.vectorindex import VectorIndex
+
+    vecs = vectors(spark, sf_dir).select("doc_id", "embedding")
+    index = VectorIndex.create(vecs, f"{_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    index.remove(vecs.filter("doc_id % 7 = 0"))
+    index.add(vecs.filter("doc_id % 4 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    return index
+
+
+@query("vector_index_rows", f"WITH {VECS} SELECT doc_id, round(CASE WHEN doc_id % 4 = 0 THEN -embedding[1]::DOUBLE ELSE embedding[1]::DOUBLE END, 6) AS first FROM vecs WHERE doc_id % 7 <> 0 OR doc_id % 4 = 0")
+def vector_index_rows(spark, sf_dir):
+    return kept_vectors(spark, sf_dir).vectors().select("doc_id", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+@query("vector_index_search")
+def vector_index_search(spark, sf_dir):
+    """The 10 nearest to the vector of document 0 that the index finds; recall is tested against the exact scan."""
+    from larkspur.operators.vectorindex import VectorIndex
+
+    vecs = vectors(spark, sf_dir).select("doc_id", "embedding")
+    q = vecs.filter("doc_id = 0").first()["embedding"]
+    return VectorIndex.create(vecs, f"{_folder(spark)}/vectors-{uuid.uuid4().hex}").search(q, 10)
+
+
+@query("vector_index_fallback", f"WITH {VECS}, cos AS (SELECT v.doc_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM vecs v, vecs q WHERE q.doc_id = 0) SELECT doc_id, score FROM cos ORDER BY score DESC, doc_id LIMIT 10")
+def vector_index_fallback(spark, sf_dir):
+    """An index that has been cleared has no hits, so all vectors are scanned."""
+    from larkspur.operators.vectorindex import VectorIndex, search_or_scan
+
+    vecs = vectors(spark, sf_dir).select("doc_id", "embedding")
+    index = VectorIndex.create(vecs, f"{_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    index.clear()
+    return search_or_scan(index, vecs, vecs.filter("doc_id = 0").first()["embedding"], 10)
+
+
+@query("pq_index_counts", f"WITH {VECS} SELECT 'codes' AS name, 8 * count(*) AS n FROM vecs WHERE doc_id % 3 <> 0 UNION ALL SELECT 'vectors', 4 * 64 * count(*) FROM vecs WHERE doc_id % 3 <> 0 UNION ALL SELECT 'codebook', 4 * 16 * 64")
+def pq_index_counts(spark, sf_dir):
+    """Bytes of a trained index after additions and removals, from its kept codebook and codes."""
+    from larkspur.operators.vectorindex import PqIndex
+
+    vecs = vectors(spark, sf_dir).select("doc_id", "embedding")
+    index = PqIndex.train(vecs, f"{_folder(spark)}/pq-{uuid.uuid4().hex}")
+    index.add(vecs)
+    index.remove(vecs.filter("doc_id % 3 = 0"))
+    return spark.createDataFrame(sorted(index.memory().items()), "name string, n long")
+
+
 # --- metrics over the event log
 
 @query("metric_counter_by_label", "SELECT event_type, user_id % 4 AS tenant, count(*) AS n FROM events GROUP BY 1, 2")

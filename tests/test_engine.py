@@ -34,6 +34,31 @@ def test_engine_from_files_to_context(spark, tmp_path):
     assert engine.stats() == {"documents": 0, "chunks": 0, "vectors": 0}
 
 
+def test_engine_reads_print_and_word_files_and_keeps_an_index(spark, tmp_path):
+    from larkspur.plans.files import docx_bytes, pdf_bytes
+
+    source = tmp_path / "src"
+    source.mkdir()
+    (source / "a.docx").write_bytes(docx_bytes("The lighthouse keeper writes letters every evening\nand posts them on Mondays, rain or shine"))
+    (source / "b.pdf").write_bytes(pdf_bytes("Tides rise twice a day on this coast, and the keeper notes them all"))
+    (source / "broken.docx").write_bytes(b"no archive")
+    (source / "c.txt").write_text("Nothing about the sea in here, only hills and meadows and sheep on the hills.")
+    engine = Engine(spark, str(tmp_path / "store"))
+    assert engine.index(str(source), "t")["added"] == 4
+    plain = [(r["doc_id"], r["score"]) for r in engine.search("keeper letters", tenant="t", mode="fts")]
+    assert len(plain) == 2 and engine.search("tides", mode="fts")[0]["path"].endswith("b.pdf")
+    engine.build_index()
+    engine._results.clear()
+    assert [(r["doc_id"], r["score"]) for r in engine.search("keeper letters", tenant="t", mode="fts")] == plain
+    for how in ("heuristic", "bm25", "ensemble"):
+        hits = engine.search("keeper letters", tenant="t", mode="fts", rerank=how)
+        assert hits[0]["doc_id"] == plain[0][0] and [r["rank"] for r in hits] == [1, 2]
+    with pytest.raises(ValueError):
+        engine.search("x", rerank="none of these")
+    engine.forget("t", next(r["path"] for r in engine.table("documents").collect() if r["path"].endswith("b.pdf")))
+    assert engine.search("tides", mode="fts") == []  # the index of the version before is not used
+
+
 def test_config():
     assert updated(Config(), {"top_k": 3}).top_k == 3
     for bad in ({"top_k": 0}, {"mode": "x"}, {"nothing": 1}):

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.functions import vectors as V
 from larkspur.operators import chunkers, context, embed, folds, fulltext, quantise, search, store
+from larkspur.operators.segments import SegmentStore
 from larkspur.operators.textindex import TextIndex
+from larkspur.operators.vectorindex import PqIndex, VectorIndex, search_or_scan
 from larkspur.plans.files import docx_bytes, pdf_bytes
 from larkspur.plans.registry import vectors
 from larkspur.sources import codecs
@@ -279,6 +281,78 @@ def test_an_index_is_built_once_and_of_two_builders_one_wins(spark, tmp_path):
     assert empty.bm25(["oak"]).count() == 0 and empty.match("oak").count() == 0
 
 
+def test_changes_of_tables_by_key(spark, tmp_path):
+    schema = "k long, v string"
+    kept = SegmentStore(spark, str(tmp_path / "s"), ["k"], {"a": schema, "b": schema})
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    now = lambda name: sorted(tuple(r) for r in kept.table(name).collect())
+    assert kept.version() == 0 and now("a") == []
+    assert kept.put({"a": make([(1, "x"), (2, "y"), (2, "z")]), "b": make([(2, "b")])}) == 1
+    kept.put({"a": make([(2, "new")])})
+    assert now("a") == [(1, "x"), (2, "new")] and now("b") == []  # the key's rows go from all tables
+    kept.put({}, make([(1, None)]))
+    assert now("a") == [(2, "new")]
+    other = SegmentStore(spark, str(tmp_path / "s"), ["k"], {"a": schema, "b": schema})
+    assert other.put({"b": make([(3, "c"), (None, "n")])}) == 4
+    before = now("a"), sorted(str(tuple(r)) for r in kept.table("b").collect())
+    assert before[1] == ["(3, 'c')", "(None, 'n')"]
+    kept.compact()
+    assert (now("a"), sorted(str(tuple(r)) for r in kept.table("b").collect())) == before and len(kept.log()) == 1
+    for k in range(20):
+        kept.put({"a": make([(k % 3, f"v{k}")])})
+    assert len(kept.log()) <= 17 and now("a") == [(0, "v18"), (1, "v19"), (2, "v17")]
+    kept.clear()
+    assert now("a") == now("b") == []
+
+
+def test_vector_index_finds_adds_and_removes(spark, tmp_path):
+    vecs = vectors(spark, "/root/testdata/sf0.1").select("doc_id", "embedding")
+    index = VectorIndex.create(vecs, str(tmp_path / "ivf"))
+    asked = [r["embedding"] for r in vecs.filter("doc_id < 8").collect()]
+    hits = 0
+    for q in asked:
+        exact = {r["doc_id"] for r in search_or_scan(None, vecs, q, 10).collect()}
+        hits += len(exact & {r["doc_id"] for r in index.search(q, 10).collect()})
+    assert hits >= 0.6 * 10 * len(asked)  # nearly independent dimensions; all cells give all
+    q = asked[0]
+    exact = [tuple(r) for r in search_or_scan(None, vecs, q, 10).collect()]
+    assert [tuple(r) for r in index.search(q, 10, 32).collect()] == exact
+    plan = index.kept.table("vectors").filter(F.col("cell").isin(1, 2))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan
+    best = exact[0][0]
+    index.remove(vecs.filter(F.col("doc_id") == best))
+    assert [tuple(r) for r in index.search(q, 9, 32).collect()] == exact[1:]
+    index.add(vecs.filter(F.col("doc_id") == best))
+    assert [tuple(r) for r in index.search(q, 10, 32).collect()] == exact and index.count() == vecs.count()
+    index.clear()
+    assert index.count() == 0 and [tuple(r) for r in search_or_scan(index, vecs, q, 10).collect()] == exact
+    assert not VectorIndex(spark, str(tmp_path / "none")).exists()
+
+
+def test_vector_index_separates_clusters(spark, tmp_path):
+    rows = [(k, [1.0 + 0.01 * k, 0.0, 0.0]) for k in range(20)] + [(100 + k, [0.0, 1.0, 0.01 * k]) for k in range(20)] + [(999, [0.0, 0.0, 0.0]), (998, [])]
+    index = VectorIndex.create(spark.createDataFrame(rows, "doc_id long, embedding array<float>"), str(tmp_path / "c"), cells=2)
+    assert index.count() == 40 and {r["doc_id"] // 100 for r in index.search([0.0, 2.0, 0.1], 20, 1).collect()} == {1}
+
+
+def test_pq_index_and_its_codebook_file(spark, tmp_path):
+    vecs = vectors(spark, "/root/testdata/sf0.001").select("doc_id", "embedding")
+    index = PqIndex.train(vecs, str(tmp_path / "pq"))
+    again = PqIndex(spark, str(tmp_path / "pq"))
+    index.add(vecs)
+    assert again.count() == vecs.count() and sorted(map(tuple, again.codebook().collect())) == sorted(map(tuple, index.codebook().collect()))
+    q = vecs.filter("doc_id = 0").first()["embedding"]
+    found = [r["doc_id"] for r in again.search(q, 10).collect()]
+    codes = {r["doc_id"]: r["codes"] for r in again.codes().collect()}
+    book = {(r["sub"], r["code"]): r["centroid"] for r in again.codebook().collect()}
+    parts = [q[8 * s : 8 * s + 8] for s in range(8)]
+    exact = sorted((round(sum((a - b) ** 2 for s in range(8) for a, b in zip(parts[s], book[s, c[s]])), 6), i) for i, c in codes.items())
+    assert found == [i for _, i in exact[:10]]
+    index.remove(vecs.filter("doc_id = 0"))
+    assert again.count() == vecs.count() - 1 and 0 not in {r["doc_id"] for r in again.search(q, 10).collect()}
+    assert again.memory() == {"codes": 8 * again.count(), "codebook": 4 * 16 * 64, "vectors": 256 * again.count()}
+
+
 def test_keys_of_all_users_and_events_equal_brute_force(spark, tmp_path):
     from larkspur import catalog
 
