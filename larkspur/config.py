@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+import os
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields, replace
 
 #: Bounds of numeric settings, ends included.
@@ -36,3 +38,40 @@ def updated(config: Config, changes: Mapping[str, object]) -> Config:
     if unknown := set(changes) - known:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
     return replace(config, **changes)
+
+
+def positive_int(value: str | int | None, default: int) -> int:
+    """A request's parameter as a positive number; the default where it is missing, no number, or not positive."""
+    try:
+        found = int(value)
+    except (TypeError, ValueError):
+        return default
+    return found if found > 0 else default
+
+
+class Watched:
+    """Settings of a JSON file, read again when the file has changed. A file that is missing or wrong leaves the settings as they are."""
+
+    def __init__(self, path: str, config: Config | None = None, changed: Callable[[Config], None] | None = None):
+        self.path, self.config, self.changed, self.error, self._seen = path, config or Config(), changed, None, None
+        self.reload()
+
+    def reload(self) -> bool:
+        """Whether the settings changed."""
+        try:
+            stat = os.stat(self.path)
+            if (stat.st_mtime_ns, stat.st_size) == self._seen:
+                return False
+            self._seen = stat.st_mtime_ns, stat.st_size
+            with open(self.path, encoding="utf-8") as file:
+                new = updated(self.config, json.load(file))
+        except (OSError, ValueError, TypeError) as error:
+            self.error = error
+            return False
+        self.error = None
+        if new == self.config:
+            return False
+        self.config = new
+        if self.changed:
+            self.changed(new)
+        return True

@@ -1,13 +1,19 @@
-"""Embedding providers: an offline one in DataFrame functions, and batches through any callable."""
+"""Embedding providers: an offline one in DataFrame functions, an HTTP service, and batches through any callable."""
 
 from __future__ import annotations
 
+import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions.text import tokens
 
@@ -47,20 +53,78 @@ def pick(providers: Iterable[Provider]) -> Provider:
     raise RuntimeError("no embedding provider is healthy")
 
 
-def embed_with(df: DataFrame, text: str, provider: Provider | Callable, batch: int = 64, out: str = "embedding") -> DataFrame:
-    """Add the provider's vectors, asked for in batches on the executors; a null text has none. Any failure raises."""
+class HttpProvider:
+    """A service that embeds one text a request: POST {model, prompt} to ``path`` gives {embedding}.
+
+    A batch is asked with ``concurrency`` requests at once, in order; each has ``timeout`` seconds and ``retries`` further tries with growing pauses.
+    """
+
+    def __init__(self, url: str, model: str, dimension: int, path: str = "/api/embeddings", health: str = "/", timeout: float = 30.0, retries: int = 2, pause: float = 0.2, concurrency: int = 4):
+        self.name, self.url, self.model, self.dimension, self.path, self.health = "http", url.rstrip("/"), model, dimension, path, health
+        self.timeout, self.retries, self.pause, self.concurrency = timeout, retries, pause, concurrency
+
+    def healthy(self) -> bool:
+        try:
+            with urllib.request.urlopen(self.url + self.health, timeout=self.timeout) as answer:
+                return answer.status < 300
+        except (urllib.error.URLError, OSError):
+            return False
+
+    def one(self, text: str) -> list[float]:
+        body = json.dumps({"model": self.model, "prompt": text}).encode()
+        for attempt in range(self.retries + 1):
+            try:
+                request = urllib.request.Request(self.url + self.path, body, {"Content-Type": "application/json"})
+                with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                    found = json.load(answer)["embedding"]
+                if len(found) != self.dimension:
+                    raise ValueError(f"{len(found)} dimensions instead of {self.dimension}")
+                return [float(x) for x in found]
+            except (urllib.error.URLError, OSError):
+                if attempt == self.retries:
+                    raise
+                time.sleep(self.pause * 2**attempt)
+        raise AssertionError
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        with ThreadPoolExecutor(self.concurrency) as pool:
+            return list(pool.map(self.one, texts))
+
+
+def _each(call: Callable, texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+    """(vector, None) or (None, error) of each text: a batch that fails is asked again text by text."""
+    try:
+        found = [([float(x) for x in v], None) for v in call(texts)]
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        return found
+    except Exception as error:
+        if len(texts) == 1:
+            return [(None, f"{type(error).__name__}: {error}")]
+        return [x for t in texts for x in _each(call, [t])]
+
+
+def embed_with(df: DataFrame, text: str, provider: Provider | Callable, batch: int = 64, out: str = "embedding", errors: str | None = None) -> DataFrame:
+    """Add the provider's vectors, asked for in batches on the executors; a null text has none.
+
+    Any failure raises; with ``errors``, the name of one more column, texts that fail have no vector but their error there, and the others keep theirs.
+    """
     call = provider.embed if hasattr(provider, "embed") else provider
 
     def run(parts):
         for pdf in parts:
             found: list = [None] * len(pdf)
+            wrong: list = [None] * len(pdf)
             at = [i for i, t in enumerate(pdf[text]) if t is not None]
             for low in range(0, len(at), batch):
                 some = at[low : low + batch]
-                for i, v in zip(some, call([pdf[text].iloc[i] for i in some])):
-                    found[i] = [float(x) for x in v]
-            yield pdf.assign(**{out: pd.Series(found, index=pdf.index, dtype=object)})
-
-    kept = [f for f in df.schema.fields if f.name != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{out}` array<double>"
+                texts = [pdf[text].iloc[i] for i in some]
+                pairs = _each(call, texts) if errors else [([float(x) for x in v], None) for v in call(texts)]
+                for i, (vector, error) in zip(some, pairs):
+                    found[i], wrong[i] = vector, error
+            more = {out: pd.Series(found, index=pdf.index, dtype=object)} | ({errors: pd.Series(wrong, index=pdf.index, dtype=object)} if errors else {})
+            yield pdf.assign(**more)
+
+    kept = [f for f in df.schema.fields if f.name not in (out, errors)]
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType())), *([T.StructField(errors, T.StringType())] if errors else [])])
     return df.select(*[F.col(f"`{f.name}`") for f in kept]).mapInPandas(run, schema)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
 import pytest
 
-from larkspur.config import Config, updated
+from larkspur.config import Config, Watched, positive_int, updated
 from larkspur.engine import Engine
+from larkspur.operators import embed
 
 
 def test_engine_from_files_to_context(spark, tmp_path):
@@ -64,3 +70,56 @@ def test_config():
     for bad in ({"top_k": 0}, {"mode": "x"}, {"nothing": 1}):
         with pytest.raises(ValueError):
             updated(Config(), bad)
+
+
+def test_settings_are_read_again(tmp_path):
+    file, seen = tmp_path / "settings.json", []
+    watched = Watched(str(file), changed=seen.append)
+    assert watched.config == Config() and watched.error is not None
+    file.write_text('{"top_k": 4}')
+    assert watched.reload() and watched.config.top_k == 4 and not watched.reload() and len(seen) == 1
+    file.write_text('{"top_k": 0, "mode": "fts"}')
+    assert not watched.reload() and watched.config.top_k == 4 and "top_k" in str(watched.error)
+    assert [positive_int(x, 7) for x in ("3", 5, "0", "-2", "x", None, "")] == [3, 5, 7, 7, 7, 7, 7]
+
+
+class _Service(BaseHTTPRequestHandler):
+    asked: list = []
+
+    def do_GET(self):
+        self.send_response(200)
+        self.end_headers()
+
+    def do_POST(self):
+        text = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["prompt"]
+        _Service.asked.append(text)
+        if text == "slow":
+            time.sleep(3)
+        ok = text != "broken" and not (text == "once" and _Service.asked.count("once") == 1)
+        self.send_response(200 if ok else 500)
+        self.end_headers()
+        try:
+            self.wfile.write(json.dumps({"embedding": [float(len(text)), 1.0]}).encode() if ok else b"")
+        except OSError:
+            pass  # the one that asked has gone
+
+    def log_message(self, *_):
+        pass
+
+
+def test_an_embedding_service_in_batches_with_errors_and_timeouts(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    provider = embed.HttpProvider(f"http://127.0.0.1:{server.server_port}", "m", 2, timeout=1, retries=1, pause=0.01)
+    try:
+        assert provider.healthy() and not embed.HttpProvider("http://127.0.0.1:9", "m", 2, timeout=1).healthy()
+        rows = [(0, "aa"), (1, "broken"), (2, "once"), (3, None), (4, "slow"), (5, "four")]
+        got = {r["k"]: r for r in embed.embed_with(spark.createDataFrame(rows, "k long, text string").coalesce(1), "text", provider, errors="why").collect()}
+        assert got[0]["embedding"] == [2.0, 1.0] and got[2]["embedding"] == [4.0, 1.0] and got[5]["embedding"] == [4.0, 1.0]
+        assert got[1]["embedding"] is got[4]["embedding"] is got[3]["embedding"] is None
+        assert "500" in got[1]["why"] and "time" in got[4]["why"].lower() and got[0]["why"] is got[3]["why"] is None
+        with pytest.raises(Exception, match="500"):
+            embed.embed_with(spark.createDataFrame([(1, "broken")], "k long, text string"), "text", provider).collect()
+        assert embed.pick([embed.HttpProvider("http://127.0.0.1:9", "m", 2, timeout=1), provider]) is provider
+    finally:
+        server.shutdown()
