@@ -4,7 +4,7 @@
 2. A set is embedded as MINHASHES (place, value) tokens. In each of several independent runs a set chooses tokens by a hash that all sets
    share, each with probability 1 / (threshold * tokens); a chosen token is a path, and its sets are a bucket.
    A pair at the threshold meets in a run with probability 1 - 1/e at least; the runs repeat until the target recall.
-3. Buckets of LEAF sets or fewer are compared by brute force on the embedded tokens, in blocks of SIDE sets by SIDE. In a larger one all sets are compared with one
+3. Buckets of LEAF sets or fewer are compared by brute force on the embedded tokens. In a larger one all sets are compared with one
    pivot and linked to it where they are near. Sets very near to it are done (what is near to them is linked to the pivot, too); if few are not
    near, they are compared with the others in blocks; else all choose further tokens under the bucket's path, and
    so on until no bucket is large.
@@ -33,8 +33,8 @@ from larkspur.llm.components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MINHASHES = 64
-#: Sets that a bucket may have to be compared by brute force; sets of one side of a block of signatures, and of one of texts.
-LEAF, SIDE, BLOCK = 4096, 512, 400
+#: Sets that a bucket may have to be compared by brute force; sets of one side of a block of texts.
+LEAF, BLOCK = 1024, 400
 #: Agreement of embedded tokens (standard error 0.05) from which two sets are candidates, and from which one is done with its pivot.
 CANDIDATE, DONE = 0.58, 0.92
 #: Below the first level a set chooses that many times the tokens, so that a pair parts less often; above 1.25 crowds of like sets multiply.
@@ -156,14 +156,11 @@ def forest(n: int, pairs) -> list[int]:
     return [root(x) for x in range(n)]
 
 
-def agreeing(sigs: np.ndarray, sides: np.ndarray, least: float) -> np.ndarray:
-    """Pairs (i < j) whose tokens agree in the share ``least`` at least; where there are two sides, pairs across only."""
+def agreeing(sigs: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (i < j) whose tokens agree in the share ``least`` at least."""
     found = []
     for i in range(len(sigs) - 1):
-        near = (sigs[i + 1 :] == sigs[i]).sum(axis=1) >= least * MINHASHES
-        if sides[i]:
-            near &= sides[i + 1 :] != sides[i]
-        at = np.flatnonzero(near)
+        at = np.flatnonzero((sigs[i + 1 :] == sigs[i]).sum(axis=1) >= least * MINHASHES)
         if len(at):
             found.append(np.column_stack([np.full(len(at), i), at + i + 1]))
     return np.concatenate(found) if found else np.empty((0, 2), int)
@@ -187,20 +184,18 @@ def _emit(rows: list[tuple], names: str) -> pa.RecordBatch:
 
 
 def leaf_edges(members: DataFrame, sigs: DataFrame, parts: int) -> DataFrame:
-    """Edges (a, b) that span the candidates within each leaf, from rows (leaf, doc) and (doc, sig)."""
+    """Spanning edges (a, b) of the candidates within each leaf, from rows (leaf, doc) and (doc, sig)."""
 
     def run(batches):
-        for group in grouped(batches, "bucket"):
+        for group in grouped(batches, "leaf"):
             order = sorted(range(len(group["doc"])), key=group["doc"].__getitem__)
-            docs, sides = [group["doc"][i] for i in order], np.array([group["side"][i] for i in order])
-            agree = agreeing(np.frombuffer(b"".join([group["sig"][i] for i in order]), np.uint16).reshape(-1, MINHASHES), sides, CANDIDATE)
-            roots = forest(len(docs), agree.tolist())
+            docs = [group["doc"][i] for i in order]
+            sigs = np.frombuffer(b"".join([group["sig"][i] for i in order]), np.uint16).reshape(-1, MINHASHES)
+            roots = forest(len(docs), agreeing(sigs, CANDIDATE).tolist())
             if rows := [(docs[i], docs[r]) for i, r in enumerate(roots) if r != i]:
                 yield _emit(rows, "a b")
 
-    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    blocks = dealt(members.join(sizes, "leaf"), "leaf", "doc", F.ceil(F.col("n") / SIDE)).drop("n")
-    return blocks.join(sigs, "doc").select("bucket", "side", "doc", "sig").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return members.join(sigs, "doc").select("leaf", "doc", "sig").repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long")
 
 
 def against_pivots(large: DataFrame, threshold: float) -> DataFrame:

@@ -68,7 +68,6 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_near_duplicates_with_small_buckets_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(near, "LEAF", 6)
     monkeypatch.setattr(near, "BLOCK", 3)
-    monkeypatch.setattr(near, "SIDE", 2)
     check_classes(spark, crowd())
 
 
@@ -90,7 +89,7 @@ def all_links(texts: list[str], threshold=0.8) -> dict[int, int]:
     return links
 
 
-@pytest.mark.parametrize("leaf", [4096, 16])
+@pytest.mark.parametrize("leaf", [1024, 16])
 def test_near_duplicates_find_all_links_of_the_table(spark, monkeypatch, leaf):
     """On the table no link is lost, also where buckets are split again and again."""
     monkeypatch.setattr(near, "LEAF", leaf)
