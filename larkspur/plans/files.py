@@ -43,7 +43,7 @@ def to_pdf(texts: pd.Series) -> pd.Series:
     return texts.map(pdf_bytes)
 
 
-@query("docx_text")
+@query("docx_text", "SELECT doc_id, text FROM documents")
 def docx_text(spark, sf_dir):
     files = documents(spark, sf_dir).select("doc_id", to_docx("text").alias("content"))
     return files.select("doc_id", decode_docx("content").alias("text"))
