@@ -15,8 +15,6 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from functools import lru_cache
-from re import _constants as sre  # the standard library's own regex parser
-from re import _parser
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +69,91 @@ RULES = (
 )
 
 
+class Parser:
+    """Patterns of literals, classes, groups, alternatives and repeats as trees: ("set", bytes), ("cat", parts), ("alt", parts), ("rep", least, most, part)."""
+
+    ESCAPES = {"t": "\t", "n": "\n", "r": "\r"}
+
+    def __init__(self, pattern: str):
+        if not pattern.isascii():
+            raise ValueError("rules are ASCII")
+        self.pattern, self.at = pattern, 0
+
+    def parse(self):
+        tree = self.either()
+        if self.at < len(self.pattern):
+            raise ValueError(f"unexpected {self.pattern[self.at]!r} at {self.at}")
+        return tree
+
+    def peek(self) -> str:
+        return self.pattern[self.at : self.at + 1]
+
+    def take(self) -> str:
+        if self.at >= len(self.pattern):
+            raise ValueError("the pattern ends too early")
+        self.at += 1
+        return self.pattern[self.at - 1]
+
+    def either(self):
+        options = [self.row()]
+        while self.peek() == "|":
+            self.take()
+            options.append(self.row())
+        return options[0] if len(options) == 1 else ("alt", options)
+
+    def row(self):
+        parts = []
+        while self.peek() not in ("", "|", ")"):
+            part = self.one()
+            while self.peek() in ("*", "+", "?", "{") and self.peek():
+                part = ("rep", *self.times(), part)
+            parts.append(part)
+        return ("cat", parts)
+
+    def times(self) -> tuple[int, int | None]:
+        sign = self.take()
+        if sign != "{":
+            return {"*": (0, None), "+": (1, None), "?": (0, 1)}[sign]
+        least, comma, most = self.pattern[self.at : (end := self.pattern.index("}", self.at))].partition(",")
+        self.at = end + 1
+        return int(least), (int(most) if most else None) if comma else int(least)
+
+    def one(self):
+        c = self.take()
+        if c == "(":
+            tree = self.either()
+            if self.take() != ")":
+                raise ValueError("a group is not closed")
+            return tree
+        if c == "[":
+            return ("set", self.members())
+        if c == "\\":
+            return ("set", frozenset({self.escaped()}))
+        if c in ".^$*+?{":
+            raise ValueError(f"a rule may hold literals and plain classes only, not {c}")
+        return ("set", frozenset({ord(c)}))
+
+    def escaped(self) -> int:
+        c = self.take()
+        if c == "x":
+            return int(self.take() + self.take(), 16)
+        if c.isalnum() and c not in self.ESCAPES:
+            raise ValueError(f"a rule may hold literals and plain classes only, not \\{c}")
+        return ord(self.ESCAPES.get(c, c))
+
+    def members(self) -> frozenset:
+        found: set[int] = set()
+        if self.peek() == "^":
+            raise ValueError("a rule's class may not be negated")
+        while (c := self.take()) != "]":
+            low = high = self.escaped() if c == "\\" else ord(c)
+            if self.peek() == "-" and self.pattern[self.at + 1 : self.at + 2] != "]":
+                self.take()
+                high = self.escaped() if (c := self.take()) == "\\" else ord(c)
+            found.update(range(low, high + 1))
+        return frozenset(found)
+
+
 class Nfa:
     """Thompson construction; ``step[s]`` holds (byte set, next), ``free[s]`` the states reached for nothing."""
 
@@ -83,38 +166,36 @@ class Nfa:
         self.free.append([])
         return len(self.step) - 1
 
-    def add(self, parsed, at: int, backward: bool) -> int:
+    def add(self, tree, at: int, backward: bool) -> int:
         """Attach a parsed pattern behind state ``at``; give the state behind it."""
-        items = list(parsed)
-        for op, arg in reversed(items) if backward else items:
-            if op is sre.SUBPATTERN:
-                at = self.add(arg[3], at, backward)
-            elif op is sre.BRANCH:
-                end = self.state()
-                for option in arg[1]:
-                    self.free[self.add(option, at, backward)].append(end)
-                at = end
-            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-                least, most, body = arg
-                for _ in range(least):
-                    at = self.add(body, at, backward)
-                if most is sre.MAXREPEAT:
-                    loop = self.state()
-                    self.free[at].append(loop)
-                    self.free[self.add(body, loop, backward)].append(loop)
-                    at = loop
-                else:
-                    ends = [at]
-                    for _ in range(most - least):
-                        ends.append(at := self.add(body, at, backward))
-                    at = self.state()
-                    for end in ends:
-                        self.free[end].append(at)
-            else:
-                after = self.state()
-                self.step[at].append((byte_set(op, arg), after))
-                at = after
-        return at
+        if tree[0] == "set":
+            after = self.state()
+            self.step[at].append((tree[1], after))
+            return after
+        if tree[0] == "cat":
+            for part in reversed(tree[1]) if backward else tree[1]:
+                at = self.add(part, at, backward)
+            return at
+        if tree[0] == "alt":
+            end = self.state()
+            for option in tree[1]:
+                self.free[self.add(option, at, backward)].append(end)
+            return end
+        _, least, most, body = tree
+        for _ in range(least):
+            at = self.add(body, at, backward)
+        if most is None:
+            loop = self.state()
+            self.free[at].append(loop)
+            self.free[self.add(body, loop, backward)].append(loop)
+            return loop
+        ends = [at]
+        for _ in range(most - least):
+            ends.append(at := self.add(body, at, backward))
+        after = self.state()
+        for end in ends:
+            self.free[end].append(after)
+        return after
 
     def closure(self, states) -> frozenset:
         seen, todo = set(states), list(states)
@@ -126,18 +207,6 @@ class Nfa:
         return frozenset(seen)
 
 
-def byte_set(op, arg) -> frozenset:
-    if op is sre.LITERAL:
-        found = {arg}
-    elif op is sre.IN and all(o in (sre.LITERAL, sre.RANGE) for o, _ in arg):
-        found = {b for o, a in arg for b in ([a] if o is sre.LITERAL else range(a[0], a[1] + 1))}
-    else:
-        raise ValueError(f"a rule may hold literals and plain classes only, not {op}")
-    if max(found) > 127:
-        raise ValueError("rules are ASCII")
-    return frozenset(found)
-
-
 def subset_construction(nfa: Nfa, start: list[int], finals: dict[int, int]) -> tuple[list[list[int]], list[int]]:
     """(rows of next state by byte, mask of accepting rules by state); state 0 is the start."""
     first = nfa.closure(start)
@@ -204,7 +273,7 @@ class Automaton:
         for r, rule in enumerate(rules):
             start.append(at := nfa.state())
             nfa.free[again].append(at)
-            finals[nfa.add(_parser.parse(rule.pattern), at, False)] = r
+            finals[nfa.add(Parser(rule.pattern).parse(), at, False)] = r
         self.rows, self.masks = minimise(*subset_construction(nfa, [again], finals))
         self.start = linked(self.rows, self.masks)[0]
         self.forward = [self.alone(rule.pattern, False) for rule in rules]
@@ -215,7 +284,7 @@ class Automaton:
     def alone(pattern: str, backward: bool) -> list:
         nfa = Nfa()
         at = nfa.state()
-        end = nfa.add(_parser.parse(pattern), at, backward)
+        end = nfa.add(Parser(pattern).parse(), at, backward)
         return linked(*minimise(*subset_construction(nfa, [at], {end: 0})))[0]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:

@@ -226,6 +226,21 @@ def test_a_key_line_alone_takes_no_prose_along():
     assert secrets.redacted(text, secrets.compiled()) == "Put [pem] first,\nthen the words; see [pem]\nNote: not a key\n"
 
 
+def test_patterns_mean_what_regexes_mean():
+    rng = random.Random(8)
+    for pattern in ("ab|c", "(a|b)*c", "a{2,3}b?", "[a-c]{2}", r"a\x20?\.b", "(ab)+|c{0,2}d", "[ab-]c", r"\\a|\[b"):
+        row, own = secrets.Automaton.alone(pattern, False), re.compile(pattern)
+        for _ in range(300):
+            text = "".join(rng.choice("abcd .-\\[") for _ in range(rng.randrange(0, 7)))
+            state = row
+            for b in text.encode():
+                state = state[b]
+            assert bool(state[256]) == (own.fullmatch(text) is not None), (pattern, text)
+    for bad in ("a.b", "(a", "a)", "[^a]", r"\d", "*a", "é", "[a"):
+        with pytest.raises(ValueError):
+            secrets.Parser(bad).parse()
+
+
 def test_minimised_automaton_is_minimal_and_equal():
     rules = (secrets.Rule("a", "ab+"), secrets.Rule("b", "(c|d)e?f"))
     a = secrets.Automaton(rules)
