@@ -36,12 +36,14 @@ def _names(schema: str) -> list[str]:
 class Engine:
     """One corpus in one folder. A chunk is what is searched: its id is the ``doc_id`` of hits."""
 
-    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embedder: Callable[[DataFrame], DataFrame] | None = None, counter=None):
+    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embedder: Callable[[DataFrame], DataFrame] | None = None, counter=None, splitters: dict | None = None):
         self.spark, self.folder, self.config = spark, folder.rstrip("/"), config or Config()
         #: (doc_id, text) -> (doc_id, embedding)
         self.embedder = embedder or (lambda df: embed.dense(embed.hash_embedding(df, "doc_id", "text"), "doc_id"))
         #: array of pieces -> array of their tokens; None: a quarter of the bytes
         self.counter = counter
+        #: file type -> (text -> array of pieces), besides ``chunkers.SPLITTERS``
+        self.splitters = splitters
         self.kept = SegmentStore(spark, self.folder, ["tenant", "path"], TABLES)
         self._results: OrderedDict[tuple, tuple[float, list]] = OrderedDict()
 
@@ -64,10 +66,8 @@ class Engine:
         self._results.clear()
 
     def _chunks(self, documents: DataFrame) -> DataFrame:
-        """Chunks of documents by kind: declarations of source code, lines of print and word-processor files, sections of the rest; memories stay whole."""
-        kind, text = F.col("file_type"), F.col("text")
-        printed = F.filter(F.split(text, "\n+"), lambda x: F.trim(x) != "")
-        pieces = F.when(kind == "go", chunkers.declarations(text)).when(kind == "memory", F.array("text")).when(kind.isin("pdf", "docx"), printed).otherwise(chunkers.sections(text))
+        """Chunks of documents by the splitters of their kinds; memories stay whole."""
+        pieces = chunkers.split_by_kind(F.col("file_type"), F.col("text"), self.splitters)
         keyed = documents.withColumnRenamed("doc_id", "document_id")
         chunks = chunkers.chunks(keyed, pieces, chunkers.is_heading, key="document_id", max_tokens=self.config.max_tokens, min_bytes=self.config.min_bytes, tokens=self.counter)
         if self.config.overlap_characters:

@@ -60,6 +60,24 @@ def declarations(s: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(s, r"(?m)^(func|package|type|const|var)(\s)", MARK + "$1$2"), MARK), lambda x: F.trim(x) != "")
 
 
+def printed(s: Column) -> Column:
+    """Non-blank lines of print and word-processor files."""
+    return F.filter(F.split(s, "\n+"), lambda x: F.trim(x) != "")
+
+
+#: The splitter of each kind of file (text -> array of pieces); a kind without one has DEFAULT.
+SPLITTERS: dict[str, Callable[[Column], Column]] = {"go": declarations, "memory": lambda s: F.array(s), "pdf": printed, "docx": printed}
+DEFAULT = sections
+
+
+def split_by_kind(kind: Column, text: Column, splitters: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """Pieces of a text by its kind; ``splitters`` add to the known ones or stand in their place."""
+    out = None
+    for name, splitter in (SPLITTERS | (splitters or {})).items():
+        out = F.when(kind == name, splitter(text)) if out is None else out.when(kind == name, splitter(text))
+    return out.otherwise(DEFAULT(text))
+
+
 def chunk_starts(facts: Column, max_tokens: int, min_bytes: int) -> Column:
     """Numbers of the pieces that chunks begin with, from array<struct<tokens, bytes, opens, fence>>."""
     none = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("at"), F.lit(False).alias("fenced"), F.array().cast("array<int>").alias("starts"))

@@ -1,4 +1,4 @@
-"""Product quantisation and random-projection buckets for vectors.
+"""Product quantisation of vectors.
 
 The codebook is rows (sub, code, centroid). It has subspaces x codes rows whatever the data's size, so it may be broadcast; vectors never are.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import cosine_similarity, normalize, squared_euclidean
+from larkspur.functions.vectors import squared_euclidean
 
 SUBSPACES, CODES, ROUNDS = 8, 16, 10
 SAMPLE = 2000
@@ -85,17 +85,3 @@ def adc_table(q: DataFrame, codebook: DataFrame, subspaces: int = SUBSPACES) ->
 
 def adc_distance(codes: Column, lookup: Column) -> Column:
     return F.aggregate(F.transform(codes, lambda c, i: F.element_at(lookup, i * 100000 + c)), F.lit(0.0), lambda s, x: s + x)
-
-
-def lsh_top(vecs: DataFrame, q: DataFrame, k: int, key: str = "doc_id", tables: int = 12, length: float = 1.2) -> DataFrame:
-    """Approximate ``k`` nearest by cosine: unit vectors in random-projection buckets, the query's buckets reranked exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = vecs.select(key, "embedding", array_to_vector(normalize(F.col("embedding"))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=5).fit(unit)
-    asked = model.transform(q.limit(1).select("q", array_to_vector(normalize(F.col("q"))).alias("features"))).select("q", F.col("hashes").alias("qh"))
-    hashed = model.transform(unit).crossJoin(F.broadcast(asked))
-    same = F.exists(F.zip_with("hashes", "qh", lambda a, b: a == b), lambda x: x)
-    scored = hashed.filter(same).select(key, F.round(cosine_similarity(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,10 +30,11 @@ class SearchOptions:
     min_score: float | None = None
     collections: Sequence[str] = field(default_factory=tuple)
     match_all: bool = False
-    rerank: str | None = None
+    #: the name of a reranker, or a function (hits, query) -> hits with new scores
+    rerank: str | Callable[[DataFrame, str], DataFrame] | None = None
 
     def __post_init__(self):
-        if self.rerank not in (None, *RERANKERS):
+        if self.rerank not in (None, *RERANKERS) and not callable(self.rerank):
             raise ValueError(f"unknown reranker {self.rerank!r}")
         if self.mode not in MODES:
             raise ValueError(f"unknown mode {self.mode!r}")
@@ -174,8 +175,10 @@ def ensemble(scores: Sequence[str], weights: Sequence[float] | None = None) -> C
     return total
 
 
-def reranked(hits: DataFrame, query: str, how: str) -> DataFrame:
+def reranked(hits: DataFrame, query: str, how: str | Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Bounded hits (doc_id, score, heading, content, line_start, ...) with the scores and ranks that a reranker gives."""
+    if callable(how):
+        return number(how(hits, query).drop("rank"))
     scored = hits.withColumns({"__heuristic": heuristic(query), "__bm25": candidate_bm25(query)})
     score = F.col(f"__{how}") if how != "ensemble" else ensemble(["__heuristic", "__bm25"], [0.7, 0.3])
     return number(scored.withColumn("score", F.round(score, 6)).drop("rank", "__heuristic", "__bm25"))

@@ -321,13 +321,3 @@ def memory_delete(spark, sf_dir):
 @query("memory_unsearchable", f"WITH {MEM} SELECT source, count(*) AS n FROM mem WHERE strlen(trim(text)) + 2 <= 50 GROUP BY source")
 def memory_unsearchable(spark, sf_dir):
     return memories(spark, sf_dir).filter(F.octet_length(F.trim("text")) + 2 <= 50).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("vector_topk_lsh")
-def vector_topk_lsh(spark, sf_dir):
-    """Approximate top 10 by random projections of unit vectors; recall is tested against the exact scan."""
-    from larkspur.operators.quantise import lsh_top
-
-    return lsh_top(vectors(spark, sf_dir), probe(spark, sf_dir), 10)
-
-

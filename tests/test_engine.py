@@ -8,6 +8,7 @@ import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.config import Config, Watched, positive_int, updated
 from larkspur.engine import Engine
@@ -61,6 +62,12 @@ def test_engine_reads_print_and_word_files_and_keeps_an_index(spark, tmp_path):
         assert hits[0]["doc_id"] == plain[0][0] and [r["rank"] for r in hits] == [1, 2]
     with pytest.raises(ValueError):
         engine.search("x", rerank="none of these")
+    shortest = lambda hits, query: hits.withColumn("score", -F.length("content").cast("double"))
+    by_length = engine.search("keeper letters", tenant="t", mode="fts", rerank=shortest)
+    assert [len(r["text"]) for r in by_length] == sorted(len(r["text"]) for r in by_length)
+    words = Engine(spark, str(tmp_path / "words"), Config(min_bytes=10, max_tokens=4), splitters={"txt": lambda t: F.split(t, " ")})
+    words.index(str(source), "t")
+    assert words.table("chunks").filter("path like '%c.txt'").count() > 3
     engine.forget("t", next(r["path"] for r in engine.table("documents").collect() if r["path"].endswith("b.pdf")))
     assert engine.search("tides", mode="fts") == []  # the index of the version before is not used
 
