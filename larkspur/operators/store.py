@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import datetime
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -78,7 +80,11 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return _temporary.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="larkspur-"))
+    application = spark.sparkContext.applicationId
+    if application not in _temporary:
+        _temporary[application] = tempfile.mkdtemp(prefix="larkspur-")
+        atexit.register(shutil.rmtree, _temporary[application], ignore_errors=True)
+    return _temporary[application]
 
 
 def _path(spark: SparkSession, name: str):
@@ -131,3 +137,9 @@ def create_once(spark: SparkSession, name: str, text: str) -> bool:
     out.write(text.encode())
     out.close()
     return True
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a folder and all in it, if it is there."""
+    path, fs = _path(spark, name)
+    fs.delete(path, True)
