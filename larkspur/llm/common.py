@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from larkspur.operators.store import shared_folder
+
 #: Rows that a Python operator works on at once; bounds a worker's memory together with CHUNK_CHARS.
 CHUNK_ROWS = 512
 #: Code points that a Python operator works on at once (one longer text makes a chunk of its own).
@@ -58,16 +59,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where none is and Spark runs in this process alone, else an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="checkpoint-")
-
-
 class WordCache(dict):
     """A dict that computes missing entries and forgets its older half when it is full; long keys are never kept, so its bytes are bounded, too."""
 

@@ -1,8 +1,7 @@
 """Document fingerprints by invertible Bloom lookup tables over paragraph digests.
 
-A text is cut into paragraphs: lines, and within a line wherever the text itself says so (after a blank behind a sign or a final
-"n" or "s"), and where a stretch is long nevertheless (a script without blanks or such signs), behind code points at which a hash of the last
-few meets a condition, so that an edit in a long line stays local in any script. Each paragraph's digest (with its number, where it occurs again) is
+A text is cut into paragraphs: lines, and within a line behind code points at which a hash of the last few meets a condition, so that an edit
+in a long line stays local, in any language and script. Each paragraph's digest (with its number, where it occurs again) is
 added to three cells of count, key and check sums. The fingerprint is the table of BASE cells.
 
 Two versions' tables subtract cell by cell; what both hold cancels. Peeling then recovers the differing digests: a cell whose count is one
@@ -23,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections import Counter
 
 import numpy as np
@@ -38,38 +36,27 @@ from larkspur.llm.common import CHUNK_CHARS, U, mix, shuffle_partitions, table
 BASE, GROWTH = 24, 4
 PART = 3
 NULL_ID = -(2**63)
-_cut = re.compile(r"[ \n](?<=[ns.,;:!?|&%$#*>)\]\n][ \n])|\n").split
+#: Code points of the hashed window; of a part of a line on average and at most.
+WINDOW, MEAN, MOST = 3, 24, 128
 
-#: Code points from which a stretch is cut by content; of the hashed window; on average and at most between such cuts.
-LONG, WINDOW, MEAN, MOST = 64, 3, 16, 128
 
-
-def cut_by_content(stretch: str) -> list[str]:
-    """The stretch cut behind windows whose hash meets a condition, and where MOST code points have none."""
-    points = np.frombuffer(stretch.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+def paragraphs(text: str) -> list[bytes]:
+    """The lines, cut behind windows whose hash meets a condition and where MOST code points have none; four bytes a code point."""
+    data = text.encode("utf-32-le", "replace")
+    points = np.frombuffer(data, np.uint32)
+    lines = np.flatnonzero(points == 10)
+    wide = points.astype(np.uint64)
     with np.errstate(over="ignore"):
-        rolled = points[WINDOW - 1 :].copy()
+        rolled = wide[WINDOW - 1 :].copy()
         for k in range(1, WINDOW):
-            rolled = rolled * U(0x9E3779B97F4A7C15) + points[WINDOW - 1 - k : len(points) - k]
-    out, at = [], 0
-    for end in [*(np.flatnonzero(mix(rolled) % U(MEAN) == 0) + WINDOW).tolist(), len(stretch)]:
-        while end - at > MOST:
-            out.append(stretch[at : at + MOST])
-            at += MOST
-        if end > at:
-            out.append(stretch[at:end])
-            at = end
-    return out
-
-
-def paragraphs(text: str) -> list[str]:
-    out = []
-    for stretch in _cut(text):
-        if len(stretch) > LONG:
-            out += cut_by_content(stretch)
-        elif stretch:
-            out.append(stretch)
-    return out
+            rolled = rolled * U(0x9E3779B97F4A7C15) + wide[WINDOW - 1 - k : len(wide) - k]
+    inner = np.flatnonzero(mix(rolled) % U(MEAN) == 0) + WINDOW
+    bounds = np.unique(np.concatenate([[0], inner, lines, lines + 1, [len(points)]]))
+    if (np.diff(bounds) > MOST).any():
+        bounds = np.unique(np.concatenate([bounds, *(np.arange(a, b, MOST) for a, b in zip(bounds, bounds[1:]) if b - a > MOST)]))
+    starts = bounds[:-1]
+    some = points[starts] != 10  # a line's end is no paragraph
+    return [data[a:b] for a, b in zip((4 * starts[some]).tolist(), (4 * bounds[1:][some]).tolist())]
 
 
 def digests(text: str) -> np.ndarray:
