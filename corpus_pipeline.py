@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import lines, near, packing, secrets, toxic
-from larkspur.llm.common import shared_folder, table
+from larkspur.llm.common import table
+from larkspur.operators.store import remove, shared_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what goes between them lies in the folder named in spark.checkpoint.dir."""
+    """All stages over ``documents``; what goes between them lies in the folder named in spark.checkpoint.dir, each stage's until the next one is written."""
     place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            remove(spark, f"{place}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
