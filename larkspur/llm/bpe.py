@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larkspur.llm.common import WordCache, map_chunks, table
+from larkspur.llm.common import WordCache, map_chunks, one_per_worker, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: A leaf is its pair's rank << 32 | place; NONE lies above all of them.
@@ -201,10 +201,9 @@ class WordBpe:
         return " ".join(self.tokens[x] for x in ids if x in self.tokens)
 
 
-@lru_cache(maxsize=4)
 def load(path: str) -> WordBpe:
     """One encoder, with its word cache, per Python worker."""
-    return WordBpe(path)
+    return one_per_worker(f"bpe {path}", lambda: WordBpe(path))
 
 
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:

@@ -59,6 +59,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_kept: dict[str, object] = {}
+
+
+def one_per_worker(name: str, make: Callable[[], object]):
+    """This process's object of that name. Another operator's goes, so that a worker which runs several stages holds one stage's caches."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 class WordCache(dict):
     """A dict that computes missing entries and forgets its older half when it is full; long keys are never kept, so its bytes are bounded, too."""
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import FIT_BYTES, BatchCache, bounded_sample, distinct_words, gathered, map_chunks, table
+from larkspur.llm.common import FIT_BYTES, BatchCache, bounded_sample, distinct_words, gathered, map_chunks, one_per_worker, table
 
 FIT_ROWS = 4000
 FOLDS, HELD_OUT = 5, 0
@@ -188,14 +188,8 @@ class Labeller:
         return out
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def labeller(digest: str, packed: bytes) -> Labeller:
-    if digest not in _labellers:
-        _labellers.clear()
-        _labellers[digest] = Labeller(pickle.loads(packed))
-    return _labellers[digest]
+    return one_per_worker(f"language {digest}", lambda: Labeller(pickle.loads(packed)))
 
 
 def held_out(doc_id):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import U, WordCache, cut_lineage, map_chunks, mix, shuffle_partitions, table
+from larkspur.llm.common import U, WordCache, cut_lineage, map_chunks, mix, one_per_worker, shuffle_partitions, table
 from larkspur.llm.components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -45,13 +45,15 @@ _A, _B = _SPREAD[0] | U(1), _SPREAD[1]
 _word = re.compile(r"\w+").findall
 
 
-_hashes = WordCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")))
+def word_hashes() -> WordCache:
+    return one_per_worker("near", lambda: WordCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))))
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's shingles."""
     found = _word(text.lower())
-    h = np.array([_hashes[w] for w in found], dtype=np.uint64)
+    hashes = word_hashes()
+    h = np.array([hashes[w] for w in found], dtype=np.uint64)
     n = min(len(h), words)
     if not n:
         return h

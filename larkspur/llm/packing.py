@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +26,20 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from larkspur.llm.bpe import lower, newer, vocabulary_path
-from larkspur.llm.common import distinct_words, gathered, table, text_chunks
+from larkspur.llm.common import distinct_words, gathered, one_per_worker, table, text_chunks
 
 TOKENS, SEGMENTS = 2048, 64
 END_ID = 1
 #: Remainders that wait at most before a bin is filled.
 POOL = 1024
 #: Words remembered by a Python worker, some 200 bytes each.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 #: Signs that form a word of their own behind letters (an apostrophe may not).
 SIGNS = '.,;:!?()[]{}"#$%&*+-/<=>@\\^_`|~'
 #: Stands for the ids of words about which tables of Unicode may differ.
 NEWER = b"none"
 #: Rows and code points that are encoded at once.
-ROWS, CHARS = 4096, 4_000_000
+ROWS, CHARS = 4096, 3_000_000
 
 
 class IdSource:
@@ -132,10 +131,9 @@ class IdSource:
         return out
 
 
-@lru_cache(maxsize=2)
 def id_source(path: str) -> IdSource:
     """One per Python worker."""
-    return IdSource(path)
+    return one_per_worker(f"packing {path}", lambda: IdSource(path))
 
 
 class Packer:
