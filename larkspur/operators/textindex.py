@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,12 @@ BUCKETS = 32
 
 
 def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_of(term: str) -> int:
+    """The same on the driver."""
+    return zlib.crc32(term.encode()) % BUCKETS
 
 
 class TextIndex:
@@ -33,6 +39,7 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, folder: str, fields: tuple[str, ...], key: str):
         self.spark, self.folder, self.fields, self.key = spark, folder, fields, key
+        self._key_type: str | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, folder: str, fields: dict[str, str], key: str = "doc_id") -> TextIndex:
@@ -64,7 +71,9 @@ class TextIndex:
 
     def _table(self, name: str) -> DataFrame:
         """A table of the build; its schema is stated, as an empty one has no files."""
-        key = self.totals().schema["key"].dataType.simpleString()
+        if self._key_type is None:
+            self._key_type = self.totals().schema["key"].dataType.simpleString()
+        key = self._key_type
         own = {"postings": f"key {key}, tf long, lens array<int>, pos array<int>", "terms": "df long, cf long"}[name]
         return self.spark.read.schema(f"term string, field string, {own}, bucket int").parquet(f"{self.folder}/{name}")
 
@@ -72,7 +81,7 @@ class TextIndex:
         """The rows of those terms; the filter on the buckets prunes folders, the one on the terms goes to the scan."""
         if not terms:
             return self._table(name).limit(0)
-        numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t"))).distinct().collect()]
+        numbers = sorted({bucket_of(t) for t in terms})
         return self._table(name).filter(F.col("bucket").isin(*numbers) & F.col("term").isin(*terms))
 
     def postings(self, terms: list[str]) -> DataFrame:
