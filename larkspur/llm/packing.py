@@ -14,6 +14,7 @@ stays null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -33,7 +34,7 @@ END_ID = 1
 #: Remainders that wait at most before a bin is filled.
 POOL = 1024
 #: Words remembered by a Python worker, some 200 bytes each.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 800_000
 #: Signs that form a word of their own behind letters (an apostrophe may not).
 SIGNS = '.,;:!?()[]{}"#$%&*+-/<=>@\\^_`|~'
 #: Stands for the ids of words about which tables of Unicode may differ.
@@ -53,6 +54,12 @@ class IdSource:
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.letters.model._resize_cache(0)
+        # a word's last token carries the vocabulary's mark of an end, no other does
+        mark = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if mark:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
         self.cache: dict[str, bytes] = {}
         self.newer = newer().search
         self.lone = re.compile("[\ud800-\udfff]").search
@@ -89,15 +96,17 @@ class IdSource:
     def _learn(self, words: list[str], letters: bool) -> None:
         for at in range(0, len(words), 5000):
             part = words[at : at + 5000]
-            # words of letters alone can be told apart in one text; others are given one by one
-            found = self.letters.encode(" ".join(part), add_special_tokens=False) if letters else self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            of_word = np.array(found.word_ids, np.int64)
-            if letters and (not len(of_word) or of_word[-1] != len(part) - 1):
-                self._learn(part, False)
-                continue
-            ids = np.array(found.ids, np.uint32).tobytes()
-            ends = (4 * np.searchsorted(of_word, np.arange(len(part)), side="right")).tolist()
-            self.cache.update((w, ids[a:b]) for w, a, b in zip(part, [0, *ends], ends))
+            if letters:  # many in one text, told apart by their last tokens
+                ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(part):
+                    self._learn(part, False)
+                    continue
+            else:  # one by one
+                found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                ids, ends = np.array(found.ids, np.uint32), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), side="right")
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            self.cache.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends], ends))
 
     def plain(self, text: str) -> str | None:
         """The text in lower case (the vocabulary lowers case itself; this way fewer words are to be remembered); None: it goes whole."""
