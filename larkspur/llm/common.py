@@ -70,6 +70,11 @@ def one_per_worker(name: str, make: Callable[[], object]):
     return _kept[name]
 
 
+def forget() -> None:
+    """Drop what ``one_per_worker`` keeps."""
+    _kept.clear()
+
+
 class WordCache(dict):
     """A dict that computes missing entries and forgets its older half when it is full; long keys are never kept, so its bytes are bounded, too."""
 
