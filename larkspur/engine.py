@@ -19,7 +19,7 @@ from larkspur.functions import text as T
 from larkspur.operators import chunkers, embed, search, store
 from larkspur.operators import context as contexts
 from larkspur.operators.segments import SegmentStore
-from larkspur.operators.textindex import TextIndex
+from larkspur.operators.textindex import FORMAT, TextIndex
 from larkspur.sources import codecs
 from larkspur.streaming import index as files
 
@@ -120,7 +120,7 @@ class Engine:
         return TextIndex.kept(self.spark, self._index_folder(), lambda: self.table("chunks"), {"text": "text"})
 
     def _index_folder(self) -> str:
-        return f"{self.folder}/text-index/{self.version():09d}"
+        return f"{self.folder}/text-index/{FORMAT}-{self.version():09d}"
 
     def _index(self) -> TextIndex | None:
         return self.build_index() if store.exists(self.spark, f"{self._index_folder()}/CURRENT") else None

@@ -23,6 +23,8 @@ from larkspur.operators import fulltext, store
 
 #: Hash buckets of terms; a bucket of a large index has many files.
 BUCKETS = 32
+#: Changes with the layout of the tables, so that an index of another layout is another one.
+FORMAT = 2
 
 
 def bucket(term: Column) -> Column:
@@ -164,6 +166,7 @@ class TextIndex:
         return F.exists(self._places(name, words[0]), lambda p: reduce(lambda a, b: a & b, [F.exists(o, lambda x: F.abs(x - p) <= distance + 1) for o in others]))
 
 
-def digest_of(spark: SparkSession, path: str) -> str:
-    """Names, sizes and times of the files below a path: an index of other files is another one."""
-    return hashlib.sha256("\n".join(store.listing(spark, path)).encode()).hexdigest()[:32]
+def digest_of(spark: SparkSession, path: str, fields: dict[str, str]) -> str:
+    """Of the layout, the fields, and the names, sizes and times of the files below a path: what differs in any of them has another index."""
+    facts = [f"{FORMAT} {BUCKETS}", *(f"{name} {column}" for name, column in fields.items()), *store.listing(spark, path)]
+    return hashlib.sha256("\n".join(facts).encode()).hexdigest()[:32]

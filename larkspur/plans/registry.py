@@ -47,7 +47,7 @@ FIELDS = {"text": "text", "collection": "collection", "path": "path"}
 
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The kept index of the corpus: built by the first question that needs it, and used as long as the table's files stay as they are."""
-    folder = f"{store.shared_folder(spark)}/text-index/{digest_of(spark, f'{sf_dir}/documents.parquet')}"
+    folder = f"{store.shared_folder(spark)}/text-index/{digest_of(spark, f'{sf_dir}/documents.parquet', FIELDS)}"
     return TextIndex.kept(spark, folder, lambda: documents(spark, sf_dir), FIELDS)
 
 
