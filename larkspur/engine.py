@@ -1,8 +1,8 @@
 """The engine: index files, remember texts, search, assemble context, count, forget.
 
-Tables are kept below one folder as changes by tenant and path (``segments.SegmentStore``): ``documents`` (doc_id, tenant, collection, path, file_type,
-content_hash, text), ``chunks`` and ``vectors``. A change writes its own documents' rows only; readers see whole changes. ``build_index`` keeps a
-full-text index of the version, which searches then use.
+Tables are kept below one folder as changes by tenant, collection and path (``segments.SegmentStore``): ``documents`` (doc_id, tenant, collection, path, file_type,
+content_hash, text), ``chunks`` and ``vectors``. A change writes its own documents' rows only; readers see whole changes. A full-text index follows
+the changes, so a search reads its terms' postings and no texts but those of its hits.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from larkspur.streaming import index as files
 
 DOCUMENTS = "doc_id string, tenant string, collection string, path string, file_type string, content_hash string, text string"
 CHUNKS = "doc_id string, document_id string, tenant string, collection string, path string, file_type string, heading string, text string, token_count long"
-VECTORS = "doc_id string, tenant string, path string, embedding array<double>"
+VECTORS = "doc_id string, tenant string, collection string, path string, embedding array<double>"
+#: What a document is told by.
+KEYS = ["tenant", "collection", "path"]
 TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS}
 
 
@@ -44,7 +46,8 @@ class Engine:
         self.counter = counter
         #: file type -> (text -> array of pieces), besides ``chunkers.SPLITTERS``
         self.splitters = splitters
-        self.kept = SegmentStore(spark, self.folder, ["tenant", "path"], TABLES)
+        self.kept = SegmentStore(spark, self.folder, KEYS, TABLES)
+        self.text_index = TextIndex(spark, f"{self.folder}/text-index-{FORMAT}", ("text",), "doc_id", "string")
         self._results: OrderedDict[tuple, tuple[float, list]] = OrderedDict()
 
     def version(self) -> int:
@@ -57,13 +60,17 @@ class Engine:
     # --- changes
 
     def _replace(self, new: DataFrame, gone: DataFrame | None = None) -> None:
-        """Put ``new`` documents in the place of those of the same tenant and path, and drop ``gone`` (tenant, path), all with their chunks and vectors."""
+        """Put ``new`` documents in the place of those of the same keys, and drop ``gone`` (keys), all with their chunks and vectors."""
         made = self._chunks(new)
         vectors = self.embedder(made.select("doc_id", "text")).select("doc_id", "embedding")
-        owners = made.select("doc_id", "tenant", "path").dropDuplicates(["doc_id"])
+        owners = made.select("doc_id", *KEYS).dropDuplicates(["doc_id"])
         rows = {"documents": new.select(_names(DOCUMENTS)), "chunks": made.select(_names(CHUNKS)), "vectors": vectors.join(owners, "doc_id").select(_names(VECTORS))}
+        self._put(rows, gone)
+
+    def _put(self, rows: dict[str, DataFrame], gone: DataFrame | None) -> None:
         self.kept.put(rows, gone)
         self._results.clear()
+        self.build_index()
 
     def _chunks(self, documents: DataFrame) -> DataFrame:
         """Chunks of documents by the splitters of their kinds; memories stay whole."""
@@ -81,20 +88,24 @@ class Engine:
         )
 
     def index(self, source: str, tenant: str = "", collection: str = "") -> dict[str, int]:
-        """Bring the tenant's documents of a folder up to date: counts of added, updated, removed, unchanged files."""
+        """Bring the tenant's documents of a folder up to date: counts of added, updated, removed, unchanged files.
+
+        Documents of other folders, collections and tenants stay as they are; a path may be in several collections.
+        """
         found = files.scan(self.spark, source)
         raw = F.col("content")
         text = F.when(F.col("file_type") == "docx", codecs.docx_text(raw)).when(F.col("file_type") == "pdf", F.array_join(codecs.pdf_text(raw), "\n\n")).otherwise(raw.cast("string"))
         now = found.select(
-            T.hash_id(F.concat_ws("|", F.lit(tenant), "path")).alias("doc_id"), F.lit(tenant).alias("tenant"), F.lit(collection).alias("collection"),
+            T.hash_id(F.concat_ws("|", F.lit(tenant), F.lit(collection), "path")).alias("doc_id"), F.lit(tenant).alias("tenant"), F.lit(collection).alias("collection"),
             "path", "file_type", "content_hash", F.coalesce(text, F.lit("")).alias("text"),
         )
         own = self.table("documents").filter((F.col("tenant") == tenant) & (F.col("file_type") != "memory") & (F.col("collection") == collection))
-        changes = store.sync(own, now)
+        below = F.col("path").startswith(store.qualified(self.spark, source) + "/")
+        changes = store.sync_within(own, now, below)
         counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
         if set(counts) - {"unchanged"}:
             new = now.join(changes.filter(F.col("change").isin("added", "updated")), "path", "left_semi")
-            gone = changes.filter("change = 'removed'").select(F.lit(tenant).alias("tenant"), "path")
+            gone = changes.filter("change = 'removed'").select(F.lit(tenant).alias("tenant"), F.lit(collection).alias("collection"), "path")
             self._replace(new, gone)
         return {k: counts.get(k, 0) for k in ("added", "updated", "removed", "unchanged")}
 
@@ -112,18 +123,21 @@ class Engine:
         """Drop one document of a tenant, or all of them."""
         own = self.table("documents").filter(F.col("tenant") == tenant)
         gone = own if path is None else own.filter(F.col("path") == path)
-        self.kept.put({}, gone)
-        self._results.clear()
+        self._put({}, gone)
 
     def build_index(self) -> TextIndex:
-        """Keep a full-text index of the chunks as they are; searches of this version use it."""
-        return TextIndex.kept(self.spark, self._index_folder(), lambda: self.table("chunks"), {"text": "text"})
-
-    def _index_folder(self) -> str:
-        return f"{self.folder}/text-index/{FORMAT}-{self.version():09d}"
-
-    def _index(self) -> TextIndex | None:
-        return self.build_index() if store.exists(self.spark, f"{self._index_folder()}/CURRENT") else None
+        """The full-text index, brought up to the last change: each change that it has not seen is one of its own, so it costs what the change brings."""
+        index, owner = self.text_index, F.md5(F.concat_ws("\0", *KEYS))
+        known = index.state()
+        if known < self.version():
+            changes = self.kept.changes(known)
+            if changes is None:  # all was cleared
+                index.clear(self.version())
+                changes = self.kept.log.live()
+            for c in changes:
+                chunks = self.kept.rows_of(c, "chunks").withColumn("owner", owner) if "chunks" in c.entry["tables"] else None
+                index.change(chunks, self.kept.keys_of(c).select(owner.alias("owner")), {"text": "text"}, "owner", c.high)
+        return index.as_it_is()
 
     # --- questions
 
@@ -146,7 +160,7 @@ class Engine:
         asked = self.spark.createDataFrame([("q", query)], "doc_id string, text string")
         zero = F.transform(F.sequence(F.lit(1), F.lit(embed.DIMENSION)), lambda _: F.lit(0.0))
         q = asked.join(self.embedder(asked), "doc_id", "left").select(F.coalesce("embedding", zero).alias("q"))
-        found = search.enrich(search.search(chunks, self.table("vectors"), query, q, options, self._index()), chunks)
+        found = search.enrich(search.search(chunks, self.table("vectors"), query, q, options, self.build_index()), chunks)
         if options.rerank:
             found = search.reranked(found.withColumn("content", F.col("text")).withColumn("line_start", F.lit(0)), query, options.rerank)
         return found.select("doc_id", "score", "vector_score", "fts_score", "rank", "path", "heading", "text", "token_count")

@@ -6,6 +6,7 @@ terms alone and gives the same rows. Only statistics of one row (documents, aver
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -52,7 +53,13 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 
 
-def saturated(f: Column, length: Column, mean: Column) -> Column:
+def idf_of(n: int, df: int) -> float:
+    """The same on the driver."""
+    return max(math.log((n - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+
+
+def saturated(f, length, mean):
+    """What a frequency gives, of columns or of numbers."""
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
 
 

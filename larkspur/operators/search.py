@@ -65,6 +65,8 @@ def vector_top(docs: DataFrame, vecs: DataFrame, q: DataFrame, k: int) -> DataFr
 
 def lexical_top(corpus: DataFrame | TextIndex, found: DataFrame | None, terms: list[str], k: int, match_all: bool = False) -> DataFrame:
     """The ``k`` best of the ``found`` documents (None: of all) by BM25; its statistics are of the whole corpus, texts or index."""
+    if isinstance(corpus, TextIndex) and not match_all:
+        return corpus.top(terms, k, found)
     scored = corpus.bm25(terms) if isinstance(corpus, TextIndex) else fulltext.bm25(corpus, terms)
     if match_all:
         scored = scored.filter(F.col("n_terms") == len(terms))

@@ -6,10 +6,11 @@ import atexit
 import datetime
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +37,11 @@ def sync(old: DataFrame, new: DataFrame, key: str = "path", digest: str = "conte
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+def sync_within(old: DataFrame, new: DataFrame, within: Column, key: str = "path", digest: str = "content_hash") -> DataFrame:
+    """(path, change) of one source: only the tracked rows that are ``within`` it can be missing from its listing."""
+    return sync(old.filter(within), new, key, digest)
+
+
 def to_index(stored: DataFrame, files: DataFrame, key: str = "path", digest: str = "content_hash") -> DataFrame:
     """Files that are new or changed; the others are skipped."""
     return files.join(stored.select(key, digest), [key, digest], "left_anti")
@@ -125,8 +131,29 @@ def read_text(spark: SparkSession, name: str) -> str | None:
         reader.close()
 
 
+def size(spark: SparkSession, name: str) -> int:
+    """Bytes of all files below a folder."""
+    path, fs = _path(spark, name)
+    return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
+
+def age(spark: SparkSession, name: str) -> float:
+    """Seconds since anything in a folder changed last."""
+    path, fs = _path(spark, name)
+    last, found = fs.getFileStatus(path).getModificationTime(), fs.listFiles(path, True)
+    while found.hasNext():
+        last = max(last, found.next().getModificationTime())
+    return time.time() - last / 1000
+
+
+def qualified(spark: SparkSession, name: str) -> str:
+    """The full name of a path, as the names of its files begin."""
+    path, fs = _path(spark, name)
+    return fs.makeQualified(path).toString().rstrip("/")
+
+
 def create_once(spark: SparkSession, name: str, text: str) -> bool:
-    """Write a small file that must not exist yet; False if it did."""
+    """Write a small file that must not exist yet; False if it did. The store has to refuse to create a file that exists."""
     path, fs = _path(spark, name)
     try:
         out = fs.create(path, False)

@@ -1,18 +1,26 @@
-"""A kept inverted index: postings with positions, term statistics and lengths, written once and read by term.
+"""A kept inverted index that takes changes: postings by term, in segments that are never changed.
 
-Folder of one build: ``postings`` (bucket, term, field, key, tf, lens, pos) and ``terms`` (bucket, term, field, df, cf), both partitioned by a hash bucket of
-the term and sorted by term within files, so that a question reads its terms' buckets, and of these the row groups that may hold the terms; ``totals``
-(one row: documents, terms of each field). Range-partitioned writing splits a frequent term over files. ``lens`` are the document's terms in
-each field, so that scoring needs no other table.
+A segment's tables: ``postings`` (bucket, term, level, field, key, owner, tf, lens, pos), by a hash bucket of the term, sorted by term and falling level, so that a question
+reads its terms' buckets, of these the row groups that may hold the terms, and of a common word's postings only the levels that matter; ``blocks``
+(bucket, term, field, level, df, cf, most_tf, least_len): what a level holds at most; ``forward`` (part, owner, key, tokens): what a document's postings are, sorted by a
+hash of its owner. The numbers of documents and of each field's terms stand in the log.
 
-A build gets a folder of its own and is named in a marker file that can be created once only: readers see whole builds, and of two builders one wins.
+A change is a segment with the new documents' tables, the owners whose older documents are dead (``gone``), and ``corrections``: what the dead ones had added to the
+statistics of the segment they are in. So statistics are sums of small tables, and a question leaves out the dead by a join with ``gone``. Nothing else is
+read: a change costs its own documents, and their postings' terms. Segments of like size are merged (``segments.Log``).
+
+``level`` tells how much of the greatest part a term can add a posting may give (in LEVELS steps, by the average length at the time it is written). ``top`` uses it: it
+scores a few postings of the highest levels, takes the k-th score as a threshold, and then scores only documents with a posting of a level at which the threshold can
+still be reached; bounds come from ``most_tf`` and ``least_len``, so they hold whatever the average is now.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,103 +28,238 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokens
 from larkspur.operators import fulltext, store
+from larkspur.operators.segments import Log, Span
 
-#: Hash buckets of terms; a bucket of a large index has many files.
-BUCKETS = 32
+#: Hash buckets of terms, a folder each, of a segment with at least so many documents (a smaller one has one); parts of owners, no folders.
+BUCKETS, BUCKETS_FROM, PARTS = 32, 50_000, 1024
+LEVELS = 16
 #: Changes with the layout of the tables, so that an index of another layout is another one.
-FORMAT = 2
+FORMAT = 3
+#: Documents from which on ``top`` skips: below, one pass over the postings is faster than two jobs more.
+SKIP_FROM = 200_000
+#: Postings of the highest levels that the threshold comes from, for each hit asked for; candidates that are joined by broadcast at most.
+FIRST, BROADCAST = 20, 50_000
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
+def bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
-def bucket_of(term: str) -> int:
+def bucket_of(term: str, buckets: int = BUCKETS) -> int:
     """The same on the driver."""
-    return zlib.crc32(term.encode()) % BUCKETS
+    return zlib.crc32(term.encode()) % buckets
+
+
+def part_of(owner: Column) -> Column:
+    return F.pmod(F.crc32(owner.cast("string").cast("binary")), F.lit(PARTS)).cast("int")
 
 
 class TextIndex:
-    """The index of one build."""
+    """The index in one folder. A document has a key, and an owner by which changes replace it (its key, unless another column is named)."""
 
-    def __init__(self, spark: SparkSession, folder: str, fields: tuple[str, ...], key: str):
-        self.spark, self.folder, self.fields, self.key = spark, folder, fields, key
-        self._key_type: str | None = None
+    def __init__(self, spark: SparkSession, folder: str, fields: tuple[str, ...], key: str = "doc_id", key_type: str = "long", owner_type: str | None = None, spans: list[Span] | None = None):
+        self.spark, self.folder, self.fields, self.key = spark, folder.rstrip("/"), tuple(fields), key
+        self.key_type, self.owner_type = key_type, owner_type or key_type
+        self.log = Log(spark, folder)
+        self._spans = spans
 
     @classmethod
-    def build(cls, docs: DataFrame, folder: str, fields: dict[str, str], key: str = "doc_id") -> TextIndex:
-        """Write the index of the named fields (field -> column) of ``docs``."""
-        spark = docs.sparkSession
-        parsed = docs.select(F.col(key).alias("key"), *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(fields.values())])
-        lens = F.array(*[F.size(f"t{i}") for i in range(len(fields))]).alias("lens")
-        places = [parsed.select("key", lens, F.lit(name).alias("field"), F.posexplode(f"t{i}").alias("p", "term")) for i, name in enumerate(fields)]
-        found = reduce(DataFrame.unionByName, places).groupBy("term", "field", "key").agg(F.count(F.lit(1)).alias("tf"), F.first("lens").alias("lens"), F.sort_array(F.collect_list("p")).alias("pos"))
-        by_term = found.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "field", "key").sortWithinPartitions("bucket", "term", "field", "key")
-        by_term.write.partitionBy("bucket").parquet(f"{folder}/postings")
-        index = cls(spark, folder, tuple(fields), key)
-        totals = parsed.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.size(f"t{i}")), F.lit(0)).cast("long").alias(f"len_{name}") for i, name in enumerate(fields)])
-        totals.select("*", F.lit(None).cast(docs.schema[key].dataType).alias("key")).coalesce(1).write.parquet(f"{folder}/totals")
-        terms = index._table("postings").groupBy("bucket", "term", "field").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        terms.repartitionByRange("bucket", "term", "field").sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").parquet(f"{folder}/terms")
+    def build(cls, docs: DataFrame, folder: str, fields: dict[str, str], key: str = "doc_id", owner: str | None = None, state: int = 0) -> TextIndex:
+        """Write the index of the named fields (field -> column) of ``docs`` as the first change of a new folder."""
+        types = dict(docs.dtypes)
+        index = cls(docs.sparkSession, folder, tuple(fields), key, types[key], types[owner or key])
+        index.change(docs, None, fields, owner, state)
         return index
 
     @classmethod
-    def kept(cls, spark: SparkSession, folder: str, docs, fields: dict[str, str], key: str = "doc_id") -> TextIndex:
-        """The build that the folder's marker names; where there is none yet, one is built from ``docs()``."""
+    def kept(cls, spark: SparkSession, folder: str, docs: Callable[[], DataFrame], fields: dict[str, str], key: str = "doc_id", key_type: str = "long") -> TextIndex:
+        """The build that the folder's marker names; where there is none yet, one is built from ``docs()``. Readers see whole builds, and of two builders one wins."""
         marker = f"{folder.rstrip('/')}/CURRENT"
         current = store.read_text(spark, marker)
         if current is None:
             own = f"build-{uuid.uuid4().hex}"
             cls.build(docs(), f"{folder.rstrip('/')}/{own}", fields, key)
             current = own if store.create_once(spark, marker, own) else store.read_text(spark, marker)
-        return cls(spark, f"{folder.rstrip('/')}/{current}", tuple(fields), key)
-
-    def _table(self, name: str) -> DataFrame:
-        """A table of the build; its schema is stated, as an empty one has no files."""
-        if self._key_type is None:
-            self._key_type = self.totals().schema["key"].dataType.simpleString()
-        key = self._key_type
-        own = {"postings": f"key {key}, tf long, lens array<int>, pos array<int>", "terms": "df long, cf long"}[name]
-        return self.spark.read.schema(f"term string, field string, {own}, bucket int").parquet(f"{self.folder}/{name}")
-
-    def _read(self, name: str, terms: list[str]) -> DataFrame:
-        """The rows of those terms; the filter on the buckets prunes folders, the one on the terms goes to the scan."""
-        if not terms:
-            return self._table(name).limit(0)
-        numbers = sorted({bucket_of(t) for t in terms})
-        return self._table(name).filter(F.col("bucket").isin(*numbers) & F.col("term").isin(*terms))
+        return cls(spark, f"{folder.rstrip('/')}/{current}", tuple(fields), key, key_type).as_it_is()
+
+    # --- segments
+
+    def spans(self) -> list[Span]:
+        """The living segments; those that were given, or the folder's."""
+        return self.log.live() if self._spans is None else self._spans
+
+    def as_it_is(self) -> TextIndex:
+        """The index as of now, whatever changes come: a question's parts see the same documents."""
+        return TextIndex(self.spark, self.folder, self.fields, self.key, self.key_type, self.owner_type, self.log.live())
+
+    def state(self) -> int:
+        """The number that the last change was given, -1 if there is none."""
+        return max((e["state"] for e in self.log.entries().values() if "state" in e), default=-1)
+
+    def size(self) -> int:
+        """Documents, dead ones not counted out."""
+        return sum(s.entry["totals"][0] for s in self.spans())
+
+    def _schema(self, name: str) -> str:
+        key, owner = f"key {self.key_type}", f"owner {self.owner_type}"
+        return {
+            "postings": f"term string, level int, field string, {key}, {owner}, tf long, lens array<int>, pos array<int>, segment long, bucket int",
+            "blocks": "term string, field string, level int, df long, cf long, most_tf long, least_len int, segment long, bucket int",
+            "forward": f"part int, {owner}, {key}, {', '.join(f'`t_{f}` array<string>' for f in self.fields)}, segment long",
+            "gone": f"{owner}, segment long",
+            "corrections": "term string, field string, df long, cf long, dead_in int, segment long, bucket int",
+        }[name]
+
+    def _tables(self, name: str, spans: list[Span] | None = None, terms: list[str] | None = None) -> DataFrame:
+        """A table of all segments that have it, with their numbers (``at``); of the rows of some terms only, if any are given.
+
+        The filter on the buckets prunes folders, the one on the terms goes to the scan.
+        """
+        spans = [s for s in (self.spans() if spans is None else spans) if name in s.entry["tables"]]
+        at, found = F.lit(None).cast("int"), []
+        for s in spans:
+            at = F.when(F.col("segment") == s.entry["segment"], s.high).otherwise(at)
+        small = [s for s in spans if s.entry["buckets"] == 1]  # without folders of buckets, so one scan reads them all
+        for some in ([small] if small else []) + [[s] for s in spans if s.entry["buckets"] > 1]:
+            rows, buckets = self.spark.read.schema(self._schema(name)).parquet(*[f"{self.folder}/{s.folder}/{name}" for s in some]), some[0].entry["buckets"]
+            if terms is not None:
+                rows = rows.filter(F.col("bucket").isin(*sorted({bucket_of(t, buckets) for t in terms})) & F.col("term").isin(*terms))
+            found.append(rows.withColumn("at", at).drop("segment"))
+        if not found or terms == []:
+            return self.spark.createDataFrame([], self._schema(name).replace(", segment long", "") + ", at int")
+        return reduce(DataFrame.unionByName, found)
+
+    def _living(self, rows: DataFrame, spans: list[Span]) -> DataFrame:
+        """Rows (owner, at, ...) whose owner no later segment of ``spans`` has taken away."""
+        if not any("gone" in s.entry["tables"] for s in spans[1:]):
+            return rows
+        gone = self._tables("gone", spans[1:]).groupBy("owner").agg(F.max("at").alias("last")).withColumnRenamed("owner", "gone")
+        return rows.join(gone, F.col("owner").eqNullSafe(F.col("gone")) & (F.col("last") > F.col("at")), "left_anti")
+
+    def change(self, docs: DataFrame | None, gone: DataFrame | None, fields: dict[str, str], owner: str | None = None, state: int = 0) -> None:
+        """Bring in documents in the place of all older ones of their owners, and take away those of the owners in ``gone`` (a column of them).
+
+        ``state``: a number that the caller knows the change by.
+        """
+        spans, made = self.log.live(), _Segment(self)
+        touched = [] if gone is None else [gone.select(F.col(gone.columns[0]).cast(self.owner_type).alias("owner"))]
+        if docs is not None:
+            cut = [tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t_{f}") for f, c in fields.items()]
+            mine = F.col(owner or self.key)
+            # texts are cut once; all else is made from the forward table
+            made.forward(docs.select(part_of(mine).alias("part"), mine.alias("owner"), F.col(self.key).alias("key"), *cut))
+            made.postings(self._postings_of(made.read("forward"), made.means()))
+            touched.append(made.read("forward").select("owner"))
+        if spans and touched:
+            made.write("gone", reduce(DataFrame.unionByName, touched).distinct())
+            taken = made.read("gone").withColumnRenamed("owner", "taken").drop("segment")
+            # the owners' parts are few numbers, by which the scan skips what is sorted elsewhere
+            parts = [r[0] for r in taken.select(part_of(F.col("taken"))).distinct().collect()]
+            older = self._living(self._tables("forward", spans).filter(F.col("part").isin(*parts)), spans)
+            dead = older.join(taken, F.col("owner").eqNullSafe(F.col("taken")), "left_semi")
+            made.lost = {r["at"]: [r[c] for c in self._totals()] for r in dead.groupBy("at").agg(*self._counts()).collect()}
+            if made.lost:
+                by_term = self._postings_of(dead, {}).groupBy("at", "term", "field").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+                made.by_bucket("corrections", by_term.withColumnRenamed("at", "dead_in"))
+        made.commit("put", state=state)
+        if run := self.log.due():
+            self.merge(run)
+
+    def clear(self, state: int = 0) -> None:
+        """Take away all documents."""
+        self.log.commit({"kind": "span", "low": 0, "high": self.log.version(), "folder": None, "state": state})
+
+    def merge(self, run: list[Span]) -> None:
+        """Write neighbouring segments as one: the living documents' tables, and what they take away from older ones."""
+        first, made = run[0].low, _Segment(self)
+        made.forward(self._living(self._tables("forward", run), run).drop("at"))
+        made.postings(self._living(self._tables("postings", run), run).drop("at", "bucket"))
+        if any(s.high < first for s in self.log.live()):
+            made.write("gone", self._tables("gone", run).select("owner").distinct())
+            for s in run:
+                for dead_in, counts in s.entry["lost"].items():
+                    if int(dead_in) < first:
+                        made.lost[int(dead_in)] = [a + b for a, b in zip(made.lost.get(int(dead_in), [0] * len(counts)), counts)]
+            if made.lost:
+                older = self._tables("corrections", run).filter(F.col("dead_in") < first)
+                made.by_bucket("corrections", older.groupBy("dead_in", "term", "field").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
+        made.commit("span", low=first, high=run[-1].high)
+        self.log.vacuum()
+
+    def _totals(self) -> list[str]:
+        return ["n", *[f"len_{f}" for f in self.fields]]
+
+    def _counts(self) -> list[Column]:
+        return [F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.size(f"t_{f}")), F.lit(0)).cast("long").alias(f"len_{f}") for f in self.fields]]
+
+    def _own_length(self) -> Column:
+        """Of the posting's field."""
+        return F.element_at("lens", F.array_position(F.array(*[F.lit(f) for f in self.fields]), F.col("field")).cast("int"))
+
+    def _postings_of(self, forward: DataFrame, means: dict[str, float]) -> DataFrame:
+        """(term, field, key, owner, tf, lens, pos, level, and ``at`` where it is known) of documents; ``means``: the fields' average lengths."""
+        at = ["at"] if "at" in forward.columns else []
+        lens = F.array(*[F.size(f"t_{f}") for f in self.fields]).alias("lens")
+        field = lambda f: F.transform(F.col(f"t_{f}"), lambda t, i: F.struct(F.lit(f).alias("field"), i.alias("p"), t.alias("term")))
+        each = forward.select("key", "owner", *at, lens, F.explode(F.concat(*[field(f) for f in self.fields])).alias("x")).select("key", "owner", *at, "lens", "x.*")
+        posts = each.groupBy("term", "field", "key", "owner", *at).agg(F.count(F.lit(1)).alias("tf"), F.first("lens").alias("lens"), F.sort_array(F.collect_list("p")).alias("pos"))
+        mean = F.lit(1.0)
+        for f, x in means.items():
+            mean = F.when(F.col("field") == f, F.lit(max(x, 1e-9))).otherwise(mean)
+        share = fulltext.saturated(F.col("tf"), self._own_length(), mean) / (fulltext.K1 + 1)
+        return posts.withColumn("level", F.least(F.floor(share * LEVELS), F.lit(LEVELS - 1)).cast("int"))
+
+    # --- what questions read
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """(term, field, key, tf, lens, pos) of the terms."""
-        return self._read("postings", terms).drop("bucket")
+        """(term, level, field, key, owner, tf, lens, pos) of the terms in living documents."""
+        return self._living(self._tables("postings", terms=terms), self.spans()).drop("bucket", "at")
 
     def prefixed(self, prefix: str) -> DataFrame:
         """The postings of all terms with that beginning; the scan skips what is sorted elsewhere."""
-        return self._table("postings").filter(F.col("term").startswith(prefix)).drop("bucket")
+        return self._living(self._tables("postings").filter(F.col("term").startswith(prefix)), self.spans()).drop("bucket", "at")
+
+    def totals(self) -> dict[str, int]:
+        """n, and len_ of each field, of living documents: sums of what stands in the log."""
+        out = [0] * (1 + len(self.fields))
+        for s in self.spans():
+            out = [a + b for a, b in zip(out, s.entry["totals"])]
+            for lost in s.entry["lost"].values():
+                out = [a - b for a, b in zip(out, lost)]
+        return dict(zip(self._totals(), out))
 
-    def totals(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/totals")
+    def statistics(self, terms: list[str] | None = None) -> DataFrame:
+        """(term, field, df, cf) of some terms, or of all, in living documents."""
+        rows = self._tables("blocks", terms=terms).select("term", "field", "df", "cf")
+        if any("corrections" in s.entry["tables"] for s in self.spans()):
+            rows = rows.unionByName(self._tables("corrections", terms=terms).select("term", "field", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf")))
+        return rows.groupBy("term", "field").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0")
 
     def terms(self) -> DataFrame:
         """(term, field, df, cf) of the whole vocabulary."""
-        return self._table("terms").drop("bucket")
+        return self.statistics()
+
+    # --- scores
 
-    def bm25(self, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-        """(key, score, n_terms) of the documents with any of the terms, as ``fulltext.bm25_fields`` gives them from the texts."""
+    def bm25(self, terms: list[str], weights: dict[str, float] | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """(key, score, n_terms) of the documents with any of the terms, as ``fulltext.bm25_fields`` gives them from the texts; of the ``keys`` (key) only, if any are given."""
         weights = weights or {self.fields[0]: 1.0}
         places = {name: self.fields.index(name) for name in weights}
         length = reduce(lambda a, b: a + b, [F.col("lens")[i] for i in places.values()])
         weight = reduce(lambda w, item: w.when(F.col("field") == item[0], F.lit(float(item[1]))), weights.items(), F)
         posts = self.postings(terms).filter(F.col("field").isin(*weights)).select("term", "key", length.alias("dl"), (F.col("tf") * weight).alias("f"))
         if len(weights) == 1:
-            counted = self._read("terms", terms).filter(F.col("field").isin(*weights)).select("term", "df")
+            counted = self.statistics(terms).filter(F.col("field").isin(*weights)).select("term", "df")
         else:
             posts = posts.groupBy("term", "key").agg(F.first("dl").alias("dl"), F.sum("f").alias("f"))
             counted = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        whole = self.totals().select(F.col("n").alias("__n"), (reduce(lambda a, b: a + b, [F.col(f"len_{name}") for name in weights]) / F.col("n")).alias("__avg"))
+        if keys is not None:
+            posts = posts.join(keys, "key", "left_semi")
+        whole = self.totals()
+        n, mean = F.lit(whole["n"]), F.lit(sum(whole[f"len_{name}"] for name in weights) / max(1, whole["n"]))
         # one row for each of the question's terms
-        facts = posts.join(F.broadcast(counted), "term").crossJoin(F.broadcast(whole))
-        part = fulltext.idf(F.col("__n"), F.col("df")) * fulltext.saturated(F.col("f"), F.col("dl"), F.col("__avg"))
+        facts = posts.join(F.broadcast(counted), "term")
+        part = fulltext.idf(n, F.col("df")) * fulltext.saturated(F.col("f"), F.col("dl"), mean)
         # summed in the order of the terms, whatever the order of the rows
         places_of = F.lit(0)
         for i, t in enumerate(terms):
@@ -124,6 +267,68 @@ class TextIndex:
         parts = facts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(places_of.alias("i"), part.alias("x")))).alias("parts"))
         return parts.select(F.col("key").alias(self.key), F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["x"]).alias("score"), F.size("parts").cast("long").alias("n_terms"))
 
+    def top(self, terms: list[str], k: int, found: DataFrame | None = None, skip: bool | None = None) -> DataFrame:
+        """(key, score): the ``k`` best by the first field's BM25, of those ``found`` if that is given; the rows of ``fulltext.top`` over ``bm25``.
+
+        ``skip``: whether to leave out postings that cannot matter; by default where the index is large.
+        """
+        among = (lambda df: df) if found is None else (lambda df: df.join(found.select(self.key), self.key, "left_semi"))
+        if (self.size() >= SKIP_FROM) if skip is None else skip:
+            keys = self.candidates(terms, k, among)
+            if keys is not None:
+                return fulltext.top(among(self.bm25(terms, keys=keys)).select(self.key, "score"), k, self.key)
+        return fulltext.top(among(self.bm25(terms)).select(self.key, "score"), k, self.key)
+
+    def candidates(self, terms: list[str], k: int, among: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame | None:
+        """(key): documents that hold all of the ``k`` best; None if they cannot be told from the others.
+
+        By levels: LEVELS rows a term come to the driver.
+        """
+        field = self.fields[0]
+        rows = self._tables("blocks", terms=terms).filter(F.col("field") == field).groupBy("term", "level").agg(F.sum("df").alias("df"), F.max("most_tf").alias("tf"), F.min("least_len").alias("len")).collect()
+        counted = {r["term"]: r["df"] for r in self.statistics(terms).filter(F.col("field") == field).collect()}
+        totals = self.totals()
+        if not rows or not totals["n"]:
+            return None
+        mean = totals[f"len_{field}"] / totals["n"]
+        most = {(r["term"], r["level"]): fulltext.idf_of(totals["n"], counted[r["term"]]) * fulltext.saturated(r["tf"], r["len"], mean) for r in rows if r["term"] in counted}
+        held = {(r["term"], r["level"]): r["df"] for r in rows}
+        known = [t for t in terms if t in counted]
+        levels = {t: sorted({level for u, level in most if u == t}, reverse=True) for t in known}
+        # the first postings, by what they can add
+        seen, cut = 0, {}
+        for t, level in sorted(most, key=lambda x: (-most[x], x)):
+            if seen >= FIRST * k:
+                break
+            seen += held[t, level]
+            cut[t] = min(level, cut.get(t, level))
+        first = self._at_levels({t: cut[t] for t in known if t in cut}, field)
+        least = fulltext.top(among(self.bm25(terms, keys=first)).select(self.key, "score"), k, self.key).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+        if least["n"] < k:
+            return None
+        # rounding to six places may lift a score by half of the last
+        threshold = least["least"] - 1e-6
+        best, cost = None, None
+        for choice in itertools.islice(itertools.product(*[[None, *levels[t]] for t in known]), 100_000):
+            # below its level (all of them, if that is None) a term adds this much at most
+            rest = sum(max((most[t, x] for x in levels[t] if c is None or x < c), default=0.0) for t, c in zip(known, choice))
+            rows_read = sum(held[t, x] for t, c in zip(known, choice) if c is not None for x in levels[t] if x >= c)
+            if rest < threshold and (cost is None or rows_read < cost):
+                best, cost = choice, rows_read
+        if best is None:
+            return None
+        keys = self._at_levels({t: c for t, c in zip(known, best) if c is not None}, field)
+        return F.broadcast(keys) if cost <= BROADCAST else keys
+
+    def _at_levels(self, cut: dict[str, int], field: str) -> DataFrame:
+        """(key) of the documents with a posting of one of the terms at its level or above."""
+        chosen = reduce(lambda a, b: a | b, [(F.col("term") == t) & (F.col("level") >= level) for t, level in cut.items()], F.lit(False))
+        # the least of the levels goes to the scan beside the terms
+        rows = self.postings(list(cut)).filter((F.col("level") >= min(cut.values(), default=0)) & (F.col("field") == field) & chosen)
+        return rows.select("key").distinct()
+
+    # --- matches
+
     def match(self, q: str, fields: tuple[str, ...] = ()) -> DataFrame:
         """(key) of the documents that a query matches in the given fields (all, if none is given); only the query's terms are read."""
         tree = fulltext.parse(q)
@@ -166,6 +371,47 @@ class TextIndex:
         return F.exists(self._places(name, words[0]), lambda p: reduce(lambda a, b: a & b, [F.exists(o, lambda x: F.abs(x - p) <= distance + 1) for o in others]))
 
 
+class _Segment:
+    """A segment that is being written."""
+
+    def __init__(self, index: TextIndex):
+        self.index, self.name, self.id = index, index.log.new_folder(), uuid.uuid4().int >> 66
+        self.tables: list[str] = []
+        self.totals, self.lost, self.buckets = [0] * (1 + len(index.fields)), {}, 1
+
+    def write(self, name: str, rows: DataFrame, *folders: str) -> None:
+        writer = rows.withColumn("segment", F.lit(self.id)).write
+        (writer.partitionBy(*folders) if folders else writer).parquet(f"{self.index.folder}/{self.name}/{name}")
+        self.tables.append(name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.index.spark.read.schema(self.index._schema(name)).parquet(f"{self.index.folder}/{self.name}/{name}")
+
+    def forward(self, rows: DataFrame) -> None:
+        self.write("forward", rows.repartitionByRange("part", "owner", "key").sortWithinPartitions("part", "owner"))
+        self.totals = list(self.read("forward").agg(*self.index._counts()).first())
+        self.buckets = BUCKETS if self.totals[0] >= BUCKETS_FROM else 1
+
+    def means(self) -> dict[str, float]:
+        return {f: x / max(1, self.totals[0]) for f, x in zip(self.index.fields, self.totals[1:])}
+
+    def by_bucket(self, name: str, rows: DataFrame, *order) -> None:
+        """Rows with a term, in its bucket, in the order of the terms; a frequent term's are split over files."""
+        places = ["bucket", "term", *order]
+        dealt = rows.withColumn("bucket", bucket(F.col("term"), self.buckets)).repartitionByRange(*places).sortWithinPartitions(*places)
+        self.write(name, dealt, *(["bucket"] if self.buckets > 1 else []))
+
+    def postings(self, rows: DataFrame) -> None:
+        self.by_bucket("postings", rows, F.desc("level"), "field", "key")
+        most = [F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("most_tf"), F.min(self.index._own_length()).alias("least_len")]
+        self.by_bucket("blocks", self.read("postings").groupBy("term", "field", "level").agg(*most))
+
+    def commit(self, kind: str, **more) -> None:
+        log = self.index.log
+        lost = {str(k): v for k, v in self.lost.items()}
+        log.commit({"kind": kind, "folder": self.name, "tables": self.tables, "segment": self.id, "buckets": self.buckets, "totals": self.totals, "lost": lost, "bytes": log.size(self.name)} | more)
+
+
 def digest_of(spark: SparkSession, path: str, fields: dict[str, str]) -> str:
     """Of the layout, the fields, and the names, sizes and times of the files below a path: what differs in any of them has another index."""
     facts = [f"{FORMAT} {BUCKETS}", *(f"{name} {column}" for name, column in fields.items()), *store.listing(spark, path)]

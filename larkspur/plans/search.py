@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.operators import fulltext as X
 from larkspur.operators import search as S
+from larkspur.operators import store
+from larkspur.operators.textindex import TextIndex
 from larkspur.plans.registry import DOCS, VECS, documents, query, table, text_index, vectors
 
 ASK = "was for pathetic"
@@ -18,11 +22,16 @@ def tokens_sql(text: str) -> str:
     return f"list_filter(regexp_split_to_array(translate(lower({text}), '{T.MARKED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-TOK = f"{DOCS}, tok AS (SELECT doc_id, tenant, {tokens_sql('text')} AS terms FROM docs)"
-BM25 = f"""{TOK}, len AS (SELECT doc_id, len(terms) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
-tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS t FROM tok) WHERE t IN ({', '.join(repr(t) for t in TERMS)}) GROUP BY 1, 2),
+def bm25_sql(terms: list[str]) -> str:
+    """Relations tok, len, st, tf, df, bm and bmr (doc_id, score, n_terms) of docs."""
+    return f"""tok AS (SELECT doc_id, tenant, {tokens_sql('text')} AS terms FROM docs), len AS (SELECT doc_id, len(terms) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS t FROM tok) WHERE t IN ({', '.join(repr(t) for t in terms)}) GROUP BY 1, 2),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
-bm AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS raw, count(*) AS n_terms FROM tf JOIN df USING (t) JOIN len USING (doc_id), st GROUP BY doc_id)"""
+bm AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS raw, count(*) AS n_terms FROM tf JOIN df USING (t) JOIN len USING (doc_id), st GROUP BY doc_id),
+bmr AS (SELECT doc_id, round(raw, 6) AS score, n_terms FROM bm)"""
+
+
+TOK = f"{DOCS}, tok AS (SELECT doc_id, tenant, {tokens_sql('text')} AS terms FROM docs)"
 COS = f"""{VECS}, cos AS (SELECT v.doc_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM vecs v, vecs q WHERE q.doc_id = 0)"""
 
 
@@ -30,7 +39,9 @@ def top_sql(source: str, k: int, where: str = "true") -> str:
     return f"(SELECT doc_id, score FROM {source} WHERE {where} ORDER BY score DESC, doc_id LIMIT {k})"
 
 
-BMR = f"{BM25}, bmr AS (SELECT doc_id, round(raw, 6) AS score, n_terms FROM bm)"
+BMR = f"{DOCS}, {bm25_sql(TERMS)}"
+#: A question in the language of one tenant.
+FRENCH, ASK_FRENCH = "fr", ["entre", "pour", "rementelle", "la"]
 HYBRID = f"""{BMR}, {COS},
 v AS (SELECT doc_id, score AS vector_score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM {top_sql('cos', 2 * K, 'doc_id IN (SELECT doc_id FROM docs)')}),
 f AS (SELECT doc_id, score AS fts_score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM {top_sql('bmr', 2 * K)}),
@@ -85,10 +96,52 @@ def fts_topk(spark, sf_dir):
     return X.top(bm25(spark, sf_dir).select("doc_id", "score"), 5)
 
 
-@query("bm25_tenant", f"WITH {BMR} SELECT doc_id, score FROM bmr JOIN docs USING (doc_id) WHERE tenant = 'fr' ORDER BY score DESC, doc_id LIMIT 20")
-@query("tenant_filtered_search", f"WITH {BMR} SELECT doc_id, score FROM bmr JOIN docs USING (doc_id) WHERE tenant = 'fr' ORDER BY score DESC, doc_id LIMIT 20")
+TENANT_SQL = f"WITH {DOCS}, {bm25_sql(ASK_FRENCH)} SELECT doc_id, score FROM bmr JOIN docs USING (doc_id) WHERE tenant = '{FRENCH}' ORDER BY score DESC, doc_id LIMIT 20"
+
+
+@query("bm25_tenant", TENANT_SQL)
+@query("tenant_filtered_search", TENANT_SQL)
 def bm25_tenant(spark, sf_dir):
-    return S.lexical_top(text_index(spark, sf_dir), S.live(documents(spark, sf_dir), S.SearchOptions(tenant="fr")), TERMS, 20)
+    return S.lexical_top(text_index(spark, sf_dir), S.live(documents(spark, sf_dir), S.SearchOptions(tenant=FRENCH)), ASK_FRENCH, 20)
+
+
+@query("bm25_topk_skipping", f"WITH {BMR} SELECT doc_id, score FROM bmr ORDER BY score DESC, doc_id LIMIT 5")
+def bm25_topk_skipping(spark, sf_dir):
+    """Only documents with a posting of a level that can reach the fifth score are scored."""
+    return text_index(spark, sf_dir).top(TERMS, 5, skip=True)
+
+
+#: The corpus after changes: one source's texts are longer, another one's documents are gone, and benchmark items have come.
+CHANGED = """docs AS (SELECT doc_id, lang AS tenant, CASE WHEN source = 'src1' THEN text || ' was pathetic' ELSE text END AS text FROM documents WHERE coalesce(source, '') <> 'src2'
+ UNION ALL SELECT 1000000000 + item_id, NULL, text FROM benchmark)"""
+
+
+def changed_index(spark, sf_dir):
+    """An index of the corpus that has taken these changes one by one."""
+    docs = documents(spark, sf_dir).select("doc_id", "collection", "text")
+    index = TextIndex.build(docs, f"{store.shared_folder(spark)}/text-index/changed-{uuid.uuid4().hex}", {"text": "text"})
+    for new, gone in (
+        (docs.filter("collection = 'src1'").withColumn("text", F.concat("text", F.lit(" was pathetic"))), None),
+        (None, docs.filter("collection = 'src2'").select("doc_id")),
+        (table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), "text"), None),
+    ):
+        index.change(new, gone, {"text": "text"})
+    return index.as_it_is()
+
+
+@query("index_changes_bm25", f"WITH {CHANGED}, {bm25_sql(TERMS)} SELECT doc_id, score, n_terms FROM bmr")
+def index_changes_bm25(spark, sf_dir):
+    return changed_index(spark, sf_dir).bm25(TERMS).withColumn("score", F.round("score", 6))
+
+
+@query("index_changes_match", f"WITH {CHANGED}, t AS (SELECT doc_id, {tokens_sql('text')} AS terms FROM docs) SELECT doc_id FROM t WHERE contains(' ' || array_to_string(terms, ' ') || ' ', ' was pathetic ') OR list_contains(terms, 'for')")
+def index_changes_match(spark, sf_dir):
+    return changed_index(spark, sf_dir).match('"was pathetic" OR for')
+
+
+@query("index_changes_terms", f"WITH {CHANGED}, t AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM docs) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
+def index_changes_terms(spark, sf_dir):
+    return changed_index(spark, sf_dir).terms().select("term", "df", "cf")
 
 
 @query(

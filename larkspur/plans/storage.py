@@ -40,9 +40,12 @@ def doc_by_id(spark, sf_dir):
     return docs.filter("doc_id = 7").join(F.broadcast(own), "tenant", "left_semi").select("doc_id", "path", "collection")
 
 
-@query("doc_by_path", f"WITH {DOCS} SELECT doc_id, path FROM docs WHERE path = 'docs/src3/3.txt' AND tenant = 'en'")
+@query("doc_by_path", f"WITH {DOCS} SELECT doc_id, path FROM docs WHERE tenant = 'en' AND path = (SELECT path FROM docs WHERE doc_id = (SELECT max(doc_id) FROM docs WHERE tenant = 'en'))")
 def doc_by_path(spark, sf_dir):
-    return documents(spark, sf_dir).filter("path = 'docs/src3/3.txt' AND tenant = 'en'").select("doc_id", "path")
+    """The path of the tenant's newest document, then the document of that path."""
+    docs = documents(spark, sf_dir)
+    newest = docs.filter("tenant = 'en'").agg(F.max_by("path", "doc_id").alias("path")).first()["path"]
+    return docs.filter((F.col("path") == newest) & (F.col("tenant") == "en")).select("doc_id", "path")
 
 
 @query("doc_by_id_any", f"WITH {DOCS} SELECT doc_id, tenant, path FROM docs WHERE doc_id = 7")
@@ -194,6 +197,20 @@ def sync_diff(spark, sf_dir):
     return store.sync(*snapshots(spark, sf_dir))
 
 
+@query(
+    "sync_one_source",
+    f"""WITH {DOCS}, old AS (SELECT path, collection, sha256(text) AS content_hash FROM docs), new AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE sha256(text) END AS content_hash FROM docs WHERE collection = 'src3' AND doc_id % 3 <> 0),
+    change AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN o.content_hash <> n.content_hash THEN 'updated' ELSE 'unchanged' END AS change FROM (SELECT * FROM old WHERE collection = 'src3') o LEFT JOIN new n ON o.path = n.path)
+    SELECT d.path, coalesce(change, 'of another source') AS change FROM docs d LEFT JOIN change USING (path)""",
+)
+def sync_one_source(spark, sf_dir):
+    """A listing of one source, of which a third is gone and some have changed: the documents of all other sources stay."""
+    docs = documents(spark, sf_dir).select("path", "collection", "doc_id", F.sha2("text", 256).alias("content_hash"))
+    listing = docs.filter("collection = 'src3' and doc_id % 3 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(F.col("content_hash")))
+    changes = store.sync_within(docs, listing, F.col("path").startswith("docs/src3/"))
+    return docs.select("path").join(changes, "path", "left").select("path", F.coalesce("change", F.lit("of another source")).alias("change"))
+
+
 @query("sync_counts", f"WITH {SYNC_SQL} SELECT change, count(*) AS n FROM diff GROUP BY change")
 def sync_counts(spark, sf_dir):
     return store.sync(*snapshots(spark, sf_dir)).groupBy("change").agg(F.count(F.lit(1)).alias("n"))

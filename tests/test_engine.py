@@ -54,9 +54,6 @@ def test_engine_reads_print_and_word_files_and_keeps_an_index(spark, tmp_path):
     assert engine.index(str(source), "t")["added"] == 4
     plain = [(r["doc_id"], r["score"]) for r in engine.search("keeper letters", tenant="t", mode="fts")]
     assert len(plain) == 2 and engine.search("tides", mode="fts")[0]["path"].endswith("b.pdf")
-    engine.build_index()
-    engine._results.clear()
-    assert [(r["doc_id"], r["score"]) for r in engine.search("keeper letters", tenant="t", mode="fts")] == plain
     for how in ("heuristic", "bm25", "ensemble"):
         hits = engine.search("keeper letters", tenant="t", mode="fts", rerank=how)
         assert hits[0]["doc_id"] == plain[0][0] and [r["rank"] for r in hits] == [1, 2]
@@ -70,7 +67,45 @@ def test_engine_reads_print_and_word_files_and_keeps_an_index(spark, tmp_path):
     of_text = "path like '%c.txt'"
     assert (engine.table("chunks").filter(of_text).count(), words.table("chunks").filter(of_text).count()) == (1, 2)
     engine.forget("t", next(r["path"] for r in engine.table("documents").collect() if r["path"].endswith("b.pdf")))
-    assert engine.search("tides", mode="fts") == []  # the index of the version before is not used
+    assert engine.search("tides", mode="fts") == []
+
+
+def test_folders_and_collections_keep_each_others_documents(spark, tmp_path):
+    for folder, names in (("a", "one two three"), ("b", "four"), ("ab", "five")):
+        (tmp_path / folder).mkdir()
+        for n in names.split():
+            (tmp_path / folder / f"{n}.txt").write_text(f"The {n} of folder {folder} is a text that is long enough to be kept as a chunk.")
+    engine = Engine(spark, str(tmp_path / "store"))
+    paths = lambda: sorted((r["collection"], r["path"].rsplit("/", 2)[1] + "/" + r["path"].rsplit("/", 1)[1]) for r in engine.table("documents").collect())
+    assert engine.index(str(tmp_path / "a"), "t") == {"added": 3, "updated": 0, "removed": 0, "unchanged": 0}
+    assert engine.index(str(tmp_path / "b"), "t") == {"added": 1, "updated": 0, "removed": 0, "unchanged": 0}
+    assert engine.index(str(tmp_path / "ab"), "t", "other")["added"] == 1
+    assert engine.index(str(tmp_path / "b"), "t", "other")["added"] == 1  # one path in two collections
+    (tmp_path / "a" / "two.txt").unlink()
+    assert engine.index(str(tmp_path / "a") + "/", "t") == {"added": 0, "updated": 0, "removed": 1, "unchanged": 2}
+    assert paths() == [("", "a/one.txt"), ("", "a/three.txt"), ("", "b/four.txt"), ("other", "ab/five.txt"), ("other", "b/four.txt")]
+    assert len(engine.search("four", mode="fts")) == 2 and len(engine.search("four", mode="fts", collections=("other",))) == 1
+    assert engine.search("two", mode="fts") == []
+    engine.forget("t", next(r["path"] for r in engine.table("documents").collect() if r["path"].endswith("four.txt")))
+    assert engine.search("four", mode="fts") == [] and len(paths()) == 3
+
+
+def test_a_search_after_a_change_reads_postings_and_no_texts(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    say = lambda *texts: engine.remember(spark.createDataFrame([(t, "user") for t in texts], "text string, source string"), "t")
+    say("remember that the harbour closes at nine in the evening", "the lighthouse is painted in red and white stripes this year")
+    say("a second note about the harbour, and about the boats in it")
+    index = engine.text_index
+    assert index.state() == engine.version() == 2 and index.totals()["n"] == 3
+    read = {f.rsplit("/", 2)[1] for f in index.as_it_is().top(["harbour"], 5).inputFiles()}
+    assert {"postings"} <= read <= {"postings", "blocks", "corrections", "gone"}
+    assert len(engine.search("harbour", mode="fts")) == 2
+    later = Engine(spark, str(tmp_path / "store"))
+    later.build_index = lambda: None  # a writer that stops before its index is written
+    later.remember(spark.createDataFrame([("the harbour master retires in autumn, after thirty years of service", "x")], "text string, source string"), "t")
+    assert index.state() == 2 and len(engine.search("harbour", mode="fts")) == 3 and index.state() == 3
+    engine.kept.clear()
+    assert engine.search("harbour", mode="fts") == [] and index.totals()["n"] == 0
 
 
 def test_config():

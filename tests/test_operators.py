@@ -255,12 +255,65 @@ def test_the_kept_index_answers_like_the_texts(spark, tmp_path):
     assert {tuple(r) for r in index.terms().filter("field = 'text'").select("term", "df", "cf").collect()} == {tuple(r) for r in fulltext.term_stats(fulltext.postings(docs)).collect()}
 
 
-def test_a_question_reads_its_terms_only(spark, tmp_path):
+def changed_index(spark, folder, monkeypatch, fanout):
+    """An index after additions, changes and removals by owner, and the documents as they are then."""
+    monkeypatch.setattr(segments, "FANOUT", fanout)
+    fields, schema = {"text": "text", "title": "title"}, "doc_id string, owner string, text string, title string"
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    make = lambda o, v, n: [(f"{o}-{v}-{i}", o, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))), rng.choice(words)) for i in range(n)]
+    now = {f"o{i}": make(f"o{i}", 0, 3) for i in range(40)}
+    rows = lambda some: spark.createDataFrame([r for rs in some for r in rs], schema)
+    index = TextIndex.build(rows(now.values()), folder, fields, owner="owner")
+    for v in range(1, 5):
+        new = {f"o{i}": make(f"o{i}", v, rng.randrange(0, 4)) for i in rng.sample(range(60), 6)}
+        gone = [f"o{i}" for i in rng.sample(range(60), 3)]
+        for o in gone:
+            now.pop(o, None)
+        now |= new
+        index.change(rows(new.values()), spark.createDataFrame([(o,) for o in {*gone, *new}], "owner string"), fields, "owner", v)
+    index.change(None, spark.createDataFrame([("o1",), ("never",)], "owner string"), fields, "owner", 5)
+    now.pop("o1", None)
+    return index, rows(now.values()), fields
+
+
+@pytest.mark.parametrize("fanout", [3, 100])
+def test_an_index_after_changes_equals_one_built_anew(spark, tmp_path, monkeypatch, fanout):
+    index, docs, fields = changed_index(spark, str(tmp_path / "index"), monkeypatch, fanout)
+    anew = TextIndex.build(docs, str(tmp_path / "anew"), fields, owner="owner")
+    assert index.state() == 5 and (len(index.spans()) < 5 if fanout == 3 else len(index.spans()) == 6)
+    assert index.totals() == anew.totals()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(index.terms()) == rows(anew.terms())
+    for terms in (["w1", "w2", "w3"], ["none", "w1"]):
+        for weights in (None, {"text": 1.0, "title": 2.0}):
+            assert rows(index.bm25(terms, weights)) == rows(anew.bm25(terms, weights)) == rows(fulltext.bm25_fields(docs, terms, weights or {"text": 1.0}))
+    for q in ("w1 w2", 'w1 NOT title:w1', '"w1 w1"', "w1* NOT w3"):
+        assert rows(index.match(q)) == rows(fulltext.match(docs, q, fields).select("doc_id")), q
+
+
+def test_the_best_are_found_without_all_postings(spark, tmp_path, monkeypatch):
+    index, docs, _ = changed_index(spark, str(tmp_path / "index"), monkeypatch, 100)
+    skipped = 0
+    for terms, k in ((["w1"], 1), (["w2", "w1"], 5), (["w9", "w1", "w2"], 1), (["none"], 1)):
+        for found in (None, docs.filter("doc_id like '%-0-%'")):
+            rows = [tuple(r) for r in index.top(terms, k, found, skip=True).collect()]
+            assert rows == [tuple(r) for r in index.top(terms, k, found, skip=False).collect()]
+        keys = index.candidates(terms, 1)
+        skipped += keys is not None and keys.count() < index.postings(terms).select("key").distinct().count() / 2
+    assert skipped >= 1
+
+
+def test_a_question_reads_its_terms_only(spark, tmp_path, monkeypatch):
     terms = ["oak", "élan", "数据", "a" * 100]
     assert [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(textindex.bucket(F.col("t"))).collect()] == [textindex.bucket_of(t) for t in terms]
-    _, index = indexed_corpus(spark, str(tmp_path / "index"))
+    docs, index = indexed_corpus(spark, str(tmp_path / "index"))
+    monkeypatch.setattr(textindex, "BUCKETS_FROM", 10)
     plan = index.postings(["oak"])._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,oak)" in plan
+    assert "EqualTo(term,oak)" in plan
+    large = TextIndex.build(docs, str(tmp_path / "large"), {"text": "text"})
+    assert "PartitionFilters: [" in large.postings(["oak"])._jdf.queryExecution().toString()
+    assert sorted(map(tuple, large.bm25(["oak", "elan"]).collect())) == sorted(map(tuple, fulltext.bm25(docs, ["oak", "elan"]).collect()))
     assert "StringStartsWith(term,oak)" in index.prefixed("oak")._jdf.queryExecution().toString()
 
 
@@ -291,13 +344,19 @@ def test_changes_of_tables_by_key(spark, tmp_path, monkeypatch):
     before = now("a"), sorted(str(tuple(r)) for r in kept.table("b").collect())
     assert before[1] == ["(3, 'c')", "(None, 'n')"]
     kept.compact()
-    assert (now("a"), sorted(str(tuple(r)) for r in kept.table("b").collect())) == before and len(kept.log()) == 1
-    monkeypatch.setattr(segments, "COMPACT", 4)
-    for k in range(6):
+    assert (now("a"), sorted(str(tuple(r)) for r in kept.table("b").collect())) == before and len(kept.log.live()) == 1
+    monkeypatch.setattr(segments, "FANOUT", 4)
+    for k in range(9):
         kept.put({"a": make([(k % 3, f"v{k}")])})
-    assert len(kept.log()) <= 5 and now("a") == [(0, "v3"), (1, "v4"), (2, "v5")]
+        assert len(kept.log.live()) <= 6
+    assert now("a") == [(0, "v6"), (1, "v7"), (2, "v8")]
+    assert kept.log.vacuum(grace=3600) == [] and kept.log.vacuum(grace=-1)  # what merges replaced goes after a while
+    assert now("a") == [(0, "v6"), (1, "v7"), (2, "v8")] and len([n for n in store.names(spark, str(tmp_path / "s")) if n != "log"]) == len(kept.log.live())
+    seen = kept.version()
+    kept.put({"b": make([(7, "late")])})
+    assert [sorted(map(tuple, kept.rows_of(c, "b").collect())) for c in kept.changes(seen)][-1] == [(7, "late")]
     kept.clear()
-    assert now("a") == now("b") == []
+    assert now("a") == now("b") == [] and kept.changes(seen) is None
 
 
 def test_vector_index_finds_adds_and_removes(spark, tmp_path):
