@@ -9,8 +9,8 @@ counts; scores are turned into probabilities by a sigmoid that is fitted to out-
 crc32(doc_id) mod 5 is 0 are not learned from, so that errors can be measured on them.
 
 Defined results: null and empty texts have no words and fail the first limit; a null id is scored like any other; labels other than 0 and 1 are not learned
-from, of several labels of one id the largest holds, and equal texts of one label count once; with labels of one kind only (or none) every probability is that
-kind's share (1 without labels); repeated rows get equal results; other columns are ignored; an empty table gives no rows.
+from, of several labels of one id the largest holds, and equal texts of one label count once; with labels of one kind only every probability is
+(good + 1) / (labels + 1), so 1 without any; repeated rows get equal results; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import bounded_sample, map_chunks, mix, one_per_worker, table
 
 #: Labelled rows, and bytes of their texts, that the model is fitted on at most.
-FIT_ROWS, FIT_BYTES = 4000, 8_000_000
+FIT_ROWS, FIT_BYTES = 4000, 5_000_000
 FOLDS, HELD_OUT = 5, 0
 #: Probability of good quality from which a text is kept.
 KEEP_AT = 0.5
