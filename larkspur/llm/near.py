@@ -86,20 +86,20 @@ def chosen(sig: np.ndarray, seeds: np.ndarray, boost: float, threshold: float) -
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """(nameless, doc, text): doc is the id, or a hash of the text where there is none."""
+    """(nameless, doc, row, text): doc is the id, or a hash of the text where there is none; row is that hash."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return documents.select(doc_id.isNull().alias("nameless"), F.coalesce(doc_id, F.xxhash64(text)).alias("doc"), text.alias("text"))
+    return documents.select(doc_id.isNull().alias("nameless"), F.coalesce(doc_id, F.xxhash64(text)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def embed(documents: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
-    """(nameless, doc, node, size, sig, paths): node is a digest of the set, null where the text has no words. No shuffle."""
+    """(nameless, doc, row, node, size, sig, paths): node is a digest of the set, null where the text has no words. No shuffle."""
     runs = runs_needed(recall)
 
     def make():
         seeds = np.arange(1, runs + 1, dtype=np.uint64)
 
         def work(rows):
-            out = {"nameless": rows["nameless"], "doc": rows["doc"], "node": [], "size": [], "sig": [], "paths": []}
+            out = {"nameless": rows["nameless"], "doc": rows["doc"], "row": rows["row"], "node": [], "size": [], "sig": [], "paths": []}
             for text in rows["text"]:
                 s = shingles(text, words)
                 if not len(s):
@@ -115,7 +115,7 @@ def embed(documents: DataFrame, words: int, threshold: float, recall: float) ->
 
         return work
 
-    return map_chunks(keyed(documents), make, "nameless boolean, doc long, node long, size int, sig binary, paths array<long>")
+    return map_chunks(keyed(documents), make, "nameless boolean, doc long, row long, node long, size int, sig binary, paths array<long>")
 
 
 def grouped(batches, key: str) -> Iterator[dict[str, list]]:
@@ -310,7 +310,7 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def classed_documents(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(nameless, doc, class_id, unnamed, docs, texts) of each row of ``keyed``; unnamed tells whether its class holds a document without id.
+    """(nameless, doc, row, class_id, unnamed, docs, texts) of each row of ``keyed``; unnamed tells whether its class holds a document without id.
 
     Sets are known by their digests throughout, so neither null ids nor an id that several texts share join classes.
     """
@@ -327,7 +327,7 @@ def classed_documents(documents: DataFrame, words: int = WORDS, threshold: float
     sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     classed = classes.join(sizes, "label").select("node", "label", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     classed = nodes.select("node", "nameless", "doc", "copies").join(classed, "node")
-    texts = keyed(documents)
+    texts = keyed(documents).drop("row")
     texts = texts.filter("not nameless").unionByName(texts.filter("nameless").groupBy("nameless", "doc").agg(F.first("text").alias("text")))
     texts = texts.join(classed, ["nameless", "doc"]).drop("nameless").withColumn("doc", F.col("node"))
     # a class of several blocks meets in every pair of its blocks, a class of one block in that
@@ -344,10 +344,11 @@ def classed_documents(documents: DataFrame, words: int = WORDS, threshold: float
     of_node = of_node.join(of_class, "label", "left").select(
         "node", F.when(F.col("class_unnamed").isNotNull(), F.col("class_least")).otherwise(F.col("least")).alias("class_id"), F.coalesce("class_unnamed", "unnamed").alias("unnamed"), "copies", "texts", "docs"
     )
-    whole = embedded.select("nameless", "doc", "node").join(of_node, "node", "left")
+    whole = embedded.select("nameless", "doc", "row", "node").join(of_node, "node", "left")
     return whole.select(
         "nameless",
         "doc",
+        "row",
         F.when(F.col("node").isNotNull(), F.col("class_id")).otherwise(least).alias("class_id"),
         F.coalesce("unnamed", F.lit(False)).alias("unnamed"),
         (F.coalesce("docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("docs"),
@@ -362,9 +363,12 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: float =
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each class: that of the smallest id. Documents without id stay; a class that has one keeps no other."""
-    gone = classed_documents(documents).filter("not nameless and (unnamed or doc <> class_id)").select(F.col("doc").alias("doc_id")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """The rows of one document of each class: that of the smallest id. Documents without id stay; a class that has one keeps no other.
+
+    Rows are judged by their own texts: an id may lose the row of one text, which is in a class of a smaller id, and keep that of another.
+    """
+    gone = classed_documents(documents).filter("not nameless and (unnamed or doc <> class_id)").select("doc", "row").distinct()
+    return documents.join(gone, (documents["doc_id"].cast("long") == gone["doc"]) & (F.xxhash64(documents["text"].cast("string")) == gone["row"]), "left_anti")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

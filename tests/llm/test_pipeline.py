@@ -51,6 +51,21 @@ def test_stages(spark, tables):
     assert {i: t for i, t in secrets.items() if i != 20} == {i: t for i, t in kept["near_duplicates"].items() if i != 20}
 
 
+def test_an_id_of_several_texts_loses_copies_only(spark):
+    """Against brute force: a row goes if its own set is near one of a smaller id, by links that lead there."""
+    a, b, unlike = prose(71, 90), prose(72, 90), prose(73, 90)
+    near_a = a.replace(a.split()[40], "changed", 1)
+    rows = [(1, a), (5, a), (5, unlike), (5, near_a), (6, unlike), (7, b), (7, near_a), (8, None), (8, b), (3, ""), (9, unlike + " " + prose(74, 90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [frozenset(near.shingles(t or "").tolist()) for _, t in rows]
+    label = [i for i, _ in rows]
+    for _ in rows:  # the smallest id that links lead to
+        label = [min([label[k], *(label[j] for j in range(len(rows)) if sets[j] and len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j]))]) if sets[k] else i for k, (i, _) in enumerate(rows)]
+    want = sorted(str(r) for r, first in zip(rows, label) if r[0] == first)
+    got = sorted(str((r["doc_id"], r["text"])) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect())
+    assert got == want and str((5, unlike)) in got and str((5, a)) not in got
+
+
 def test_private_keys_do_not_outlive_line_dedup(spark):
     """Line dedup takes BEGIN and END lines from all documents but the first; the bodies go nevertheless."""
     heads = ("MIIEpAIBAAKCAQEA", "MIIEvQIBADANBgkq", "MHcCAQEEIAbcdefg", "MIGHAgEAMBMGByqG", "MC4CAQAwBQYDK2Vw", "b3BlbnNzaC1rZXktdjEA", "MIIFDjBABgkqhkiG9w0BBQ0w")
