@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates stays (all of its rows, if it is repeated). Documents without words are in no group; documents
-    without doc_id all stay, and their group keeps no other."""
+    """The document of smallest doc_id of each group of near duplicates stays (all of its rows in the group, if it is repeated). Of rows that share a doc_id each is judged by its own
+    text: the row of one text may go and that of another stay. Documents without words are in no group; documents without doc_id all stay, and their group keeps no other."""
     return near.keep_one(docs)
 
 
