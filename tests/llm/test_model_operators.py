@@ -229,7 +229,7 @@ def test_hilbert_keys_walk_through_neighbouring_cells():
 def without_names(k: int, host: str, rng) -> tuple[int, str, str, str]:
     """A page of a site without telling names, and its article's text: every page has a menu, some a section's note, the article and its quotation differ."""
     words = ["alder", "birch", "cedar", "elm", "fir", "hazel", "larch", "maple", "oak", "pine", "rowan", "willow"]
-    article = [" ".join(rng.choice(words, 30).tolist()) + f" {k}" for _ in range(2)] + ["A line that many articles quote."]
+    article = [" ".join(rng.choice(words, 30).tolist()) + f" {k}" for _ in range(2)] + ["A line that many articles quote."] * (k % 5 < 2)
     note = "<section><p>Winter hours</p><div>Closed on Sundays</div></section>" if k % 3 == 0 else ""
     body = "".join(f"<p>{x}</p>" for x in article)
     html_text = f"<html><body><div><ul><li><a href='/{host}'>Start of {host}</a></li><li><a href='/x'>All of it</a></li></ul></div>{note}<article>{body}</article><div>All rights are {host}'s</div></body></html>"
@@ -248,12 +248,13 @@ def test_html_templates_equal_a_counter_by_host(spark):
     for _, url, text, _ in pages:
         host = html.host_of(url)
         of_host[host] += 1
-        for h, mask in html.template_evidence(text or "").items():
-            count[host, h] += 1
-            beside[host, h] = beside.get((host, h), 0) | mask
+        for (h, kind), mask in html.template_evidence(text or "").items():
+            count[host, h, kind] += 1
+            beside[host, h, kind] = beside.get((host, h, kind), 0) | mask
     templates = {}
-    for (host, h), n in count.items():
-        if n >= html.LEAST_PAGES and (n >= html.SHARE * of_host[host] or beside[host, h].bit_count() >= html.MANY and n >= html.FEW * of_host[host]):
+    for (host, h, kind), n in count.items():
+        many = html.SOME if kind == html.KINDS["block"] else html.MANY
+        if n >= html.LEAST_PAGES and (n >= html.SHARE * of_host[host] or beside[host, h, kind].bit_count() >= many and n >= html.FEW * of_host[host]):
             templates.setdefault(host, set()).add(h)
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df).collect())
     assert got == sorted((i, t, len(t)) for i, u, h, _ in pages for t in [html.main_text(h or "", frozenset(templates.get(html.host_of(u), ())))])
@@ -272,14 +273,54 @@ def test_html_keeps_what_articles_quote(spark):
 def test_html_templates_act_on_the_table(spark):
     pages = table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url", "html")
     templates = {r["host"]: frozenset(r["templates"]) for r in html.host_templates(html.page_counts(pages)).collect()}
-    changed = sum(html.main_text(r["html"], templates.get(html.host_of(r["url"]), frozenset()), names=False) != html.main_text(r["html"], names=False) for r in pages.collect())
-    assert changed > 100
+    rows = pages.collect()
+    alone = [html.main_text(r["html"], templates.get(html.host_of(r["url"]), frozenset()), names=False) for r in rows]
+    assert sum(t != html.main_text(r["html"], names=False) for t, r in zip(alone, rows)) > 400
+
+
+def planted_host(k: int, rng) -> tuple[int, str, str, str]:
+    """A page of a host that puts a notice and an advert into every article, and its article's text. A fifth of the articles are near copies of one, a third quote a passage."""
+    words = [f"{a}{b}" for a in "al bir ce el fi ha lar ma oa pi".split() for b in "der ch dar m r zel ple k ne row".split()]
+    lines = [" ".join(rng.choice(words, 25).tolist()) for _ in range(4)]
+    if k % 5 == 0:
+        lines = [f"One article of which the host has copies, part {i}, with enough words to be long" for i in range(5)]
+        lines[k // 5 % 5] += f" and edit {k}"
+    if k % 3 == 0:
+        lines.insert(2, "A passage that many articles of this host quote, word for word.")
+    body = [f"<p>{x}</p>" for x in lines]
+    body.insert(1, "<p>This article is free to read thanks to our members.</p>")
+    body.append("<ul><li><a href='/m'>More of this</a></li><li><a href='/n'>Newest first</a></li></ul>")
+    return k, f"http://planted.example/{k}", f"<body><div>Menu of it all</div><article><h1>Title {k}</h1>{''.join(body)}</article></body>", "\n".join([f"Title {k}", *lines])
+
+
+def test_html_boilerplate_inside_articles_goes_and_quotations_and_copies_stay(spark):
+    rng = np.random.default_rng(6)
+    pages = [planted_host(k, rng) for k in range(100)]
+    got = rows_of(html.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(4)), "page_id")
+    assert [got[k]["text"] for k in range(100)] == [p[3] for p in pages]
+    # near copies of one article on nearly all pages of a host
+    copies = [(k, "http://copies.example/", f"<article>{''.join(f'<p>{prose(i, 20)}{k if i == k % 6 else chr(32)}</p>' for i in range(6))}</article>") for k in range(60)]
+    kept = rows_of(html.extract(spark.createDataFrame(copies, "page_id long, url string, html string")), "page_id")
+    assert all(len(kept[k]["text"].split("\n")) == 6 for k in range(60))
+
+
+def test_html_names_do_not_take_the_article():
+    for name in ("social-history", "share-knowledge", "search-engines", "tags-explained", "comment-analysis", "notice-period-law", "widget-theory", "ad", "sidebar", "comments-of-kant", "page-menu"):
+        for page in ("<article><h1>T</h1><div class='{}'><p>{}</p></div></article>", "<body><form class='{}'><h1>T</h1><p>{}</p></form><nav>Menu</nav></body>", "<article><h1>T</h1><p class='{}'>{}</p></article>"):
+            assert html.main_text(page.format(name, prose(3, 40))) == "T\n" + prose(3, 40), (name, page)
+    page = "<article><h1>T</h1><p>{}</p><div class='{}'>Some words</div></article>"
+    for name in ("ad", "site-nav", "share", "cookie-banner", "comments-area", "postTags", "widget", "sidebar-left"):
+        assert html.main_text(page.format(prose(4, 40), name)) == "T\n" + prose(4, 40), name
+    for name in ("social-history", "search-engines", "widget-theory", "loader", "shared", "tagsoup"):
+        assert html.main_text(page.format(prose(4, 40), name)).endswith("Some words"), name
+    assert html.main_text("<div hidden><article><p>never shown</p></article></div><p>shown</p>") == "shown"
+    assert html.main_text("<article><h1>Only a title</h1></article><nav>Menu</nav>") == "Only a title"
 
 
 def test_html_markup_of_any_kind_takes_linear_time():
-    for markup in ("<div>" * 40000, "<b>" * 20000 + "<div>" * 20000, "</x>" * 40000 + "<i>" * 40000, '<a ">"' * 20000, "<!" * 100000, "<li><ul>" + "<div>" * 10000 + "<li>x</li>" * 10000, "<p>" + "<i>" * 10000 + "<div>x</div>" * 10000):
+    for markup in ("<div>" * 40000, "<b>" * 20000 + "<div>" * 20000, "</x>" * 40000 + "<i>" * 40000, '<a ">"' * 20000, "<!" * 100000, "<li><ul>" + "<div>" * 10000 + "<li>x</li>" * 10000, "<p>" + "<i>" * 10000 + "<div>x</div>" * 10000, "<form>" * 10000 + "word " * 10000, "<article>" + "<section class=ad>" * 10000 + "word " * 10000):
         start = time.process_time()
-        html.main_text(markup, frozenset([1]))
+        html.main_text(markup, frozenset([1]), frozenset([2]))
         html.template_evidence(markup)
         assert time.process_time() - start < 8
 
