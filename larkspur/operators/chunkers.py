@@ -1,8 +1,8 @@
 """Chunkers: a splitter for each kind of file, and one greedy packing kernel for all.
 
 A chunk is flushed when the next piece would exceed the token limit, or when it opens a section, provided that the chunk has more than
-the least bytes. The fold runs over one document's pieces inside the row (``aggregate``) and gives where chunks begin, so nothing is shuffled and the work is
-linear in the pieces. Lines inside fences (``` or ~~~) open no section.
+the least bytes. The fold runs over one document's pieces inside the row (``aggregate``) and gives where chunks begin, so nothing is shuffled. Lines inside fences
+(``` or ~~~) open no section.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.operators import markdown
 
 MAX_TOKENS, MIN_BYTES = 512, 50
-MARK = "\x01"
+#: Noncharacters, which no text has.
+MARK = "\ufdd0\ufdd1"
 FENCE = r"^\s*(```|~~~)"
+HELD = 256
 
 
 def lines(s: Column) -> Column:
@@ -29,15 +32,26 @@ def paragraphs(s: Column) -> Column:
     return F.filter(F.split(s, "\n\n"), lambda x: F.trim(x) != "")
 
 
-def starts_of(items: Column, opens: Callable[[Column], Column]) -> Column:
-    """Numbers of the items that open something outside of fences, the first one always."""
-    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("fenced"), F.array().cast("array<int>").alias("starts"))
+def places(items: Column, state: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """Numbers of the items at which a condition holds that depends on a state, which each item changes.
 
-    def step(a, x):
-        new = (a["at"] == 0) | (opens(x) & ~a["fenced"])
-        return F.struct((a["at"] + 1).alias("at"), (a["fenced"] != x.rlike(FENCE)).alias("fenced"), F.when(new, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"]).alias("starts"))
+    ``step(state and at, item)``: (the next state, the condition). A fold copies what its state holds at each step, so the places of HELD items are found in a fold of their
+    own: each place is copied HELD times at most, and once for each HELD items behind it.
+    """
+    none = F.array().cast("array<int>")
+    same = lambda a: [a[n].alias(n) for n in [*state, "at"]]
+
+    def one(a, x):
+        new, here = step(a, x)
+        held = F.when(here, F.concat(a["held"], F.array(a["at"]))).otherwise(a["held"])
+        return F.struct(*[c.alias(n) for n, c in new.items()], (a["at"] + 1).alias("at"), held.alias("held"))
+
+    def many(a, some):
+        return F.aggregate(some, F.struct(*same(a), none.alias("held")), one, lambda r: F.struct(*same(r), F.concat(a["done"], F.array(r["held"])).alias("done")))
 
-    return F.aggregate(items, none, step, lambda a: a["starts"])
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest((F.size(items) - 1) / HELD, F.lit(0)).cast("int")), lambda b: F.slice(items, b * HELD + 1, HELD))
+    first = F.struct(*[c.alias(n) for n, c in state.items()], F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("done"))
+    return F.aggregate(blocks, first, many, lambda a: F.flatten(a["done"]))
 
 
 def pieces_between(items: Column, starts: Column, made: Callable[[Column, Column], Column]) -> Column:
@@ -48,11 +62,10 @@ def pieces_between(items: Column, starts: Column, made: Callable[[Column, Column
 
 def sections(s: Column) -> Column:
     """Text split before every heading line that is not inside a fence."""
-    each = F.split(s, "\n")
-    heads = starts_of(each, lambda x: x.rlike(r"^#{1,6}\s") | (x.rlike(r"^#{1,6}$")))
-    # a section keeps its last line's end, the last one has none
-    parts = pieces_between(each, heads, lambda at, n: F.concat(F.array_join(F.slice(each, at + 1, n), "\n"), F.when(at + n < F.size(each), "\n").otherwise("")))
-    return F.filter(parts, lambda x: F.trim(x) != "")
+    # cut before each line that opens or closes a fence, the even parts are outside; a line's end in front keeps the first part outside
+    parts = F.split(F.concat(F.lit("\n"), s), r"(?md)(?=^[^\S\n]*(?:```|~~~))")
+    marked = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, r"(?md)^(#{1,6}(?:\s|$))", MARK + "$1")).otherwise(p))
+    return F.filter(F.split(F.substring(F.array_join(marked, ""), 2, 2**31 - 1), MARK), lambda x: F.trim(x) != "")
 
 
 def declarations(s: Column) -> Column:
@@ -66,7 +79,7 @@ def printed(s: Column) -> Column:
 
 
 #: The splitter of each kind of file (text -> array of pieces); a kind without one has DEFAULT.
-SPLITTERS: dict[str, Callable[[Column], Column]] = {"go": declarations, "memory": lambda s: F.array(s), "pdf": printed, "docx": printed}
+SPLITTERS: dict[str, Callable[[Column], Column]] = {"go": declarations, "memory": lambda s: F.array(s), "md": markdown.pieces, "pdf": printed, "docx": printed}
 DEFAULT = sections
 
 
@@ -80,19 +93,18 @@ def split_by_kind(kind: Column, text: Column, splitters: dict[str, Callable[[Col
 
 def chunk_starts(facts: Column, max_tokens: int, min_bytes: int) -> Column:
     """Numbers of the pieces that chunks begin with, from array<struct<tokens, bytes, opens, fence>>."""
-    none = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("at"), F.lit(False).alias("fenced"), F.array().cast("array<int>").alias("starts"))
+    state = {"tokens": F.lit(0).cast("long"), "bytes": F.lit(0).cast("long"), "fenced": F.lit(False)}
 
     def step(a, p):
         flush = (a["bytes"] > min_bytes) & ((a["tokens"] + p["tokens"] > max_tokens) | (p["opens"] & ~a["fenced"]))
-        return F.struct(
-            F.when(flush, p["tokens"]).otherwise(a["tokens"] + p["tokens"]).alias("tokens"),
-            F.when(flush, p["bytes"]).otherwise(a["bytes"] + p["bytes"]).alias("bytes"),
-            (a["at"] + 1).alias("at"),
-            (a["fenced"] != p["fence"]).alias("fenced"),
-            F.when(flush | (a["at"] == 0), F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"]).alias("starts"),
-        )
+        new = {
+            "tokens": F.when(flush, p["tokens"]).otherwise(a["tokens"] + p["tokens"]),
+            "bytes": F.when(flush, p["bytes"]).otherwise(a["bytes"] + p["bytes"]),
+            "fenced": a["fenced"] != p["fence"],
+        }
+        return new, flush | (a["at"] == 0)
 
-    return F.aggregate(facts, none, step, lambda a: a["starts"])
+    return places(facts, state, step)
 
 
 def _split(docs: DataFrame, splitter: Column, opens, separator: str, key: str, max_tokens: int, min_bytes: int, tokens) -> DataFrame:
@@ -100,12 +112,14 @@ def _split(docs: DataFrame, splitter: Column, opens, separator: str, key: str, m
     opens, tokens = opens or (lambda p: F.lit(False)), tokens or T.token_estimate
     # a piece's bytes count its separator
     size = lambda p: (F.octet_length(p) + len(separator)).cast("long")
+    # a piece with all of a fenced block opens and closes it
+    fence = lambda p: p.rlike(FENCE) & (F.size(F.regexp_extract_all(p, F.lit("(?m)" + FENCE), F.lit(0))) % 2 == 1)
     split = docs.select(key, splitter.alias("pieces"))
     if tokens is T.token_estimate:
         split = split.withColumn("counts", F.transform("pieces", T.token_estimate))
     else:
         split = split.withColumn("counts", tokens(F.col("pieces")))
-    each = lambda p, n: F.struct(n.cast("long").alias("tokens"), size(p).alias("bytes"), F.coalesce(opens(p), F.lit(False)).alias("opens"), p.rlike(FENCE).alias("fence"))
+    each = lambda p, n: F.struct(n.cast("long").alias("tokens"), size(p).alias("bytes"), F.coalesce(opens(p), F.lit(False)).alias("opens"), fence(p).alias("fence"))
     return split.withColumn("facts", F.zip_with("pieces", "counts", each)).drop("counts").withColumn("starts", chunk_starts(F.col("facts"), max_tokens, min_bytes))
 
 

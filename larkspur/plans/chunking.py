@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.operators import chunkers as C
 from larkspur.operators import context as G
-from larkspur.operators import folds
+from larkspur.operators import folds, markdown
 from larkspur.operators import search as S
 from larkspur.plans.registry import DOCS, documents, query, table, text_index
 from larkspur.plans.scalars import smart_sql
@@ -88,6 +88,28 @@ def chunk_markdown(spark, sf_dir):
     return digest(C.chunks(docs, C.lines(F.col("text")), C.is_heading, max_tokens=MAX).join(first, ["doc_id", "chunk"]), "heading")
 
 
+#: Documents as Markdown of all kinds of blocks: a line of words is a paragraph, a fenced block, a list or a quotation, with headings of both kinds between.
+WORDY = r"filter(transform(split(text, '\n'), x -> trim(regexp_replace(x, '[^\\p{L}\\p{N}]+', ' '))), x -> x <> '')"
+AS_MARKDOWN = f"""array_join(transform({WORDY}, (x, i) -> concat(CASE WHEN i % 5 = 0 THEN concat('## Part ', i, ' ##\n\n') ELSE '' END,
+ CASE i % 4 WHEN 0 THEN x WHEN 1 THEN concat('```\n# ', x, '\n```') WHEN 2 THEN concat('- ', x, '\n- again') ELSE concat('> ', x) END,
+ CASE WHEN i % 7 = 6 THEN concat('\n\nUnder ', i, '\n-----\n\n***') ELSE '' END)), '\n\n')"""
+
+
+@query(
+    "chunk_markdown_blocks",
+    r"""WITH src AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents),
+    line AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS i FROM src),
+    block AS (SELECT doc_id, i, 0 AS j, 'heading' AS kind, 2 AS level, 'Part ' || i AS text FROM line WHERE i % 5 = 0
+      UNION ALL SELECT doc_id, i, 1, CASE i % 4 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'code' WHEN 2 THEN 'list' ELSE 'quote' END, CASE WHEN i % 4 = 1 THEN 1 ELSE 0 END,
+        CASE i % 4 WHEN 1 THEN '```' || chr(10) || '# ' || l || chr(10) || '```' WHEN 2 THEN '- ' || l || chr(10) || '- again' ELSE l END FROM line
+      UNION ALL SELECT doc_id, i, 2, 'heading', 2, 'Under ' || i FROM line WHERE i % 7 = 6)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j)::INT - 1 AS pos, kind, level::INT AS level, sha256(text) AS digest FROM block""",
+)
+def chunk_markdown_blocks(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", F.expr(AS_MARKDOWN).alias("text"))
+    return docs.select("doc_id", F.posexplode(markdown.blocks("text")).alias("pos", "b")).select("doc_id", "pos", "b.kind", "b.level", F.sha2("b.text", 256).alias("digest"))
+
+
 @query(
     "chunk_text",
     f"""WITH RECURSIVE {DOCS}, src AS (SELECT doc_id, {MARKED_SQL.format(HEADS[1])} AS text FROM docs), {packed_sql(SECTIONS, 'true')}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.functions import vectors as V
-from larkspur.operators import chunkers, context, embed, folds, fulltext, quantise, search, segments, store, textindex
+from larkspur.operators import chunkers, context, embed, folds, fulltext, markdown, quantise, search, segments, store, textindex
 from larkspur.operators.segments import SegmentStore
 from larkspur.operators.textindex import TextIndex
 from larkspur.operators.vectorindex import PqIndex, VectorIndex, search_or_scan
@@ -142,11 +142,49 @@ def test_headings_inside_fences_open_nothing(spark):
     text = "# One\nfirst\n```sh\n# a comment\nrun\n```\nrest\n## Two\nsecond"
     row = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert row.select(chunkers.sections(F.col("text"))).first()[0] == ["# One\nfirst\n```sh\n# a comment\nrun\n```\nrest\n", "## Two\nsecond"]
+    for text, want in (("x\n\n\n  ~~~\n# c\n\n~~~\n# H\ny", ["x\n\n\n  ~~~\n# c\n\n~~~\n", "# H\ny"]), ("```\n# c\n```\n\n# H\n##\n#no", ["```\n# c\n```\n\n", "# H\n", "##\n#no"]), ("", []), ("# A", ["# A"])):
+        assert spark.createDataFrame([(text,)], "text string").select(chunkers.sections(F.col("text"))).first()[0] == want
     packed = chunkers.pack(row, chunkers.lines(F.col("text")), chunkers.is_heading, min_bytes=1)
     assert [r["chunk"] for r in packed.orderBy("pos").collect()] == [0] * 7 + [1] * 2
     assert {r["heading"] for r in chunkers.heading_in_effect(packed).collect()} == {"One", "Two"}
 
 
+#: Texts and their blocks (kind, level, text), by hand.
+MARKDOWN = [
+    ("# One #\ntext\nmore\n\nTwo\n===\nThree\n---\n#no heading\n####### nor this\n##\n", [("heading", 1, "One"), ("paragraph", 0, "text\nmore"), ("heading", 1, "Two"), ("heading", 2, "Three"), ("paragraph", 0, "#no heading\n####### nor this"), ("heading", 2, "")]),
+    ("```py\n# not a heading\n~~~\n\n```\nafter\n~~~~\n```\n~~~\n~~~~~\n# Yes", [("code", 1, "```py\n# not a heading\n~~~\n\n```"), ("paragraph", 0, "after"), ("code", 1, "~~~~\n```\n~~~\n~~~~~"), ("heading", 1, "Yes")]),
+    ("```\nnever closed\n# in it", [("code", 1, "```\nnever closed\n# in it")]),
+    ("- a\n- b\n\n  more of b\n  # in b\n* c\n\nout\n1. x\n2) y\nlazy\n\n10. z", [("list", 0, "- a\n- b\n\n  more of b\n  # in b\n* c"), ("paragraph", 0, "out"), ("list", 0, "1. x\n2) y\nlazy\n\n10. z")]),
+    ("> said\n> # in it\nlazy\n\n> again\n***\n- - -\n    code\n\n    # code\nend", [("quote", 0, "said\n# in it\nlazy"), ("quote", 0, "again"), ("code", 0, "    code\n\n    # code"), ("paragraph", 0, "end")]),
+    ("<div>\n# raw\n</div>\n\n<!-- one\n\n# two -->\n<script>\n\n# x\n</script>\ntext\n    goes on", [("html", 0, "<div>\n# raw\n</div>"), ("html", 0, "<!-- one\n\n# two -->"), ("html", 0, "<script>\n\n# x\n</script>"), ("paragraph", 0, "text\ngoes on")]),
+    ("", []),
+    ("\n \n\t\n", []),
+]
+
+
+def test_markdown_blocks_equal_a_fixture(spark):
+    for text, want in MARKDOWN:
+        assert markdown.blocks_of(text) == want, text
+        assert markdown.blocks_of(text.replace("\n", "\r\n")) == want
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(MARKDOWN)] + [(99, None)], "k long, text string")
+    got = {r["k"]: r["b"] and [tuple(x) for x in r["b"]] for r in rows.select("k", markdown.blocks("text").alias("b")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(MARKDOWN)} | {99: None}
+    two = spark.createDataFrame([(1, "Title\n=====\n" + "words " * 20 + "\n\n```\n# a comment that is long enough to be a chunk of its own, if it were\n```\n# Next\n" + "text " * 20)], "doc_id long, text string")
+    chunks = chunkers.chunks(two, chunkers.split_by_kind(F.lit("md"), F.col("text")), chunkers.is_heading).orderBy("chunk").collect()
+    assert [r["first_piece"] for r in chunks] == ["# Title", "# Next"] and "# a comment" in chunks[0]["content"]
+
+
+def test_many_headings_are_cut_in_linear_time(spark):
+    text = "\n".join(f"# heading {k}\nsome words" for k in range(100000))
+    big = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    assert big.select(F.size(chunkers.sections(F.col("text")))).first()[0] == 100000
+    assert chunkers.chunks(big, chunkers.sections(F.col("text")), lambda p: F.lit(True), min_bytes=10).count() == 100000
+    assert time.monotonic() - start < 60
+    start = time.monotonic()
+    assert len(markdown.blocks_of(text)) == 200000 and time.monotonic() - start < 20
+
+
 def test_many_pieces_are_packed_in_linear_time(spark):
     big = spark.createDataFrame([(1, "\n".join(f"# line {k} with some words in it" for k in range(60000)))], "doc_id long, text string")
     start = time.monotonic()
