@@ -43,7 +43,7 @@ MOST, TEXT_WORDS = 0.5, 12
 #: Parts of lists and tables recur by chance, so MANY counts them only where all their text is links (a menu's entries); else their whole list or table.
 PARTS = frozenset("tr td th thead tbody tfoot caption li dt dd".split())
 #: Pages of a host for each task; and hosts that are dealt over several tasks, at most: all with more than SPLIT pages and 1 / LARGE of all pages.
-SPLIT, LARGE = 2000, 100_000
+SPLIT, LARGE = 500, 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
