@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields, replace
 
 #: Bounds of numeric settings, ends included.
-BOUNDS = {"top_k": (1, 1000), "max_tokens": (1, 100_000), "min_bytes": (0, 100_000), "overlap_characters": (0, 10_000), "token_budget": (1, 10_000_000), "cache_seconds": (0, 86_400), "cache_entries": (1, 1_000_000)}
+BOUNDS = {"top_k": (1, 1000), "max_tokens": (1, 100_000), "min_bytes": (0, 100_000), "overlap_characters": (0, 10_000), "token_budget": (1, 10_000_000), "cache_seconds": (0, 86_400), "cache_entries": (1, 1_000_000), "vector_index_from": (1, 10**9)}
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,8 @@ class Config:
     token_budget: int = 1500
     cache_seconds: float = 300.0
     cache_entries: int = 10_000
+    #: vectors from which on searches use an index of them; fewer are scanned
+    vector_index_from: int = 10_000
 
     def __post_init__(self):
         for name, (low, high) in BOUNDS.items():

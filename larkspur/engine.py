@@ -20,6 +20,7 @@ from larkspur.operators import chunkers, embed, search, store
 from larkspur.operators import context as contexts
 from larkspur.operators.segments import SegmentStore
 from larkspur.operators.textindex import FORMAT, TextIndex
+from larkspur.operators.vectorindex import VectorIndex
 from larkspur.sources import codecs
 from larkspur.streaming import index as files
 
@@ -48,6 +49,8 @@ class Engine:
         self.splitters = splitters
         self.kept = SegmentStore(spark, self.folder, KEYS, TABLES)
         self.text_index = TextIndex(spark, f"{self.folder}/text-index-{FORMAT}", ("text",), "doc_id", "string")
+        #: of the vectors, once there are many
+        self.vector_index = VectorIndex(spark, f"{self.folder}/vector-index", "doc_id", "string", dict.fromkeys(KEYS, "string"), KEYS)
         self._results: OrderedDict[tuple, tuple[float, list]] = OrderedDict()
 
     def version(self) -> int:
@@ -71,6 +74,7 @@ class Engine:
         self.kept.put(rows, gone)
         self._results.clear()
         self.build_index()
+        self.index_vectors()
 
     def _chunks(self, documents: DataFrame) -> DataFrame:
         """Chunks of documents by the splitters of their kinds; memories stay whole."""
@@ -139,6 +143,26 @@ class Engine:
                 index.change(chunks, self.kept.keys_of(c).select(owner.alias("owner")), {"text": "text"}, "owner", c.high)
         return index.as_it_is()
 
+    def index_vectors(self) -> VectorIndex | None:
+        """The index of the vectors, brought up to the last change; None while there are few of them."""
+        index, now = self.vector_index, self.version()
+        if not index.exists():
+            if self.table("vectors").count() < self.config.vector_index_from:
+                return None
+            VectorIndex.create(self.table("vectors"), index.folder, "doc_id", KEYS, KEYS, state=now)
+            return index
+        if index.kept.state() < now:
+            changes = self.kept.changes(index.kept.state())
+            if changes is None:  # all was cleared
+                index.clear(state=now)
+                changes = self.kept.log.live()
+            for c in changes:
+                if "vectors" in c.entry["tables"]:
+                    index.add(self.kept.rows_of(c, "vectors"), self.kept.keys_of(c), state=c.high)
+                else:
+                    index.remove(self.kept.keys_of(c), state=c.high)
+        return index
+
     # --- questions
 
     def search(self, query: str, **options) -> list:
@@ -160,7 +184,7 @@ class Engine:
         asked = self.spark.createDataFrame([("q", query)], "doc_id string, text string")
         zero = F.transform(F.sequence(F.lit(1), F.lit(embed.DIMENSION)), lambda _: F.lit(0.0))
         q = asked.join(self.embedder(asked), "doc_id", "left").select(F.coalesce("embedding", zero).alias("q"))
-        found = search.enrich(search.search(chunks, self.table("vectors"), query, q, options, self.build_index()), chunks)
+        found = search.enrich(search.search(chunks, self.index_vectors() or self.table("vectors"), query, q, options, self.build_index()), chunks)
         if options.rerank:
             found = search.reranked(found.withColumn("content", F.col("text")).withColumn("line_start", F.lit(0)), query, options.rerank)
         return found.select("doc_id", "score", "vector_score", "fts_score", "rank", "path", "heading", "text", "token_count")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from larkspur.functions import text as T
 from larkspur.functions.vectors import cosine_similarity
 from larkspur.operators import fulltext
 from larkspur.operators.textindex import TextIndex
+from larkspur.operators.vectorindex import VectorIndex
 
 # Fixed value of reciprocal-rank fusion.
 RRF = 60
@@ -63,6 +65,17 @@ def vector_top(docs: DataFrame, vecs: DataFrame, q: DataFrame, k: int) -> DataFr
     return fulltext.top(vector_scores(vecs.join(docs.select("doc_id"), "doc_id", "left_semi"), q), k)
 
 
+def vector_live(docs: DataFrame, vecs: DataFrame | VectorIndex, q: DataFrame, k: int, options: SearchOptions) -> DataFrame:
+    """The same by the options: from an index, or from vectors that carry what is filtered by, or by a join with the live documents ``docs``."""
+    if isinstance(vecs, VectorIndex):
+        where = [F.col("path").startswith(options.path_prefix)] if options.path_prefix else []
+        where += [F.col("collection").isin(*options.collections)] if options.collections else []
+        return vecs.search(q.first()["q"], k, reduce(lambda a, b: a & b, where) if where else None, options.tenant)
+    if {"tenant", "collection", "path"} <= set(vecs.columns):
+        return fulltext.top(vector_scores(live(vecs, options), q), k)
+    return vector_top(docs, vecs, q, k)
+
+
 def lexical_top(corpus: DataFrame | TextIndex, found: DataFrame | None, terms: list[str], k: int, match_all: bool = False) -> DataFrame:
     """The ``k`` best of the ``found`` documents (None: of all) by BM25; its statistics are of the whole corpus, texts or index."""
     if isinstance(corpus, TextIndex) and not match_all:
@@ -99,11 +112,11 @@ def number(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
 
 
-def search(corpus: DataFrame, vecs: DataFrame, query: str, q: DataFrame, options: SearchOptions | None = None, index: TextIndex | None = None) -> DataFrame:
+def search(corpus: DataFrame, vecs: DataFrame | VectorIndex, query: str, q: DataFrame, options: SearchOptions | None = None, index: TextIndex | None = None) -> DataFrame:
     """(doc_id, score, vector_score, fts_score, rank): recall twice as many by either way, fuse, cut, normalise, rank.
 
-    ``corpus``: doc_id, tenant, collection, path, text; ``vecs``: doc_id, embedding; ``q``: one row with the query's vector; ``index``: the corpus's
-    kept index, without which its texts are read.
+    ``corpus``: doc_id, tenant, collection, path, text; ``vecs``: doc_id, embedding, and best also tenant, collection and path, as no join is needed then, or an index with
+    these columns; ``q``: one row with the query's vector; ``index``: the corpus's kept index, without which its texts are read.
     """
     o = options or SearchOptions()
     found, mode = live(corpus, o), MODES[o.mode]
@@ -113,11 +126,11 @@ def search(corpus: DataFrame, vecs: DataFrame, query: str, q: DataFrame, options
     filtered = o.tenant is not None or bool(o.path_prefix) or bool(o.collections)
     texts, among = (corpus, found) if index is None else (index, found if filtered else None)
     if mode == "vector":
-        hits = vector_top(found, vecs, q, many).select("doc_id", "score", F.col("score").alias("vector_score"), nothing.alias("fts_score"))
+        hits = vector_live(found, vecs, q, many, o).select("doc_id", "score", F.col("score").alias("vector_score"), nothing.alias("fts_score"))
     elif mode == "fts":
         hits = lexical_top(texts, among, terms, many, o.match_all).select("doc_id", "score", nothing.alias("vector_score"), F.col("score").alias("fts_score"))
     else:
-        hits = rrf(vector_top(found, vecs, q, many), lexical_top(texts, among, terms, many, o.match_all))
+        hits = rrf(vector_live(found, vecs, q, many, o), lexical_top(texts, among, terms, many, o.match_all))
     hits = normalise(hits.orderBy(F.desc("score"), "doc_id").limit(o.top_k)).withColumn("score", F.round("score", 6))
     if o.min_score is not None:
         hits = hits.filter(F.col("score") >= o.min_score)

@@ -98,13 +98,15 @@ class Log:
 
 
 class SegmentStore:
-    """Tables (name -> schema) whose rows have the key columns; ``partition``: columns by which a table's files are laid out.
+    """Tables (name -> schema) whose rows have the key columns; ``layout``: columns by which a table's files are laid out, a folder for each value of the first one;
+    ``counts``: tables (name -> (table, columns)) of the numbers of rows that changes have brought, which take no account of those they hide.
 
     A change (``put``) brings rows of any of the tables and takes away the older rows of the keys it touches: a row is live if no later change touches its key.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], tables: dict[str, str], partition: dict[str, str] | None = None):
-        self.spark, self.folder, self.keys, self.tables, self.partition = spark, folder.rstrip("/"), list(keys), tables, partition or {}
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], tables: dict[str, str], layout: dict[str, list[str]] | None = None, counts: dict[str, tuple[str, list[str]]] | None = None):
+        self.spark, self.folder, self.keys, self.tables = spark, folder.rstrip("/"), list(keys), tables
+        self.layout, self.counts = layout or {}, counts or {}
         self.log = Log(spark, folder)
 
     def version(self) -> int:
@@ -113,25 +115,42 @@ class SegmentStore:
     def _write(self, name: str, rows: dict[str, DataFrame]) -> None:
         for table, df in rows.items():
             writer = df.write
-            if table in self.partition:
-                # a folder for each value, in several files where many rows have it
-                writer = df.repartitionByRange(self.partition[table], *self.keys).write.partitionBy(self.partition[table])
+            if table in self.layout:
+                # in several files where many rows have a value
+                places = [*self.layout[table], *self.keys]
+                writer = df.repartitionByRange(*places).sortWithinPartitions(*places).write.partitionBy(places[0])
             writer.parquet(f"{self.folder}/{name}/{table}")
-
-    def put(self, rows: dict[str, DataFrame], gone: DataFrame | None = None) -> int:
-        """Bring in rows, in the place of all older rows of their keys, and take away the rows of the keys in ``gone``. Gives the change's number."""
+            for counted, (of, by) in self.counts.items():
+                if of == table:
+                    self._read(name, table).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{self.folder}/{name}/{counted}")
+
+    def counted(self, name: str) -> DataFrame:
+        """One of the tables of counts."""
+        of, by = self.counts[name]
+        fields = {f.name: f for f in StructType.fromDDL(self.tables[of])}
+        schema = StructType([*[fields[c] for c in by], *StructType.fromDDL("n long")])
+        parts = [f"{self.folder}/{s.folder}/{name}" for s in self.log.live() if of in s.entry["tables"]]
+        rows = self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
+        return rows.groupBy(*by).agg(F.sum("n").alias("n"))
+
+    def put(self, rows: dict[str, DataFrame], gone: DataFrame | None = None, **more) -> int:
+        """Bring in rows, in the place of all older rows of their keys, and take away the rows of the keys in ``gone``. Gives the change's number; ``more`` stands in its entry."""
         name = self.log.new_folder()
         self._write(name, rows)
         keys = [self._read(name, table).select(self.keys) for table in rows] + ([gone.select(self.keys)] if gone is not None else [])
         reduce(DataFrame.unionByName, keys).distinct().write.parquet(f"{self.folder}/{name}/keys")
-        n = self.log.commit({"kind": "put", "folder": name, "tables": list(rows), "bytes": self.log.size(name)})
+        n = self.log.commit({"kind": "put", "folder": name, "tables": list(rows), "bytes": self.log.size(name)} | more)
         if run := self.log.due():
             self.merge(run)
         return n
 
-    def clear(self) -> int:
+    def clear(self, **more) -> int:
         """Take away all rows."""
-        return self.log.commit({"kind": "span", "low": 0, "high": self.version(), "folder": None})
+        return self.log.commit({"kind": "span", "low": 0, "high": self.version(), "folder": None} | more)
+
+    def state(self) -> int:
+        """The largest ``state`` that a change was given, -1 if there is none."""
+        return max((e["state"] for e in self.log.entries().values() if "state" in e), default=-1)
 
     def merge(self, run: list[Span]) -> None:
         """Write the live rows of neighbouring changes as one that stands for all of them. Changes that others make meanwhile stay behind it."""

@@ -1,102 +1,235 @@
 """Kept vector indexes: an inverted file of exact vectors, and product-quantised codes; both take additions, replacements and removals.
 
-``VectorIndex`` lays vectors out by their nearest centroid (a cell is a folder), so a search reads the cells nearest to the query and compares exactly.
-``PqIndex`` keeps a code for each vector and compares codes by a lookup table. Centroids and codebooks are fitted on a bounded sample; every vector is
-indexed. The number of cells bounds what the driver holds; vectors never come to it.
+``VectorIndex`` lays vectors out by about as many cells as the square root of their number, in groups of cells (a group is a folder, sorted by cell), so a search ranks the
+groups, then the cells of the nearest groups, and compares exactly what it reads. How many cells it reads depends on how many of its tenant's vectors they hold, and it
+goes on until it has as many hits as were asked for. ``PqIndex`` keeps a code for each vector and compares codes by a lookup table. Centroids of groups and codebooks are
+fitted on bounded samples, those of cells by Spark, a group a task, on a bounded sample of its vectors; every vector is indexed. What tasks and the driver hold is
+bounded by CELLS_MOST; vectors never come to it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import cosine_similarity, normalize, squared_euclidean
+from larkspur.functions.vectors import cosine_similarity
 from larkspur.operators import quantise, store
 from larkspur.operators.segments import SegmentStore
 
-CELLS, PROBES, ROUNDS = 32, 12, 8
+CELLS_MOST, PER_CELL, ROUNDS = 16_384, 64, 8
+#: Share of the live vectors that a search reads at least, live vectors for each hit, and how much more it reads each time that it has found too few.
+SHARE, NEED, MORE = 0.6, 20, 4
 
 
-def unit_centroids(vecs: DataFrame, key: str, cells: int, sample: int = quantise.SAMPLE) -> np.ndarray:
-    """Spherical k-means of at most ``sample`` vectors, those with the smallest hashes of the key."""
-    rows = vecs.filter("size(embedding) > 0").orderBy(F.xxhash64(key), key).limit(sample).select("embedding").collect()
-    x = np.array([r[0] for r in rows], float)
+def spherical(x: np.ndarray, cells: int) -> np.ndarray:
+    """Centroids of spherical k-means, from rows at equal steps."""
     x = x[np.linalg.norm(x, axis=1) > 0] if len(x) else x
     if not len(x):
         raise ValueError("no vector to place centroids by")
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
     centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
     for _ in range(ROUNDS):
         near = (x @ centres.T).argmax(axis=1)
-        sums = np.array([x[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)
     return centres
 
 
+def usable(vecs: DataFrame, *columns: str) -> DataFrame:
+    """The columns and the embedding as doubles, without empty vectors and zeros."""
+    return vecs.select(*columns, F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).filter("size(embedding) > 0 and exists(embedding, x -> x <> 0)")
+
+
+def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, whether each has that length; others are zeros)."""
+    right = np.asarray(column.value_lengths()) == width
+    out = np.zeros((len(column), width))
+    out[right] = np.asarray(column.filter(pa.array(right)).flatten()).reshape(-1, width)
+    return out, right
+
+
 class VectorIndex:
-    """An inverted file in one folder; rows are (key, embedding)."""
+    """An inverted file in one folder; rows are (key, columns, embedding), told by their keys. ``columns`` (name -> type) may be filtered by; ``tenant`` is counted by cell."""
 
-    def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id", key_type: str = "long"):
-        self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
-        self.kept = SegmentStore(spark, f"{self.folder}/cells", [key], {"vectors": f"`{key}` {key_type}, embedding array<double>, cell int"}, {"vectors": "cell"})
+    def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id", key_type: str = "long", columns: dict[str, str] | None = None, keys: Sequence[str] = ()):
+        self.spark, self.folder, self.key, self.columns = spark, folder.rstrip("/"), key, dict(columns or {})
+        names = ", ".join(f"`{n}` {t}" for n, t in {key: key_type, **self.columns}.items())
+        by = ["grp", "cell", *(c for c in ("tenant",) if c in self.columns)]
+        self.kept = SegmentStore(spark, f"{self.folder}/cells", list(keys) or [key], {"vectors": f"{names}, embedding array<double>, grp int, cell int"}, {"vectors": ["grp", "cell"]}, {"counts": ("vectors", by)})
+        self._groups: np.ndarray | None = None
 
     @classmethod
-    def create(cls, vecs: DataFrame, folder: str, key: str = "doc_id", cells: int = CELLS) -> VectorIndex:
+    def create(cls, vecs: DataFrame, folder: str, key: str = "doc_id", columns: Sequence[str] = (), keys: Sequence[str] = (), cells: int | None = None, **more) -> VectorIndex:
         """A new index of ``vecs``."""
-        spark = vecs.sparkSession
-        rows = [(k, c.tolist()) for k, c in enumerate(unit_centroids(vecs, key, cells))]
-        spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.parquet(f"{folder.rstrip('/')}/centroids")
-        index = cls(spark, folder, key, vecs.schema[key].dataType.simpleString())
-        index.add(vecs)
+        types = dict(vecs.dtypes)
+        index = cls(vecs.sparkSession, folder, key, types[key], {c: types[c] for c in columns}, keys)
+        index._fit(usable(vecs, key), cells)
+        index.add(vecs, **more)
         return index
 
+    def _fit(self, rows: DataFrame, cells: int | None) -> None:
+        """Centroids of groups from a sample on the driver, then of each group's cells in a task of its own."""
+        n = rows.count()
+        cells = min(CELLS_MOST, max(1, round(n**0.5))) if cells is None else cells
+        first = rows.orderBy(F.xxhash64(self.key), self.key).limit(quantise.SAMPLE).select("embedding").collect()
+        groups = spherical(np.array([r[0] for r in first], float), max(1, round(cells**0.5)))
+        self.spark.createDataFrame([(g, c.tolist()) for g, c in enumerate(groups)], "grp int, centroid array<double>").coalesce(1).write.parquet(f"{self.folder}/groups")
+        sent, width = self.spark.sparkContext.broadcast(groups), groups.shape[1]
+
+        def group(batches):
+            for batch in batches:
+                x, right = matrix(batch.column("embedding"), width)
+                of = (x @ sent.value.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(of[right], pa.int32()), batch.column("embedding").filter(pa.array(right))], names=["grp", "embedding"])
+
+        # about PER_CELL vectors for each cell, by a hash of the key
+        share = min(1.0, PER_CELL * cells / max(1, n))
+        some = rows.filter(F.pmod(F.xxhash64(self.key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+        per_group = max(1, -(-cells // len(groups)))
+
+        def cells_of(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.array(pdf["embedding"].tolist(), float)
+            found = spherical(x, max(1, min(per_group, len(x))))
+            return pd.DataFrame({"grp": np.full(len(found), pdf["grp"].iloc[0]), "cell": np.arange(len(found)), "centroid": list(found)})
+
+        grouped = some.select("embedding").mapInArrow(group, "grp int, embedding array<double>")
+        made = grouped.groupBy("grp").applyInPandas(cells_of, "grp int, cell int, centroid array<double>")
+        made.repartitionByRange("grp").sortWithinPartitions("grp", "cell").write.parquet(f"{self.folder}/centroids")
+
     def exists(self) -> bool:
         return store.exists(self.spark, f"{self.folder}/centroids/_SUCCESS")
 
-    def centroids(self) -> list[tuple[int, list[float]]]:
-        return [(r["cell"], r["centroid"]) for r in self.spark.read.parquet(f"{self.folder}/centroids").orderBy("cell").collect()]
-
-    def add(self, vecs: DataFrame) -> None:
-        """Add vectors, in the place of those of the same key; empty vectors and zeros are left out."""
-        book = self.spark.read.parquet(f"{self.folder}/centroids").agg(F.sort_array(F.collect_list(F.struct("cell", "centroid"))).alias("book"))
-        v = F.transform("embedding", lambda x: x.cast("double"))
-        rows = vecs.select(self.key, v.alias("embedding")).filter("size(embedding) > 0 and exists(embedding, x -> x <> 0)").crossJoin(F.broadcast(book))
-        # the largest cosine is the least distance of unit vectors; ties to the smaller cell
-        nearest = F.array_min(F.transform("book", lambda b: F.struct(F.round(squared_euclidean(normalize(F.col("embedding")), b["centroid"]), 9).alias("d"), b["cell"].alias("cell"))))
-        self.kept.put({"vectors": rows.select(self.key, "embedding", nearest["cell"].alias("cell"))})
-
-    def remove(self, keys: DataFrame) -> None:
-        self.kept.put({}, keys.select(self.key))
-
-    def clear(self) -> None:
-        self.kept.clear()
+    def groups(self) -> np.ndarray:
+        if self._groups is None:
+            self._groups = np.array([r["centroid"] for r in self.spark.read.parquet(f"{self.folder}/groups").orderBy("grp").collect()])
+        return self._groups
+
+    def centroids(self, groups: Sequence[int] | None = None) -> list[tuple[int, int, list[float]]]:
+        """(grp, cell, centroid) of some groups, or of all."""
+        rows = self.spark.read.parquet(f"{self.folder}/centroids")
+        if groups is not None:
+            rows = rows.filter(F.col("grp").isin(*groups))
+        return [tuple(r) for r in rows.select("grp", "cell", "centroid").orderBy("grp", "cell").collect()]
+
+    # --- changes
+
+    def add(self, vecs: DataFrame, gone: DataFrame | None = None, **more) -> None:
+        """Add vectors, in the place of those of the same keys, and take away those of the keys in ``gone``; empty vectors, zeros, and those of another length are left out."""
+        book: dict[int, tuple[list[int], list[list[float]]]] = {}
+        for g, c, x in self.centroids():
+            cells, centres = book.setdefault(g, ([], []))
+            cells.append(c)
+            centres.append(x)
+        known = np.array([g for g in sorted(book)], np.int32)  # a group that no vector of the sample was in has no cells
+        model = known, self.groups()[known], {g: (np.array(c, np.int32), np.array(x)) for g, (c, x) in book.items()}
+        sent, width, names = self.spark.sparkContext.broadcast(model), model[1].shape[1], [self.key, *self.columns]
+
+        def place(batches):
+            known, groups, cells = sent.value
+            for batch in batches:
+                x, right = matrix(batch.column("embedding"), width)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                grp = known[(x @ groups.T).argmax(axis=1)]
+                cell = np.zeros(len(x), np.int32)
+                for g in np.unique(grp).tolist():
+                    at = grp == g
+                    cell[at] = cells[g][0][(x[at] @ cells[g][1].T).argmax(axis=1)]
+                keep = pa.array(right)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (*batch.columns, pa.array(grp), pa.array(cell))], names=[*names, "embedding", "grp", "cell"])
+
+        placed = usable(vecs, *names).mapInArrow(place, self.kept.tables["vectors"])
+        self.kept.put({"vectors": placed}, gone, **more)
+
+    def remove(self, keys: DataFrame, **more) -> None:
+        self.kept.put({}, keys.select(self.kept.keys), **more)
+
+    def clear(self, **more) -> None:
+        self.kept.clear(**more)
+
+    # --- questions
 
     def vectors(self) -> DataFrame:
-        """(key, embedding) of all that is in the index."""
-        return self.kept.table("vectors").drop("cell")
+        """(key, columns, embedding) of all that is in the index."""
+        return self.kept.table("vectors").drop("grp", "cell")
 
     def count(self) -> int:
         return self.vectors().count()
 
-    def search(self, q: list[float], k: int, probes: int = PROBES) -> DataFrame:
-        """(key, score): the ``k`` nearest by cosine among the vectors of the ``probes`` nearest cells; only their folders are read."""
-        wanted = np.array(q, float)
-        by = sorted(self.centroids(), key=lambda c: (-float(np.dot(wanted, c[1])), c[0]))[:probes]
-        rows = self.kept.table("vectors").filter(F.col("cell").isin(*[c for c, _ in by]))
-        scored = rows.select(self.key, F.round(cosine_similarity(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 6).alias("score"))
-        return scored.orderBy(F.desc("score"), self.key).limit(k)
+    def nearest_cells(self, q: Sequence[float], need: float, tenant: str | None = None) -> tuple[list[tuple[int, int]], bool]:
+        """The cells nearest to a vector that hold ``need`` live vectors (of one tenant, if it is given) or more; and whether these are all cells that hold any."""
+        counted = self.kept.counted("counts")
+        if tenant is not None and "tenant" in self.columns:
+            counted = counted.filter(F.col("tenant") == tenant)
+        held = {(r["grp"], r["cell"]): r["n"] for r in counted.groupBy("grp", "cell").agg(F.sum("n").alias("n")).collect()}  # a row for each cell
+        q = np.asarray(q, float)
+        by_group: dict[int, int] = {}
+        for (g, _), n in held.items():
+            by_group[g] = by_group.get(g, 0) + n
+        near, total = [], 0
+        similar = self.groups() @ q if len(q) == self.groups().shape[1] else np.zeros(len(self.groups()))
+        for g in np.argsort(-similar, kind="stable").tolist():
+            if by_group.get(g) and total < 2 * need:
+                near.append(g)
+                total += by_group[g]
+        cells = [(float(np.dot(q, x)) if len(q) == len(x) else 0.0, g, c) for g, c, x in (self.centroids(near) if near else []) if (g, c) in held]
+        chosen, total = [], 0
+        for _, g, c in sorted(cells, key=lambda x: (-x[0], x[1:])):
+            if total >= need:
+                break
+            chosen.append((g, c))
+            total += held[g, c]
+        return chosen, len(chosen) == len(held)
+
+    def search(self, q: Sequence[float], k: int, where: Column | None = None, tenant: str | None = None, share: float = SHARE) -> DataFrame:
+        """(key, score): the ``k`` nearest found by cosine, of the rows that fit ``where`` and the tenant; exact where ``share`` is 1.
+
+        Cells are read until there are ``k`` hits, or none are left.
+        """
+        asked = F.array(*[F.lit(float(x)) for x in q])
+        total = self.kept.counted("counts")
+        if tenant is not None and "tenant" in self.columns:
+            total = total.filter(F.col("tenant") == tenant)
+        need = max(NEED * k, share * (total.agg(F.sum("n")).first()[0] or 0))
+        while True:
+            cells, all_of_them = self.nearest_cells(q, need, tenant)
+            by_group: dict[int, list[int]] = {}
+            for g, c in cells:
+                by_group.setdefault(g, []).append(c)
+            rows, mine = self.kept.table("vectors"), F.lit(False)
+            for g, own in by_group.items():
+                mine = mine | (F.col("grp") == g) & F.col("cell").isin(*own)
+            rows = rows.filter(F.col("grp").isin(*by_group) & mine) if by_group else rows.limit(0)
+            if tenant is not None and "tenant" in self.columns:
+                rows = rows.filter(F.col("tenant") == tenant)
+            if where is not None:
+                rows = rows.filter(where)
+            best = rows.select(self.key, F.round(cosine_similarity(F.col("embedding"), asked), 6).alias("score")).orderBy(F.desc("score"), self.key).limit(k)
+            found = best.collect()  # k rows
+            if len(found) == k or all_of_them:
+                return self.spark.createDataFrame(found, best.schema)
+            need *= MORE
+
+
+def scan(vecs: DataFrame, q: Sequence[float], k: int, key: str = "doc_id") -> DataFrame:
+    """(key, score): the ``k`` nearest of all vectors."""
+    scored = vecs.filter(F.size("embedding") > 0).select(key, F.round(cosine_similarity(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def search_or_scan(index: VectorIndex | None, vecs: DataFrame, q: list[float], k: int, probes: int = PROBES, key: str = "doc_id") -> DataFrame:
+def search_or_scan(index: VectorIndex | None, vecs: DataFrame, q: Sequence[float], k: int, key: str = "doc_id", **options) -> DataFrame:
     """The index's answer; where there is no index, or it has fewer than ``k`` hits, that of a scan of all vectors."""
     if index is not None and index.exists():
-        found = index.search(q, k, probes)
-        if found.count() == k:
+        found = index.search(q, k, **options)
+        if found.count() == k:  # rows that are here already
             return found
-    scored = vecs.filter(F.size("embedding") > 0).select(key, F.round(cosine_similarity(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    return scan(vecs, q, k, key)
 
 
 def save_codebook(codebook: DataFrame, folder: str) -> None:

@@ -11,7 +11,7 @@ from larkspur.operators import fulltext as X
 from larkspur.operators import search as S
 from larkspur.operators import store
 from larkspur.operators.textindex import TextIndex
-from larkspur.plans.registry import DOCS, VECS, documents, query, table, text_index, vectors
+from larkspur.plans.registry import DOCS, VECS, documents, query, search_vectors, table, text_index, vectors
 
 ASK = "was for pathetic"
 TERMS = X.query_terms(ASK)
@@ -56,7 +56,12 @@ def probe(spark, sf_dir):
 
 
 def hybrid(spark, sf_dir, **options):
-    return S.search(documents(spark, sf_dir), vectors(spark, sf_dir), ASK, probe(spark, sf_dir), S.SearchOptions(**({"top_k": K} | options)), text_index(spark, sf_dir))
+    vecs = search_vectors(spark, sf_dir).vectors()
+    return S.search(documents(spark, sf_dir), vecs, ASK, probe(spark, sf_dir), S.SearchOptions(**({"top_k": K} | options)), text_index(spark, sf_dir))
+
+
+def live_vectors(spark, sf_dir, k, **options):
+    return S.vector_live(documents(spark, sf_dir), search_vectors(spark, sf_dir).vectors(), probe(spark, sf_dir), k, S.SearchOptions(**options))
 
 
 def bm25(spark, sf_dir):
@@ -183,19 +188,19 @@ def fts_join_search(spark, sf_dir):
 
 @query("vector_topk_exact", f"WITH {DOCS}, {COS} SELECT doc_id, score FROM cos WHERE doc_id IN (SELECT doc_id FROM docs) ORDER BY score DESC, doc_id LIMIT 20")
 def vector_topk_exact(spark, sf_dir):
-    return S.vector_top(documents(spark, sf_dir), vectors(spark, sf_dir), probe(spark, sf_dir), 20)
+    return live_vectors(spark, sf_dir, 20)
 
 
 @query("vector_join_search", f"WITH {DOCS}, {COS} SELECT doc_id, score, path FROM cos JOIN docs USING (doc_id) WHERE tenant = 'en' ORDER BY score DESC, doc_id LIMIT 10")
 def vector_join_search(spark, sf_dir):
     docs = S.live(documents(spark, sf_dir), S.SearchOptions(tenant="en"))
-    return S.enrich(S.vector_top(docs, vectors(spark, sf_dir), probe(spark, sf_dir), 10), docs).select("doc_id", "score", "path")
+    return S.enrich(live_vectors(spark, sf_dir, 10, tenant="en"), docs).select("doc_id", "score", "path")
 
 
 @query("hit_enrichment", f"WITH {DOCS}, {COS}, h AS {top_sql('cos', 10, 'doc_id IN (SELECT doc_id FROM docs)')} SELECT doc_id, score, tenant, collection, path, (strlen(text) // 4)::BIGINT AS token_count FROM h JOIN docs USING (doc_id)")
 def hit_enrichment(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    hits = S.vector_top(docs, vectors(spark, sf_dir), probe(spark, sf_dir), 10)
+    hits = live_vectors(spark, sf_dir, 10)
     return S.enrich(hits, docs).select("doc_id", "score", "tenant", "collection", "path", T.token_estimate(F.col("text")).alias("token_count"))
 
 
@@ -216,8 +221,7 @@ def enrich_with_fallback(spark, sf_dir):
 
 @query("rrf_full_outer", f"WITH {HYBRID} SELECT doc_id, score, vector_score, fts_score FROM fused")
 def rrf_full_outer(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return S.rrf(S.vector_top(docs, vectors(spark, sf_dir), probe(spark, sf_dir), 2 * K), S.lexical_top(text_index(spark, sf_dir), None, TERMS, 2 * K))
+    return S.rrf(live_vectors(spark, sf_dir, 2 * K), S.lexical_top(text_index(spark, sf_dir), None, TERMS, 2 * K))
 
 
 @query("hybrid_rrf_search", f"WITH {HYBRID} SELECT doc_id, score, vector_score, fts_score, rank FROM hits")
@@ -240,6 +244,15 @@ def search_mode_vector(spark, sf_dir):
     return hybrid(spark, sf_dir, mode="vector").select("doc_id", "score", "rank")
 
 
+@query("search_by_indexes", f"WITH {HYBRID}, plain AS (SELECT count(*) AS n FROM hits) SELECT 'hybrid' AS mode, n >= 1 AS found, true AS enough FROM plain")
+def search_by_indexes(spark, sf_dir):
+    """A hybrid search whose vectors come from the index, not from a scan: at least nine tenths of the hits of the exact one."""
+    exact = {r["doc_id"] for r in hybrid(spark, sf_dir).collect()}
+    found = S.search(documents(spark, sf_dir), search_vectors(spark, sf_dir), ASK, probe(spark, sf_dir), S.SearchOptions(top_k=K), text_index(spark, sf_dir))
+    hits = {r["doc_id"] for r in found.collect()}
+    return spark.createDataFrame([("hybrid", bool(hits), len(hits & exact) >= 0.9 * len(exact))], "mode string, found boolean, enough boolean")
+
+
 @query("search_mode_fts", f"WITH {BMR}, {single_mode('bmr')}")
 def search_mode_fts(spark, sf_dir):
     return hybrid(spark, sf_dir, mode="fts").select("doc_id", "score", "rank")

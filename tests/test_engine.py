@@ -108,6 +108,23 @@ def test_a_search_after_a_change_reads_postings_and_no_texts(spark, tmp_path):
     assert engine.search("harbour", mode="fts") == [] and index.totals()["n"] == 0
 
 
+def test_searches_use_an_index_of_vectors_that_follows_the_changes(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), Config(vector_index_from=3))
+    say = lambda tenant, *texts: engine.remember(spark.createDataFrame([(t, "user") for t in texts], "text string, source string"), tenant)
+    say("t", "remember that the harbour closes at nine in the evening", "the lighthouse is painted in red and white stripes this year")
+    assert engine.index_vectors() is None
+    say("u", "a second note about the harbour, and about the boats in it", "another person's note about boats and about ropes and sails")
+    assert engine.index_vectors() is not None and engine.vector_index.count() == 4
+    say("t", "boats and ropes and sails are sold behind the old harbour")
+    assert engine.vector_index.kept.state() == engine.version() == 3 and engine.vector_index.count() == 5
+    for tenant, n in (("t", 3), ("u", 2), (None, 5)):
+        hits = engine.search("boats and ropes and sails", mode="vector", tenant=tenant)
+        assert len(hits) == n and "boats" in hits[0]["text"]
+    engine.forget("u")
+    assert len(engine.search("boats and ropes and sails", mode="vector")) == 3 and engine.vector_index.count() == 3
+    assert len(engine.search("boats and ropes and sails", mode="vector", path_prefix="memory://", tenant="t")) == 3
+
+
 def test_config():
     assert updated(Config(), {"top_k": 3}).top_k == 3
     for bad in ({"top_k": 0}, {"mode": "x"}, {"nothing": 1}):

@@ -16,7 +16,7 @@ from larkspur.functions import vectors as V
 from larkspur.operators import chunkers, context, embed, folds, fulltext, markdown, quantise, search, segments, store, textindex
 from larkspur.operators.segments import SegmentStore
 from larkspur.operators.textindex import TextIndex
-from larkspur.operators.vectorindex import PqIndex, VectorIndex, search_or_scan
+from larkspur.operators.vectorindex import PqIndex, VectorIndex, scan, search_or_scan
 from larkspur.plans.files import docx_bytes, pdf_bytes
 from larkspur.plans.registry import vectors
 from larkspur.sources import codecs
@@ -398,33 +398,36 @@ def test_changes_of_tables_by_key(spark, tmp_path, monkeypatch):
 
 
 def test_vector_index_finds_adds_and_removes(spark, tmp_path):
-    vecs = vectors(spark, "/root/testdata/sf0.1").select("doc_id", "embedding")
-    index = VectorIndex.create(vecs, str(tmp_path / "ivf"))
-    asked = [r["embedding"] for r in vecs.filter("doc_id < 4").collect()]
-    hits = 0
-    for q in asked:
-        exact = {r["doc_id"] for r in search_or_scan(None, vecs, q, 10).collect()}
-        hits += len(exact & {r["doc_id"] for r in index.search(q, 10).collect()})
-    assert hits >= 0.6 * 10 * len(asked)  # nearly independent dimensions; all cells give all
-    q = asked[0]
-    exact = [tuple(r) for r in search_or_scan(None, vecs, q, 10).collect()]
-    assert [tuple(r) for r in index.search(q, 10, 32).collect()] == exact
-    plan = index.kept.table("vectors").filter(F.col("cell").isin(1, 2))._jdf.queryExecution().toString()
-    assert "PartitionFilters: [cell" in plan
+    vecs = vectors(spark, "/root/testdata/sf0.1").select("doc_id", "embedding", F.when(F.col("doc_id") % 20 == 3, "rare").otherwise("often").alias("tenant"))
+    index = VectorIndex.create(vecs, str(tmp_path / "ivf"), columns=["tenant"])
+    assert len(index.centroids()) == pytest.approx(vecs.count() ** 0.5, abs=6) and 5 <= len(index.groups()) <= 8
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    q = vecs.filter("doc_id = 0").first()["embedding"]
+    exact = rows(scan(vecs, q, 10))
+    assert rows(index.search(q, 10, share=1.0)) == exact
+    # a tenant with a twentieth of the vectors: cells are chosen by its own, and read in proportion
+    rare = vecs.filter("tenant = 'rare'")
+    assert rows(index.search(q, 10, tenant="rare", share=1.0)) == rows(scan(rare, q, 10))
+    few, whole = index.nearest_cells(q, 30, "rare")
+    assert not whole and len(few) < 0.6 * len(index.centroids())
+    assert rows(index.search(q, 3, F.col("doc_id") > 1900, "rare", 0.01)) == rows(scan(rare.filter("doc_id > 1900"), q, 3)) or index.search(q, 3, F.col("doc_id") > 1900, "rare", 0.01).count() == 3
+    assert index.search(q, 10, tenant="nobody").count() == 0
+    plan = index.kept.table("vectors").filter("grp = 1 and cell in (1, 2)")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(grp" in plan and "PushedFilters: [In(cell" in plan
     best = exact[0][0]
     index.remove(vecs.filter(F.col("doc_id") == best))
-    assert [tuple(r) for r in index.search(q, 9, 32).collect()] == exact[1:]
+    assert rows(index.search(q, 9, share=1.0)) == exact[1:]
     index.add(vecs.filter(F.col("doc_id") == best))
-    assert [tuple(r) for r in index.search(q, 10, 32).collect()] == exact and index.count() == vecs.count()
+    assert rows(index.search(q, 10, share=1.0)) == exact and index.count() == vecs.count()
     index.clear()
-    assert index.count() == 0 and [tuple(r) for r in search_or_scan(index, vecs, q, 10).collect()] == exact
+    assert index.count() == 0 and rows(search_or_scan(index, vecs, q, 10)) == exact
     assert not VectorIndex(spark, str(tmp_path / "none")).exists()
 
 
 def test_vector_index_separates_clusters(spark, tmp_path):
     rows = [(k, [1.0 + 0.01 * k, 0.0, 0.0]) for k in range(20)] + [(100 + k, [0.0, 1.0, 0.01 * k]) for k in range(20)] + [(999, [0.0, 0.0, 0.0]), (998, [])]
     index = VectorIndex.create(spark.createDataFrame(rows, "doc_id long, embedding array<float>"), str(tmp_path / "c"), cells=2)
-    assert index.count() == 40 and {r["doc_id"] // 100 for r in index.search([0.0, 2.0, 0.1], 20, 1).collect()} == {1}
+    assert index.count() == 40 and {r["doc_id"] // 100 for r in index.search([0.0, 2.0, 0.1], 20, share=0.1).collect()} == {1}
 
 
 def test_pq_index_and_its_codebook_file(spark, tmp_path):
