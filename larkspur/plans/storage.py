@@ -317,6 +317,23 @@ def vector_index_recall(spark, sf_dir):
     return spark.createDataFrame([(len(asked), hits >= RECALL * 10 * len(asked))], "questions long, enough boolean")
 
 
+@query("vector_graph_recall", f"SELECT count(*) AS questions, true AS enough FROM embeddings WHERE vec_id % {ASKED} = 0")
+def vector_graph_recall(spark, sf_dir):
+    """The same of a graph index that is built for it, after removals and additions."""
+    from larkspur.operators.graphindex import GraphIndex
+    from larkspur.operators.vectorindex import scan
+
+    vecs, hits = vectors(spark, sf_dir).select("doc_id", "embedding"), 0
+    index = GraphIndex.create(vecs, f"{_folder(spark)}/graph-{uuid.uuid4().hex}")
+    index.remove(vecs.filter("doc_id % 7 = 0"))
+    index.add(vecs.filter("doc_id % 4 = 0"))
+    live = vecs.filter("doc_id % 7 <> 0 or doc_id % 4 = 0")
+    asked = [r["embedding"] for r in vecs.filter(f"doc_id % {ASKED} = 0").collect()]
+    for q in asked:
+        hits += len({r["doc_id"] for r in index.search(q, 10).collect()} & {r["doc_id"] for r in scan(live, q, 10).collect()})
+    return spark.createDataFrame([(len(asked), hits >= RECALL * 10 * len(asked))], "questions long, enough boolean")
+
+
 @query(
     "vector_index_tenant",
     f"WITH {DOCS}, {VECS}, cos AS (SELECT v.doc_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM vecs v JOIN docs d ON d.doc_id = v.doc_id, vecs q WHERE q.doc_id = 0 AND tenant = 'es' AND starts_with(path, 'docs/src1')) SELECT doc_id, score FROM cos ORDER BY score DESC, doc_id LIMIT 3",

@@ -8,12 +8,14 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.functions import vectors as V
 from larkspur.operators import chunkers, context, embed, folds, fulltext, markdown, quantise, search, segments, store, textindex
+from larkspur.operators.graphindex import GraphIndex, graph, units, walk
 from larkspur.operators.segments import SegmentStore
 from larkspur.operators.textindex import TextIndex
 from larkspur.operators.vectorindex import PqIndex, VectorIndex, scan, search_or_scan
@@ -424,6 +426,47 @@ def test_vector_index_finds_adds_and_removes(spark, tmp_path):
     assert not VectorIndex(spark, str(tmp_path / "none")).exists()
 
 
+def test_graph_index_finds_adds_and_removes(spark, tmp_path):
+    vecs = vectors(spark, "/root/testdata/sf0.1").select("doc_id", "embedding")
+    index = GraphIndex.create(vecs, str(tmp_path / "g"), shard=1000)
+    n, asked = vecs.count(), [r["embedding"] for r in vecs.filter("doc_id % 200 = 0").collect()]
+    hits = looked = 0
+    for q in asked[:6]:
+        hits += len({r["doc_id"] for r in scan(vecs, q, 10).collect()} & {r["doc_id"] for r in index.search(q, 10).collect()})
+        looked += sum(r["looked"] for r in index.looked_at(q).select("nodes", "looked").distinct().collect())
+    assert hits >= 0.9 * 60 and looked < 0.5 * 6 * n and index.count() == n
+    q = asked[0]
+    exact = [tuple(r) for r in scan(vecs, q, 40).collect()]
+    best = exact[0][0]
+    index.remove(vecs.filter(F.col("doc_id") == best))
+    assert index.count() == n - 1 and [tuple(r) for r in index.search(q, 1).collect()] == exact[1:2]
+    index.add(vecs.filter(F.col("doc_id") == best).withColumn("embedding", F.transform("embedding", lambda x: -x)))  # it moves to another place
+    assert index.count() == n and [tuple(r) for r in index.search(q, 1).collect()] == exact[1:2]
+    index.add(vecs.filter(F.col("doc_id") == best))
+    assert [tuple(r) for r in index.search(q, 1).collect()] == exact[:1] and index.count() == n
+    index.clear()
+    assert index.count() == index.search(q, 5).count() == 0
+    assert not GraphIndex(spark, str(tmp_path / "none")).exists()
+
+
+def test_every_node_of_a_graph_can_be_reached():
+    rng = np.random.default_rng(1)
+    x = units(np.concatenate([rng.normal(size=(60, 8)) * 0.01 + c for c in np.eye(8)[:5]] + [np.ones((40, 8))]))  # clusters far from each other, and many equal vectors
+    levels = rng.integers(0, 3, len(x))
+    links = graph(list(range(len(x))), levels, x)
+    first = max(range(len(x)), key=lambda i: (levels[i], -i))
+    seen, todo = {first}, [first]
+    while todo:
+        for j in links[todo.pop()][0]:
+            if j not in seen:
+                seen.add(j)
+                todo.append(j)
+    assert len(seen) == len(x) and all(len(own) == level + 1 for own, level in zip(links, levels))
+    for q in (x[0], x[100], x[310]):
+        found, _ = walk(list(range(len(x))), levels.tolist(), links, x, q, 64)
+        assert round(found[0][0], 9) == 1.0
+
+
 def test_vector_index_separates_clusters(spark, tmp_path):
     rows = [(k, [1.0 + 0.01 * k, 0.0, 0.0]) for k in range(20)] + [(100 + k, [0.0, 1.0, 0.01 * k]) for k in range(20)] + [(999, [0.0, 0.0, 0.0]), (998, [])]
     index = VectorIndex.create(spark.createDataFrame(rows, "doc_id long, embedding array<float>"), str(tmp_path / "c"), cells=2)
