@@ -11,8 +11,9 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from larkspur.config import Config
 from larkspur.functions import text as T
@@ -23,8 +24,9 @@ from larkspur.operators.textindex import FORMAT, TextIndex
 from larkspur.operators.vectorindex import VectorIndex
 from larkspur.sources import codecs
 from larkspur.streaming import index as files
+from larkspur.streaming import watch as watching
 
-DOCUMENTS = "doc_id string, tenant string, collection string, path string, file_type string, content_hash string, text string"
+DOCUMENTS = "doc_id string, tenant string, collection string, path string, file_type string, content_hash string, modified timestamp, file_size long, text string"
 CHUNKS = "doc_id string, document_id string, tenant string, collection string, path string, file_type string, heading string, text string, token_count long"
 VECTORS = "doc_id string, tenant string, collection string, path string, embedding array<double>"
 #: What a document is told by.
@@ -62,16 +64,16 @@ class Engine:
 
     # --- changes
 
-    def _replace(self, new: DataFrame, gone: DataFrame | None = None) -> None:
-        """Put ``new`` documents in the place of those of the same keys, and drop ``gone`` (keys), all with their chunks and vectors."""
+    def _replace(self, new: DataFrame, gone: DataFrame | None = None, **more) -> None:
+        """Put ``new`` documents in the place of those of the same keys, and drop ``gone`` (keys), all with their chunks and vectors; ``more`` stands in the change's entry."""
         made = self._chunks(new)
         vectors = self.embedder(made.select("doc_id", "text")).select("doc_id", "embedding")
         owners = made.select("doc_id", *KEYS).dropDuplicates(["doc_id"])
         rows = {"documents": new.select(_names(DOCUMENTS)), "chunks": made.select(_names(CHUNKS)), "vectors": vectors.join(owners, "doc_id").select(_names(VECTORS))}
-        self._put(rows, gone)
+        self._put(rows, gone, **more)
 
-    def _put(self, rows: dict[str, DataFrame], gone: DataFrame | None) -> None:
-        self.kept.put(rows, gone)
+    def _put(self, rows: dict[str, DataFrame], gone: DataFrame | None, **more) -> None:
+        self.kept.put(rows, gone, **more)
         self._results.clear()
         self.build_index()
         self.index_vectors()
@@ -91,33 +93,86 @@ class Engine:
             F.col("content").alias("text"), "token_count",
         )
 
-    def index(self, source: str, tenant: str = "", collection: str = "") -> dict[str, int]:
-        """Bring the tenant's documents of a folder up to date: counts of added, updated, removed, unchanged files.
-
-        Documents of other folders, collections and tenants stay as they are; a path may be in several collections.
-        """
-        found = files.scan(self.spark, source)
+    def _documents(self, found: DataFrame, tenant: str, collection: str) -> DataFrame:
+        """Documents of files (path, file_type, content_hash, modified, file_size, content); ``failed`` tells those that cannot be decoded, whose text is empty."""
         raw = F.col("content")
         text = F.when(F.col("file_type") == "docx", codecs.docx_text(raw)).when(F.col("file_type") == "pdf", F.array_join(codecs.pdf_text(raw), "\n\n")).otherwise(raw.cast("string"))
-        now = found.select(
+        return found.select(
             T.hash_id(F.concat_ws("|", F.lit(tenant), F.lit(collection), "path")).alias("doc_id"), F.lit(tenant).alias("tenant"), F.lit(collection).alias("collection"),
-            "path", "file_type", "content_hash", F.coalesce(text, F.lit("")).alias("text"),
+            "path", "file_type", "content_hash", "modified", "file_size", F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("failed"),
         )
-        own = self.table("documents").filter((F.col("tenant") == tenant) & (F.col("file_type") != "memory") & (F.col("collection") == collection))
+
+    def _tracked(self, source: str, tenant: str, collection: str) -> DataFrame:
+        """(path, content_hash, modified, file_size) of the documents that come from a folder."""
         below = F.col("path").startswith(store.qualified(self.spark, source) + "/")
-        changes = store.sync_within(own, now, below)
-        counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
-        if set(counts) - {"unchanged"}:
-            new = now.join(changes.filter(F.col("change").isin("added", "updated")), "path", "left_semi")
+        mine = (F.col("tenant") == tenant) & (F.col("file_type") != "memory") & (F.col("collection") == collection)
+        return self.table("documents").filter(mine & below).select("path", "content_hash", "modified", "file_size")
+
+    def _changed(self, found: DataFrame, tracked: DataFrame, tenant: str, collection: str) -> DataFrame:
+        """Documents of the files whose contents are not known, with what was known (``old``)."""
+        old = tracked.select("path", F.col("content_hash").alias("old"))
+        return self._documents(found, tenant, collection).join(old, "path", "left").filter(F.col("old").isNull() | (F.col("old") != F.col("content_hash")))
+
+    def _take(self, found: DataFrame | None, tracked: DataFrame, removed: DataFrame | None, tenant: str, collection: str) -> dict[str, int]:
+        """Put files that are new or have changed, and drop those that are ``removed`` (path). The counts come with the writing."""
+        seen, gone = Observation(), Observation()
+        added, failed = F.col("old").isNull(), F.col("failed")
+        new = self._changed(files.none(self.spark) if found is None else found, tracked, tenant, collection)
+        if found is not None:
+            new = new.observe(seen, F.count_if(added & ~failed).alias("added"), F.count_if(~added & ~failed).alias("updated"), F.count_if(failed).alias("failed"))
+        if removed is not None:
+            removed = removed.observe(gone, F.count(F.lit(1)).alias("removed")).select(F.lit(tenant).alias("tenant"), F.lit(collection).alias("collection"), "path")
+        self._replace(new, removed)
+        return (seen.get if found is not None else {}) | (gone.get if removed is not None else {})
+
+    def index(self, source: str, tenant: str = "", collection: str = "", batch_files: int = 10_000) -> dict[str, int]:
+        """Bring the tenant's documents of a folder up to date: counts of added, updated, removed, unchanged and failed files.
+
+        Documents of other folders, collections and tenants stay as they are; a path may be in several collections. Files are listed, and those of another size or time
+        than before are read, ``batch_files`` at once; a batch is one change. So a run that was stopped goes on where it was when it is started again.
+        """
+        listed = files.listed(self.spark, source)
+        tracked = self._tracked(source, tenant, collection)
+        known = tracked.select("path", "modified", "file_size")
+        stale = listed.join(known, ["path", "modified", "file_size"], "left_anti").select("path")
+        removed = tracked.join(listed, "path", "left_anti").select("path")
+        total = dict.fromkeys(("added", "updated", "removed", "unchanged", "failed"), 0)
+        after, n = "", 0
+        while True:
+            batch = [r["path"] for r in stale.filter(F.col("path") > after).orderBy("path").limit(batch_files).collect()]
+            gone = None if n or removed.isEmpty() else removed
+            if not batch and gone is None:
+                break
+            counts = self._take(files.read(self.spark, batch) if batch else None, tracked, gone, tenant, collection)
+            for k, v in counts.items():
+                total[k] += v
+            after, n = (batch or [after])[-1], n + 1
+            if len(batch) < batch_files:
+                break
+        total["unchanged"] = listed.count() - total["added"] - total["updated"] - total["failed"]
+        return total
+
+    def watch(self, source: str, checkpoint: str, tenant: str = "", collection: str = "", seconds: float | None = None) -> StreamingQuery:
+        """Follow a folder: a stream whose batches bring files that are created or changed and take away those that are removed. Without ``seconds`` it ends when it has what is
+        there now. A batch that runs again after its change was written is left out: its number stands with the change.
+        """
+        stream = f"{store.qualified(self.spark, checkpoint)} {tenant} {collection}"
+
+        def each(changes: DataFrame, n: int) -> None:
+            if any(e.get("stream") == stream and e.get("batch", -1) >= n for e in self.kept.log.entries().values()):
+                return
+            found = files.described(changes.filter("change <> 'removed'").select("path", F.col("modified").alias("modificationTime"), F.col("file_size").alias("length"), "content"))
             gone = changes.filter("change = 'removed'").select(F.lit(tenant).alias("tenant"), F.lit(collection).alias("collection"), "path")
-            self._replace(new, gone)
-        return {k: counts.get(k, 0) for k in ("added", "updated", "removed", "unchanged")}
+            self._replace(self._changed(found, self._tracked(source, tenant, collection), tenant, collection), gone, stream=stream, batch=n)
+
+        return watching.watch(self.spark, source, checkpoint, each, seconds)
 
     def remember(self, texts: DataFrame, tenant: str = "") -> DataFrame:
         """Keep texts (text, source) as memories; gives (memory_id, summary, searchable) of each."""
         new = texts.filter("text is not null and trim(text) <> ''").dropDuplicates(["text"]).select(
             T.hash_id(F.col("text"), 32).alias("doc_id"), F.lit(tenant).alias("tenant"), F.coalesce("source", F.lit("")).alias("collection"),
-            F.concat(F.lit("memory://"), T.hash_id(F.col("text"), 32)).alias("path"), F.lit("memory").alias("file_type"), F.sha2("text", 256).alias("content_hash"), "text",
+            F.concat(F.lit("memory://"), T.hash_id(F.col("text"), 32)).alias("path"), F.lit("memory").alias("file_type"), F.sha2("text", 256).alias("content_hash"),
+            F.current_timestamp().alias("modified"), F.octet_length("text").cast("long").alias("file_size"), "text",
         )
         self._replace(new)
         size = F.octet_length("text") + 1

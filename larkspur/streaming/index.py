@@ -22,6 +22,21 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return described(files)
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modified, file_size) of all supported files below a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("file_size"))
+    return files.filter(T.file_type(F.col("path")).isNotNull() & ~T.excluded(F.col("path")))
+
+
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of those paths, as ``scan`` gives them."""
+    return described(spark.read.format("binaryFile").load([p.replace("\\", "\\\\").translate({ord(c): f"\\{c}" for c in "*?[]{}"}) for p in paths]))
+
+
+def none(spark: SparkSession) -> DataFrame:
+    return described(spark.createDataFrame([], FILE_SCHEMA))
+
+
 def described(files: DataFrame) -> DataFrame:
     kind = T.file_type(F.col("path"))
     out = files.select("path", F.col("modificationTime").alias("modified"), kind.alias("file_type"), F.col("length").alias("file_size"), F.sha2("content", 256).alias("content_hash"), "content")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from larkspur.config import Config, Watched, positive_int, updated
 from larkspur.engine import Engine
 from larkspur.operators import embed
+from larkspur.streaming import index as files
 
 
 def test_engine_from_files_to_context(spark, tmp_path):
@@ -51,7 +52,8 @@ def test_engine_reads_print_and_word_files_and_keeps_an_index(spark, tmp_path):
     (source / "broken.docx").write_bytes(b"no archive")
     (source / "c.txt").write_text("Nothing about the sea in here, only hills and meadows and sheep on the hills.")
     engine = Engine(spark, str(tmp_path / "store"))
-    assert engine.index(str(source), "t")["added"] == 4
+    assert engine.index(str(source), "t") == {"added": 3, "updated": 0, "removed": 0, "unchanged": 0, "failed": 1}
+    assert engine.index(str(source), "t")["unchanged"] == 4
     plain = [(r["doc_id"], r["score"]) for r in engine.search("keeper letters", tenant="t", mode="fts")]
     assert len(plain) == 2 and engine.search("tides", mode="fts")[0]["path"].endswith("b.pdf")
     for how in ("heuristic", "bm25", "ensemble"):
@@ -77,12 +79,12 @@ def test_folders_and_collections_keep_each_others_documents(spark, tmp_path):
             (tmp_path / folder / f"{n}.txt").write_text(f"The {n} of folder {folder} is a text that is long enough to be kept as a chunk.")
     engine = Engine(spark, str(tmp_path / "store"))
     paths = lambda: sorted((r["collection"], r["path"].rsplit("/", 2)[1] + "/" + r["path"].rsplit("/", 1)[1]) for r in engine.table("documents").collect())
-    assert engine.index(str(tmp_path / "a"), "t") == {"added": 3, "updated": 0, "removed": 0, "unchanged": 0}
-    assert engine.index(str(tmp_path / "b"), "t") == {"added": 1, "updated": 0, "removed": 0, "unchanged": 0}
+    assert engine.index(str(tmp_path / "a"), "t") == {"added": 3, "updated": 0, "removed": 0, "unchanged": 0, "failed": 0}
+    assert engine.index(str(tmp_path / "b"), "t") == {"added": 1, "updated": 0, "removed": 0, "unchanged": 0, "failed": 0}
     assert engine.index(str(tmp_path / "ab"), "t", "other")["added"] == 1
     assert engine.index(str(tmp_path / "b"), "t", "other")["added"] == 1  # one path in two collections
     (tmp_path / "a" / "two.txt").unlink()
-    assert engine.index(str(tmp_path / "a") + "/", "t") == {"added": 0, "updated": 0, "removed": 1, "unchanged": 2}
+    assert engine.index(str(tmp_path / "a") + "/", "t") == {"added": 0, "updated": 0, "removed": 1, "unchanged": 2, "failed": 0}
     assert paths() == [("", "a/one.txt"), ("", "a/three.txt"), ("", "b/four.txt"), ("other", "ab/five.txt"), ("other", "b/four.txt")]
     assert len(engine.search("four", mode="fts")) == 2 and len(engine.search("four", mode="fts", collections=("other",))) == 1
     assert engine.search("two", mode="fts") == []
@@ -90,6 +92,57 @@ def test_folders_and_collections_keep_each_others_documents(spark, tmp_path):
     assert engine.search("four", mode="fts") == [] and len(paths()) == 3
 
 
+def test_indexing_goes_on_where_it_was_stopped(spark, tmp_path, monkeypatch):
+    (tmp_path / "src").mkdir()
+    for k in range(7):
+        (tmp_path / "src" / f"f[{k}].txt").write_text(f"File number {k} has a text of its own that is long enough to be a chunk.")
+    engine, read, stop = Engine(spark, str(tmp_path / "store")), [], [2]
+    take, plain = Engine._take, files.read
+
+    def stopping(self, *args, **more):
+        if not stop[0]:
+            raise KeyboardInterrupt
+        stop[0] -= 1
+        return take(self, *args, **more)
+
+    monkeypatch.setattr(Engine, "_take", stopping)
+    monkeypatch.setattr(files, "read", lambda spark, paths: read.extend(paths) or plain(spark, paths))
+    with pytest.raises(KeyboardInterrupt):
+        engine.index(str(tmp_path / "src"), "t", batch_files=2)
+    assert engine.version() == 2 and engine.stats()["documents"] == 4
+    stop[0] = 99
+    again = Engine(spark, str(tmp_path / "store"))
+    assert again.index(str(tmp_path / "src"), "t", batch_files=2) == {"added": 3, "updated": 0, "removed": 0, "unchanged": 4, "failed": 0}
+    assert again.stats()["documents"] == 7 and len(read) == 9 and len(set(read)) == 7  # the batch that was stopped is read again, no other
+
+
+def test_a_watched_folder_brings_changes_and_removals(spark, tmp_path):
+    from larkspur.plans.files import docx_bytes
+
+    source = tmp_path / "src"
+    (source / "deep").mkdir(parents=True)
+    (source / "a.md").write_text("# Gulls\n\nGulls cry over the harbour from early in the morning until the boats are in.")
+    (source / "deep" / "b.docx").write_bytes(docx_bytes("The lighthouse keeper writes letters every evening and posts them on Mondays"))
+    (source / "c.exe").write_text("no text " * 20)
+    engine = Engine(spark, str(tmp_path / "store"))
+    run = lambda: engine.watch(str(source), str(tmp_path / "state"), "t").awaitTermination()
+    run()
+    assert engine.stats("t")["documents"] == 2 and engine.search("keeper letters", mode="fts")[0]["path"].endswith("b.docx")
+    run()
+    assert engine.version() == 1  # nothing has changed
+    (source / "deep" / "b.docx").unlink()
+    (source / "a.md").write_text("# Terns\n\nTerns have taken the place of all others on the pier this summer, and they stay.")
+    (source / "d.txt").write_text("A third file tells of ropes and sails, which are sold behind the harbour.")
+    run()
+    assert engine.stats("t")["documents"] == 2 and engine.version() == 2
+    assert engine.search("keeper", mode="fts") == engine.search("gulls", mode="fts") == [] and len(engine.search("terns ropes", mode="fts")) == 2
+    assert {r["path"].rsplit("/", 1)[1] for r in engine.table("vectors").select("path").distinct().collect()} == {"a.md", "d.txt"}
+    # a batch whose change is written already does nothing when it runs again
+    log = engine.kept.log.entries()
+    assert max(e["batch"] for e in log.values()) == 1
+    assert engine.index(str(source), "t")["unchanged"] == 2  # the same files by another way
+
+
 def test_a_search_after_a_change_reads_postings_and_no_texts(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"))
     say = lambda *texts: engine.remember(spark.createDataFrame([(t, "user") for t in texts], "text string, source string"), "t")
