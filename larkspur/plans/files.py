@@ -15,7 +15,7 @@ from larkspur.operators import embed, store
 from larkspur.plans.registry import documents, query, table
 from larkspur.sources.codecs import docx_text as decode_docx
 from larkspur.sources.codecs import pdf_text as decode_pdf
-from larkspur.streaming import index
+from larkspur.streaming import index, watch
 
 
 def docx_bytes(text: str) -> bytes:
@@ -64,6 +64,20 @@ def stream_index(spark, sf_dir):
     return index.current(spark, f"{folder}/out").select("chunk", "chunk_id", "token_count")
 
 
+@query("watch_changes", "SELECT DISTINCT source, 'created' AS change FROM documents UNION SELECT DISTINCT source, 'removed' FROM documents WHERE source = 'src2'")
+def watch_changes(spark, sf_dir):
+    """Documents written as files, a folder of texts for each source, which a stream follows; then one folder goes and the stream goes on."""
+    folder = f"{store.shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("source", F.regexp_replace("text", "[\r\n]+", " ").alias("value"))
+    docs.repartition("source").write.partitionBy("source").text(f"{folder}/in")
+    each = lambda changes, n: changes.select("path", "change").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    watch.watch(spark, f"{folder}/in", f"{folder}/state", each).awaitTermination()
+    store.remove(spark, f"{folder}/in/source=src2")
+    watch.watch(spark, f"{folder}/in", f"{folder}/state", each).awaitTermination()
+    seen = spark.read.schema("path string, change string").parquet(f"{folder}/out")
+    return seen.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "change").distinct()
+
+
 class _Down:
     name, dimension = "down", 4
 
