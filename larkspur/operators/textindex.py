@@ -33,6 +33,8 @@ from larkspur.operators.segments import Log, Span
 #: Hash buckets of terms, a folder each, of a segment with at least so many documents (a smaller one has one); parts of owners, no folders.
 BUCKETS, BUCKETS_FROM, PARTS = 32, 50_000, 1024
 LEVELS = 16
+#: Documents of a segment below which each of its tables is one file.
+FEW = 1000
 #: Changes with the layout of the tables, so that an index of another layout is another one.
 FORMAT = 3
 #: Documents from which on ``top`` skips: below, one pass over the postings is faster than two jobs more.
@@ -398,8 +400,10 @@ class _Segment:
     def by_bucket(self, name: str, rows: DataFrame, *order) -> None:
         """Rows with a term, in its bucket, in the order of the terms; a frequent term's are split over files."""
         places = ["bucket", "term", *order]
-        dealt = rows.withColumn("bucket", bucket(F.col("term"), self.buckets)).repartitionByRange(*places).sortWithinPartitions(*places)
-        self.write(name, dealt, *(["bucket"] if self.buckets > 1 else []))
+        dealt = rows.withColumn("bucket", bucket(F.col("term"), self.buckets))
+        # ranges are told from a sample, which is a job of its own: a few documents' postings are one file
+        dealt = dealt.coalesce(1) if self.totals[0] < FEW else dealt.repartitionByRange(*places)
+        self.write(name, dealt.sortWithinPartitions(*places), *(["bucket"] if self.buckets > 1 else []))
 
     def postings(self, rows: DataFrame) -> None:
         self.by_bucket("postings", rows, F.desc("level"), "field", "key")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.operators import embed, store
+from larkspur.plans.chunking import WORDY
 from larkspur.plans.registry import documents, query, table
 from larkspur.sources.codecs import docx_text as decode_docx
 from larkspur.sources.codecs import pdf_text as decode_pdf
@@ -33,6 +34,41 @@ def pdf_bytes(text: str) -> bytes:
     return b"%PDF-1.4\n1 0 obj << /Length " + str(len(body)).encode() + b" /Filter /FlateDecode >>\nstream\n" + body + b"\nendstream endobj"
 
 
+def pdf_file(text: str) -> bytes:
+    """A file as programs write it now: objects in an object stream, a cross-reference stream, a page for each ten lines, two-byte codes of the font's own with a
+    Unicode map, and lines placed from the bottom up."""
+    chars = sorted(set(text))
+    code = {c: i + 1 for i, c in enumerate(chars)}
+    pairs = "".join(f"<{code[c]:04X}> <{c.encode('utf-16-be').hex()}>\n" for c in chars)
+    cmap = f"1 begincodespacerange\n<0000> <FFFF>\nendcodespacerange\n{len(chars)} beginbfchar\n{pairs}endbfchar".encode()
+    lines = [line for line in text.split("\n") if line]
+    groups = [lines[i : i + 10] for i in range(0, len(lines), 10)]
+    hexed = lambda s: "".join(f"{code[c]:04X}" for c in s)
+    contents = ["BT /F1 10 Tf " + " ".join(f"1 0 0 1 50 {700 - 12 * i} Tm <{hexed(x)}> Tj" for i, x in reversed(list(enumerate(g)))) + " ET" for g in groups]
+    inner = {1: "<< /Type /Catalog /Pages 2 0 R >>", 3: "<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>"}
+    inner |= {100 + i: f"<< /Type /Page /Parent 2 0 R /Contents {10000 + i} 0 R >>" for i in range(len(groups))}
+    inner[2] = f"<< /Type /Pages /Count {len(groups)} /Resources << /Font << /F1 3 0 R >> >> /Kids [{' '.join(f'{100 + i} 0 R' for i in range(len(groups)))}] >>"
+    bodies, heads, at = [], [], 0
+    for n, body in inner.items():
+        heads.append(f"{n} {at}")
+        bodies.append(body)
+        at += len(body) + 1
+    head = " ".join(heads) + " "
+    streams = {4: cmap, 5: (head + " ".join(bodies)).encode()} | {10000 + i: c.encode() for i, c in enumerate(contents)}
+    out = b"%PDF-1.7\n"
+    for n, body in streams.items():
+        packed = zlib.compress(body)
+        more = f" /Type /ObjStm /N {len(inner)} /First {len(head)}" if n == 5 else ""
+        out += f"{n} 0 obj\n<< /Length {len(packed)} /Filter /FlateDecode{more} >>\nstream\n".encode() + packed + b"\nendstream\nendobj\n"
+    table = zlib.compress(b"")
+    return out + f"6 0 obj\n<< /Type /XRef /Root 1 0 R /Size 20000 /W [1 3 1] /Length {len(table)} /Filter /FlateDecode >>\nstream\n".encode() + table + b"\nendstream\nendobj\nstartxref\n0\n%%EOF"
+
+
+@F.pandas_udf(T.BinaryType())
+def to_pdf_file(texts: pd.Series) -> pd.Series:
+    return texts.map(pdf_file)
+
+
 @F.pandas_udf(T.BinaryType())
 def to_docx(texts: pd.Series) -> pd.Series:
     return texts.map(docx_bytes)
@@ -55,6 +91,19 @@ def pdf_text(spark, sf_dir):
     return files.select("doc_id", F.posexplode(decode_pdf("content")).alias("page", "text"))
 
 
+@query(
+    "pdf_pages",
+    r"""WITH src AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents),
+    line AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS i FROM src),
+    page AS (SELECT doc_id, i // 10 AS p, string_agg(l, chr(10) ORDER BY i) AS text FROM line GROUP BY 1, 2)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p)::INT - 1 AS page, sha256(text) AS digest FROM page WHERE strlen(text) >= 50""",
+)
+def pdf_pages(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", F.expr(f"array_join({WORDY}, '\n')").alias("text"))
+    files = docs.select("doc_id", to_pdf_file("text").alias("content"))
+    return files.select("doc_id", F.posexplode(decode_pdf("content")).alias("page", "text")).select("doc_id", "page", F.sha2("text", 256).alias("digest"))
+
+
 @query("stream_index")
 def stream_index(spark, sf_dir):
     """Pages written as files, then indexed by the directory stream."""

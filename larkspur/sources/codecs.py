@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.sources import pdf
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -57,7 +59,10 @@ def _literal(s: bytes) -> bytes:
 
 
 def pdf_pages(data: bytes) -> list[str]:
-    """Shown text of each content stream that has any, of 50 bytes or more; simple encodings only."""
+    """Text of each page of 50 bytes or more; where there is no page tree, that of each content stream, in the usual encoding."""
+    found = pdf.pages_of(data)
+    if found is not None:
+        return found
     pages = []
     for head, body in _stream.findall(data):
         if b"FlateDecode" in head:

@@ -19,9 +19,9 @@ from larkspur.operators.graphindex import GraphIndex, graph, units, walk
 from larkspur.operators.segments import SegmentStore
 from larkspur.operators.textindex import TextIndex
 from larkspur.operators.vectorindex import PqIndex, VectorIndex, scan, search_or_scan
-from larkspur.plans.files import docx_bytes, pdf_bytes
+from larkspur.plans.files import docx_bytes, pdf_bytes, pdf_file
 from larkspur.plans.registry import vectors
-from larkspur.sources import codecs
+from larkspur.sources import codecs, pdf
 from larkspur.streaming import index
 
 
@@ -221,6 +221,37 @@ def test_codecs(spark):
     assert [r["v"] for r in back] == [[1.5, -2.0], None]
 
 
+def test_pdf_files_of_several_kinds():
+    said = "The keeper of the light (at the end of the pier) writes \\ letters every evening"
+    shown = said.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode()
+    old = b"""%PDF-1.3
+1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj
+2 0 obj << /Type /Pages /Kids [3 0 R 9 0 R] /Count 2 /Resources << /Font << /F1 4 0 R /F2 7 0 R >> >> >> endobj
+3 0 obj << /Type /Page /Parent 2 0 R /Contents [5 0 R 6 0 R] >> endobj
+4 0 obj << /Type /Font /Subtype /Type1 >> endobj
+5 0 obj << /Length 8 0 R >> stream
+BT /F1 12 Tf 72 650 Td [(second) -300 (line,) 20 ( and on)] TJ ET BT /F1 12 Tf 72 700 Td (""" + shown + b""") Tj ET
+endstream endobj
+6 0 obj << >> stream
+q 1 0 0 1 0 -50 cm BT /F2 12 Tf 300 700 Td <0102> Tj /F1 12 Tf 0 -24 Td (third\\012\\351) Tj T* (fourth) Tj ET Q
+endstream endobj
+7 0 obj << /Type /Font /ToUnicode 10 0 R >> endobj
+9 0 obj << /Type /Page /Contents 11 0 R >> endobj
+10 0 obj << /Length 1 >> stream
+1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfrange <01> <02> <00E9> endbfrange
+endstream endobj
+11 0 obj << >> stream
+BT (short) Tj ET
+endstream endobj
+"""
+    assert pdf.pages_of(old) == [said + "\nsecond line, and on \u00e9\u00ea\nthird\n\u00e9\nfourth"]
+    text = "Ein Leuchtturmw\u00e4rter schreibt Briefe \U0001f600 an jedem Abend\n" + "\n".join(f"line {i} of the file" for i in range(24))
+    assert pdf.pages_of(pdf_file(text)) == ["\n".join(text.split("\n")[i : i + 10]) for i in (0, 10, 20)]
+    assert pdf.pages_of(b"") is None and pdf.pages_of(b"%PDF-1.4 junk (((( << [ 1 0 obj stream") is None
+    loop = b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Kids [2 0 R 3 0 R] >> endobj 3 0 obj 4 0 R endobj 4 0 obj 3 0 R endobj"
+    assert pdf.pages_of(loop) in (None, [])
+
+
 def test_trained_codebook_beats_fixed(spark, sf_dir):
     vecs = vectors(spark, sf_dir)
 
