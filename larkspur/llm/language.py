@@ -39,6 +39,7 @@ PENALTY = 12.0
 SCRIPT_SHARE = 0.001
 UNDETERMINED = "und"
 _letters = re.compile(r"[^\W\d_]+").findall
+_letter = re.compile(r"[^\W\d_]")
 
 
 @lru_cache(maxsize=100_000)
@@ -159,15 +160,28 @@ class Labeller:
         """(language, score) of each text: the score is its share of the letters times its posterior over those words."""
         if self.width == 1:
             return [(UNDETERMINED, 0.0)] * len(texts)
-        return [self._label(rows) if len(rows) else (UNDETERMINED, 0.0) for rows in self.tables_of(texts)]
+        return [self._label(rows)[:2] if len(rows) else (UNDETERMINED, 0.0) for rows in self.tables_of(texts)]
 
-    def _label(self, rows: np.ndarray) -> tuple[str, float]:
+    def labels_and_spans(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, score, spans) of each text; a text of one language is one span, whose ends are looked for only."""
+        if self.width == 1:
+            return [(UNDETERMINED, 0.0, [])] * len(texts)
+        out = []
+        for text, rows in zip(texts, self.tables_of(texts)):
+            if not len(rows):
+                out.append((UNDETERMINED, 0.0, []))
+                continue
+            name, score, mixed = self._label(rows)
+            out.append((name, score, self.spans(text) if mixed else [(*lettered(text), name)]))
+        return out
+
+    def _label(self, rows: np.ndarray) -> tuple[str, float, bool]:
         path = best_path(rows[:, 1:])
         letters = np.bincount(path, weights=rows[:, 0], minlength=self.width - 1)
         best = int(letters.argmax())
         sums = rows[path == best, 1:].sum(axis=0)
         posterior = 1 / np.exp(np.minimum(sums - sums[best], 50)).sum()
-        return self.model.languages[best], float(min(1.0, letters[best] / letters.sum() * posterior))
+        return self.model.languages[best], float(min(1.0, letters[best] / letters.sum() * posterior)), bool((path != path[0]).any())
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, language) of maximal stretches, in code points, from the first letter-bearing word to the last."""
@@ -188,6 +202,21 @@ class Labeller:
         return out
 
 
+def lettered(text: str) -> tuple[int, int]:
+    """From where the first word with a letter begins to where the last one ends."""
+    first, end = _letter.search(text), len(text)
+    if first is None:  # its lower case alone has letters
+        return 0, end
+    start = first.start()
+    while start and not text[start - 1].isspace():
+        start -= 1
+    while not _letter.match(text[end - 1]):
+        end -= 1
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    return start, end
+
+
 def labeller(digest: str, packed: bytes) -> Labeller:
     return one_per_worker(f"language {digest}", lambda: Labeller(pickle.loads(packed)))
 
@@ -205,7 +234,7 @@ def fit(documents: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score. No shuffle."""
+    """doc_id, held_out, lang_pred, score, spans (start:end:language of each stretch, in code points, by commas). No shuffle."""
     packed = pickle.dumps(model)
     digest = hashlib.sha256(packed).hexdigest()
     sent = documents.sparkSession.sparkContext.broadcast(packed)
@@ -214,14 +243,15 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         by = labeller(digest, sent.value)
 
         def work(rows):
-            found = by.labels(rows["text"])
-            return {"doc_id": rows["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
+            found = by.labels_and_spans(rows["text"])
+            spans = [",".join(f"{a}:{b}:{name}" for a, b, name in x[2]) for x in found]
+            return {"doc_id": rows["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "spans": spans}
 
         return work
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = map_chunks(docs, make, "doc_id long, lang_pred string, score double", most_rows=ROWS, most_chars=CHARS)
-    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    named = map_chunks(docs, make, "doc_id long, lang_pred string, score double, spans string", most_rows=ROWS, most_chars=CHARS)
+    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

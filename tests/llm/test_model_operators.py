@@ -388,6 +388,9 @@ def test_language_edge_cases(spark, edge, empty):
     assert by.label("")[0] == by.label("123 ... !")[0] == "und"
     assert by.label("привет")[0] == "ru" and by.label("the of")[0] == "en"
     assert [s[2] for s in by.spans("the and of to in the and of привет мир как дела")] == ["en", "ru"]
+    texts = ["the and of to in the and of привет мир как дела", " -- 12 the and of, to 3 ..", "привет", "", "12 -- \n", "x", "\u2003the_and of\u0085 7"]
+    for text, (name, score, spans) in zip(texts, by.labels_and_spans(texts)):
+        assert (name, score) == by.label(text) and spans == by.spans(text), text
     got = rows_of(language.predict(edge, model), "doc_id")
     assert got[0]["lang_pred"] == got[1]["lang_pred"] == got[2]["lang_pred"] == "und" and got[4]["lang_pred"] != "und"
     nothing = language.fit(empty)
