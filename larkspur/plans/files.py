@@ -120,9 +120,9 @@ def watch_changes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.regexp_replace("text", "[\r\n]+", " ").alias("value"))
     docs.repartition("source").write.partitionBy("source").text(f"{folder}/in")
     each = lambda changes, n: changes.select("path", "change").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-    watch.watch(spark, f"{folder}/in", f"{folder}/state", each).awaitTermination()
+    watch.finished(watch.watch(spark, f"{folder}/in", f"{folder}/state", each))
     store.remove(spark, f"{folder}/in/source=src2")
-    watch.watch(spark, f"{folder}/in", f"{folder}/state", each).awaitTermination()
+    watch.finished(watch.watch(spark, f"{folder}/in", f"{folder}/state", each))
     seen = spark.read.schema("path string, change string").parquet(f"{folder}/out")
     return seen.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "change").distinct()
 

@@ -11,8 +11,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs
-import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +23,8 @@ _listing = pa.schema([("path", pa.string()), ("size", pa.int64()), ("time", pa.t
 
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str, str]:
     """(file system, path in it, what stands before paths in names): a path without a scheme is a local one."""
+    import pyarrow.fs  # where it is used: it starts threads, which a process that forks workers should not have
+
     if "://" not in uri and not uri.startswith("file:"):
         return pa.fs.LocalFileSystem(), uri.rstrip("/"), "file:"
     if uri.startswith("file:"):
@@ -56,7 +56,9 @@ class FolderReader(DataSourceStreamReader):
         return f"{_open(self.state)[1]}/listing-{n:09d}.parquet"
 
     def _read(self, n: int) -> pa.Table:
-        return _listing.empty_table() if n < 0 else pa.parquet.read_table(self._name(n), filesystem=_open(self.state)[0])
+        from pyarrow.parquet import read_table
+
+        return _listing.empty_table() if n < 0 else read_table(self._name(n), filesystem=_open(self.state)[0])
 
     def _last(self) -> int:
         fs, path, _ = _open(self.state)
@@ -68,12 +70,14 @@ class FolderReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """The number of the last listing; of a new one, if anything differs from that."""
+        from pyarrow.parquet import write_table
+
         last, now = self._last(), listing(self.path)
         if not now.equals(self._read(last)):
             fs, path, _ = _open(self.state)
             fs.create_dir(path, recursive=True)
             last += 1
-            pa.parquet.write_table(now, self._name(last) + ".new", filesystem=fs)
+            write_table(now, self._name(last) + ".new", filesystem=fs)
             fs.move(self._name(last) + ".new", self._name(last))
         return {"listing": last}
 
@@ -124,3 +128,10 @@ def watch(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[Dat
     stream = spark.readStream.format(FORMAT).option("path", folder).option("state", f"{checkpoint.rstrip('/')}/listings").load()
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint.rstrip('/')}/stream")
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def finished(query: StreamingQuery, seconds: float = 600) -> None:
+    """Wait for a stream that ends by itself; an error if it has not ended in time."""
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream has not ended in {seconds} seconds")
