@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.error
 import urllib.request
@@ -70,27 +71,61 @@ class HttpProvider:
         except (urllib.error.URLError, OSError):
             return False
 
-    def one(self, text: str) -> list[float]:
-        body = json.dumps({"model": self.model, "prompt": text}).encode()
+    def asked(self, body: dict) -> dict:
+        """The service's answer to a request."""
         for attempt in range(self.retries + 1):
             try:
-                request = urllib.request.Request(self.url + self.path, body, {"Content-Type": "application/json"})
+                request = urllib.request.Request(self.url + self.path, json.dumps(body).encode(), {"Content-Type": "application/json"} | self.headers())
                 with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                    found = json.load(answer)["embedding"]
-                if len(found) != self.dimension:
-                    raise ValueError(f"{len(found)} dimensions instead of {self.dimension}")
-                return [float(x) for x in found]
+                    return json.load(answer)
             except (urllib.error.URLError, OSError):
                 if attempt == self.retries:
                     raise
                 time.sleep(self.pause * 2**attempt)
         raise AssertionError
 
+    def headers(self) -> dict[str, str]:
+        return {}
+
+    def vector(self, found: Sequence[float]) -> list[float]:
+        if len(found) != self.dimension:
+            raise ValueError(f"{len(found)} dimensions instead of {self.dimension}")
+        return [float(x) for x in found]
+
+    def one(self, text: str) -> list[float]:
+        return self.vector(self.asked({"model": self.model, "prompt": text})["embedding"])
+
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
         with ThreadPoolExecutor(self.concurrency) as pool:
             return list(pool.map(self.one, texts))
 
 
+class BatchProvider(HttpProvider):
+    """A service that embeds many texts a request: POST {model, input: [texts]} to ``path`` gives {data: [{index, embedding}]}, in any order.
+
+    ``per_request`` texts go in one request, ``concurrency`` requests at once. The key is read from the environment variable ``key_from`` where requests are made, so it is in no plan.
+    """
+
+    def __init__(self, url: str, model: str, dimension: int, path: str = "/v1/embeddings", health: str = "/v1/models", per_request: int = 32, key_from: str | None = None, **options):
+        super().__init__(url, model, dimension, path, health, **options)
+        self.name, self.per_request, self.key_from = "batch", per_request, key_from
+
+    def headers(self) -> dict[str, str]:
+        key = os.environ.get(self.key_from) if self.key_from else None
+        return {"Authorization": f"Bearer {key}"} if key else {}
+
+    def many(self, texts: Sequence[str]) -> list[list[float]]:
+        found = {x["index"]: x["embedding"] for x in self.asked({"model": self.model, "input": list(texts)})["data"]}
+        if sorted(found) != list(range(len(texts))):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        return [self.vector(found[i]) for i in range(len(texts))]
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        parts = [texts[i : i + self.per_request] for i in range(0, len(texts), self.per_request)]
+        with ThreadPoolExecutor(self.concurrency) as pool:
+            return [v for part in pool.map(self.many, parts) for v in part]
+
+
 def _each(call: Callable, texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
     """(vector, None) or (None, error) of each text: a batch that fails is asked again text by text."""
     try:

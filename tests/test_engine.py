@@ -236,3 +236,43 @@ def test_an_embedding_service_in_batches_with_errors_and_timeouts(spark):
         assert embed.pick([embed.HttpProvider("http://127.0.0.1:9", "m", 2, timeout=1), provider]) is provider
     finally:
         server.shutdown()
+
+
+class _Batches(BaseHTTPRequestHandler):
+    sizes: list = []
+    keys: set = set()
+
+    def do_GET(self):
+        self.send_response(200 if self.path == "/v1/models" else 404)
+        self.end_headers()
+
+    def do_POST(self):
+        texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+        _Batches.sizes.append(len(texts))
+        _Batches.keys.add(self.headers.get("Authorization"))
+        ok = "broken" not in texts
+        self.send_response(200 if ok else 500)
+        self.end_headers()
+        data = [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(texts)]
+        self.wfile.write(json.dumps({"data": data[::-1]}).encode() if ok else b"")
+
+    def log_message(self, *_):
+        pass
+
+
+def test_an_embedding_service_that_takes_many_texts_a_request(spark, monkeypatch):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Batches)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("EMBEDDING_KEY", "k1")
+    provider = embed.BatchProvider(f"http://127.0.0.1:{server.server_port}", "m", 2, per_request=5, timeout=5, retries=0, key_from="EMBEDDING_KEY")
+    try:
+        assert provider.healthy() and provider.embed([]) == []
+        assert provider.embed(["a" * i for i in range(12)]) == [[float(i), 1.0] for i in range(12)] and _Batches.keys == {"Bearer k1"}
+        assert sorted(_Batches.sizes) == [2, 5, 5]
+        rows = spark.createDataFrame([(i, "broken" if i == 7 else "x" * i) for i in range(12)], "k long, text string").coalesce(1)
+        got = {r["k"]: r for r in embed.embed_with(rows, "text", provider, errors="why").collect()}
+        assert "500" in got[7]["why"] and all(got[i]["embedding"] == [float(i), 1.0] for i in range(12) if i != 7)
+        with pytest.raises(ValueError):
+            embed.BatchProvider(f"http://127.0.0.1:{server.server_port}", "m", 3, retries=0).embed(["a"])
+    finally:
+        server.shutdown()
