@@ -2,7 +2,7 @@
 
 Vectors are dealt to shards by their nearest centroid (about SHARD vectors each; centroids come from a bounded sample). A shard's graph is rows: a node's key, vector, highest
 layer (from a hash of its key) and, for each layer, its neighbours' keys. Neighbours are the nearest ones of which none is nearer to one chosen before it, and the
-nearest one of those before the node in the order of layers, so that every node can be reached from the first. A search reads the nearest shards; in each, a task goes
+nearest one of those before the node in the order of layers, so that every node can be reached from the first. A search reads the nearest shards, by default a share of all; in each, a task goes
 down the layers from the nearest of a few first nodes and looks, in the last one, at the neighbours of the best WIDTH nodes seen. An addition builds its shards anew; a removal marks nodes,
 which are passed through, but are no hits, until their shard is built anew.
 """
@@ -10,21 +10,27 @@ which are passed through, but are no hits, until their shard is built anew.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from larkspur.operators import quantise, store
 from larkspur.operators.segments import SegmentStore
-from larkspur.operators.vectorindex import matrix, spherical, usable
+from larkspur.operators.vectorindex import QUESTIONS, asked_of, best_of, matrix, spherical, usable
 
 SHARD, SHARDS_MOST = 4096, 16_384
 #: Neighbours in a layer (twice as many in the last one), nodes that a search keeps, shards that it reads.
 LINKS, WIDTH, PROBES = 6, 40, 4
+#: Share of the shards that a search for hits reads, if that is more, and nodes that it keeps: vectors without structure have their nearest ones in most shards.
+SHARE, WIDE = 0.8, 100
 #: Nodes of the highest layers of which the nearest is the first one of a search.
 ENTRIES = 32
 BLOCK = 512
@@ -82,42 +88,57 @@ def graph(keys: Sequence, levels: np.ndarray, x: np.ndarray) -> list[list[list]]
     return links
 
 
-def walk(keys: Sequence, levels: Sequence[int], links: Sequence, x: np.ndarray, q: np.ndarray, width: int) -> tuple[list[tuple[float, int]], int]:
-    """((similarity, place) of the best nodes found, best first; how many were looked at)."""
-    place = {k: i for i, k in enumerate(keys)}
-    # clusters far from each other are no slope to walk along, so the first nodes are several
-    least = sorted(levels, reverse=True)[: ENTRIES][-1]
-    high = [i for i, level in enumerate(levels) if level >= least]
-    first = high[:: -(-len(high) // ENTRIES)]
-    seen = set(first)
-    here, at = max(zip((x[first] @ q).tolist(), first))
-
-    def neighbours(i: int, level: int) -> list[int]:
-        return [place[k] for k in links[i][level] if k in place] if level < len(links[i]) else []
-
-    for level in range(levels[at], 0, -1):
-        while True:
-            near = neighbours(at, level)
-            seen.update(near)
-            better = [(s, j) for s, j in zip((x[near] @ q).tolist(), near)] if near else []
-            best = max(better, default=(here, at))
-            if best[0] <= here:
+class Walker:
+    """The nodes of one graph, made ready for many questions."""
+
+    def __init__(self, keys: Sequence, levels: Sequence[int], links: Sequence, x: np.ndarray):
+        place = {k: i for i, k in enumerate(keys)}
+        self.levels, self.x = levels, x
+        self.near = [[np.array([place[k] for k in own if k in place], np.int64) for own in of_node] for of_node in links]
+        # clusters far from each other are no slope to walk along, so the first nodes are several
+        least = sorted(levels, reverse=True)[: ENTRIES][-1]
+        high = [i for i, level in enumerate(levels) if level >= least]
+        self.first = high[:: -(-len(high) // ENTRIES)]
+
+    def walk(self, q: np.ndarray, width: int) -> tuple[list[tuple[float, int]], int]:
+        """((similarity, place) of the best nodes found, best first; how many were looked at)."""
+        x, levels = self.x, self.levels
+        seen, looked = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        seen[self.first] = True
+        here, at = max(zip((x[self.first] @ q).tolist(), self.first))
+        for level in range(levels[at], 0, -1):
+            while True:
+                near = self.near[at][level] if level < len(self.near[at]) else ()
+                if not len(near):
+                    break
+                seen[near] = True
+                best = max(zip((x[near] @ q).tolist(), near.tolist()))
+                if best[0] <= here:
+                    break
+                here, at = best
+        todo, best = [(-here, at)], [(here, at)]
+        looked[at] = True
+        while todo:
+            away, i = heapq.heappop(todo)
+            if len(best) == width and -away < best[0][0]:
                 break
-            here, at = best
-    todo, best, looked = [(-here, at)], [(here, at)], {at}
-    while todo:
-        away, i = heapq.heappop(todo)
-        if len(best) == width and -away < best[0][0]:
-            break
-        near = [j for j in neighbours(i, 0) if j not in looked]
-        looked.update(near)
-        for s, j in zip((x[near] @ q).tolist(), near) if near else ():
-            if len(best) < width or s > best[0][0]:
-                heapq.heappush(todo, (-s, j))
-                heapq.heappush(best, (s, j))
-                if len(best) > width:
-                    heapq.heappop(best)
-    return sorted(best, key=lambda b: (-b[0], b[1])), len(seen | looked)
+            near = self.near[i][0]
+            near = near[~looked[near]]
+            if not len(near):
+                continue
+            looked[near] = True
+            for s, j in zip((x[near] @ q).tolist(), near.tolist()):
+                if len(best) < width or s > best[0][0]:
+                    heapq.heappush(todo, (-s, j))
+                    heapq.heappush(best, (s, j))
+                    if len(best) > width:
+                        heapq.heappop(best)
+        return sorted(best, key=lambda b: (-b[0], b[1])), int((seen | looked).sum())
+
+
+def walk(keys: Sequence, levels: Sequence[int], links: Sequence, x: np.ndarray, q: np.ndarray, width: int) -> tuple[list[tuple[float, int]], int]:
+    """``Walker.walk`` for one question."""
+    return Walker(keys, levels, links, x).walk(q, width)
 
 
 class GraphIndex:
@@ -184,8 +205,12 @@ class GraphIndex:
     def count(self) -> int:
         return self.kept.table("nodes").filter("alive").count()
 
-    def search(self, q: Sequence[float], k: int, probes: int = PROBES, width: int = WIDTH) -> DataFrame:
-        """(key, score): the ``k`` nearest found by cosine in the ``probes`` nearest shards."""
+    def _probes(self, share: float) -> int:
+        return max(PROBES, math.ceil(share * len(self.centroids())))
+
+    def search(self, q: Sequence[float], k: int, probes: int | None = None, width: int = WIDE) -> DataFrame:
+        """(key, score): the ``k`` nearest found by cosine in the ``probes`` nearest shards (by default SHARE of all)."""
+        probes = self._probes(SHARE) if probes is None else probes
         return self.looked_at(q, max(k, width), probes).filter("hit").select(self.key, F.round("score", 6).alias("score")).orderBy(F.desc("score"), self.key).limit(k)
 
     def looked_at(self, q: Sequence[float], width: int = WIDTH, probes: int = PROBES) -> DataFrame:
@@ -203,3 +228,44 @@ class GraphIndex:
 
         rows = self.kept.table("nodes").filter(F.col("shard").isin(*near))
         return rows.groupBy("shard").applyInPandas(find, f"`{key}` {self.key_type}, score double, hit boolean, looked long, nodes long")
+
+    def search_many(self, questions: DataFrame, k: int, share: float = SHARE, width: int = WIDE) -> DataFrame:
+        """(question, key, score): for each of ``questions`` (question, q) the ``k`` nearest found by cosine in a ``share`` of the shards, PROBES at least.
+
+        One pass: a task has one shard's graph and the questions, QUESTIONS at most, that read it.
+        """
+        centres, key = self.centroids(), self.key
+        probes, blocks = self._probes(share), max(1, -(-questions.count() // QUESTIONS))
+        sent = self.spark.sparkContext.broadcast(centres)
+
+        def deal(batches):
+            for batch in batches:
+                x, right = matrix(batch.column("q"), sent.value.shape[1])
+                near = np.argsort(-(x @ sent.value.T), axis=1, kind="stable")[:, :probes]
+                of = np.repeat(np.arange(len(x)), near.shape[1])
+                keep = right[of]
+                taken = batch.take(pa.array(of[keep]))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near.ravel()[keep], pa.int32())], names=["question", "q", "block", "shard"])
+
+        def find(asked: pa.Table, nodes: pa.Table) -> pa.Table:
+            out: tuple[list, list, list] = [], [], []
+            if asked.num_rows and nodes.num_rows:
+                nodes = nodes.take(pc.sort_indices(nodes, [(key, "ascending")]))
+                keys, alive = nodes.column(key).to_pylist(), nodes.column("alive").to_pylist()
+                walker = Walker(keys, nodes.column("level").to_pylist(), nodes.column("links").to_pylist(), units(nodes.column("embedding").to_pylist()))
+                wanted = units(asked.column("q").to_pylist())
+                for name, q in zip(asked.column("question").to_pylist(), wanted):
+                    hits = [(round(s, 6), keys[i]) for s, i in walker.walk(q, max(k, width))[0] if alive[i]]
+                    for s, found in sorted(hits, key=lambda h: (-h[0], h[1]))[:k]:
+                        out[0].append(name)
+                        out[1].append(found)
+                        out[2].append(s)
+            return pa.table(list(out), schema=arrow)
+
+        named = dict(questions.dtypes)["question"]
+        result = f"question {named}, `{key}` {self.key_type}, score double"
+        arrow = to_arrow_schema(StructType.fromDDL(result))
+        asked = asked_of(questions, blocks).mapInArrow(deal, f"question {named}, q array<double>, block int, shard int")
+        nodes = self.kept.table("nodes").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = asked.groupBy("shard", "block").cogroup(nodes.groupBy("shard", "block")).applyInArrow(find, result)
+        return best_of(found, k, key)

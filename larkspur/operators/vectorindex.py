@@ -9,13 +9,18 @@ bounded by CELLS_MOST; vectors never come to it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from larkspur.functions.vectors import cosine_similarity
 from larkspur.operators import quantise, store
@@ -24,6 +29,8 @@ from larkspur.operators.segments import SegmentStore
 CELLS_MOST, PER_CELL, ROUNDS = 16_384, 64, 8
 #: Share of the live vectors that a search reads at least, live vectors for each hit, and how much more it reads each time that it has found too few.
 SHARE, NEED, MORE = 0.6, 20, 4
+#: Questions and vectors that a task compares at most, and questions whose scores it holds at once.
+QUESTIONS, ROWS, BLOCK = 8192, 16_384, 64
 
 
 def spherical(x: np.ndarray, cells: int) -> np.ndarray:
@@ -55,6 +62,51 @@ def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, right
 
 
+def asked_of(questions: DataFrame, blocks: int) -> DataFrame:
+    """(question, q, block): the questions (question, q) in that many blocks."""
+    return questions.select("question", F.transform("q", lambda x: x.cast("double")).alias("q"), F.pmod(F.xxhash64("question"), F.lit(blocks)).cast("int").alias("block"))
+
+
+def best_of(found: DataFrame, k: int, key: str) -> DataFrame:
+    """(question, key, score): of the best of each part the ``k`` best of each question."""
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), key))
+    return found.select("question", key, F.round("score", 6).alias("score")).withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def compared(asked: pa.Table, rows: pa.Table, k: int, key: str, arrow: pa.Schema) -> pa.Table:
+    """(question, key, score): the ``k`` of the rows (key, embedding, cell) nearest to each question (question, q, cells) by cosine; of the rows in its cells, unless these are null."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if asked.num_rows and rows.num_rows:
+        rows = rows.take(pc.sort_indices(rows, [(key, "ascending")]))
+        vectors, wanted, cells = rows.column("embedding").combine_chunks(), asked.column("q").combine_chunks(), asked.column("cells").to_pylist()
+        cell, lengths = rows.column("cell").to_numpy(), np.asarray(wanted.value_lengths())
+        for width in np.unique(lengths).tolist():
+            x, mine = unit(matrix(vectors, width)[0]), np.flatnonzero(lengths == width)
+            q = unit(matrix(wanted, width)[0][mine])
+            for low in range(0, len(mine), BLOCK):
+                similar = q[low : low + BLOCK] @ x.T
+                for i, of in enumerate(mine[low : low + BLOCK].tolist()):
+                    if cells[of] is not None:
+                        read = np.zeros(cell.max() + 1, bool)
+                        read[[c for c in cells[of] if c < len(read)]] = True
+                        similar[i, ~read[cell]] = -np.inf
+                # what rounding to six places may bring among the k best
+                least = np.partition(similar, -k, axis=1)[:, -k] - 1e-6 if similar.shape[1] > k else np.full(len(similar), -np.inf)
+                near = (similar >= least[:, None]) & (similar > -np.inf)
+                for i, of in enumerate(mine[low : low + BLOCK].tolist()):
+                    at = np.flatnonzero(near[i])
+                    score = np.round(similar[i, at], 6)
+                    first = np.lexsort((at, -score))[:k]
+                    parts.append((np.full(len(first), of), at[first], score[first]))
+    of, at, score = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(3))
+    return pa.table([asked.column("question").take(pa.array(of, pa.int64())), rows.column(key).take(pa.array(at, pa.int64())), pa.array(score, pa.float64())], names=arrow.names).cast(arrow)
+
+
 class VectorIndex:
     """An inverted file in one folder; rows are (key, columns, embedding), told by their keys. ``columns`` (name -> type) may be filtered by; ``tenant`` is counted by cell."""
 
@@ -216,6 +268,86 @@ class VectorIndex:
                 return self.spark.createDataFrame(found, best.schema)
             need *= MORE
 
+    def search_many(self, questions: DataFrame, k: int, share: float = SHARE) -> DataFrame:
+        """(question, key, score): for each of ``questions`` (question, q) what ``search`` gives for it, all in one pass.
+
+        A task compares at most QUESTIONS questions with ROWS rows of a group of cells, in blocks. Questions that have found too few hits are asked again, with more cells.
+        """
+        held = {(r["grp"], r["cell"]): r["n"] for r in self.kept.counted("counts").groupBy("grp", "cell").agg(F.sum("n").alias("n")).collect()}  # a row for each cell
+        total, out = sum(held.values()), []
+        need, left = max(NEED * k, share * total), questions.select("question", "q")
+        while True:
+            folder = f"{store.shared_folder(self.spark)}/answers-{uuid.uuid4().hex}"
+            self._nearest(left, k, need, held).write.parquet(folder)
+            found = self.spark.read.parquet(folder)
+            out.append(found)
+            if need >= total:
+                break
+            short = left.join(found.groupBy("question").agg(F.count(F.lit(1)).alias("n")), "question", "left").filter(F.coalesce("n", F.lit(0)) < k).select("question", "q")
+            if short.isEmpty():
+                break
+            # what they have found is found again
+            out[-1] = found.join(short, "question", "left_anti")
+            need, left = need * MORE, short
+        return reduce(DataFrame.unionByName, out)
+
+    def _nearest(self, questions: DataFrame, k: int, need: float, held: dict[tuple[int, int], int]) -> DataFrame:
+        blocks, key, named = max(1, -(-questions.count() // QUESTIONS)), self.key, dict(questions.dtypes)["question"]
+        by_group: dict[int, int] = {}
+        for (g, _), n in held.items():
+            by_group[g] = by_group.get(g, 0) + n
+        slices = {g: -(-n // ROWS) for g, n in by_group.items()}
+        known = [(g, c, x) for g, c, x in self.centroids() if (g, c) in held]
+        key_type = StructType.fromDDL(self.kept.tables["vectors"])[key].dataType.simpleString()
+        result, dealt = f"question {named}, `{key}` {key_type}, score double", f"question {named}, q array<double>, block int, grp int, slice int, cells array<int>"
+        arrow, arrow_dealt = to_arrow_schema(StructType.fromDDL(result)), to_arrow_schema(StructType.fromDDL(dealt))
+        if not known:
+            return self.spark.createDataFrame([], result)
+        model = self.groups(), np.array([g for g, _, _ in known]), np.array([c for _, c, _ in known]), np.array([x for _, _, x in known])
+        sent = self.spark.sparkContext.broadcast((*model, np.array([held[g, c] for g, c, _ in known]), by_group, slices))
+
+        def deal(batches):
+            groups, of, cells, centres, counts, by_group, slices = sent.value
+            for batch in batches:
+                x, _ = matrix(batch.column("q"), groups.shape[1])
+                rows: list[int] = []
+                out: tuple[list, list, list] = [], [], []
+                for i, (far, near) in enumerate(zip(-(x @ groups.T), x @ centres.T)):
+                    taken, so_far = set(), 0
+                    for g in np.argsort(far, kind="stable").tolist():
+                        if g in by_group and so_far < 2 * need:
+                            taken.add(g)
+                            so_far += by_group[g]
+                    among = np.flatnonzero(np.isin(of, list(taken)))
+                    among = among[np.argsort(-near[among], kind="stable")]
+                    among = among[: int(np.searchsorted(np.cumsum(counts[among]), need)) + 1]
+                    for g in np.unique(of[among]).tolist():
+                        own = cells[among[of[among] == g]].tolist()
+                        for s in range(slices[g]):
+                            rows.append(i)
+                            for column, value in zip(out, (g, s, own)):
+                                column.append(value)
+                taken_rows = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip((*taken_rows.columns, *(pa.array(c, f.type) for c, f in zip(out, list(arrow_dealt)[3:]))), arrow_dealt)], schema=arrow_dealt)
+
+        asked = asked_of(questions, blocks).mapInArrow(deal, dealt)
+        count = F.element_at(F.create_map(*[F.lit(x) for item in slices.items() for x in item]), F.col("grp"))
+        rows = self.kept.table("vectors").select(key, "embedding", "grp", "cell", F.pmod(F.xxhash64(key), count).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        found = asked.groupBy("grp", "slice", "block").cogroup(rows.groupBy("grp", "slice", "block")).applyInArrow(lambda a, b: compared(a, b, k, key, arrow), result)
+        return best_of(found, k, key)
+
+
+def scan_many(vecs: DataFrame, questions: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """(question, key, score): for each of ``questions`` (question, q) what ``scan`` gives for it; every pair is compared, in slices and blocks of bounded size."""
+    rows = vecs.filter(F.size("embedding") > 0).select(key, F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.lit(0).alias("cell"))
+    blocks, slices = max(1, -(-questions.count() // QUESTIONS)), max(1, -(-rows.count() // ROWS))
+    result = f"question {dict(questions.dtypes)['question']}, `{key}` {dict(rows.dtypes)[key]}, score double"
+    arrow = to_arrow_schema(StructType.fromDDL(result))
+    asked = asked_of(questions, blocks).select("*", F.lit(None).cast("array<int>").alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    rows = rows.select("*", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    found = asked.groupBy("slice", "block").cogroup(rows.groupBy("slice", "block")).applyInArrow(lambda a, b: compared(a, b, k, key, arrow), result)
+    return best_of(found, k, key)
+
 
 def scan(vecs: DataFrame, q: Sequence[float], k: int, key: str = "doc_id") -> DataFrame:
     """(key, score): the ``k`` nearest of all vectors."""

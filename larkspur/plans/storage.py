@@ -305,33 +305,39 @@ def vector_index_search(spark, sf_dir):
 ASKED, RECALL = 50, 0.9
 
 
+def recall(asked, found, exact):
+    """(questions, enough): whether what was found are nine tenths of the exact hits."""
+    hits = found.select("question", "doc_id").join(exact.select("question", "doc_id"), ["question", "doc_id"]).agg(F.count(F.lit(1)).alias("hits"))
+    questions = asked.agg(F.count(F.lit(1)).alias("questions"))
+    return questions.crossJoin(hits).select("questions", (F.col("hits") >= RECALL * 10 * F.col("questions")).alias("enough"))
+
+
+def questions_of(vecs):
+    return vecs.filter(f"doc_id % {ASKED} = 0").select(F.col("doc_id").alias("question"), F.col("embedding").alias("q"))
+
+
 @query("vector_index_recall", f"SELECT count(*) AS questions, true AS enough FROM embeddings WHERE vec_id % {ASKED} = 0")
 def vector_index_recall(spark, sf_dir):
     """Whether the nearest ten that the index finds by default are nine of the ten that a scan of all finds."""
-    from larkspur.operators.vectorindex import scan
+    from larkspur.operators.vectorindex import scan_many
 
-    vecs, index, hits = vectors(spark, sf_dir), vector_index(spark, sf_dir), 0
-    asked = [r["embedding"] for r in vecs.filter(f"doc_id % {ASKED} = 0").collect()]
-    for q in asked:
-        hits += len({r["doc_id"] for r in index.search(q, 10).collect()} & {r["doc_id"] for r in scan(vecs, q, 10).collect()})
-    return spark.createDataFrame([(len(asked), hits >= RECALL * 10 * len(asked))], "questions long, enough boolean")
+    vecs = vectors(spark, sf_dir)
+    asked = questions_of(vecs)
+    return recall(asked, vector_index(spark, sf_dir).search_many(asked, 10), scan_many(vecs, asked, 10))
 
 
 @query("vector_graph_recall", f"SELECT count(*) AS questions, true AS enough FROM embeddings WHERE vec_id % {ASKED} = 0")
 def vector_graph_recall(spark, sf_dir):
     """The same of a graph index that is built for it, after removals and additions."""
     from larkspur.operators.graphindex import GraphIndex
-    from larkspur.operators.vectorindex import scan
+    from larkspur.operators.vectorindex import scan_many
 
-    vecs, hits = vectors(spark, sf_dir).select("doc_id", "embedding"), 0
+    vecs = vectors(spark, sf_dir).select("doc_id", "embedding")
     index = GraphIndex.create(vecs, f"{_folder(spark)}/graph-{uuid.uuid4().hex}")
     index.remove(vecs.filter("doc_id % 7 = 0"))
     index.add(vecs.filter("doc_id % 4 = 0"))
-    live = vecs.filter("doc_id % 7 <> 0 or doc_id % 4 = 0")
-    asked = [r["embedding"] for r in vecs.filter(f"doc_id % {ASKED} = 0").collect()]
-    for q in asked:
-        hits += len({r["doc_id"] for r in index.search(q, 10).collect()} & {r["doc_id"] for r in scan(live, q, 10).collect()})
-    return spark.createDataFrame([(len(asked), hits >= RECALL * 10 * len(asked))], "questions long, enough boolean")
+    asked = questions_of(vecs)
+    return recall(asked, index.search_many(asked, 10), scan_many(vecs.filter("doc_id % 7 <> 0 or doc_id % 4 = 0"), asked, 10))
 
 
 @query(

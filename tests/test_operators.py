@@ -18,7 +18,7 @@ from larkspur.operators import chunkers, context, embed, folds, fulltext, markdo
 from larkspur.operators.graphindex import GraphIndex, graph, units, walk
 from larkspur.operators.segments import SegmentStore
 from larkspur.operators.textindex import TextIndex
-from larkspur.operators.vectorindex import PqIndex, VectorIndex, scan, search_or_scan
+from larkspur.operators.vectorindex import PqIndex, VectorIndex, scan, scan_many, search_or_scan
 from larkspur.plans.files import docx_bytes, pdf_bytes, pdf_file
 from larkspur.plans.registry import vectors
 from larkspur.sources import codecs, pdf
@@ -480,6 +480,40 @@ def test_graph_index_finds_adds_and_removes(spark, tmp_path):
     assert not GraphIndex(spark, str(tmp_path / "none")).exists()
 
 
+def test_many_questions_of_a_graph_index_are_one_pass(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 32)))]
+    vecs = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    index = GraphIndex.create(vecs, str(tmp_path / "g"), shard=100)
+    index.remove(vecs.filter("doc_id % 7 = 0"))
+    asked = vecs.filter("doc_id % 30 = 0").selectExpr("doc_id as question", "embedding as q")
+    live = vecs.filter("doc_id % 7 <> 0")
+    found, exact = (sorted(map(tuple, df.collect())) for df in (index.search_many(asked, 10), scan_many(live, asked, 10)))
+    assert len({(q, d) for q, d, _ in found} & {(q, d) for q, d, _ in exact}) >= 0.9 * 500
+    mine = [(d, s) for q, d, s in sorted(found, key=lambda r: (-r[2], r[1])) if q == 30]
+    assert mine == [tuple(r) for r in index.search(rows[30][1], 10).collect()]
+
+
+def test_many_questions_of_a_vector_index_are_one_pass(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 8)))] + [(i, [1.0] * 8) for i in range(900, 960)] + [(961, [0.0] * 8)]
+    vecs = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    index = VectorIndex.create(vecs, str(tmp_path / "v"))
+    index.remove(vecs.filter("doc_id % 5 = 0"))
+    asked = vecs.filter("doc_id in (0, 7, 33, 900)").selectExpr("doc_id as question", "embedding as q")
+    for many, one in (
+        (index.search_many(asked, 10), lambda q: index.search(q, 10)),
+        (index.search_many(asked, 770), lambda q: index.search(q, 770)),  # more hits than there are
+        (scan_many(vecs, asked, 10), lambda q: scan(vecs, q, 10)),
+    ):
+        by_question = {}
+        for r in many.collect():
+            by_question.setdefault(r["question"], []).append((r["doc_id"], r["score"]))
+        assert by_question.keys() == {0, 7, 33, 900}
+        for q, found in by_question.items():
+            assert sorted(found, key=lambda h: (-h[1], h[0])) == [tuple(r) for r in one(rows[q][1]).collect()]
+
+
 def test_every_node_of_a_graph_can_be_reached():
     rng = np.random.default_rng(1)
     x = units(np.concatenate([rng.normal(size=(60, 8)) * 0.01 + c for c in np.eye(8)[:5]] + [np.ones((40, 8))]))  # clusters far from each other, and many equal vectors
