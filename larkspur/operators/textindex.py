@@ -20,11 +20,15 @@ import hashlib
 import itertools
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from larkspur.functions.text import tokens
 from larkspur.operators import fulltext, store
@@ -33,8 +37,10 @@ from larkspur.operators.segments import Log, Span
 #: Hash buckets of terms, a folder each, of a segment with at least so many documents (a smaller one has one); parts of owners, no folders.
 BUCKETS, BUCKETS_FROM, PARTS = 32, 50_000, 1024
 LEVELS = 16
-#: Documents of a segment below which each of its tables is one file.
-FEW = 1000
+#: Documents of a segment below which each of its tables is one file, and terms of texts for each file of a larger one's postings.
+FEW, PER_FILE = 1000, 1_000_000
+#: Terms of texts whose postings are made at once.
+AT_ONCE = 500_000
 #: Changes with the layout of the tables, so that an index of another layout is another one.
 FORMAT = 3
 #: Documents from which on ``top`` skips: below, one pass over the postings is faster than two jobs more.
@@ -56,6 +62,32 @@ def part_of(owner: Column) -> Column:
     return F.pmod(F.crc32(owner.cast("string").cast("binary")), F.lit(PARTS)).cast("int")
 
 
+def placed(batches: Iterator[pa.RecordBatch], names: list[str], fields: tuple[str, ...], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The postings of each document (names, a list of terms for each field) by itself; AT_ONCE terms, or one document, at once."""
+    for whole in batches:
+        sizes = sum(np.asarray(whole.column(f"t_{f}").value_lengths()).astype(np.int64) for f in fields)
+        ends, start = np.cumsum(sizes), 0
+        while start < whole.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+            batch, start = whole.slice(start, stop - start), stop
+            lengths = {f: np.asarray(batch.column(f"t_{f}").value_lengths()).astype(np.int64) for f in fields}
+            lens = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * len(fields), np.stack(list(lengths.values()), axis=1).astype(np.int32).ravel())
+            for f, own in lengths.items():
+                coded = batch.column(f"t_{f}").flatten().dictionary_encode()
+                terms, row = np.asarray(coded.indices).astype(np.int64), np.repeat(np.arange(len(own)), own)
+                if not len(terms):
+                    continue
+                pos = np.arange(len(terms)) - np.repeat(np.cumsum(own) - own, own)
+                of = row * len(coded.dictionary) + terms
+                order = np.argsort(of, kind="stable")
+                first = np.flatnonzero(np.diff(of[order], prepend=-1))
+                at, offsets = pa.array(row[order[first]]), np.append(first, len(order))
+                columns = [coded.dictionary.take(pa.array(terms[order[first]])), pa.array([f]).take(pa.array(np.zeros(len(first), np.int64))), *[batch.column(n).take(at) for n in names]]
+                columns += [pa.array(np.diff(offsets)), lens.take(at), pa.ListArray.from_arrays(offsets.astype(np.int32), pos[order].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([c.cast(x.type) for c, x in zip(columns, arrow)], schema=arrow)
+
+
 class TextIndex:
     """The index in one folder. A document has a key, and an owner by which changes replace it (its key, unless another column is named)."""
 
@@ -146,10 +178,10 @@ class TextIndex:
         spans, made = self.log.live(), _Segment(self)
         touched = [] if gone is None else [gone.select(F.col(gone.columns[0]).cast(self.owner_type).alias("owner"))]
         if docs is not None:
-            cut = [tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t_{f}") for f, c in fields.items()]
+            texts = [F.coalesce(F.col(c), F.lit("")).alias(f"t_{f}") for f, c in fields.items()]
             mine = F.col(owner or self.key)
-            # texts are cut once; all else is made from the forward table
-            made.forward(docs.select(part_of(mine).alias("part"), mine.alias("owner"), F.col(self.key).alias("key"), *cut))
+            # texts are dealt as they are and cut once; all else is made from the forward table
+            made.forward(docs.select(part_of(mine).alias("part"), mine.alias("owner"), F.col(self.key).alias("key"), *texts), [tokens(F.col(f"t_{f}")).alias(f"t_{f}") for f in fields])
             made.postings(self._postings_of(made.read("forward"), made.means()))
             touched.append(made.read("forward").select("owner"))
         if spans and touched:
@@ -200,11 +232,14 @@ class TextIndex:
 
     def _postings_of(self, forward: DataFrame, means: dict[str, float]) -> DataFrame:
         """(term, field, key, owner, tf, lens, pos, level, and ``at`` where it is known) of documents; ``means``: the fields' average lengths."""
-        at = ["at"] if "at" in forward.columns else []
-        lens = F.array(*[F.size(f"t_{f}") for f in self.fields]).alias("lens")
-        field = lambda f: F.transform(F.col(f"t_{f}"), lambda t, i: F.struct(F.lit(f).alias("field"), i.alias("p"), t.alias("term")))
-        each = forward.select("key", "owner", *at, lens, F.explode(F.concat(*[field(f) for f in self.fields])).alias("x")).select("key", "owner", *at, "lens", "x.*")
-        posts = each.groupBy("term", "field", "key", "owner", *at).agg(F.count(F.lit(1)).alias("tf"), F.first("lens").alias("lens"), F.sort_array(F.collect_list("p")).alias("pos"))
+        names = ["key", "owner", *(["at"] if "at" in forward.columns else [])]
+        types = {"key": self.key_type, "owner": self.owner_type, "at": "int"}
+        schema = f"term string, field string, {', '.join(f'{n} {types[n]}' for n in names)}, tf long, lens array<int>, pos array<int>"
+        arrow, fields = to_arrow_schema(StructType.fromDDL(schema)), self.fields
+        posts = forward.select(*names, *[f"t_{f}" for f in fields]).mapInArrow(lambda batches: placed(batches, names, fields, arrow), schema)
+        # several documents of one key count as one
+        if not forward.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            posts = posts.groupBy("term", "field", *names).agg(F.sum("tf").alias("tf"), F.first("lens").alias("lens"), F.sort_array(F.flatten(F.collect_list("pos"))).alias("pos"))
         mean = F.lit(1.0)
         for f, x in means.items():
             mean = F.when(F.col("field") == f, F.lit(max(x, 1e-9))).otherwise(mean)
@@ -389,24 +424,30 @@ class _Segment:
     def read(self, name: str) -> DataFrame:
         return self.index.spark.read.schema(self.index._schema(name)).parquet(f"{self.index.folder}/{self.name}/{name}")
 
-    def forward(self, rows: DataFrame) -> None:
-        self.write("forward", rows.repartitionByRange("part", "owner", "key").sortWithinPartitions("part", "owner"))
+    def forward(self, rows: DataFrame, cut: list[Column] | None = None) -> None:
+        """``cut``: what makes terms of the rows' texts, after they are dealt."""
+        dealt = rows.repartitionByRange("part", "owner", "key").sortWithinPartitions("part", "owner")
+        self.write("forward", dealt.select("part", "owner", "key", *cut) if cut else dealt)
         self.totals = list(self.read("forward").agg(*self.index._counts()).first())
         self.buckets = BUCKETS if self.totals[0] >= BUCKETS_FROM else 1
 
     def means(self) -> dict[str, float]:
         return {f: x / max(1, self.totals[0]) for f, x in zip(self.index.fields, self.totals[1:])}
 
-    def by_bucket(self, name: str, rows: DataFrame, *order) -> None:
-        """Rows with a term, in its bucket, in the order of the terms; a frequent term's are split over files."""
+    def by_bucket(self, name: str, rows: DataFrame, *order, by: str = "term") -> None:
+        """Rows with a term, in its bucket, in the order of the terms; a bucket's are dealt to several files by a hash of a column."""
         places = ["bucket", "term", *order]
         dealt = rows.withColumn("bucket", bucket(F.col("term"), self.buckets))
-        # ranges are told from a sample, which is a job of its own: a few documents' postings are one file
-        dealt = dealt.coalesce(1) if self.totals[0] < FEW else dealt.repartitionByRange(*places)
+        if self.totals[0] < FEW:
+            dealt = dealt.coalesce(1)
+        else:
+            # no ranges, which are told from a sample, so that rows would be made twice
+            files = max(1, -(-sum(self.totals[1:]) // (PER_FILE * self.buckets)))
+            dealt = dealt.repartitionById(self.buckets * files, F.col("bucket") * files + F.pmod(F.xxhash64(by), F.lit(files)).cast("int"))
         self.write(name, dealt.sortWithinPartitions(*places), *(["bucket"] if self.buckets > 1 else []))
 
     def postings(self, rows: DataFrame) -> None:
-        self.by_bucket("postings", rows, F.desc("level"), "field", "key")
+        self.by_bucket("postings", rows, F.desc("level"), "field", "key", by="key")
         most = [F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("most_tf"), F.min(self.index._own_length()).alias("least_len")]
         self.by_bucket("blocks", self.read("postings").groupBy("term", "field", "level").agg(*most))
 

@@ -9,6 +9,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -578,3 +579,42 @@ def test_chunks_of_all_documents_equal_brute_force(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["path"] for r in catalog.QUERIES["chunk_by_id"](spark, str(tmp_path)).collect()}
     assert got == {k: f"docs/src/{k}.txt" for k in range(1, 60, 2)}
+
+
+def test_embedding_holds_few_texts_at_once():
+    from larkspur.operators import embed
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(5000)), "text": [None, "x" * (1 << 20)] * 5 + ["short"] * 4990})
+    parts = list(embed.slices(batch, "text"))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows <= embed.SLICE_ROWS and sum(len(t or "") for t in p.column("text").to_pylist()) <= embed.SLICE_BYTES for p in parts)
+
+
+def test_a_watched_folder_is_handed_on_in_small_batches(tmp_path):
+    from larkspur.streaming import watch
+
+    (tmp_path / "in").mkdir()
+    for i in range(50):
+        (tmp_path / "in" / f"{i:02d}.txt").write_bytes(bytes([i]) * (1 << 20))
+    reader = watch.FolderReader(str(tmp_path / "in"), str(tmp_path / "state"))
+    end = reader.latestOffset()
+    batches = [b for p in reader.partitions({"listing": -1}, end) for b in reader.read(p)]
+    assert all(b.nbytes <= watch.READ_BYTES + (2 << 20) for b in batches)
+    seen = {r["path"]: r for b in batches for r in b.to_pylist()}
+    assert len(seen) == 50 and all(r["change"] == "created" and len(r["content"]) == r["file_size"] == 1 << 20 for r in seen.values())
+
+
+def test_postings_of_documents_made_by_themselves(spark, tmp_path, monkeypatch):
+    from larkspur.operators import textindex
+
+    monkeypatch.setattr(textindex, "AT_ONCE", 3)
+    docs = spark.createDataFrame([(1, "b a b", "x"), (2, "", "x x"), (3, None, "c"), (1, "a z", "x")], "doc_id long, text string, more string")
+    index = textindex.TextIndex.build(docs, str(tmp_path / "i"), {"text": "text", "more": "more"})
+    found = sorted((r["term"], r["field"], r["key"], r["tf"], tuple(r["pos"])) for r in index.postings(["a", "b", "c", "x", "z"]).collect())
+    assert found == [("a", "text", 1, 2, (0, 1)), ("b", "text", 1, 2, (0, 2)), ("c", "more", 3, 1, (0,)), ("x", "more", 1, 2, (0, 0)), ("x", "more", 2, 2, (0, 1)), ("z", "text", 1, 1, (1,))]
+
+
+def test_postings_are_made_without_a_shuffle_of_positions(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(20)], "doc_id long, text string")
+    index = TextIndex.build(docs, str(tmp_path / "i"), {"text": "text"})
+    assert "Exchange" not in index._postings_of(index._tables("forward"), {"text": 3.0})._jdf.queryExecution().executedPlan().toString()
