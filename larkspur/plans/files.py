@@ -113,12 +113,17 @@ def stream_index(spark, sf_dir):
     return index.current(spark, f"{folder}/out").select("chunk", "chunk_id", "token_count")
 
 
+#: Texts for each file that is written to be watched.
+PER_FILE = 1000
+
+
 @query("watch_changes", "SELECT DISTINCT source, 'created' AS change FROM documents UNION SELECT DISTINCT source, 'removed' FROM documents WHERE source = 'src2'")
 def watch_changes(spark, sf_dir):
     """Documents written as files, a folder of texts for each source, which a stream follows; then one folder goes and the stream goes on."""
     folder = f"{store.shared_folder(spark)}/watch-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select("source", F.regexp_replace("text", "[\r\n]+", " ").alias("value"))
-    docs.repartition("source").write.partitionBy("source").text(f"{folder}/in")
+    # a source's texts in files of bounded size, as a reader of the stream gets each file whole
+    docs.repartition("source").write.option("maxRecordsPerFile", PER_FILE).partitionBy("source").text(f"{folder}/in")
     each = lambda changes, n: changes.select("path", "change").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
     watch.finished(watch.watch(spark, f"{folder}/in", f"{folder}/state", each))
     store.remove(spark, f"{folder}/in/source=src2")

@@ -19,6 +19,13 @@ FORMAT = "folder_changes"
 SCHEMA = "path string, change string, modified timestamp, file_size long, content binary"
 PARTITIONS = 8
 _listing = pa.schema([("path", pa.string()), ("size", pa.int64()), ("time", pa.timestamp("us", "UTC"))])
+_rows = pa.schema([("path", pa.string()), ("change", pa.string()), ("modified", pa.timestamp("us", "UTC")), ("file_size", pa.int64()), ("content", pa.binary())])
+#: What a task hands on at once.
+READ_ROWS, READ_BYTES = 1000, 16 << 20
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(column), f.type) for column, f in zip(zip(*rows), _rows)], schema=_rows)
 
 
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str, str]:
@@ -84,7 +91,19 @@ class FolderReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return [_Part(start["listing"], end["listing"], p) for p in range(PARTITIONS)]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        """Changes in batches of READ_ROWS rows and about READ_BYTES of contents: many files are never held at once."""
+        held, size = [], 0
+        for row in self._changes(partition):
+            held.append(row)
+            size += row[3] or 0
+            if len(held) >= READ_ROWS or size >= READ_BYTES:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    def _changes(self, partition: _Part) -> Iterator[tuple]:
         mine = lambda t: {p: (s, at) for p, s, at in zip(*(t.column(c).to_pylist() for c in ("path", "size", "time"))) if zlib.crc32(p.encode()) % PARTITIONS == partition.part}
         old, new = mine(self._read(partition.start)), mine(self._read(partition.end))
         fs, _, before = _open(self.path)
