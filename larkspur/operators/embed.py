@@ -7,18 +7,23 @@ import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.functions.text import tokens
 
 DIMENSION = 64
+#: Rows, and bytes of their texts, whose vectors a task holds at once.
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 
 class Provider(Protocol):
@@ -139,6 +144,17 @@ def _each(call: Callable, texts: list[str]) -> list[tuple[list[float] | None, st
         return [x for t in texts for x in _each(call, [t])]
 
 
+def slices(whole: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of SLICE_ROWS rows and SLICE_BYTES of text at most, or one row."""
+    sizes = pc.fill_null(pc.binary_length(whole.column(whole.schema.names.index(text))), 0)
+    ends, start = np.cumsum(np.asarray(sizes).astype(np.int64)), 0
+    while start < whole.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+        yield whole.slice(start, stop - start)
+        start = stop
+
+
 def embed_with(df: DataFrame, text: str, provider: Provider | Callable, batch: int = 64, out: str = "embedding", errors: str | None = None) -> DataFrame:
     """Add the provider's vectors, asked for in batches on the executors; a null text has none.
 
@@ -147,19 +163,22 @@ def embed_with(df: DataFrame, text: str, provider: Provider | Callable, batch: i
     call = provider.embed if hasattr(provider, "embed") else provider
 
     def run(parts):
-        for pdf in parts:
-            found: list = [None] * len(pdf)
-            wrong: list = [None] * len(pdf)
-            at = [i for i, t in enumerate(pdf[text]) if t is not None]
-            for low in range(0, len(at), batch):
-                some = at[low : low + batch]
-                texts = [pdf[text].iloc[i] for i in some]
-                pairs = _each(call, texts) if errors else [([float(x) for x in v], None) for v in call(texts)]
-                for i, (vector, error) in zip(some, pairs):
-                    found[i], wrong[i] = vector, error
-            more = {out: pd.Series(found, index=pdf.index, dtype=object)} | ({errors: pd.Series(wrong, index=pdf.index, dtype=object)} if errors else {})
-            yield pdf.assign(**more)
+        for whole in parts:
+            for part in slices(whole, text):
+                texts = part.column(part.schema.names.index(text)).to_pylist()
+                found: list = [None] * len(texts)
+                wrong: list = [None] * len(texts)
+                at = [i for i, t in enumerate(texts) if t is not None]
+                for low in range(0, len(at), batch):
+                    some = at[low : low + batch]
+                    asked = [texts[i] for i in some]
+                    pairs = _each(call, asked) if errors else [([float(x) for x in v], None) for v in call(asked)]
+                    for i, (vector, error) in zip(some, pairs):
+                        found[i], wrong[i] = vector, error
+                columns = [*part.columns, pa.array(found, pa.list_(pa.float64())), *([pa.array(wrong, pa.string())] if errors else [])]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     kept = [f for f in df.schema.fields if f.name not in (out, errors)]
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType())), *([T.StructField(errors, T.StringType())] if errors else [])])
-    return df.select(*[F.col(f"`{f.name}`") for f in kept]).mapInPandas(run, schema)
+    arrow = to_arrow_schema(schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
