@@ -618,3 +618,12 @@ def test_postings_are_made_without_a_shuffle_of_positions(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"a b {i}") for i in range(20)], "doc_id long, text string")
     index = TextIndex.build(docs, str(tmp_path / "i"), {"text": "text"})
     assert "Exchange" not in index._postings_of(index._tables("forward"), {"text": 3.0})._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pdf_codes_of_one_size_are_read_as_those_of_several():
+    one = pdf.Font(None, True)
+    one.map = {b"\0\1": "a", b"\0\2": "bc"}
+    several = pdf.Font(None, True)
+    several.map, several.sizes = one.map, [2, 3]
+    for raw in (b"", b"\0\1", b"\0\1\0\2\0\3\0\1", b"\0\1\0"):
+        assert one.read(raw) == several.read(raw)
