@@ -64,12 +64,12 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """MINHASHES minima of 32 bits; the first paths are chosen by all of them, what is kept for later are 16 bits of each."""
+def signature(s: np.ndarray, n: int = MINHASHES) -> np.ndarray:
+    """The first ``n`` minima of 32 bits; the first paths are chosen by all of them, what is kept for later are 16 bits of each."""
     low = None
     with np.errstate(over="ignore"):
         for at in range(0, len(s), 2048):
-            part = ((s[at : at + 2048, None] * _A + _B) >> U(32)).min(axis=0)
+            part = ((s[at : at + 2048, None] * _A[:n] + _B[:n]) >> U(32)).min(axis=0)
             low = part if low is None else np.minimum(low, part)
     return low.astype(np.uint32)
 

@@ -516,6 +516,21 @@ def test_toxicity_columns_and_rejection(spark, edge, empty, model):
     assert {r["score"] for r in toxic.score_documents(edge, nothing).collect()} == {0.0}
 
 
+def test_toxicity_is_learned_from_all_labelled_rows(spark):
+    """What Spark counts equals what is counted in memory, of more than 8000 rows, of near and exact copies, and of an id with many rows."""
+    rows = [(k, prose(20000 + k, 8) + (f" r0tten vermin{k % 700}" if k % 6 == 0 else "") + (" s l i m e" if k % 90 == 0 else ""), int(k % 6 == 0)) for k in range(11200)]
+    near_copies = [(20000 + k, prose(7, 60) + f" curse{k % 9}", 1) for k in range(400)]
+    copies = [(30000 + k, "one text for all of these", k % 2) for k in range(400)] + [(40001, f"{prose(50000 + k, 6)} blight", 1) for k in range(900)]
+    learn = [(i, t, y) for i, t, y in rows + near_copies + copies if zlib.crc32(str(i).encode()) % toxic.FOLDS != toxic.HELD_OUT]
+    assert len(learn) > 9000 and any(i == 40001 for i, _, _ in learn)
+    documents = spark.createDataFrame([(i, t) for i, t, _ in rows + near_copies + copies] + [(1, None), (None, "nobody's")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(sorted({(i, y) for i, _, y in rows + near_copies + copies}), "doc_id long, toxic int")
+    got, want = toxic.fit(documents, labels), toxic.Model([(t, y) for _, t, y in learn])
+    assert got.limits == want.limits and got.without == want.without and got.shares == want.shares
+    assert got.characters.three == want.characters.three and got.characters.one == want.characters.one
+    assert "blight" in got.shares and "vermin*" in got.shares and len(toxic.without_copies([(t, y) for _, t, y in learn if "curse" in t])) < 20
+
+
 def test_decoding_equals_all_readings(model):
     """The path found is the cheapest of all readings of a word; of equally cheap ones the smallest."""
     characters, rng = model.characters, random.Random(3)
