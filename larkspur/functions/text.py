@@ -24,8 +24,9 @@ def split_words(s: Column) -> Column:
 
 def tokens(s: Column) -> Column:
     """Index terms: runs of letters and digits, lower case, marks folded."""
-    folded = F.translate(F.lower(s), MARKED, PLAIN)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    low = F.lower(s)
+    folded = F.when(F.octet_length(s) == F.char_length(s), low).otherwise(F.translate(low, MARKED, PLAIN))  # ASCII has no marks
+    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
 
 
 def token_estimate(s: Column) -> Column:

@@ -8,16 +8,22 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from larkspur.functions.text import MARKED, PLAIN, tokens
 
 # Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
+#: Terms of texts that are counted at once; keys of several rows that are told from the others by a broadcast.
+AT_ONCE, REPEATED = 500_000, 50_000
 
 
 def fold(s: str) -> str:
@@ -34,9 +40,46 @@ def positions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, key, tf) of each row (key, its terms) by itself; AT_ONCE terms, or one row, at once."""
+    for whole in batches:
+        ends, start = np.cumsum(np.asarray(whole.column(1).value_lengths()).astype(np.int64)), 0
+        while start < whole.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+            keys, lists, start = whole.column(0).slice(start, stop - start), whole.column(1).slice(start, stop - start), stop
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            size = len(coded.dictionary)
+            of = np.sort(np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())) * size + np.asarray(coded.indices))
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            columns = [coded.dictionary.take(pa.array(of[first] % size)), keys.take(pa.array(of[first] // size)), pa.array(np.diff(first, append=len(of)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", whole.schema.names[0], "tf"])
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf)."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    """(term, key, tf).
+
+    A row's terms are counted where it is read, and these are the postings of a key that one row has: they are not shuffled. Rows of one key are added up;
+    which keys those are is found out first, by a pass over the keys alone.
+    """
+    schema = StructType([StructField("term", StringType()), docs.schema[key], StructField("tf", LongType())])
+
+    def count(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("terms")).mapInArrow(counted, schema)
+
+    def add_up(rows: DataFrame) -> DataFrame:
+        return count(rows).groupBy("term", key).agg(F.sum("tf").alias("tf"))
+
+    again = docs.groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__again")
+    n = again.limit(REPEATED + 1).count()
+    if n == 0:
+        return count(docs)
+    if n > REPEATED:
+        return add_up(docs)
+    parts = {how: docs.join(F.broadcast(again), docs[key].eqNullSafe(F.col("__again")), how) for how in ("left_anti", "left_semi")}
+    return count(parts["left_anti"]).unionByName(add_up(parts["left_semi"]))
 
 
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

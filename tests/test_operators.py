@@ -620,6 +620,41 @@ def test_postings_are_made_without_a_shuffle_of_positions(spark, tmp_path):
     assert "Exchange" not in index._postings_of(index._tables("forward"), {"text": 3.0})._jdf.queryExecution().executedPlan().toString()
 
 
+def test_counted_terms_of_keys_of_one_row_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(20)], "doc_id long, text string")
+    assert "Exchange" not in fulltext.postings(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("repeated", [50_000, 2, 1])
+def test_counted_terms_equal_those_counted_by_hand(spark, monkeypatch, repeated):
+    monkeypatch.setattr(fulltext, "REPEATED", repeated)  # two keys are repeated, one of them null
+    rows = [(1, "b a b"), (2, ""), (3, None), (4, "Élan élan ELAN x"), (None, "b c"), (None, "b"), (5, "a, b; a"), (5, "a"), (5, None), (6, "z " * 50 + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for key, text in rows:
+        for term in fulltext.query_terms(text or ""):
+            want[term, key] = want.get((term, key), 0) + re.findall(r"[^\W_]+", fulltext.fold(text)).count(term)
+    found = [tuple(r) for r in fulltext.postings(docs).collect()]
+    assert dict(((t, k), n) for t, k, n in found) == want and len(found) == len(want)
+    assert fulltext.postings(docs).dtypes == [("term", "string"), ("doc_id", "bigint"), ("tf", "bigint")]
+    assert fulltext.postings(docs.limit(0)).count() == 0
+
+
+def test_counted_terms_do_not_depend_on_how_many_are_counted_at_once(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([7, None, 9, 7]), pa.array([["b", "a", "b"], [], ["a"], ["c", "b", "a", "c"]])], names=["k", "terms"])
+    want = [("a", 7, 1), ("a", 7, 1), ("a", 9, 1), ("b", 7, 1), ("b", 7, 2), ("c", 7, 2)]
+    for at_once in (1, 3, 4, 100):
+        monkeypatch.setattr(fulltext, "AT_ONCE", at_once)
+        assert sorted(tuple(r.values()) for b in fulltext.counted(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()) == want
+
+
+def test_tokens_of_texts_with_and_without_marks(spark):
+    texts = ["", " ", "--", "One, two;three ", "ÀÉ éa-Ÿ", "İx \u212a", "ΟΔΟΣ", "日本 語1", "a\u0301b", None]
+    plain = F.filter(F.split(F.translate(F.lower("t"), T.MARKED, T.PLAIN), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.tokens(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and rows[3]["a"] == ["one", "two", "three"] and rows[4]["a"] == ["ae", "ea", "y"] and rows[-1]["a"] is None
+
+
 def test_pdf_codes_of_one_size_are_read_as_those_of_several():
     one = pdf.Font(None, True)
     one.map = {b"\0\1": "a", b"\0\2": "bc"}
